@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.functions.arrays import (
-    as_column, at, clip, dot, is_finite, let, vector,
+    as_column, at, clip, dot, is_finite, let, prefix_total, vector,
 )
 
 # Grid conventions.
@@ -196,17 +196,17 @@ class Grid(Bins):
 
     def cdf(self, density: Column | str) -> Column:
         """Cumulative mass at the bin centers, as an array."""
-        from tessella.functions.kernels import running_sum
+        from tessella.functions import kernels
 
         d = as_column(density)
-        if self.histogram:
-            m = self.masses(d)
-            return F.zip_with(running_sum(m, self.n), m, lambda c, x: c - x * 0.5)
-        return F.concat(F.array(F.lit(0.0)), running_sum(self.masses(d), self.n - 1))
+        if self.n > kernels.JVM_SCAN_BINS:
+            return kernels.grid_cdf(d, self)
+
+        def scan(m: Column) -> Column:
+            below = F.transform(m, lambda x, i: prefix_total(m, i) + (x * 0.5 if self.histogram else x))
+            return below if self.histogram else F.concat(F.array(F.lit(0.0)), below)
 
-    def cdf_table(self, df: DataFrame, id_col: str, density: str) -> DataFrame:
-        """Long form ``(id, bin, cdf)``; each row's bins are summed within its own array."""
-        return df.select(id_col, F.posexplode(self.cdf(density)).alias("bin", "cdf"))
+        return let(self.masses(d), scan)
 
     def bin_index(self, x: Column) -> Column:
         """The bin of a value, clipped to the grid."""

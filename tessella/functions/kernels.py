@@ -3,8 +3,13 @@
 Spark's higher-order functions are fast while their state is one number and
 slow when it is a struct (measured: about 0.1 us against 0.9 us per element).
 The scans below therefore run as Arrow batches through numpy; Spark still
-partitions and ships the rows. A kernel cannot sit inside a lambda. Each kernel has a JVM twin in ``histogram`` or
+partitions and ships the rows. Each kernel has a JVM twin in ``histogram`` or
 ``scores`` that the tests compare it with.
+
+A kernel cannot sit inside a lambda, and its array must be a column of its
+own: an expression whose nested lambdas share a variable is not pulled out of
+the call by the optimizer. The array's size rides along as a second reference,
+which keeps the optimizer from inlining that column back into the call.
 """
 
 from __future__ import annotations
@@ -13,8 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-from tessella.functions.arrays import let, prefix_total
-
 # Below this many bins the JVM form of a scan is used (no Python worker).
 JVM_SCAN_BINS = 32
 
@@ -32,38 +35,51 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
-def running_sum(array: Column, width: int) -> Column:
-    """The running sum of an array column of known width."""
-    if width <= JVM_SCAN_BINS:
-        return let(array, lambda a: F.transform(a, lambda _, i: prefix_total(a, i + 1)))
+def _masses(grid):
+    """Turns a batch of densities on a grid into masses between its nodes."""
+    if grid.histogram:
+        widths = grid.widths
+        return lambda d: d * widths
+    half = 0.5 * np.diff(grid.centers)
+    return lambda d: (d[:, 1:] + d[:, :-1]) * half
+
+
+def grid_cdf(density: Column, grid) -> Column:
+    """Cumulative mass at a grid's bin centers."""
+    width, masses, histogram = grid.n, _masses(grid), grid.histogram
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def running(values: pa.Array) -> pa.Array:
-        return _lists(np.cumsum(_matrix(values, width), axis=1))
+    def running(values: pa.Array, _: pa.Array) -> pa.Array:
+        m = masses(_matrix(values, width))
+        f = np.cumsum(m, axis=1)
+        return _lists(f - 0.5 * m if histogram else np.concatenate([np.zeros((len(f), 1)), f], axis=1))
 
-    return running(array)
+    return running(density, F.size(density))
 
 
 def cdf_points(probabilities: Column, width: int, bucket, share, keep, base) -> Column:
     """CDF values at shared points, each given as its bucket and the share of it below."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def points(values: pa.Array) -> pa.Array:
+    def points(values: pa.Array, _: pa.Array) -> pa.Array:
         p = _matrix(values, width)
         inner = np.cumsum(p, axis=1)[:, bucket] - p[:, bucket] * (1.0 - share)
         return _lists(base + keep * np.clip(inner, 0.0, 1.0))
 
-    return points(probabilities)
+    return points(probabilities, F.size(probabilities))
 
 
-def inverse_cdf(probabilities: Column, edges: np.ndarray, levels: np.ndarray) -> Column:
-    """Quantiles of shared-bucket histograms at many levels."""
+def inverse_cdf(array: Column, edges: np.ndarray, levels: np.ndarray, grid=None) -> Column:
+    """Quantiles at shared levels of probabilities in shared buckets, or of a grid's densities."""
     widths, width = np.diff(edges), len(edges) - 1
+    prepare = _masses(grid) if grid is not None else None
+    row_width = width if grid is None else grid.n
     levels = np.asarray(levels, dtype=np.float64)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def invert(values: pa.Array) -> pa.Array:
-        p = _matrix(values, width)
+    def invert(values: pa.Array, _: pa.Array) -> pa.Array:
+        p = _matrix(values, row_width)
+        p = p if prepare is None else prepare(p)
         out = np.empty((len(p), levels.size))
         for i, row in enumerate(p):
             held = np.flatnonzero(row > 0)
@@ -76,17 +92,18 @@ def inverse_cdf(probabilities: Column, edges: np.ndarray, levels: np.ndarray) ->
             out[i, levels >= 1.0] = edges[held[-1] + 1]
         return _lists(out)
 
-    return invert(probabilities)
+    return invert(array, F.size(array))
 
 
-def crps(masses: Column, y: Column, nodes: np.ndarray) -> Column:
-    """CRPS of a CDF that is linear between shared nodes, one value per row."""
+def crps(density: Column, y: Column, grid) -> Column:
+    """CRPS of a density on a grid, one value per row."""
+    nodes, masses, row_width = grid.nodes.array, _masses(grid), grid.n
     w = np.diff(nodes)
     width = w.size
 
     @F.arrow_udf(T.DoubleType())
-    def score(values: pa.Array, truth: pa.Array) -> pa.Array:
-        m = _matrix(values, width)
+    def score(values: pa.Array, truth: pa.Array, _: pa.Array) -> pa.Array:
+        m = masses(_matrix(values, row_width))
         t = truth.to_numpy(zero_copy_only=False)
         hi = np.cumsum(m, axis=1)
         lo = np.concatenate([np.zeros((len(m), 1)), hi[:, :-1]], axis=1)
@@ -104,7 +121,7 @@ def crps(masses: Column, y: Column, nodes: np.ndarray) -> Column:
         beyond = np.maximum(nodes[0] - t, 0.0) + np.maximum(t - nodes[-1], 0.0)
         return pa.array(piece.sum(axis=1) + own + beyond)
 
-    return score(masses, y)
+    return score(density, y, F.size(density))
 
 
 def knot_masses(knots: Column, levels: np.ndarray, edges: np.ndarray) -> Column:
@@ -115,7 +132,7 @@ def knot_masses(knots: Column, levels: np.ndarray, edges: np.ndarray) -> Column:
     width = len(levels)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def bucket(values: pa.Array) -> pa.Array:
+    def bucket(values: pa.Array, _: pa.Array) -> pa.Array:
         rows = _matrix(values, width)
         out = np.empty((len(rows), len(edges) + 1))
         for i, row in enumerate(rows):
@@ -130,5 +147,5 @@ def knot_masses(knots: Column, levels: np.ndarray, edges: np.ndarray) -> Column:
             out[i] = np.maximum(np.diff(np.concatenate([[0.0], f, [1.0]])), 0.0)
         return _lists(out)
 
-    return bucket(knots)
+    return bucket(knots, F.size(knots))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tessella.functions import histogram
+from tessella.functions import histogram, kernels
 from tessella.functions.arrays import as_column, at, dot, let, ratio, vector
 from tessella.functions.grids import Grid
 
@@ -48,7 +48,9 @@ def mean(d: Column | str, grid: Grid) -> Column:
 
 def median(d: Column | str, grid: Grid) -> Column:
     """Where the CDF reaches one half: the same inverse on edges or on centers."""
-    return F.element_at(histogram.ppf(grid.masses(as_column(d)), grid.nodes, [0.5]), 1)
+    if grid.n > kernels.JVM_SCAN_BINS:
+        return F.element_at(kernels.inverse_cdf(as_column(d), grid.nodes.array, [0.5], grid), 1)
+    return F.element_at(histogram.ppf_jvm(grid.masses(as_column(d)), grid.nodes, vector([0.5])), 1)
 
 
 def estimate(d: Column | str, grid: Grid, method: str) -> Column:

@@ -40,10 +40,9 @@ def nll(d: Column | str, grid: Grid, y: Column, floor: float = NLL_FLOOR) -> Col
 
 def crps(d: Column | str, grid: Grid, y: Column) -> Column:
     """The continuous ranked probability score, exact for the grid's piecewise-linear CDF."""
-    masses = grid.masses(as_column(d))
     if grid.n > kernels.JVM_SCAN_BINS:
-        return kernels.crps(masses, y, grid.nodes.array)
-    return crps_jvm(masses, y, grid.nodes)
+        return kernels.crps(as_column(d), y, grid)
+    return crps_jvm(grid.masses(as_column(d)), y, grid.nodes)
 
 
 def crps_jvm(masses: Column, y: Column, nodes: Bins) -> Column:

@@ -26,12 +26,11 @@ def merged_bins(bins: Bins) -> Bins:
 
 
 def histogram_pdfs(p: Column | str, bins: Bins) -> Column:
-    """Densities on the distinct edges. A point mass joins the bucket that ends a run of equal edges."""
+    """Densities on the distinct edges. A point mass joins the bucket above it, or the last one."""
     distinct = merged_bins(bins)
-    # Mass up to each kept edge: the first occurrence of an edge value closes the bucket before it.
+    # The first copy of each edge value starts its bucket, so the copies' masses belong to it.
     first = np.searchsorted(bins.array, distinct.array, side="left")
-    first[0] = 0
-    starts, counts = first[:-1], np.diff(first)
+    starts, counts = first[:-1], np.diff(np.r_[first[:-1], bins.n])
     a = as_column(p)
     masses = F.zip_with(F.lit(starts.astype(np.int32)), F.lit(counts.astype(np.int32)), lambda s, n: total(F.slice(a, s + 1, n)))
     return F.zip_with(masses, vector(distinct.widths), lambda m, w: m / w)

@@ -149,7 +149,7 @@ def test_grid_scores_and_points(spark, norm, n):
     masses = grid.masses(F.col("d"))
     got = collect(df, F.col("d"), grid.normalization_error("d"), grid.cdf("d"), grid.density_at(F.col("d"), t), C.pit("d", grid, t),
                   C.cde("d", grid, t), C.nll("d", grid, t), C.crps("d", grid, t), C.crps_jvm(masses, t, grid.nodes),
-                  kernels.crps(masses, t, grid.nodes.array), *P.all_estimates("d", grid), P.peaks("d"), grid.bin_index(t))
+                  kernels.crps(F.col("d"), t, grid), *P.all_estimates("d", grid), P.peaks("d"), grid.bin_index(t))
     for i, g in enumerate(got):
         d = brute.normalize(rows[i], edges, hist)
         m, nodes = brute.grid_masses(d, edges, hist)
