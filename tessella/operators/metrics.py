@@ -38,11 +38,16 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 def point_metrics(
     df: DataFrame, y: str, prediction: str, by: Sequence[str] = (), scale: str = "none", *,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int = SMALL_ROWS, written: bool = False,
 ) -> DataFrame:
-    """Bias, robust scatter and outlier rates of point estimates, one row per group."""
+    """Bias, robust scatter and outlier rates of point estimates, one row per group.
+
+    The residuals are read several times, so they are written down first
+    unless the table already is (``written``).
+    """
     df, keys = _grouped(df, by)
-    e = df.select(*keys, residual(F.col(y), F.col(prediction), scale).alias("e")).withColumn("a", F.abs("e"))
+    e = df.select(*keys, residual(F.col(y), F.col(prediction), scale).alias("e"))
+    e = (e if written else materialize(e)).withColumn("a", F.abs("e"))
     quart = exact_quantiles(e, "e", [0.25, 0.5, 0.75], keys, small_rows=small_rows)
     quart = quart.select(*keys, "n", F.col("q")[1].alias("bias"), ((F.col("q")[2] - F.col("q")[0]) / IQR_SCALE).alias("sigma_iqr"))
     quart = quart.withColumn("outlier_threshold", F.greatest(F.lit(OUTLIER_FLOOR), F.lit(3.0) * F.col("sigma_iqr")))
@@ -87,10 +92,13 @@ def ks_pvalue(d: Column, n: Column) -> Column:
     return F.when(x > 6.0, F.lit(0.0)).otherwise(F.least(F.greatest(F.lit(1.0) - cdf, F.lit(0.0)), F.lit(1.0)))
 
 
-def pit_statistics(df: DataFrame, pit: str = "pit", by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS) -> DataFrame:
+def pit_statistics(
+    df: DataFrame, pit: str = "pit", by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS, written: bool = False,
+) -> DataFrame:
     """Uniformity of the PIT values several ways, from one ordered table of distinct values."""
     df, keys = _grouped(df, by)
-    ranked = running_counts(df.select(*keys, F.col(pit).alias("u")), "u", keys, small_rows=small_rows)
+    values = df.select(*keys, F.col(pit).alias("u"))
+    ranked = running_counts(values if written else materialize(values), "u", keys, small_rows=small_rows)
     u, a, c, n = F.col("u"), F.col("before").cast("double"), F.col("c").cast("double"), F.col("n").cast("double")
     below = ranked.groupBy(*keys).agg(*[
         agg for i, (low, high) in enumerate(AD_CUTS, 1) for agg in (
@@ -149,10 +157,13 @@ def mean_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (F.avg(k) if k in df.columns else F.lit(float("nan"))).alias(v) for k, v in names.items()])
 
 
-def pdf_metrics(scores: DataFrame, by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS) -> DataFrame:
+def pdf_metrics(
+    scores: DataFrame, by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS, written: bool = False,
+) -> DataFrame:
     """CDE loss, PIT statistics, CRPS and NLL per group."""
-    df, keys = _grouped(scores, by)
-    stats = pit_statistics(df, "pit", keys, small_rows=small_rows)
+    scores = scores.select(*by, *[c for c in ("cde", "pit", "crps", "nll") if c in scores.columns])
+    df, keys = _grouped(scores if written else materialize(scores), by)
+    stats = pit_statistics(df, "pit", keys, small_rows=small_rows, written=True)
     return stats.join(mean_scores(df, keys), keys).select(*by, "n", "cde_loss", *SUMMARY_COLUMNS[9:17], "crps", "nll")
 
 
@@ -165,8 +176,8 @@ def summarize(
     The score table is written down once: four aggregates read it.
     """
     df, keys = _grouped(materialize(scores), by)
-    left = point_metrics(df, y, prediction, keys, scale, small_rows=small_rows)
-    right = pdf_metrics(df, keys, small_rows=small_rows).drop("n")
+    left = point_metrics(df, y, prediction, keys, scale, small_rows=small_rows, written=True)
+    right = pdf_metrics(df, keys, small_rows=small_rows, written=True).drop("n")
     lead = [] if label is None else [F.lit(label).alias("model")]
     return left.join(right, keys).select(
         *lead, *by, F.lit(point).alias("point_estimate"), F.lit(scale).alias("scale"), *SUMMARY_COLUMNS)

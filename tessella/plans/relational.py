@@ -1 +1,201 @@
+"""Queries of the joins, groupings, ranks and windows."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Window, functions as F
+
+
+from tessella.functions.grids import Bins
+from tessella.operators import estimators as E, mixtures as MX, ranks as RK, recipes as RC, selection as SE
+from tessella.plans import inputs as I
+from tessella.plans.inputs import rounded as r
+from tessella.plans.registry import query
+from tessella.plans.scoring import SECOND, two_models
+
+
+@query("j3_interval_overlap", f"""WITH {I.EV}, {I.grid_sql('o', 20.0, 420.0, 25)}, q AS (SELECT usr, quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS b FROM ev GROUP BY usr),
+s AS (SELECT usr, b[i] AS lo, b[i+1] AS hi, 0.2::DOUBLE AS p FROM q, range(1, 6) t(i))
+SELECT usr, CAST(o.bin AS BIGINT) AS bin, round(sum(p * greatest(least(s.hi, o.hi) - greatest(s.lo, o.lo), 0) / (s.hi - s.lo)), 7) AS mass FROM s JOIN o ON s.lo < o.hi AND s.hi > o.lo WHERE s.hi > s.lo GROUP BY ALL HAVING mass > 0""")
+def j3(spark, sf):
+    """Rows with their own edges (equal-mass buckets per user) re-binned by an equi-join on touched bins."""
+    from tessella.functions.grids import Grid
+
+    own = RK.exact_quantiles(I.events(spark, sf), "y", np.linspace(0, 1, 6).tolist(), ["usr"]).select("usr", F.col("q").alias("bins"))
+    own = own.withColumn("masses", F.array(*[F.lit(0.2)] * 5))
+    grid = Grid(tuple(np.linspace(20.0, 420.0, 26)), "histogram")
+    out = MX.regrid_rows(own, "usr", "bins", "masses", grid)
+    return out.select("usr", F.col("bin").cast("long").alias("bin"), r("mass", 7).alias("mass")).where("mass > 0")
+
+
+EDGES = (0.0, 1.0, 2.5, 7.0, 7.5, 20.0, 33.0, 80.0, 500.0)
+
+
+@query("j4_bracket_lookup", f"WITH {I.EV}, e AS (SELECT unnest({list(EDGES)})::DOUBLE AS e) SELECT id, any_value(max_e) AS edge, CAST(any_value(n) - 1 AS BIGINT) AS bracket FROM (SELECT id, max(e) AS max_e, count(*) AS n FROM ev JOIN e ON e <= y GROUP BY id) GROUP BY id")
+def j4(spark, sf):
+    """As-of lookup of a value in a shared ordered list, as an array expression."""
+    bins = Bins(EDGES)
+    k = bins.count_le(F.col("y"))
+    return I.events(spark, sf).select("id", F.element_at(F.lit(np.array(EDGES)), k).alias("edge"), (k - 1).cast("long").alias("bracket"))
+
+
+KNN = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS y FROM embeddings),
+d AS (SELECT a.id, b.id AS nid, b.y, list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM e a CROSS JOIN e b),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rn FROM d QUALIFY rn <= 8)"""
+
+
+def neighbours(spark, sf, k: int = 8):
+    e = I.table(spark, sf, "embeddings")
+    return E.nearest(e, e, k, id_col="vec_id", vector_col="embedding", context_id="vec_id", value="label").withColumnRenamed("vec_id", "id")
+
+
+@query("j5_nearest_neighbours", f"{KNN} SELECT id, CAST(rn AS BIGINT) AS rank, nid AS neighbour, round(d, 6) AS distance FROM n")
+def j5(spark, sf):
+    out = neighbours(spark, sf).select("id", F.posexplode("neighbours").alias("rank", "t"))
+    return out.select("id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("t.id").alias("neighbour"), r("t.d").alias("distance"))
+
+
+@query("j6_anti_join", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def j6(spark, sf):
+    orders = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return orders.join(I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti")
+
+
+@query("j7_overlap", "SELECT count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE value > 100)")
+def j7(spark, sf):
+    ev = I.events(spark, sf)
+    a, b = ev.where("key = 'click'").select("usr"), ev.where("y > 100").select("usr")
+    return a.intersect(b).agg(F.count("*").alias("n"))
+
+
+@query("j8_edge_union", f"WITH {I.EV}, e AS (SELECT DISTINCT usr, round(unnest(quantile_cont(y, [0.1, 0.5, 0.9])), 6) AS e FROM ev GROUP BY usr, key) SELECT usr, count(*) AS n_edges, round(min(e), 6) AS lo, round(max(e), 6) AS hi FROM e GROUP BY usr")
+def j8(spark, sf):
+    """The union of a user's per-type edges, as a distinct."""
+    parts = RK.exact_quantiles(I.events(spark, sf), "y", [0.1, 0.5, 0.9], ["usr", "key"])
+    edges = parts.select("usr", F.explode("q").alias("e")).select("usr", F.round("e", 6).alias("e")).distinct()
+    return edges.groupBy("usr").agg(F.count("*").alias("n_edges"), F.min("e").alias("lo"), F.max("e").alias("hi"))
+
+
+@query("a1_group_percentile", "SELECT l_suppkey AS sup, l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY ALL")
+def a1(spark, sf):
+    out = RK.exact_quantiles(I.table(spark, sf, "lineitem"), "l_extendedprice", [0.9], ["l_suppkey", "l_returnflag"])
+    return out.select(F.col("l_suppkey").alias("sup"), F.col("l_returnflag").alias("flag"), r(F.col("q")[0], 4).alias("p90"))
+
+
+@query("a1_percentile_by_intervals", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY ALL")
+def a1_large(spark, sf):
+    """The large-table path on the same data: cut points, counts, then only the intervals that matter."""
+    out = RK.exact_quantiles(I.table(spark, sf, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag"], small_rows=0)
+    return out.select(F.col("l_returnflag").alias("flag"), *[r(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
+
+
+def subsets(spark, sf):
+    return I.order_features(spark, sf).withColumn("split", F.when(F.col("status") == "F", "biased").when(F.col("status") == "O", "test"))
+
+
+@query("a2_describe_subsets", f"""{I.ORDERS}, s AS (SELECT CASE status WHEN 'F' THEN 'biased' WHEN 'O' THEN 'test' ELSE 'unused' END AS set, qty, price FROM f UNION ALL SELECT 'catalog', qty, price FROM f)
+SELECT set, count(*) AS n, round(median(qty), 6) AS median_magnitude, round(median(price), 4) AS median_y, max(price) AS max_y, avg(CAST(qty > 30 AS INT)) AS faint_fraction FROM s GROUP BY set""")
+def a2(spark, sf):
+    out = SE.describe_subsets(subsets(spark, sf), "split", "qty", "price", 30.0)
+    return out.select("set", "n", r("median_magnitude").alias("median_magnitude"), r("median_y", 4).alias("median_y"), "max_y", "faint_fraction")
+
+
+MAG, TGT = (0.0, 10.0, 20.0, 25.0, 30.0, 51.0), (0.0, 1e5, 2e5, 3e5, 5e5)
+
+
+def kept_sql(rows: str) -> str:
+    cells = [("i", "qty", MAG), ("z", "price", TGT)]
+    return " UNION ALL ".join(
+        f"SELECT '{label} in [{a}, {b})' AS bin, count(*) AS n_all, count(*) FILTER (keep) AS n_selected, count(*) FILTER (keep) / greatest(count(*), 1)::DOUBLE AS fraction FROM {rows} WHERE {col} >= {a} AND {col} < {b}"
+        for label, col, edges in cells for a, b in zip(edges[:-1], edges[1:]))
+
+
+@query("a3_kept_fraction", f"{I.ORDERS}, x AS (SELECT qty, price, status = 'F' AS keep FROM f) {kept_sql('x')}")
+def a3(spark, sf):
+    df = I.order_features(spark, sf).withColumn("keep", F.col("status") == "F")
+    return SE.selection_summary(df, "qty", "price", "keep", MAG, TGT)
+
+
+@query("a4_value_shares", "SELECT l_quantity AS value, count(*) AS n, count(*) / (SELECT count(*) FROM lineitem)::DOUBLE AS share FROM lineitem GROUP BY 1")
+def a4(spark, sf):
+    li = I.table(spark, sf, "lineitem")
+    counts = li.groupBy(F.col("l_quantity").alias("value")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / li.agg(F.count("*")).scalar())
+
+
+@query("a5_median_by_type", f"WITH {I.EV} SELECT key, round(quantile_cont(y, 0.25), 6) AS p25, round(median(y), 6) AS p50, round(quantile_cont(y, 0.75), 6) AS p75 FROM ev GROUP BY key")
+def a5(spark, sf):
+    out = RK.exact_quantiles(I.events(spark, sf), "y", [0.25, 0.5, 0.75], ["key"])
+    return out.select("key", *[r(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+
+
+TABLE = f"{SECOND}, tb AS (SELECT key, 'type' AS model, avg(crps) AS crps FROM s GROUP BY key UNION ALL SELECT s.key, 'user', avg(crps2) FROM s JOIN s2 USING (id) GROUP BY s.key)"
+
+
+def model_table(spark, sf):
+    both = two_models(spark, sf).join(I.events(spark, sf).select("id", "key"), "id")
+    means = both.groupBy("key").agg(F.avg("crps_type").alias("type"), F.avg("crps_user").alias("user"))
+    return means.unpivot("key", ["type", "user"], "model", "crps")
+
+
+@query("a6_relative_to_best", f"{TABLE} SELECT key, model, round(crps / min(crps) OVER (PARTITION BY key), 7) AS relative FROM tb")
+def a6(spark, sf):
+    return RC.relative_to_best(model_table(spark, sf), "key", "crps").select("key", "model", r("relative", 7).alias("relative"))
+
+
+@query("a6_pivot_by_model", f"{TABLE} SELECT key, round(max(crps) FILTER (model = 'type'), 6) AS type, round(max(crps) FILTER (model = 'user'), 6) AS \"user\" FROM tb GROUP BY key")
+def a6_pivot(spark, sf):
+    out = RC.pivot_models(model_table(spark, sf), "key", "model", "crps", ["type", "user"])
+    return out.select("key", r("type").alias("type"), r("user").alias("user"))
+
+
+RANK_SQL = "SELECT price, before, c, n FROM (SELECT o_totalprice AS price, count(*) AS c, sum(count(*)) OVER (ORDER BY o_totalprice) - count(*) AS before, sum(count(*)) OVER () AS n FROM orders GROUP BY 1)"
+
+
+@query("t1_global_ranks", RANK_SQL.replace("before, c, n", "CAST(before AS BIGINT) AS before, c, CAST(n AS BIGINT) AS n"))
+def t1(spark, sf):
+    """Ranks of a whole column, by intervals."""
+    return RK.running_counts(I.table(spark, sf, "orders").select(F.col("o_totalprice").alias("price")), "price", small_rows=0)
+
+
+@query("t1_ranks_by_group", """SELECT flag, value, CAST(before AS BIGINT) AS before, c, CAST(n AS BIGINT) AS n FROM (SELECT l_returnflag AS flag, l_quantity AS value, count(*) AS c,
+sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - count(*) AS before, sum(count(*)) OVER (PARTITION BY l_returnflag) AS n FROM lineitem GROUP BY 1, 2)""")
+def t1_groups(spark, sf):
+    li = I.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("value"))
+    return RK.running_counts(li, "value", ["flag"], small_rows=0)
+
+
+@query("t1_hash_ranks", f"SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {I.uniform_sql('5', 'o_orderkey')}, o_orderkey) AS rank FROM orders")
+def t1_hash(spark, sf):
+    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    return RK.hash_ranks(o, 5, "id", ["priority"])
+
+
+@query("t2_top_spread", f"{SECOND} SELECT id, round(abs(crps - crps2), 6) AS spread FROM s JOIN s2 USING (id) ORDER BY abs(crps - crps2) DESC, id LIMIT 8")
+def t2(spark, sf):
+    df = two_models(spark, sf).withColumn("spread", F.abs(F.col("crps_type") - F.col("crps_user")))
+    return RC.top_k(df, "spread", 8, "id").select("id", r("spread").alias("spread"))
+
+
+@query("t3_widest_intervals", f"""{I.UQ}, w AS (SELECT usr, max(v) FILTER (i = 17) - max(v) FILTER (i = 3) AS w FROM qq GROUP BY usr)
+SELECT usr, round(w, 6) AS width FROM w WHERE w > (SELECT quantile_cont(w, 0.95) FROM w)""")
+def t3(spark, sf):
+    df = I.user_quantiles(spark, sf).select("usr", (F.col("locs")[16] - F.col("locs")[2]).alias("width"))
+    return RC.hardest(df, "width").select("usr", r("width").alias("width"))
+
+
+@query("w1_running_sums", f"{I.USER} SELECT usr, CAST(bin AS BIGINT) AS bin, round(sum(m) OVER (PARTITION BY usr ORDER BY bin), 4) AS running, round(max(m) OVER (PARTITION BY usr ORDER BY bin), 4) AS running_max FROM h")
+def w1(spark, sf):
+    long = I.user_histograms(spark, sf).select("usr", F.posexplode("masses").alias("bin", "m"))
+    w = Window.partitionBy("usr").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return long.select("usr", F.col("bin").cast("long").alias("bin"), r(F.sum("m").over(w), 4).alias("running"), r(F.max("m").over(w), 4).alias("running_max"))
+
+
+@query("w2_first_by_hash", f"SELECT id, priority FROM (SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {I.uniform_sql('11', 'o_orderkey')}, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE rn <= n // 3")
+def w2(spark, sf):
+    """A third of every priority, in random order, without sorting a whole priority."""
+    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    quota = o.groupBy("priority").agg(F.floor(F.count("*") / 3).alias("quota"))
+    return RK.first_by_hash(o, 11, "id", quota, ["priority"])
+
 

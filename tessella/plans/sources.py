@@ -1 +1,298 @@
+"""Queries of the sources, sinks, input checks, streams and extension points."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessella.functions import histogram as H, quantile as Q
+from tessella.functions.arrays import vector
+from tessella.functions.grids import Bins, Grid
+from tessella.operators import estimators as E, features as FE, metrics as M, validate as V
+from tessella.plans import inputs as I
+from tessella.plans.inputs import rounded as r
+from tessella.plans.registry import query
+from tessella.session import ensure_checkpoint_dir
+from tessella.sources import catalog as S, ensembles as EN
+from tessella.streaming import scores as ST
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the shared checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
+@query("s1_catalog", "SELECT o_orderkey AS object_id, o_totalprice AS y, o_orderpriority, o_orderstatus FROM orders")
+def s1(spark, sf):
+    o = I.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    return S.catalog(o, "o_totalprice", "o_orderkey")
+
+
+@query("s1_catalog_row_counter", """SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount) - 1 AS object_id, l_quantity AS y, l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_discount FROM lineitem""")
+def s1_counter(spark, sf):
+    """Line items have no unique key: a dense counter is made from their order."""
+    li = I.table(spark, sf, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    return S.catalog(li, "l_quantity")
+
+
+@query("s2_tagged_union", "SELECT CAST(source AS INTEGER) AS source, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT 0 AS source, o_totalprice AS v FROM orders UNION ALL SELECT 1, l_extendedprice FROM lineitem) GROUP BY source")
+def s2(spark, sf):
+    a = I.table(spark, sf, "orders").select(F.col("o_totalprice").alias("v"))
+    b = I.table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("v"))
+    return S.tagged_union(a, b).groupBy("source").agg(F.count("*").alias("n"), r(F.sum("v"), 2).alias("total")).select(F.col("source").cast("int").alias("source"), "n", "total")
+
+
+@query("s3_typed_columns", "SELECT p_partkey AS object_id, p_retailprice AS y, CAST(CAST(p_size AS FLOAT) AS DOUBLE) AS size FROM part")
+def s3(spark, sf):
+    out = S.load(spark, f"{sf}/part.parquet", ["p_size"], "p_retailprice", "p_partkey")
+    return out.select("object_id", "y", F.col("p_size").cast("double").alias("size"))
+
+
+@query("s4_stored_probabilities", f"WITH {I.EV}, {I.grid_sql()}, n AS (SELECT {I.bin_sql('y')} AS bin, count(*) AS k FROM ev GROUP BY 1), d AS (SELECT g.bin, coalesce(k, 0) / sum(k) OVER () / w AS d FROM g LEFT JOIN n USING (bin)) SELECT id, round(d, 9) AS density FROM ev JOIN d ON d.bin = {I.bin_sql('y')}")
+def s4(spark, sf):
+    """One stored row of per-bin probabilities, repeated for every event and read at its truth."""
+    ev = I.events(spark, sf)
+    stored = I.GRID.table(spark).join(ev.groupBy(I.GRID.bin_index(F.col("y")).alias("bin")).agg(F.count("*").alias("p")), "bin", "left")
+    out = E.stored_density(ev, stored.select("center", F.coalesce("p", F.lit(0)).alias("p")), "center", "p", I.GRID)
+    return out.select("id", r(I.GRID.density_at(F.col("density"), F.col("y")), 9).alias("density"))
+
+
+@query("s4_stored_samples", f"""WITH {I.EV}, s AS (SELECT i * 20.0::DOUBLE AS x, (SELECT count(*) FROM ev WHERE y >= i * 20.0 AND y < i * 20.0 + 20.0)::DOUBLE AS p FROM range(26) t(i)),
+pc AS (SELECT * FROM (SELECT x AS a, lead(x) OVER (ORDER BY x) AS b, p, lead(p) OVER (ORDER BY x) AS q FROM s) WHERE b IS NOT NULL),
+{I.grid_sql()}, m AS (SELECT bin, w, sum(0.5 * (p + q) * greatest(least(b, hi) - greatest(a, lo), 0)) AS m FROM g CROSS JOIN pc GROUP BY bin, w)
+SELECT CAST(bin AS BIGINT) AS bin, round(m / sum(m) OVER () / w, 9) AS density, (SELECT count(*) FROM ev) AS n FROM m""")
+def s4_samples(spark, sf):
+    """A density sampled every 20 units, integrated exactly over the bins of 10."""
+    ev = I.events(spark, sf)
+    counts = ev.groupBy(F.floor(F.col("y") / 20.0).cast("int").alias("k")).agg(F.count("*").cast("double").alias("p"))
+    samples = spark.range(26).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").select((F.col("k") * 20.0).alias("x"), F.coalesce("p", F.lit(0.0)).alias("p"))
+    out = E.stored_density(ev, samples, "x", "p", I.GRID)
+    one = out.groupBy("density").agg(F.count("*").alias("n")).select("n", F.posexplode("density").alias("bin", "d"))
+    return one.select(F.col("bin").cast("long").alias("bin"), r("d", 9).alias("density"), "n")
+
+
+PRIORITIES = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")
+
+
+@query("s6_ordered_codes", "SELECT o_orderkey AS id, CAST(5 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS BIGINT) AS code FROM orders")
+def s6(spark, sf):
+    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return FE.ordered_codes(o, "o_orderpriority", PRIORITIES, "code").select("id", F.col("code").cast("long").alias("code"))
+
+
+@query("s8_histogram_export", f"""{I.ATOMS} SELECT sup, CAST(CASE WHEN bin > 2 THEN bin - 1 WHEN bin = 2 THEN 2 ELSE bin END AS BIGINT) AS bin, round(sum(p) / max(w), 9) AS pdf FROM p GROUP BY sup, CASE WHEN bin > 2 THEN bin - 1 WHEN bin = 2 THEN 2 ELSE bin END""")
+def s8(spark, sf):
+    """The zero-width bucket is merged into the one above it."""
+    df = I.supplier_atoms(spark, sf).withColumn("p", H.probabilities("masses", I.ATOM_BINS))
+    out = df.select("sup", F.posexplode(EN.histogram_pdfs("p", I.ATOM_BINS)).alias("bin", "d"))
+    return out.select("sup", F.col("bin").cast("long").alias("bin"), r("d", 9).alias("pdf"))
+
+
+@query("s9_histogram_round_trip", f"{I.USER} SELECT usr, CAST(bin AS BIGINT) AS bin, round(p, 9) AS mass FROM p")
+def s9(spark, sf):
+    """Written as a portable ensemble and read back."""
+    path = scratch(spark)
+    df = I.user_histograms(spark, sf).withColumn("p", H.probabilities("masses", I.GRID))
+    EN.write_histograms(df, "p", I.GRID, path, ["usr"], {"source": "events"})
+    back, _, _ = EN.read(spark, path)
+    return back.select("usr", F.posexplode("masses").alias("bin", "m")).select("usr", F.col("bin").cast("long").alias("bin"), r("m", 9).alias("mass"))
+
+
+@query("s9_quantile_round_trip", f"{I.UQ} SELECT usr, CAST(i AS BIGINT) AS i, round(lv, 6) AS level, round(v, 6) AS v FROM k")
+def s9_quantiles(spark, sf):
+    """Both tail ends are stored, at levels 0 and 1."""
+    path = scratch(spark)
+    df = I.user_quantiles(spark, sf).withColumn("l", Q.monotone("locs"))
+    EN.write_quantiles(df, "l", I.LEVELS, path, ["usr"])
+    back, _, axis = EN.read(spark, path)
+    out = back.select("usr", F.posexplode(F.arrays_zip(vector(axis).alias("level"), "locs")).alias("i", "t"))
+    return out.select("usr", F.col("i").cast("long").alias("i"), r("t.level").alias("level"), r("t.locs").alias("v"))
+
+
+# -- checks ---------------------------------------------------------------------------
+
+
+@query("v1_feature_table", "SELECT event_id AS id, TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k, value FROM events")
+def v1(spark, sf):
+    """Strings that hold numbers are cast cell by cell; anything else would be refused."""
+    ev = I.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.regexp_extract("props", "[0-9]+", 0).alias("k"), "value")
+    return V.feature_table(ev, ["k", "value"], ["id"])
+
+
+@query("v2_column_profile", """SELECT 'x' AS "column", count(*) AS n, count(*) FILTER (event_id % 9 = 1) AS n_missing, count(*) FILTER (event_id % 9 = 2) AS n_infinite FROM events UNION ALL SELECT 'value', count(*), 0, 0 FROM events""")
+def v2(spark, sf):
+    """Missing and infinite cells of every column in one pass; NaN and NULL both count as missing."""
+    m = F.col("event_id") % 9
+    x = F.when(m == 1, F.lit(float("nan"))).when(m == 2, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return V.column_profile(I.table(spark, sf, "events").select(x.alias("x"), "value"), ["x", "value"])
+
+
+@query("v3_masked_cells", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events")
+def v3(spark, sf):
+    ev = I.table(spark, sf, "events")
+    return ev.select(F.col("event_id").alias("id"), V.masked(F.col("value"), F.col("event_type") == "error").alias("value"))
+
+
+@query("v4_target_check", "SELECT count(*) AS n, min(value) AS lo, max(value) AS hi FROM events")
+def v4(spark, sf):
+    """A target that is finite everywhere passes; the aggregate is the check's by-product."""
+    ev = I.events(spark, sf)
+    n = V.check_target(ev, "y")
+    return ev.agg(F.lit(n).cast("long").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+
+
+@query("v5_aligned_columns", "SELECT value, event_id, user_id FROM events")
+def v5(spark, sf):
+    return V.align_columns(I.table(spark, sf, "events").select("user_id", "value", "event_id"), ["value", "event_id", "user_id"])
+
+
+@query("v6_empty_result", "SELECT event_id AS id, value AS y FROM events WHERE value < 0")
+def v6(spark, sf):
+    """No row in, no row out, with the same columns."""
+    return I.events(spark, sf).where("y < 0").select("id", "y")
+
+
+@query("v7_finite_pairs", "SELECT event_id AS id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
+def v7(spark, sf):
+    ev = I.events(spark, sf)
+    a = F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("y"))
+    b = F.when(F.col("id") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("y"))
+    return M.finite_pairs(ev.select("id", a.alias("a"), b.alias("b")), "a", "b").select("id")
+
+
+@query("v9_take", "SELECT event_id AS id, value AS y FROM events WHERE event_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)")
+def v9(spark, sf):
+    rows = I.table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("id"))
+    return V.take(I.events(spark, sf), rows).select("id", "y")
+
+
+@query("v11_duplicate_keys", 'SELECT l_orderkey, l_linenumber, count(*) AS "count" FROM lineitem GROUP BY ALL HAVING count(*) > 1')
+def v11(spark, sf):
+    return V.duplicate_keys(I.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("v12_clip_target", "SELECT event_id AS id, least(greatest(value, 5.0), 150.0) AS y_clipped, value < 5 OR value > 150 AS outside FROM events")
+def v12(spark, sf):
+    return V.clip_target(I.events(spark, sf), "y", 5.0, 150.0).select("id", "y_clipped", "outside")
+
+
+@query("v13_table_forms", "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS code, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def v13(spark, sf):
+    """A table given as a path and one given as a DataFrame behave alike."""
+    nation = V.as_table(spark, f"{sf}/nation.parquet")
+    customers = V.as_table(spark, I.table(spark, sf, "customer"))
+    counts = customers.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return nation.join(counts, "n_nationkey", "left").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("code"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("v14_bad_score_rows", "SELECT count(*) FILTER (value > 300) AS above_300, count(*) FILTER (value < 1) AS below_1, count(*) AS n FROM events")
+def v14(spark, sf):
+    ev = I.events(spark, sf)
+    found = V.bad_score_rows(ev, {"above_300": F.col("y") > 300, "below_1": F.col("y") < 1})
+    return ev.agg(*[F.lit(n).cast("long").alias(name) for name, n in found.items()], F.count("*").alias("n"))
+
+
+# -- streams ----------------------------------------------------------------------------
+
+
+@query("l1_stream_scores", f"{I.SCORES} SELECT id, round(cde, 8) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll FROM s")
+def l1(spark, sf):
+    """Predictions arrive as a stream of files; every score is the batch expression."""
+    return _streamed(spark, sf).select("id", r("cde", 8).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    source, scores, state = scratch(spark), scratch(spark), scratch(spark)
+    batch = I.cross_predictions(spark, sf)
+    batch.write.parquet(source)
+    stream = spark.readStream.schema(batch.schema).parquet(source)
+    out = ST.score_stream(stream, "masses", "y", I.GRID, ["id", "key"], point="mean")
+    ST.append_scores(out, scores, state).awaitTermination()
+    return spark.read.parquet(scores)
+
+
+@query("l2_roll_up", f"{I.SCORES} SELECT key, count(*) AS n, round(avg(cde), 8) AS cde_loss, round(avg(crps), 6) AS crps, round(avg(nll), 6) AS nll FROM s GROUP BY key")
+def l2(spark, sf):
+    """The report over the appended score table."""
+    out = M.summarize(_streamed(spark, sf), "y", "y_pred", ["key"], point="mean")
+    return out.select("key", "n", r("cde_loss", 8).alias("cde_loss"), r("crps").alias("crps"), r("nll").alias("nll"))
+
+
+# -- extension points ---------------------------------------------------------------------
+
+TRIANGLE = Bins(tuple(np.linspace(0.0, 50.0, 6)))
+
+
+def triangle(batch: pd.DataFrame) -> np.ndarray:
+    """A stand-in for an external model: mass falls with a bin's distance from the price per part."""
+    centers = TRIANGLE.centers
+    return 1.0 / (1.0 + np.abs(centers[None, :] - batch[["qty"]].to_numpy()))
+
+
+@query("u1_external_predictor", f"""{I.ORDERS}, m AS (SELECT id, i, 1.0 / (1.0 + abs(5.0 + 10.0 * i - qty)) AS m, 5.0 + 10.0 * i AS c FROM f, range(5) t(i))
+SELECT id, round(sum(m * c) / sum(m), 7) AS mean FROM m GROUP BY id""")
+def u1(spark, sf):
+    df = I.order_features(spark, sf)
+    out = E.apply_predictor(df, ["qty"], triangle, 5, id_col="id", bins=TRIANGLE)
+    out = out.withColumn("p", H.probabilities("masses", TRIANGLE))
+    return out.select("id", r(H.mean("p", TRIANGLE), 7).alias("mean"))
+
+
+@query("u2_density_model", f"""WITH {I.EV}, a AS (SELECT min(y) AS lo, (max(y) - min(y)) / 50 AS w FROM ev), n AS (SELECT key, least(floor((y - lo) / w), 49) AS b, count(*) AS c FROM ev, a GROUP BY ALL)
+SELECT e.id, round(sum(c * least(greatest((e.y - (lo + b * w)) / w, 0), 1)) / sum(c), 7) AS pit FROM ev e JOIN n USING (key), a GROUP BY e.id""")
+def u2(spark, sf):
+    """fit(df) is a Spark job, transform(df) a join with the small fitted table."""
+    ev = I.events(spark, sf)
+    return E.DensityModel(["key"]).fit(ev).transform(ev, "pit").select("id", r("pit", 7).alias("pit"))
+
+
+@query("u3_custom_scorer", f"{I.UQ}, m AS (SELECT usr, v FROM qq WHERE i = 10) SELECT -round(avg(abs(y - v)), 6) AS score FROM ev JOIN m USING (usr)")
+def u3(spark, sf):
+    """Minus the mean absolute error of the predicted medians."""
+    df = I.events(spark, sf).join(I.user_quantiles(spark, sf).select("usr", F.col("locs")[9].alias("m")), "usr")
+    return df.agg((-r(F.avg(F.abs(F.col("y") - F.col("m"))))).alias("score"))
+
+
+@query("u5_wide_scan", f"{I.ORDERS.replace('f AS', 'ff AS')}, {I.grid_sql('g', 0.0, 500000.0, 1000)}, {I.masses_sql('priority', 'count(*)', 'o', x='price', low=0.0, high=500000.0, n=1000)}, {I.probs_sql('priority')} SELECT o.id, round(f0 + p * (price - lo) / w, 11) AS pit FROM o JOIN p ON p.priority = o.priority AND p.bin = {I.bin_sql('price', 0.0, 500000.0, 1000)}")
+def u5(spark, sf):
+    """A thousand buckets: the running sum is a vector kernel over Arrow batches."""
+    grid = Grid.linear(0.0, 500_000.0, 1000, normalization="histogram")
+    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("y"))
+    df = E.predict(o, E.bin_shares(o, "y", grid, ["priority"]), ["priority"]).withColumn("d", grid.normalize("masses"))
+    df = df.withColumn("f", grid.cdf("d"))
+    k = grid.bin_index(F.col("y"))
+    # The CDF at the bin's center moved to the truth inside the bin.
+    own = F.element_at("d", k + 1) * (F.col("y") - (k + 0.5) * 500.0)
+    return df.select("id", r(F.element_at("f", k + 1) + own, 11).alias("pit"))
+
+
+@query("d7_model_outputs", f"""{I.CROSS.split('cf_n AS')[0].rstrip().rstrip(',')}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')}
+SELECT e.id, round(p.p / p.w, 9) AS density, round(f0 + p.p * (e.y - lo) / w, 8) AS pit FROM ev e JOIN p ON p.key = e.key AND p.bin = {I.bin_sql('e.y')}""")
+def d7(spark, sf):
+    """Density and PIT of one fitted model through its wrapper."""
+    ev = I.events(spark, sf)
+
+    class OnGrid(E.DensityModel):
+        def _fit(self, df, low, high):
+            self.bins = Bins(I.GRID.edges)
+            self.table = E.bin_shares(df, self.y, self.bins, self.keys)
+
+    model = OnGrid(["key"], grid=I.GRID).fit(ev)
+    both = model.transform(model.transform(ev, "density"), "pit")
+    return both.select("id", r(I.GRID.density_at(F.col("density"), F.col("y")), 9).alias("density"), r("pit", 8).alias("pit"))
+
+
+@query("c20_evaluate", f"""{I.CROSS.split('cf_n AS')[0].rstrip().rstrip(',')}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')},
+r AS (SELECT e.id, e.key, p.p, w, {I.bin_sql('e.y')} = p.bin AS own FROM ev e JOIN p USING (key)), s AS (SELECT id, key, sum(p*p/w) - 2 * sum(CASE WHEN own THEN p/w ELSE 0 END) AS cde FROM r GROUP BY ALL)
+SELECT key, count(*) AS n, round(avg(cde), 8) AS cde_loss FROM s GROUP BY key""")
+def c20(spark, sf):
+    ev = I.events(spark, sf)
+    model = E.DensityModel(["key"], grid=I.GRID)
+    model.bins, model.table = Bins(I.GRID.edges), E.bin_shares(ev, "y", Bins(I.GRID.edges), ["key"])
+    return model.evaluate(ev, "mean", ["key"]).select("key", "n", r("cde_loss", 8).alias("cde_loss"))
+
 
