@@ -9,6 +9,7 @@ this package goes through it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -77,10 +78,12 @@ def positions(array: Column) -> Column:
 
 def weighted_sum(arrays: list[Column], weights) -> Column:
     """Elementwise ``sum(weight * array)`` of a few arrays of one row."""
-    out = F.transform(arrays[0], lambda x: x * F.lit(float(weights[0])))
-    for array, weight in zip(arrays[1:], weights[1:]):
-        out = F.zip_with(out, array, lambda s, x, w=float(weight): s + x * F.lit(w))
-    return out
+    scaled = [_scaled(a, float(w)) for a, w in zip(arrays, weights)]
+    return reduce(lambda left, right: F.zip_with(left, right, lambda s, x: s + x), scaled)
+
+
+def _scaled(array: Column, weight: float) -> Column:
+    return F.transform(array, lambda x: x * F.lit(weight))
 
 
 def fold_arrays(collected: Column, size: int) -> Column:

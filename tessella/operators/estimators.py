@@ -252,7 +252,10 @@ def classifier_hierarchy(context: DataFrame, queries: DataFrame, features: Seque
     out = level(train, "coarse", layout.coarse.n, out, "_c")
     for j, f in enumerate(layout.fine):
         out = level(train.where(F.col("coarse") == j), "fine", f.n, out, f"_f{j}")
-    blocks = [F.transform(f"_f{j}", lambda p, j=j: p * F.col("_c")[j]) for j in range(len(layout.fine))]
+    def block(j: int) -> Column:
+        return F.transform(f"_f{j}", lambda p: p * F.col("_c")[j])
+
+    blocks = [block(j) for j in range(len(layout.fine))]
     return out.withColumn(name, F.concat(*blocks)).drop("_x", "_c", *[f"_f{j}" for j in range(len(layout.fine))])
 
 

@@ -176,16 +176,14 @@ class QuantileMap:
         return df.withColumns({c: self.value(c) for c in self.knots})
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    if abs(lam) < 1e-9:
-        up = F.log1p(F.abs(x))
-    else:
-        up = (F.pow(F.abs(x) + 1.0, F.lit(lam)) - 1.0) / F.lit(lam)
-    if abs(lam - 2.0) < 1e-9:
-        down = -F.log1p(F.abs(x))
-    else:
-        down = -(F.pow(F.abs(x) + 1.0, F.lit(2.0 - lam)) - 1.0) / F.lit(2.0 - lam)
-    return F.when(x >= 0, up).otherwise(down)
+def yeo_johnson(x: Column, lam: Column | float) -> Column:
+    lam = lam if isinstance(lam, Column) else F.lit(float(lam))
+
+    def branch(power: Column) -> Column:
+        return F.when(F.abs(power) < 1e-9, F.log1p(F.abs(x))).otherwise(
+            (F.pow(F.abs(x) + 1.0, power) - 1.0) / F.when(F.abs(power) < 1e-9, F.lit(1.0)).otherwise(power))
+
+    return F.when(x >= 0, branch(lam)).otherwise(-branch(F.lit(2.0) - lam))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -196,29 +194,36 @@ class Power:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], passes: int = 7, candidates: int = 21) -> Power:
-        """The exponent of largest likelihood, by narrowing: each pass scores every
-        candidate of every column in one aggregate."""
-        row = _row(df, [a for c in columns for a in (F.min(_known(c)).alias(f"lo_{c}"), F.max(_known(c)).alias(f"hi_{c}"))])
-        columns = [c for c in columns if row[f"lo_{c}"] is not None and row[f"lo_{c}"] < row[f"hi_{c}"]]
-        if not columns:
+        """The exponent of largest likelihood, by narrowing.
+
+        A pass scores every candidate of every column in one aggregate that
+        combines map-side; only (columns x candidates) rows leave the tasks.
+        """
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), _known(c).alias("x")) for c in columns])
+        long = df.select(F.explode(cells).alias("t")).select("t.*").where("x is not null")
+        spread = long.groupBy("c").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").collect()
+        span = {r["c"]: (-5.0, 5.0) for r in spread}
+        if not span:
             return cls({})
-        span = {c: (-5.0, 5.0) for c in columns}
         for _ in range(passes):
-            tried = {c: np.linspace(*span[c], candidates) for c in columns}
-            aggregates = [F.count(_known(c)).alias(f"n_{c}") for c in columns]
-            aggregates += [F.sum(F.signum(_known(c)) * F.log1p(F.abs(_known(c)))).alias(f"j_{c}") for c in columns]
-            aggregates += [F.var_pop(yeo_johnson(_known(c), float(x))).alias(f"v{i}_{c}") for c in columns for i, x in enumerate(tried[c])]
-            row = _row(df, aggregates)
-            for c in columns:
-                score = [
-                    -0.5 * row[f"n_{c}"] * np.log(row[f"v{i}_{c}"]) + (x - 1.0) * row[f"j_{c}"] if row[f"v{i}_{c}"] and row[f"v{i}_{c}"] > 0 else -np.inf
-                    for i, x in enumerate(tried[c])]
-                k, step = int(np.argmax(score)), tried[c][1] - tried[c][0]
+            tried = {c: np.linspace(*span[c], candidates) for c in span}
+            options = F.create_map(*[v for c, t in tried.items() for v in (F.lit(c), vector(t))])
+            scored = long.where(F.col("c").isin(list(span))).select("c", "x", F.posexplode(options[F.col("c")]).alias("i", "lam"))
+            rows = scored.groupBy("c", "i").agg(
+                F.count("*").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("j"),
+                F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v")).collect()
+            best: dict[str, tuple[float, int]] = {}
+            for row in rows:
+                lam = tried[row["c"]][row["i"]]
+                score = -0.5 * row["n"] * np.log(row["v"]) + (lam - 1.0) * row["j"] if row["v"] > 0 else -np.inf
+                best[row["c"]] = max(best.get(row["c"], (-np.inf, 0)), (score, row["i"]))
+            for c, (_, k) in best.items():
+                step = tried[c][1] - tried[c][0]
                 span[c] = (tried[c][k] - step, tried[c][k] + step)
-        best = {c: 0.5 * sum(span[c]) for c in columns}
-        row = _row(df, [a for c in columns for a in (
-            F.avg(yeo_johnson(_known(c), best[c])).alias(f"m_{c}"), F.stddev_pop(yeo_johnson(_known(c), best[c])).alias(f"s_{c}"))])
-        return cls({c: (best[c], row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in columns})
+        found = {c: 0.5 * sum(ends) for c, ends in span.items()}
+        row = _row(df, [a for c, lam in found.items() for a in (
+            F.avg(yeo_johnson(_known(c), lam)).alias(f"m_{c}"), F.stddev_pop(yeo_johnson(_known(c), lam)).alias(f"s_{c}"))])
+        return cls({c: (lam, row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c, lam in found.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: (yeo_johnson(_known(c), lam) - F.lit(m)) / F.lit(s) for c, (lam, m, s) in self.params.items()})

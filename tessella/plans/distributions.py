@@ -42,7 +42,7 @@ def g3(spark, sf):
         F.col("bin").cast("long").alias("bin"), "lo", "hi", "center", "width", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-DIRTY = f"""{I.USER}, d AS (SELECT usr, bin, c, CASE WHEN (usr + bin) % 7 = 0 THEN 0.0 ELSE greatest(m, 0) END AS x FROM h WHERE usr > 0 OR TRUE),
+DIRTY = f"""{I.USER}, d AS (SELECT usr, bin, c, CASE WHEN (usr + bin) % 7 = 0 THEN 0.0 ELSE greatest(m, 0) END AS x FROM h),
 e AS (SELECT *, 10.0 * CASE WHEN bin IN (0, 49) THEN 0.5 ELSE 1 END AS tw FROM d)"""
 
 

@@ -1 +1,160 @@
+"""Queries of feature building and context-fitted transforms, on per-order line aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessella.operators import features as FE, selection as SE
+from tessella.plans import inputs as I
+from tessella.plans.inputs import rounded as r
+from tessella.plans.registry import query
+
+BANDS = ("A", "B", "C", "D")
+AGG = {"A": "l_quantity", "B": "l_discount", "C": "l_tax", "D": "l_extendedprice"}
+
+
+def bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Means as bands and population deviations as their errors, per order."""
+    li = I.table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("id")).agg(
+        *[F.avg(c).alias(b) for b, c in AGG.items()], *[F.stddev_pop(c).alias(f"{b}ERR") for b, c in AGG.items()])
+
+
+BANDS_SQL = "WITH b AS (SELECT l_orderkey AS id, " + ", ".join(
+    [f"avg({c})::FLOAT AS {b}, stddev_pop({c})::FLOAT AS {b}ERR" for b, c in AGG.items()]) + " FROM lineitem GROUP BY 1)"
+
+
+def pair_sql(a: str, b: str, digits: int = 2) -> str:
+    return (f"round(CAST({a} - {b} AS DOUBLE), {digits}) AS \"{a}-{b}\", "
+            f"round(CAST(CAST(sqrt(CAST({a}ERR AS DOUBLE) * {a}ERR + CAST({b}ERR AS DOUBLE) * {b}ERR) AS FLOAT) AS DOUBLE), {digits}) AS \"{a}-{b}ERR\"")
+
+
+def single_sql(b: str, digits: int = 2) -> str:
+    return f"round(CAST({b} AS DOUBLE), {digits}) AS {b}, round(CAST({b}ERR AS DOUBLE), {digits}) AS {b}ERR"
+
+
+def features(spark, sf, mode: str) -> DataFrame:
+    out = FE.build_features(bands(spark, sf), mode, bands=BANDS, reference="A", keep=["id"])
+    return out.select("id", *[r(F.col(f"`{c}`").cast("double"), 2).alias(c) for c in out.columns[1:]])
+
+
+@query("f1_magnitudes", f"{BANDS_SQL} SELECT id, {', '.join(single_sql(b) for b in BANDS)} FROM b")
+def f1_mag(spark, sf):
+    return features(spark, sf, "mag")
+
+
+@query("f1_adjacent_differences", f"{BANDS_SQL} SELECT id, {single_sql('A')}, {', '.join(pair_sql(a, b) for a, b in zip(BANDS, BANDS[1:]))} FROM b")
+def f1_color(spark, sf):
+    return features(spark, sf, "mag-color")
+
+
+@query("f1_all_differences", f"{BANDS_SQL} SELECT id, {', '.join(single_sql(b) for b in BANDS)}, {', '.join(pair_sql(a, b) for i, a in enumerate(BANDS) for b in BANDS[i + 1:])} FROM b")
+def f1_all(spark, sf):
+    return features(spark, sf, "all")
+
+
+def context(spark, sf) -> DataFrame:
+    return I.order_features(spark, sf).select("id", "price", "qty", "disc", "tax", "ext")
+
+
+@query("f3_power")
+def f3(spark, sf):
+    """The exponent is found by narrowing over likelihood aggregates: iterative, so no SQL twin.
+    The tests compare it with a dense scan."""
+    df = context(spark, sf)
+    return FE.Power.fit(df, ["price", "ext", "disc"]).transform(df).select("id", "price", "ext", "disc")
+
+
+def map_sql(column: str, levels: list[float], normal: bool) -> str:
+    """The empirical quantile map: knots by percentile, ties take the middle."""
+    k = len(levels)
+    return f"""kn AS (SELECT unnest(quantile_cont({column}, {levels})) AS v, unnest(range({k})) AS i FROM f),
+seg AS (SELECT * FROM (SELECT i, v AS a, lead(v) OVER (ORDER BY i) AS b FROM kn) WHERE b IS NOT NULL),
+lo AS (SELECT id, any_value({column}) AS x, sum(CASE WHEN b <= {column} THEN 1 WHEN a < {column} THEN ({column} - a) / (b - a) ELSE 0 END) / {k - 1} AS hi,
+  sum(CASE WHEN b < {column} THEN 1 WHEN a < {column} THEN least(({column} - a) / (b - a), 1) ELSE 0 END) / {k - 1} AS lo FROM f CROSS JOIN seg GROUP BY id)"""
+
+
+KNOTS = [i / 20 for i in range(21)]
+
+
+def small_map(df: DataFrame, normal: bool) -> FE.QuantileMap:
+    """A map with 21 knots, fitted on all rows."""
+    found = FE.column_quantiles(df, ["price"], KNOTS)
+    return FE.QuantileMap(found, tuple(KNOTS), normal)
+
+
+@query("f4_quantile_uniform", f"{I.ORDERS}, {map_sql('price', KNOTS, False)} SELECT id, round((lo + hi) / 2, 8) AS price FROM lo")
+def f4_uniform(spark, sf):
+    df = context(spark, sf).select("id", "price")
+    return small_map(df, False).transform(df).select("id", r("price", 8).alias("price"))
+
+
+@query("f4_quantile_normal")
+def f4_normal(spark, sf):
+    """As many knots as rows allow, normal output; DuckDB has no inverse normal, so the tests check it."""
+    df = context(spark, sf).select("id", "price", "qty")
+    return FE.QuantileMap.fit(df, ["price", "qty"]).transform(df)
+
+
+@query("f5_quantile_with_noise")
+def f5(spark, sf):
+    df = context(spark, sf).select("id", "qty")
+    return FE.QuantileMap.fit(df, ["qty"], rule="noisy", seed=3).transform(df)
+
+
+@query("f6_robust", f"{I.ORDERS}, q AS (SELECT quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS i, quantile_cont(disc, 0.5) AS dm, quantile_cont(disc, 0.75) - quantile_cont(disc, 0.25) AS di FROM f) SELECT id, round((price - m) / i, 8) AS price, round((disc - dm) / di, 8) AS disc FROM f, q")
+def f6(spark, sf):
+    df = context(spark, sf)
+    return FE.Robust.fit(df, ["price", "disc"]).transform(df).select("id", r("price", 8).alias("price"), r("disc", 8).alias("disc"))
+
+
+@query("f7_fit_on_context", f"{I.ORDERS}, q AS (SELECT quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS i FROM f WHERE status = 'F') SELECT id, CASE WHEN id % 10 <> 3 THEN round((price - m) / i, 8) END AS price FROM f, q")
+def f7(spark, sf):
+    """Fitted on finished orders, applied to all; a missing value stays missing."""
+    df = I.order_features(spark, sf)
+    fitted = FE.Robust.fit(df.where("status = 'F'"), ["price"])
+    holes = df.withColumn("price", F.when(F.col("id") % 10 != 3, F.col("price")))
+    return fitted.transform(holes).select("id", r("price", 8).alias("price"))
+
+
+@query("f8_soft_clip", f"""WITH {I.EV}, a AS (SELECT avg(y) - 2 * greatest(stddev_samp(y), 1e-6) AS lo, avg(y) + 2 * greatest(stddev_samp(y), 1e-6) AS hi FROM ev),
+b AS (SELECT avg(y) - 2 * greatest(stddev_samp(y), 1e-6) AS lo, avg(y) + 2 * greatest(stddev_samp(y), 1e-6) AS hi FROM ev WHERE y BETWEEN (SELECT lo FROM a) AND (SELECT hi FROM a)),
+c AS (SELECT id, greatest(y, lo - ln(1 + abs(y))) AS x, hi FROM ev, b) SELECT id, round(least(x, hi + ln(1 + abs(x))), 6) AS y FROM c""")
+def f8(spark, sf):
+    ev = I.events(spark, sf)
+    return FE.SoftClip.fit(ev, ["y"], 2.0).transform(ev).select("id", r("y").alias("y"))
+
+
+@query("f9_informative_columns", "SELECT event_id AS id, value AS y FROM events")
+def f9(spark, sf):
+    """Constant and all-missing columns are dropped."""
+    ev = I.events(spark, sf).select("id", "y", F.lit(3.0).alias("constant"), F.lit(None).cast("double").alias("missing"))
+    return ev.select("id", *FE.informative_columns(ev, ["y", "constant", "missing"]))
+
+
+ORDER = SE.permutations(3, 3, 7)[2]
+NAMES = ("price", "qty", "disc")
+
+
+@query("f10_permuted_columns", f"{I.ORDERS} SELECT id, " + ", ".join(f"{NAMES[i]} AS c{p}" for p, i in enumerate(ORDER)) + " FROM f")
+def f10(spark, sf):
+    df = SE.permute(context(spark, sf), list(NAMES), ORDER, keep=["id"])
+    return df.select("id", *[F.col(c).alias(f"c{p}") for p, c in enumerate(df.columns[1:])])
+
+
+@query("f11_ordinal_encode", """WITH d AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'))
+SELECT c_custkey AS id, CAST(code AS DOUBLE) AS code FROM customer LEFT JOIN d USING (c_mktsegment)""")
+def f11(spark, sf):
+    """Codes learned on a context that never saw one category, which becomes missing."""
+    c = I.table(spark, sf, "customer")
+    learned = FE.ordinal_dictionary(c.where("c_acctbal > 0 AND c_mktsegment <> 'BUILDING'"), "c_mktsegment")
+    return FE.ordinal_encode(c, "c_mktsegment", learned, "code").select(F.col("c_custkey").alias("id"), "code")
+
+
+@query("f12_target_scaling", f"{I.ORDERS}, s AS (SELECT avg(price) AS m, stddev_pop(price) AS s FROM f) SELECT id, round((price - m) / s, 8) AS z FROM f, s")
+def f12(spark, sf):
+    df = context(spark, sf)
+    offset, scale = FE.target_scaling(df, "price")
+    return df.select("id", r((F.col("price") - offset) / scale, 8).alias("z"))
+
 

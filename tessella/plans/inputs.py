@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.functions.grids import Bins, Grid
+from tessella.functions.uniform import hash_uniform
 from tessella.operators.estimators import cross_fitted, pivot_counts
 from tessella.operators.ranks import exact_quantiles
 
@@ -32,9 +33,10 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, key, usr, y, fold)``; the folds serve cross-fitting, so every row is learned from and scored."""
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("key"), F.col("user_id").alias("usr"),
-        F.col("value").alias("y"), (F.col("event_id") % 5).cast("int").alias("fold"))
+        F.col("value").alias("y"), F.floor(hash_uniform("fold", F.col("event_id")) * 5).cast("int").alias("fold"))
 
 
 def weighted_histograms(df: DataFrame, bins: Bins, by: list[str], name: str = "masses") -> DataFrame:
@@ -91,8 +93,13 @@ def order_features(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- the same inputs in SQL --------------------------------------------------------
 
-EV = """ev AS (SELECT event_id AS id, event_type AS key, user_id AS usr, value AS y,
-  CAST(event_id % 5 AS INTEGER) AS fold FROM events)"""
+def uniform_sql(seed: str, *keys: str) -> str:
+    text = " || '-' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+EV = f"""ev AS (SELECT event_id AS id, event_type AS key, user_id AS usr, value AS y,
+  CAST(floor({uniform_sql('fold', 'event_id')} * 5) AS INTEGER) AS fold FROM events)"""
 
 
 def grid_sql(name: str = "g", low: float = 0.0, high: float = 500.0, n: int = 50) -> str:
@@ -139,7 +146,7 @@ SCORES = f"""{CROSS},
 r AS (SELECT e.id, e.key, e.fold, e.usr, e.y, p.bin, lo, hi, c, w, p.p, f0, f1, f0 + p.p * (least(greatest(e.y, lo), hi) - lo) / w AS fc,
   {bin_sql('e.y')} = p.bin AS own FROM ev e JOIN p USING (key, fold)),
 s AS (SELECT id, any_value(key) AS key, any_value(fold) AS fold, any_value(usr) AS usr, any_value(y) AS y, sum(p*p/w) - 2*sum(CASE WHEN own THEN p/w ELSE 0 END) AS cde,
-  sum(CASE WHEN own THEN fc ELSE 0 END) AS pit, sum({CRPS_SQL}) AS crps,
+  least(sum(CASE WHEN own THEN fc ELSE 0 END), 1) AS pit, sum({CRPS_SQL}) AS crps,
   -ln(greatest(sum(CASE WHEN own THEN p/w ELSE 0 END), 1e-12)) AS nll, sum(p*c) AS mean_pred FROM r GROUP BY id)"""
 
 ATOMS = """WITH li AS (SELECT l_suppkey AS sup, l_quantity AS q FROM lineitem),
@@ -167,8 +174,3 @@ ORDERS = """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderpr
 l AS (SELECT l_orderkey AS id, sum(l_extendedprice) AS ext, avg(l_discount) AS disc, avg(l_tax) AS tax, avg(l_quantity) AS qty,
   max(l_quantity) AS maxq, count(*) AS lines FROM lineitem GROUP BY 1),
 f AS (SELECT * FROM o JOIN l USING (id))"""
-
-
-def uniform_sql(seed: str, *keys: str) -> str:
-    text = " || '-' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
-    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
