@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.grids import Bins
 from tessella.functions.uniform import hash_uniform
+from tessella.session import materialize
 
 # A table with fewer rows than this is ordered directly; more go by intervals.
 SMALL_ROWS = 1 << 18
@@ -72,6 +73,8 @@ def exact_quantiles(
     ])
     hit = F.filter(wanted, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_end")))
     targets = before.select(*by, "_b", "_start", "n", F.array_distinct(F.transform(hit, lambda t: t["rank"])).alias("_ranks")).where(F.size("_ranks") > 0)
+    # A few rows per group: written down, so that the second read of the table starts from a fixed plan.
+    targets = materialize(targets)
 
     # Only these intervals' rows move, and equal values move as one.
     found = rows.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c")).join(targets, [*by, "_b"])
@@ -112,6 +115,7 @@ def running_counts(
         *by, "_b",
         (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_start"),
         F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
+    offsets = materialize(offsets)  # one row per group and interval
     inside = Window.partitionBy(*by, "_b").orderBy(value)
     return ties.join(offsets, [*by, "_b"]).select(
         *by, value, "c", (F.col("_start") + F.sum("c").over(inside) - F.col("c")).alias("before"), "n")
@@ -161,8 +165,6 @@ def dense_ids(df: DataFrame, id_name: str, order: Sequence[str]) -> DataFrame:
     """A dense 0-based row counter in the order of ``order``: range partitions, each numbered
     on its own and shifted by the rows before it. The partition is written down first,
     so a lost task cannot renumber rows."""
-    from tessella.session import materialize
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     offsets = placed.groupBy("_p").agg(F.count("*").alias("_c"))

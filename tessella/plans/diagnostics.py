@@ -100,7 +100,7 @@ def x9(spark, sf):
     return X.rows_to_show(I.events(spark, sf), "id", 6).select("id")
 
 
-@query("x11_sample_histograms", """WITH s AS (SELECT 'click' AS sample, value AS v FROM events WHERE event_type = 'click' UNION ALL SELECT 'view', value FROM events WHERE event_type = 'view'),
+@query("x11_sample_histograms", f"""WITH {I.EV}, s AS (SELECT 'click' AS sample, y AS v FROM ev WHERE key = 'click' UNION ALL SELECT 'view', y FROM ev WHERE key = 'view'),
 a AS (SELECT min(v) AS lo, max(v) AS hi FROM s) SELECT sample, CAST(least(floor((v - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM s, a GROUP BY ALL""")
 def x11(spark, sf):
     ev = I.events(spark, sf)

@@ -91,9 +91,9 @@ def g8(spark, sf):
         "id", grid.bin_index(F.col("y")).cast("long").alias("bin"), I.PRICE_GRID.bin_index(F.col("o_totalprice")).cast("long").alias("price_bin"))
 
 
-@query("g12_default_grid", """WITH a AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+@query("g12_default_grid", f"""WITH {I.EV}, a AS (SELECT min(y) AS lo, max(y) AS hi FROM ev),
 b AS (SELECT lo - 0.05 * (hi - lo) AS s, hi + 0.05 * (hi - lo) AS e FROM a),
-x AS (SELECT CAST(least(greatest(floor((value - s) / ((e - s) / 200)), 0), 199) AS BIGINT) AS bin FROM events, b)
+x AS (SELECT CAST(least(greatest(floor((y - s) / ((e - s) / 200)), 0), 199) AS BIGINT) AS bin FROM ev, b)
 SELECT bin, count(*) AS n FROM x GROUP BY bin""")
 def g12(spark, sf):
     ev = I.events(spark, sf)

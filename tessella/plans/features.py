@@ -125,7 +125,7 @@ def f8(spark, sf):
     return FE.SoftClip.fit(ev, ["y"], 2.0).transform(ev).select("id", r("y").alias("y"))
 
 
-@query("f9_informative_columns", "SELECT event_id AS id, value AS y FROM events")
+@query("f9_informative_columns", f"WITH {I.EV} SELECT id, y FROM ev")
 def f9(spark, sf):
     """Constant and all-missing columns are dropped."""
     ev = I.events(spark, sf).select("id", "y", F.lit(3.0).alias("constant"), F.lit(None).cast("double").alias("missing"))

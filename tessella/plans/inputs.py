@@ -33,10 +33,11 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, key, usr, y, fold)``; the folds serve cross-fitting, so every row is learned from and scored."""
+    """``(id, key, usr, y, fold)``: the target is 20 sqrt(value), which spreads the skewed values
+    over the grid; the folds serve cross-fitting, so every row is learned from and scored."""
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("key"), F.col("user_id").alias("usr"),
-        F.col("value").alias("y"), F.floor(hash_uniform("fold", F.col("event_id")) * 5).cast("int").alias("fold"))
+        (F.sqrt("value") * 20.0).alias("y"), F.floor(hash_uniform("fold", F.col("event_id")) * 5).cast("int").alias("fold"))
 
 
 def weighted_histograms(df: DataFrame, bins: Bins, by: list[str], name: str = "masses") -> DataFrame:
@@ -98,7 +99,7 @@ def uniform_sql(seed: str, *keys: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
-EV = f"""ev AS (SELECT event_id AS id, event_type AS key, user_id AS usr, value AS y,
+EV = f"""ev AS (SELECT event_id AS id, event_type AS key, user_id AS usr, sqrt(value) * 20.0::DOUBLE AS y,
   CAST(floor({uniform_sql('fold', 'event_id')} * 5) AS INTEGER) AS fold FROM events)"""
 
 

@@ -61,10 +61,10 @@ def j6(spark, sf):
     return orders.join(I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti")
 
 
-@query("j7_overlap", "SELECT count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE value > 100)")
+@query("j7_overlap", f"WITH {I.EV} SELECT count(*) AS n FROM (SELECT usr FROM ev WHERE key = 'click' INTERSECT SELECT usr FROM ev WHERE y > 200)")
 def j7(spark, sf):
     ev = I.events(spark, sf)
-    a, b = ev.where("key = 'click'").select("usr"), ev.where("y > 100").select("usr")
+    a, b = ev.where("key = 'click'").select("usr"), ev.where("y > 200").select("usr")
     return a.intersect(b).agg(F.count("*").alias("n"))
 
 

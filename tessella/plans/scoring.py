@@ -50,9 +50,9 @@ def c2(spark, sf):
     return dense(spark, sf).select("id", r(I.GRID.density_at(F.col("d"), y), 9).alias("pdf"), r(C.pit("d", I.GRID, y), 8).alias("pit"))
 
 
-@query("c3_cde_terms", f"{I.SCORES} SELECT id, round(cde, 8) AS cde FROM s")
+@query("c3_cde_terms", f"{I.SCORES} SELECT id, round(cde, 12) AS cde FROM s")
 def c3(spark, sf):
-    return dense(spark, sf).select("id", r(C.cde("d", I.GRID, F.col("y")), 8).alias("cde"))
+    return dense(spark, sf).select("id", r(C.cde("d", I.GRID, F.col("y")), 12).alias("cde"))
 
 
 @query("c3_cde_loss", f"{I.SCORES} SELECT key, round(avg(cde), 8) AS cde_loss FROM s GROUP BY key")
@@ -83,9 +83,9 @@ def c5(spark, sf):
     return dense(spark, sf).select("id", r(C.nll("d", I.GRID, F.col("y")), 7).alias("nll"))
 
 
-@query("c6_object_scores", f"{I.SCORES} SELECT id, round(mean_pred, 6) AS y_pred, round(cde, 8) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll FROM s")
+@query("c6_object_scores", f"{I.SCORES} SELECT id, round(mean_pred, 6) AS y_pred, round(cde, 12) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll FROM s")
 def c6(spark, sf):
-    return scored(spark, sf).select("id", r("y_pred").alias("y_pred"), r("cde", 8).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
+    return scored(spark, sf).select("id", r("y_pred").alias("y_pred"), r("cde", 12).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
 
 
 @query("c7_pinball", f"{I.UQ} SELECT key, round(avg(greatest(i * 0.05 * (y - v), (i * 0.05 - 1) * (y - v))), 6) AS pinball FROM ev JOIN qq USING (usr) GROUP BY key")

@@ -163,7 +163,8 @@ def r14(spark, sf):
     return SE.permutation_split(o, "id", {"test": 200, "calibration": 300}, 9)
 
 
-@query("r15_masked_cells", f"SELECT event_id AS id, CASE WHEN {uniform_sql('4', chr(39) + 'value' + chr(39), 'event_id')} >= 0.25 THEN value END AS value, CASE WHEN {uniform_sql('4', chr(39) + 'usr' + chr(39), 'event_id')} >= 0.25 THEN user_id END AS usr FROM events")
+@query("r15_masked_cells", f"""WITH {I.EV} SELECT id, CASE WHEN {uniform_sql('4', "'value'", 'id')} >= 0.25 THEN y END AS value,
+CASE WHEN {uniform_sql('4', "'usr'", 'id')} >= 0.25 THEN usr END AS usr FROM ev""")
 def r15(spark, sf):
     ev = I.events(spark, sf).select("id", F.col("y").alias("value"), "usr")
     return SE.mask_cells(ev, "id", ["value", "usr"], 0.25, 4)

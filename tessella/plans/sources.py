@@ -137,7 +137,7 @@ def v3(spark, sf):
     return ev.select(F.col("event_id").alias("id"), V.masked(F.col("value"), F.col("event_type") == "error").alias("value"))
 
 
-@query("v4_target_check", "SELECT count(*) AS n, min(value) AS lo, max(value) AS hi FROM events")
+@query("v4_target_check", f"WITH {I.EV} SELECT count(*) AS n, min(y) AS lo, max(y) AS hi FROM ev")
 def v4(spark, sf):
     """A target that is finite everywhere passes; the aggregate is the check's by-product."""
     ev = I.events(spark, sf)
@@ -150,7 +150,7 @@ def v5(spark, sf):
     return V.align_columns(I.table(spark, sf, "events").select("user_id", "value", "event_id"), ["value", "event_id", "user_id"])
 
 
-@query("v6_empty_result", "SELECT event_id AS id, value AS y FROM events WHERE value < 0")
+@query("v6_empty_result", f"WITH {I.EV} SELECT id, y FROM ev WHERE y < 0")
 def v6(spark, sf):
     """No row in, no row out, with the same columns."""
     return I.events(spark, sf).where("y < 0").select("id", "y")
@@ -164,7 +164,7 @@ def v7(spark, sf):
     return M.finite_pairs(ev.select("id", a.alias("a"), b.alias("b")), "a", "b").select("id")
 
 
-@query("v9_take", "SELECT event_id AS id, value AS y FROM events WHERE event_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)")
+@query("v9_take", f"WITH {I.EV} SELECT id, y FROM ev WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)")
 def v9(spark, sf):
     rows = I.table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("id"))
     return V.take(I.events(spark, sf), rows).select("id", "y")
@@ -175,9 +175,9 @@ def v11(spark, sf):
     return V.duplicate_keys(I.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("v12_clip_target", "SELECT event_id AS id, least(greatest(value, 5.0), 150.0) AS y_clipped, value < 5 OR value > 150 AS outside FROM events")
+@query("v12_clip_target", f"WITH {I.EV} SELECT id, least(greatest(y, 25.0), 150.0) AS y_clipped, y < 25 OR y > 150 AS outside FROM ev")
 def v12(spark, sf):
-    return V.clip_target(I.events(spark, sf), "y", 5.0, 150.0).select("id", "y_clipped", "outside")
+    return V.clip_target(I.events(spark, sf), "y", 25.0, 150.0).select("id", "y_clipped", "outside")
 
 
 @query("v13_table_forms", "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS code, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -189,20 +189,20 @@ def v13(spark, sf):
     return nation.join(counts, "n_nationkey", "left").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("code"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("v14_bad_score_rows", "SELECT count(*) FILTER (value > 300) AS above_300, count(*) FILTER (value < 1) AS below_1, count(*) AS n FROM events")
+@query("v14_bad_score_rows", f"WITH {I.EV} SELECT count(*) FILTER (y > 300) AS above_300, count(*) FILTER (y < 10) AS below_10, count(*) AS n FROM ev")
 def v14(spark, sf):
     ev = I.events(spark, sf)
-    found = V.bad_score_rows(ev, {"above_300": F.col("y") > 300, "below_1": F.col("y") < 1})
+    found = V.bad_score_rows(ev, {"above_300": F.col("y") > 300, "below_10": F.col("y") < 10})
     return ev.agg(*[F.lit(n).cast("long").alias(name) for name, n in found.items()], F.count("*").alias("n"))
 
 
 # -- streams ----------------------------------------------------------------------------
 
 
-@query("l1_stream_scores", f"{I.SCORES} SELECT id, round(cde, 8) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll FROM s")
+@query("l1_stream_scores", f"{I.SCORES} SELECT id, round(cde, 12) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll FROM s")
 def l1(spark, sf):
     """Predictions arrive as a stream of files; every score is the batch expression."""
-    return _streamed(spark, sf).select("id", r("cde", 8).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
+    return _streamed(spark, sf).select("id", r("cde", 12).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
 
 
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,17 +257,20 @@ def u3(spark, sf):
     return df.agg((-r(F.avg(F.abs(F.col("y") - F.col("m"))))).alias("score"))
 
 
-@query("u5_wide_scan", f"{I.ORDERS.replace('f AS', 'ff AS')}, {I.grid_sql('g', 0.0, 500000.0, 1000)}, {I.masses_sql('priority', 'count(*)', 'o', x='price', low=0.0, high=500000.0, n=1000)}, {I.probs_sql('priority')} SELECT o.id, round(f0 + p * (price - lo) / w, 11) AS pit FROM o JOIN p ON p.priority = o.priority AND p.bin = {I.bin_sql('price', 0.0, 500000.0, 1000)}")
+@query("u5_wide_scan", f"""WITH o AS (SELECT o_orderkey AS id, sqrt(o_totalprice) AS y, o_orderpriority AS priority FROM orders), {I.grid_sql('g', 0.0, 710.0, 1000)},
+{I.masses_sql('priority', 'count(*)', 'o', low=0.0, high=710.0, n=1000)}, {I.probs_sql('priority')}
+SELECT o.id, round(f0 + p * (y - lo) / w, 8) AS pit FROM o JOIN p ON p.priority = o.priority AND p.bin = {I.bin_sql('y', 0.0, 710.0, 1000)}""")
 def u5(spark, sf):
     """A thousand buckets: the running sum is a vector kernel over Arrow batches."""
-    grid = Grid.linear(0.0, 500_000.0, 1000, normalization="histogram")
-    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("y"))
-    df = E.predict(o, E.bin_shares(o, "y", grid, ["priority"]), ["priority"]).withColumn("d", grid.normalize("masses"))
-    df = df.withColumn("f", grid.cdf("d"))
+    grid = Grid.linear(0.0, 710.0, 1000, normalization="histogram")
+    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.sqrt("o_totalprice").alias("y"))
+    # One CDF per priority, then a narrow lookup per order.
+    fitted = E.bin_shares(o, "y", grid, ["priority"]).withColumn("d", grid.normalize("masses")).withColumn("f", grid.cdf("d"))
+    df = E.predict(o, fitted.select("priority", "d", "f"), ["priority"])
     k = grid.bin_index(F.col("y"))
     # The CDF at the bin's center moved to the truth inside the bin.
-    own = F.element_at("d", k + 1) * (F.col("y") - (k + 0.5) * 500.0)
-    return df.select("id", r(F.element_at("f", k + 1) + own, 11).alias("pit"))
+    own = F.element_at("d", k + 1) * (F.col("y") - (k + 0.5) * 0.71)
+    return df.select("id", r(F.element_at("f", k + 1) + own, 8).alias("pit"))
 
 
 @query("d7_model_outputs", f"""{I.CROSS.split('cf_n AS')[0].rstrip().rstrip(',')}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')}
