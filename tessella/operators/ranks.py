@@ -14,9 +14,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessella.functions.grids import Bins
 from tessella.functions.uniform import hash_uniform
 from tessella.session import materialize
 
@@ -38,10 +38,13 @@ def _cut_points(df: DataFrame, value: str, small_rows: int) -> tuple[int, list[f
     return n, sorted(set(found))
 
 
-def _interval(value: Column, cuts: list[float]) -> Column:
-    if len(cuts) < 2:
-        return (value >= F.lit(cuts[0])).cast("int") if cuts else F.lit(0)
-    return Bins(tuple(cuts)).count_le(value)
+def _with_interval(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
+    """Adds ``_b``, how many cut points are <= the value: a binary search in the JVM."""
+    if not cuts:
+        return df.withColumn("_b", F.lit(0))
+    ends = [-float("inf"), *cuts, float("inf")]
+    placed = Bucketizer(splits=ends, inputCol=value, outputCol="_b", handleInvalid="keep").transform(df)
+    return placed.withColumn("_b", F.col("_b").cast("int"))
 
 
 def exact_quantiles(
@@ -60,7 +63,7 @@ def exact_quantiles(
     if not cuts:
         return df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", F.lit(np.asarray(levels))).alias("q"))
 
-    rows = df.withColumn("_b", _interval(F.col("_v"), cuts))
+    rows = _with_interval(df, "_v", cuts)
     counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*by).orderBy("_b")
     before = counts.withColumn("_end", F.sum("_c").over(order)).withColumn(
@@ -102,15 +105,15 @@ def running_counts(
     by the rows of the intervals before it.
     """
     by = list(by)
-    df = df.select(*by, F.col(value).cast("double").alias(value))
+    df = df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     _, cuts = _cut_points(df, value, small_rows)
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("c")).withColumn("_b", _interval(F.col(value), cuts))
+    ties = _with_interval(df.groupBy(*by, value).agg(F.count("*").alias("c")), value, cuts)
     if not cuts:
         group = Window.partitionBy(*by, "_b")
         return ties.select(
             *by, value, "c",
             (F.sum("c").over(group.orderBy(value)) - F.col("c")).alias("before"), F.sum("c").over(group).alias("n"))
-    counts = df.withColumn("_b", _interval(F.col(value), cuts)).groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    counts = _with_interval(df, value, cuts).groupBy(*by, "_b").agg(F.count("*").alias("_c"))
     offsets = counts.select(
         *by, "_b",
         (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_start"),
