@@ -95,35 +95,69 @@ def inverse_cdf(array: Column, edges: np.ndarray, levels: np.ndarray, grid=None)
     return invert(array, F.size(array))
 
 
+def _crps(m: np.ndarray, t: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """CRPS of rows of masses between shared nodes against their truths."""
+    w = np.diff(nodes)
+    hi = np.cumsum(m, axis=1)
+    lo = hi - m
+    k = np.clip(np.searchsorted(nodes, t, side="right") - 1, 0, w.size - 1)
+    rows = np.arange(len(m))
+    step = (np.arange(w.size)[None, :] > k[:, None]).astype(np.float64)
+    u, v = lo - step, hi - step
+    piece = (u * u + u * v + v * v) * (w / 3.0)
+    piece[rows, k] = 0.0
+    # The piece that holds the truth is split there.
+    cut = np.clip(t, nodes[k], nodes[k + 1])
+    f0, f1 = lo[rows, k], hi[rows, k]
+    fc = f0 + (f1 - f0) * (cut - nodes[k]) / w[k]
+    a, b = fc - 1.0, f1 - 1.0
+    own = (cut - nodes[k]) * (f0 * f0 + f0 * fc + fc * fc) / 3.0 + (nodes[k + 1] - cut) * (a * a + a * b + b * b) / 3.0
+    return piece.sum(axis=1) + own + np.maximum(nodes[0] - t, 0.0) + np.maximum(t - nodes[-1], 0.0)
+
+
 def crps(density: Column, y: Column, grid) -> Column:
     """CRPS of a density on a grid, one value per row."""
-    nodes, masses, row_width = grid.nodes.array, _masses(grid), grid.n
-    w = np.diff(nodes)
-    width = w.size
+    nodes, masses, width = grid.nodes.array, _masses(grid), grid.n
 
     @F.arrow_udf(T.DoubleType())
     def score(values: pa.Array, truth: pa.Array, _: pa.Array) -> pa.Array:
-        m = masses(_matrix(values, row_width))
-        t = truth.to_numpy(zero_copy_only=False)
-        hi = np.cumsum(m, axis=1)
-        lo = np.concatenate([np.zeros((len(m), 1)), hi[:, :-1]], axis=1)
-        k = np.clip(np.searchsorted(nodes, t, side="right") - 1, 0, width - 1)
-        column, rows = np.arange(width)[None, :], np.arange(len(m))
-        step = (column > k[:, None]).astype(np.float64)
-        u, v = lo - step, hi - step
-        piece = w * (u * u + u * v + v * v) / 3.0
-        piece[rows, k] = 0.0
-        cut = np.clip(t, nodes[k], nodes[k + 1])
-        f0, f1 = lo[rows, k], hi[rows, k]
-        fc = f0 + (f1 - f0) * (cut - nodes[k]) / w[k]
-        a, b = fc - 1.0, f1 - 1.0
-        own = (cut - nodes[k]) * (f0 * f0 + f0 * fc + fc * fc) / 3.0 + (nodes[k + 1] - cut) * (a * a + a * b + b * b) / 3.0
-        beyond = np.maximum(nodes[0] - t, 0.0) + np.maximum(t - nodes[-1], 0.0)
-        return pa.array(piece.sum(axis=1) + own + beyond)
+        return pa.array(_crps(masses(_matrix(values, width)), truth.to_numpy(zero_copy_only=False), nodes))
 
     return score(density, y, F.size(density))
 
 
+def object_scores(pdf: Column, y: Column, grid, floor: float) -> Column:
+    """``struct<cde, pit, crps, nll, mean, mode>`` of raw densities from one normalization per batch."""
+    nodes, masses, width, weights = grid.nodes.array, _masses(grid), grid.n, grid.node_weights
+    centers, edges, histogram = grid.centers, grid.array, grid.histogram
+    names = ("cde", "pit", "crps", "nll", "mean", "mode")
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def score(values: pa.Array, truth: pa.Array, _: pa.Array) -> pa.Array:
+        d, t = _matrix(values, width), truth.to_numpy(zero_copy_only=False)
+        d = np.where(np.isfinite(d), np.maximum(d, 0.0), 0.0)
+        total = (d * weights).sum(axis=1)
+        d[~(total > 0)] = 1.0
+        d /= (d * weights).sum(axis=1)[:, None]
+        rows, m = np.arange(len(d)), masses(d)
+        if histogram:
+            at = np.clip(np.searchsorted(edges, t, side="right") - 1, 0, width - 1)
+            off = (t < edges[0]) | (t > edges[-1])
+        else:
+            at = np.searchsorted(0.5 * (centers[1:] + centers[:-1]), t, side="right")
+            off = (t < 1.5 * centers[0] - 0.5 * centers[1]) | (t > 1.5 * centers[-1] - 0.5 * centers[-2])
+        p = np.where(off, 0.0, d[rows, at])
+        k = np.clip(np.searchsorted(nodes, t, side="right") - 1, 0, nodes.size - 2)
+        share = np.clip((t - nodes[k]) / np.diff(nodes)[k], 0.0, 1.0)
+        pit = (np.cumsum(m, axis=1) - m)[rows, k] + m[rows, k] * share
+        pit = np.where(t >= nodes[-1], 1.0, np.where(t <= nodes[0], 0.0, np.clip(pit, 0.0, 1.0)))
+        out = ((d * d * weights).sum(axis=1) - 2.0 * p, pit, _crps(m, t, nodes), -np.log(np.maximum(p, floor)),
+               (d * (weights * centers)).sum(axis=1), centers[np.argmax(d, axis=1)])
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], names=list(names))
+
+    return score(pdf, y, F.size(pdf))
+
+
 def knot_masses(knots: Column, levels: np.ndarray, edges: np.ndarray) -> Column:
     """Mass of piecewise-linear CDFs (per-row knots, shared levels) in shared buckets.
 

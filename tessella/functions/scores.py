@@ -75,8 +75,15 @@ def object_scores(df: DataFrame, density: str, y: str, grid: Grid, point: str |
     """
     from tessella.functions import points
 
-    out = df.withColumn("_d", grid.normalize(density))
     t = F.col(y)
+    if grid.n > kernels.JVM_SCAN_BINS and point in (None, "mean", "mode"):
+        # One pass over the batch instead of one per score; F.col pins the density as a column.
+        out = df.withColumn("_s", kernels.object_scores(F.col(density), t.cast("double"), grid, NLL_FLOOR))
+        found = {n: F.col(f"_s.{n}") for n in ("cde", "pit", "crps", "nll")}
+        if point is not None:
+            found["y_pred"] = F.col(f"_s.{point}")
+        return out.withColumns(found).drop("_s")
+    out = df.withColumn("_d", grid.normalize(density))
     out = out.withColumns({
         "cde": cde("_d", grid, t), "pit": pit("_d", grid, t),
         "crps": crps("_d", grid, t), "nll": nll("_d", grid, t),

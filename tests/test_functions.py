@@ -220,3 +220,18 @@ def test_row_results_do_not_depend_on_partitioning(spark):
     df = frame(spark, "pdf", rows, np.linspace(0, 1, 30))
     one, many = (sorted(map(tuple, C.object_scores(df.repartition(k), "pdf", "y", grid, "median").drop("pdf").collect())) for k in (1, 7))
     assert one == many
+
+
+@pytest.mark.parametrize("norm", ["trapezoid", "histogram"])
+def test_one_pass_scores_equal_the_separate_ones(spark, norm):
+    grid = Grid(tuple(np.geomspace(1, 5, 50) - 1), norm)
+    rng = np.random.default_rng(9)
+    rows = rng.gamma(0.8, size=(12, 49))
+    rows[0, :5], rows[1] = [np.nan, np.inf, -1, 0, 2], 0.0
+    y = np.concatenate([[0.0, 4.0, -0.5, 4.5, grid.centers[0], grid.centers[-1]], rng.uniform(0, 4, 6)])
+    df = frame(spark, "pdf", rows, y).withColumn("d", grid.normalize("pdf"))
+    t = F.col("y")
+    apart = collect(df, C.cde("d", grid, t), C.pit("d", grid, t), C.crps_jvm(grid.masses(F.col("d")), t, grid.nodes), C.nll("d", grid, t), P.mean("d", grid))
+    once = C.object_scores(df, "pdf", "y", grid, "mean")
+    got = collect(once, *[F.col(c) for c in ("cde", "pit", "crps", "nll", "y_pred")])
+    np.testing.assert_allclose(got, apart, rtol=1e-9, atol=1e-12)
