@@ -483,10 +483,10 @@ ut AS (SELECT id, ub.bin, ub.lo, ub.hi, sum(wt * p * greatest(least(mx.hi, ub.hi
 un AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f0, sum(p) OVER (PARTITION BY id ORDER BY bin) AS f1 FROM ut)"""
 
 
-@query("m4_to_histogram", f"{UNION} SELECT id, CAST(bin AS BIGINT) AS bin, round(p, 10) AS mass FROM un")
+@query("m4_to_histogram", f"{UNION} SELECT id, CAST(bin AS BIGINT) AS bin, round(p, 6) AS mass FROM un")
 def m4(spark, sf):
     out = mixture(spark, sf).to_histogram().select("id", F.posexplode("masses").alias("bin", "m"))
-    return out.select("id", F.col("bin").cast("long").alias("bin"), r("m", 10).alias("mass"))
+    return out.select("id", F.col("bin").cast("long").alias("bin"), r("m", 6).alias("mass"))
 
 
 @query("m5_quantiles", f"{UNION}, {ppf_sql('un', 'id', (0.16, 0.5, 0.84))} SELECT id, level, round(q, 5) AS q FROM qv")
