@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, simhash
-from tessella.llm.common import table
+from tessella.llm import bpe, langid, simhash, syncmers, toxicity
+from tessella.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +29,34 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its half-replaced text."""
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with fold 2 of 4 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    sample = langid.fit(docs, ~held)
+    return langid.predict(docs, sample, keep={"doc_id": F.col("doc_id"), "held_out": held})
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows with fold 0 of 5 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held = toxicity.held_out("doc_id")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~held)
+    scored = toxicity.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
+    "op4_syncmers": op4_syncmers,
+    "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
