@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, langid, simhash, syncmers, toxicity
+from tessella.llm import bpe, langid, maintext, simhash, syncmers, toxicity
 from tessella.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.extract(table(spark, sf_dir, "pages"), "html", {"page_id": F.col("page_id"), "url": F.col("url")})
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its half-replaced text."""
     return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
+    "op3_main_text": op3_main_text,
     "op4_syncmers": op4_syncmers,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
