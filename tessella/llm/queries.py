@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, langid, maintext, simhash, syncmers, toxicity
+from tessella.llm import bpe, langid, maintext, secrets, simhash, syncmers, toxicity, twins, urls
 from tessella.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,16 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, sample, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; the ledger starts empty, so every blob is scanned once."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows with fold 0 of 5 are never learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -62,7 +72,12 @@ QUERIES: dict[str, Query] = {
     "op4_syncmers": op4_syncmers,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op8_secrets": op8_secrets,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_secrets": twins.secrets_sql(),
+    "op9_url_filter": twins.urls_sql(),
+}
