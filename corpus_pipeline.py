@@ -9,28 +9,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, simhash
-from tessella.llm.common import materialize
+from tessella.llm import bpe, decontaminate, secrets, simhash, toxicity
+from tessella.llm.common import materialize, table
 from tessella.llm.queries import vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model never learns from the held-out fold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~toxicity.held_out("doc_id"))
+    return toxicity.reject(docs, model)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a test item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; each secret in its text is replaced by a mark, and n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's token ids, with counts and digests that fix them and the decoded text."""
     return bpe.encode(docs, bpe.read_vocabulary(vocabulary_path()), "text", ("doc_id",), digests=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
     ("simhash near-dedup", one_of_each_group),
-    ("bpe encoding", token_ids),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("bpe encoding and decoding", token_ids),
 ]
 
 #: Trained scores, fingerprints and token ids have no SQL form; tests hold the stages against brute force.

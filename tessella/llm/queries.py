@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, langid, maintext, secrets, simhash, syncmers, toxicity, twins, urls
+from tessella.llm import bpe, chats, decontaminate, langid, maintext, secrets, simhash, syncmers, toxicity, twins, urls
 from tessella.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.read_vocabulary(vocabulary_path()), "text", ("doc_id",), digests=True)
 
 
+def op1_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chats.render(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,6 +52,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, sample, keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that overlap."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), {"doc_id": F.col("doc_id")})
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; the ledger starts empty, so every blob is scanned once."""
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -67,17 +77,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chats": op1_chats,
     "op2_simhash": op2_simhash,
     "op3_main_text": op3_main_text,
     "op4_syncmers": op4_syncmers,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chats": twins.chats_sql(),
     "op8_secrets": twins.secrets_sql(),
     "op9_url_filter": twins.urls_sql(),
 }

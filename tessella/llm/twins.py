@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import secrets, urls
+from tessella.llm import chats, secrets, urls
 
 
 def _spans(rule: secrets.Rule) -> str:
@@ -73,3 +73,15 @@ shapes AS (SELECT {s_key}, count(*) AS n, CAST(count(ruled) AS DOUBLE) AS labell
 tree AS (SELECT {s_key}, concat_ws('/', host, {named}, CASE WHEN tail <> '' THEN tail END) AS template, p FROM {source} JOIN p{urls.DEPTH} USING ({", ".join(path)}))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN p >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(p, 6) AS purity
 FROM k LEFT JOIN tree USING ({s_key})"""
+
+
+def chats_sql() -> str:
+    return f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text, md5(coalesce('r' || role, '-') || chr(10) || coalesce('t' || text, '-')) AS digest FROM conversations),
+p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n, md5(string_agg(digest, '') OVER w) AS h
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT n, h, min(conv_id) AS conv_id FROM p WHERE place = n GROUP BY n, h),
+kept AS (SELECT conv_id FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.place = whole.n AND p.h = whole.h))
+SELECT conv_id, n AS conv_turns, CAST((place - 1) // {chats.PART_TURNS} AS BIGINT) AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM p WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, n, part"""
