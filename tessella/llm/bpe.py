@@ -27,7 +27,6 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.common import rows_of, worker_memo
@@ -218,26 +217,44 @@ class PrefixEncoder:
         return ids
 
 
-def odd_characters() -> str:
-    """Characters that ``re`` may sort otherwise than the vocabulary's pattern.
+# The vocabulary's library sorts characters by Unicode 16, Python here by an earlier version. Letters and
+# digits that came between, and capitals whose small letters Python does not know.
+LATER_LETTERS = ("\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4"
+                 "\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa"
+                 "\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0")
+LATER_DIGITS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+LATER_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+               **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
 
-    These are separators that are no white space there, numbers that are no
-    digits, and all beyond the basic plane.
-    """
-    numbers = [chr(i) for i in range(0x10000) if unicodedata.category(chr(i)) in ("Nl", "No")]
-    return "\x1c-\x1f" + "".join(numbers) + "\U00010000-\U0010ffff"
+
+def _numbers(stop: int) -> str:
+    """Numbers that are no decimal digits, below ``stop``."""
+    return "".join(chr(i) for i in range(stop) if unicodedata.category(chr(i)) in ("Nl", "No"))
+
+
+def word_pattern() -> str:
+    """The vocabulary's pre-tokenizer, 's|'t|'re|'ve|'m|'ll|'d|letters|number|others, in the terms of ``re``."""
+    numbers = rf"\d{_numbers(0x110000)}{LATER_DIGITS}"
+    later = f"{LATER_LETTERS}{LATER_DIGITS}"
+    return (rf"'s|'t|'re|'ve|'m|'ll|'d|(?:[^\W_{numbers}]|[{LATER_LETTERS}])+|[{numbers}]"
+            rf"|(?:[_\x1c-\x1f]|(?![{later}])[^\w\s])+")
+
+
+def odd_characters() -> str:
+    """Characters for which the short pattern does not do: separators, numbers that are no digits, later ones, and all beyond the basic plane."""
+    small = "".join(map(chr, (c for c in LATER_SMALL if c < 0x10000)))
+    return f"\x1c-\x1f{_numbers(0x10000)}{LATER_LETTERS[:LATER_LETTERS.index(chr(0x105C0))]}{small}\U00010000-\U0010ffff"
 
 
 class TextCoder:
     """Whole texts: normalisation, special tokens, words, ids and decoded text."""
 
-    #: Fixed pattern of the vocabulary's pre-tokenizer, and the same for texts without odd characters.
-    WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The pre-tokenizer for texts without odd characters.
     PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
 
     def __init__(self, content: str) -> None:
         self.encoder = PrefixEncoder(content)
-        self.word, self.plain = regex.compile(self.WORD), re.compile(self.PLAIN)
+        self.word, self.plain = re.compile(word_pattern()), re.compile(self.PLAIN)
         self.odd = re.compile(f"[{odd_characters()}]")
         special = sorted(self.encoder.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in special) + ")") if special else None
@@ -265,8 +282,10 @@ class TextCoder:
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            for w in (self.word if self.odd.search(part) else self.plain).findall(part):
+            words = self.plain
+            if self.odd.search(part):
+                words, part = self.word, part.translate(LATER_SMALL)
+            for w in words.findall(part.lower()):
                 yield known.get(w) or make(w)
             known = self.known
 
