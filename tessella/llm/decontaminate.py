@@ -127,7 +127,10 @@ class Index:
         return found
 
     def overlaps(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(item id, first word in the text, words, likeness) of each item that the text overlaps with: its best alignment."""
+        """(item id, first word in the text, words, likeness) of each item that the text overlaps with, in its best alignment.
+
+        The words reach from the first like stretch to the last; the likeness is that of the best stretch.
+        """
         h = word_hashes(text, self.known)
         best: dict[int, tuple[int, int, int, float]] = {}
         for k, shift in sorted(self.hits(h)):
@@ -138,10 +141,11 @@ class Index:
                 continue
             same = (h[start:end] == item[start - shift:end - shift]).astype(np.int64)
             total = np.concatenate(([0], np.cumsum(same)))
-            enough = np.flatnonzero(total[need:] - total[:-need] >= (np.ceil(LIKENESS * need) if need == STRETCH else need))
+            equal = total[need:] - total[:-need]
+            enough = np.flatnonzero(equal >= (np.ceil(LIKENESS * need) if need == STRETCH else need))
             if len(enough):
                 a, b = int(enough[0]), int(enough[-1]) + need
-                row = item_id, start + a, b - a, float(same[a:b].mean())
+                row = item_id, start + a, b - a, float(equal.max() / need)
                 if k not in best or (row[2] * row[3], -row[1]) > (best[k][2] * best[k][3], -best[k][1]):
                     best[k] = row
         return [best[k] for k in sorted(best)]

@@ -150,9 +150,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         "clean": pa.array(np.append(found[0, at], documents[0]))})
 
 
+def _shares(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    return (toxic + clean + 0.5) / (n_toxic + n_clean + 1.0)
+
+
+def background(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How often tokens are met in ordinary text: counts of the documents that are not toxic, smoothed by the prior."""
+    seen = toxic + clean > 0
+    return np.where(seen, clean + PRIOR * _shares(toxic, clean, n_toxic, n_clean), 0.0)
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """Token scores: the log-odds ratio where its z-score is beyond the least, less the cost of any token."""
-    share = (toxic + clean + 0.5) / (n_toxic + n_clean + 1.0)
+    share = _shares(toxic, clean, n_toxic, n_clean)
     a, b = toxic + PRIOR * share, clean + PRIOR * share
     ratio = np.log(a / (n_toxic + PRIOR - a + 1.0)) - np.log(b / (n_clean + PRIOR - b + 1.0))
     z = ratio / np.sqrt(1.0 / a + 1.0 / b)
@@ -220,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     toxic[at[held]], clean[at[held]] = counted.column("toxic").to_numpy()[held], counted.column("clean").to_numpy()[held]
     n_toxic, n_clean = int(counted.column("toxic").to_numpy()[~held].sum()), int(counted.column("clean").to_numpy()[~held].sum())
     scores = log_odds(toxic, clean, n_toxic, n_clean).astype(np.float32) if n_toxic and n_clean else np.full(BUCKETS, -COST, np.float32)
-    rate, scale = extreme_value(scores.astype(np.float64), clean.astype(np.float64)) if n_clean else (1.0, 1.0)
+    rate, scale = extreme_value(scores.astype(np.float64), background(toxic, clean, n_toxic, n_clean)) if n_clean else (1.0, 1.0)
     model = Model(scores, rate, scale)
     if not (n_toxic and n_clean):
         odds = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -40.0

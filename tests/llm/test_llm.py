@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import bpe, chats, decontaminate, langid, maintext, queries, secrets, simhash, syncmers, toxicity, urls
 from tessella.llm.common import table
@@ -275,10 +276,10 @@ def test_language_of_held_out_documents(spark, sf_dir):
 
 def test_language_edges(spark):
     docs = documents(spark, [*EDGES, (20, "12 34 !!")])
-    sample = langid.fit(docs, docs["doc_id"].isNotNull())
+    sample = langid.fit(docs, F.col("doc_id").isNotNull())
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, sample, keep={"doc_id": docs["doc_id"]}).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (20, "und"), (4, "en"), (6, "en"), (None, "en"), (None, "und")} <= got
-    assert langid.fit(documents(spark, []), docs["doc_id"].isNotNull()).texts == ()
+    assert langid.fit(documents(spark, []), F.col("doc_id").isNotNull()).texts == ()
 
 
 # --- syncmers
