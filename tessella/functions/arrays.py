@@ -66,6 +66,11 @@ def is_finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(INFINITY))
 
 
+def scored(array: Column, size: int, truth: Column) -> Column:
+    """Whether a row can be scored: its array has the size, its truth is a finite number. Never NULL."""
+    return array.isNotNull() & (F.size(array) == F.lit(size)) & is_finite(truth)
+
+
 def ratio(top: Column, bottom: Column, otherwise=0.0) -> Column:
     """``top / bottom`` where ``bottom`` > 0, else ``otherwise``; never divides by zero."""
     return F.coalesce(F.try_divide(top, F.when(bottom > 0, bottom)), F.lit(otherwise))

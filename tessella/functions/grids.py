@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.functions.arrays import (
-    as_column, at, clip, dot, is_finite, let, prefix_total, vector,
+    as_column, at, clip, dot, is_finite, let, scored, vector,
 )
 
 # Grid conventions.
@@ -170,11 +170,14 @@ class Grid(Bins):
         return F.transform(pdf, lambda x: F.when(is_finite(x), F.greatest(x, F.lit(0.0))).otherwise(F.lit(0.0)))
 
     def normalize(self, pdf: Column | str) -> Column:
-        """Cleaned and rescaled to unit mass; a row without mass becomes uniform."""
+        """Cleaned and rescaled to unit mass; a row without mass becomes uniform.
+
+        A NULL row and one of another length than the grid become NULL.
+        """
         weights = vector(self.node_weights)
         flat = vector(np.full(self.n, 1.0 / self.node_weights.sum()))
         return let(self.clean(as_column(pdf)), lambda d: let(dot(d, weights), lambda m: (
-            F.when(m > 0, F.transform(d, lambda x: x / m)).otherwise(flat)
+            F.when(F.size(d) != F.lit(self.n), F.lit(None)).when(m > 0, F.transform(d, lambda x: x / m)).when(m.isNotNull(), flat)
         )))
 
     def mass(self, pdf: Column | str) -> Column:
@@ -198,30 +201,23 @@ class Grid(Bins):
         """Cumulative mass at the bin centers, as an array."""
         from tessella.functions import kernels
 
-        d = as_column(density)
-        if self.n > kernels.JVM_SCAN_BINS:
-            return kernels.grid_cdf(d, self)
-
-        def scan(m: Column) -> Column:
-            below = F.transform(m, lambda x, i: prefix_total(m, i) + (x * 0.5 if self.histogram else x))
-            return below if self.histogram else F.concat(F.array(F.lit(0.0)), below)
-
-        return let(self.masses(d), scan)
+        return kernels.grid_cdf(as_column(density), self)
 
     def bin_index(self, x: Column) -> Column:
         """The bin of a value, clipped to the grid."""
         return self.locate(x)
 
     def density_at(self, density: Column, x: Column) -> Column:
-        """The density of the value's own bin, or of the nearest center; zero off the grid."""
+        """The density of the value's own bin, or of the nearest center; zero off the grid, NULL if either is missing."""
+        missing = F.when(~scored(density, self.n, x), F.lit(None).cast("double"))
         if self.histogram:
             off = (x < F.lit(self.edges[0])) | (x > F.lit(self.edges[-1]))
-            return F.when(off, F.lit(0.0)).otherwise(at(density, self.locate(x)))
+            return missing.when(off, F.lit(0.0)).otherwise(at(density, self.locate(x)))
         c = self.centers
         mid = 0.5 * (c[1:] + c[:-1])
         near = Bins(tuple(mid)).count_le(x) if mid.size > 1 else (x >= F.lit(float(mid[0]))).cast("int")
         off = (x < F.lit(float(c[0] - 0.5 * (c[1] - c[0])))) | (x > F.lit(float(c[-1] + 0.5 * (c[-1] - c[-2]))))
-        return F.when(off, F.lit(0.0)).otherwise(at(density, near))
+        return missing.when(off, F.lit(0.0)).otherwise(at(density, near))
 
 
 def default_grid(low: float, high: float, n_bins: int = DEFAULT_N_BINS) -> Grid:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from tessella.functions import kernels
 from tessella.functions.arrays import (
-    INFINITY, as_column, at, clip, dot, int_vector, let, prefix_total, ratio, total, vector,
+    INFINITY, as_column, at, clip, dot, int_vector, let, prefix_total, ratio, scored, total, vector,
 )
 from tessella.functions.grids import Bins, Grid, constant_bins
 
@@ -28,10 +28,9 @@ def probabilities(masses: Column | str, bins: Bins) -> Column:
     wide = (bins.widths > 0).astype(float)
     if not wide.any():
         wide = np.ones(bins.n)
-    m = as_column(masses)
-    return F.aggregate(m, F.lit(0.0), lambda s, x: s + x, lambda t: (
-        F.when(t > 0, F.transform(m, lambda x: x / t)).otherwise(vector(wide / wide.sum()))
-    ))
+    return let(as_column(masses), lambda m: let(total(m), lambda t: (
+        F.when(t > 0, F.transform(m, lambda x: x / t)).when(t.isNotNull(), vector(wide / wide.sum()))
+    )))
 
 
 def _inverse_widths(bins: Bins) -> np.ndarray:
@@ -70,7 +69,8 @@ def cdf_at(p: Column | str, bins: Bins, x: Column) -> Column:
         prefix_total(p, k) + at(p, k) * _fraction_below(bins, k, x)
     ))
     return (
-        F.when(x < F.lit(bins.edges[0]), F.lit(0.0))
+        F.when(~scored(p, bins.n, x), F.lit(None).cast("double"))
+        .when(x < F.lit(bins.edges[0]), F.lit(0.0))
         .when(x >= F.lit(bins.edges[-1]), F.lit(1.0))
         .otherwise(clip(inner, 0.0, 1.0))
     )
@@ -87,11 +87,6 @@ def cdf_values(p: Column | str, bins: Bins, values) -> Column:
     keep = np.where(low | high, 0.0, 1.0)
     base = np.where(high, 1.0, 0.0)
     q = as_column(p)
-    plan = F.arrays_zip(int_vector(k).alias("k"), vector(share).alias("f"), vector(keep).alias("on"), vector(base).alias("base"))
-    if v.size <= 24 or bins.n <= kernels.JVM_SCAN_BINS:
-        return let(q, lambda a: F.transform(plan, lambda t: (
-            t["base"] + t["on"] * clip(prefix_total(a, t["k"]) + at(a, t["k"]) * t["f"], 0.0, 1.0)
-        )))
     return kernels.cdf_points(q, bins.n, k, share, keep, base)
 
 
@@ -100,9 +95,7 @@ def ppf(p: Column | str, bins: Bins, levels) -> Column:
     levels = np.atleast_1d(np.asarray(levels, dtype=float))
     if levels.ndim != 1 or (levels < 0).any() or (levels > 1).any():
         raise ValueError("levels must lie within [0, 1]")
-    if bins.n > kernels.JVM_SCAN_BINS:
-        return kernels.inverse_cdf(as_column(p), bins.array, levels)
-    return ppf_jvm(p, bins, vector(levels))
+    return kernels.inverse_cdf(as_column(p), bins.array, levels)
 
 
 def ppf_jvm(p: Column | str, bins: Bins, levels: Column) -> Column:
@@ -186,43 +179,14 @@ def atom_at(p: Column | str, bins: Bins, x: Column) -> Column:
     return total(hits)
 
 
-def _overlap(source: Bins, target: Bins):
-    """Which source buckets feed each target bucket, and what of the end ones does not belong.
-
-    Two open buckets are added around the target, so mass outside it is
-    counted by the same rule. A source point mass belongs to the bucket above
-    its edge, except that the last target bucket is closed. Returns arrays:
-    first bucket, bucket count, share to drop of the first and of the last.
-    """
-    lo, hi = np.r_[-np.inf, target.array], np.r_[target.array, np.inf]
-    a, b, widths = source.array[:-1], source.array[1:], source.widths
-    plan = []
-    for j, (low, high) in enumerate(zip(lo, hi)):
-        wide = np.clip(np.minimum(b, high) - np.maximum(a, low), 0.0, None)
-        above_low = a > low if j == target.n + 1 else a >= low
-        below_high = a <= high if j == target.n else a < high
-        share = np.where(widths > 0, np.divide(wide, widths, out=np.zeros(source.n), where=widths > 0), above_low & below_high)
-        held = np.flatnonzero(share > 0)
-        if held.size == 0:
-            plan.append((0, 0, 0.0, 0.0))
-            continue
-        first, last = held[0], held[-1]
-        plan.append((first, last - first + 1, 1.0 - share[first], 0.0 if first == last else 1.0 - share[last]))
-    return tuple(np.asarray(column) for column in zip(*plan))
-
-
 def regrid_parts(p: Column | str, source: Bins, target: Bins) -> Column:
     """Exact mass of each row below, in each of, and above the target buckets.
 
-    The buckets that meet are known before the job starts, so a row costs one
-    pass over its source masses; nothing is exploded or joined.
+    A source point mass belongs to the bucket above its edge, except that the
+    last target bucket is closed. A row costs one running sum, read at the
+    target's edges; nothing is exploded or joined.
     """
-    start, count, first, last = _overlap(source, target)
-    plan = F.arrays_zip(
-        int_vector(start).alias("s"), int_vector(count).alias("n"), vector(first).alias("f"), vector(last).alias("l"))
-    return let(as_column(p), lambda q: F.transform(plan, lambda t: F.when(t["n"] == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), total(F.slice(q, t["s"] + 1, t["n"])) - t["f"] * at(q, t["s"]) - t["l"] * at(q, t["s"] + t["n"] - 1))
-    )))
+    return kernels.regrid_parts(as_column(p), source.array, target.array)
 
 
 def regrid(p: Column | str, source: Bins, target: Bins) -> Column:
@@ -246,7 +210,7 @@ def bin_densities(p: Column | str, source: Bins, grid: Grid) -> Column:
 
 def on_grid(p: Column | str, source: Bins, grid: Grid) -> Column:
     """Densities on a grid, normalized by its convention."""
-    return grid.normalize(bin_densities(p, source, grid))
+    return kernels.on_grid(as_column(p), source.array, grid)
 
 
 def softmax(logits: Column | str, temperature: float = 1.0) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tessella.functions import histogram, kernels
-from tessella.functions.arrays import as_column, at, dot, let, ratio, vector
+from tessella.functions import kernels
+from tessella.functions.arrays import as_column, at, dot, let, vector
 from tessella.functions.grids import Grid
 
 # The estimates in reporting order, and the main peak's floor.
@@ -20,26 +20,7 @@ def mode(d: Column | str, grid: Grid) -> Column:
 
 def peak_mean(d: Column | str, grid: Grid, frac: float = PEAK_FRACTION) -> Column:
     """The mean over the contiguous run around the mode with density >= ``frac`` of it."""
-    n = grid.n
-    wm = F.arrays_zip(vector(grid.node_weights).alias("w"), vector(grid.centers).alias("c"))
-
-    def run(a: Column, top: Column) -> Column:
-        low = F.transform(a, lambda x: x < top * F.lit(frac))
-        peak = F.array_position(a, top).cast("int")
-        return let(peak, lambda k: let(low, lambda f: let(
-            # Bins to the left of the peak until the first low one, and to its right.
-            F.struct(
-                F.array_position(F.concat(F.reverse(F.slice(f, F.lit(1), k - 1)), F.array(F.lit(True))), F.lit(True)).cast("int").alias("l"),
-                F.array_position(F.concat(F.slice(f, k + 1, F.lit(n)), F.array(F.lit(True))), F.lit(True)).cast("int").alias("r"),
-            ), lambda s: weigh(a, k, k - s["l"] + 1, s["l"] + s["r"] - 1))))
-
-    def weigh(a: Column, k: Column, start: Column, count: Column) -> Column:
-        piece = F.zip_with(F.slice(a, start, count), F.slice(wm, start, count), lambda x, t: F.struct((x * t["w"]).alias("m"), t["c"].alias("c")))
-        return let(piece, lambda s: let(F.aggregate(s, F.lit(0.0), lambda t, x: t + x["m"]), lambda mass: (
-            F.when(mass > 0, ratio(F.aggregate(s, F.lit(0.0), lambda t, x: t + x["m"] * x["c"]), mass))
-            .otherwise(at(vector(grid.centers), k - 1)))))
-
-    return let(as_column(d), lambda a: let(F.array_max(a), lambda top: run(a, top)))
+    return kernels.point_estimates(as_column(d), grid, frac)["peak_mean"]
 
 
 def mean(d: Column | str, grid: Grid) -> Column:
@@ -48,9 +29,7 @@ def mean(d: Column | str, grid: Grid) -> Column:
 
 def median(d: Column | str, grid: Grid) -> Column:
     """Where the CDF reaches one half: the same inverse on edges or on centers."""
-    if grid.n > kernels.JVM_SCAN_BINS:
-        return F.element_at(kernels.inverse_cdf(as_column(d), grid.nodes.array, [0.5], grid), 1)
-    return F.element_at(histogram.ppf_jvm(grid.masses(as_column(d)), grid.nodes, vector([0.5])), 1)
+    return F.element_at(kernels.inverse_cdf(as_column(d), grid.nodes.array, [0.5], grid), 1)
 
 
 def estimate(d: Column | str, grid: Grid, method: str) -> Column:
@@ -61,8 +40,9 @@ def estimate(d: Column | str, grid: Grid, method: str) -> Column:
 
 
 def all_estimates(d: Column | str, grid: Grid) -> list[Column]:
-    """The four estimates as aliased columns."""
-    return [estimate(d, grid, m).alias(m) for m in POINT_ESTIMATORS]
+    """The four estimates as aliased columns, from one kernel call."""
+    found = kernels.point_estimates(as_column(d), grid, PEAK_FRACTION)
+    return [found[m].alias(m) for m in POINT_ESTIMATORS]
 
 
 def peaks(d: Column | str, share: float = 0.1) -> Column:

@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions import histogram, kernels
-from tessella.functions.arrays import as_column, clip, ratio, total, vector
+from tessella.functions.arrays import as_column, clip, is_finite, ratio, scored, total, vector
 from tessella.functions.grids import Bins, Grid
 
 # Score conventions.
 NLL_FLOOR = 1e-12
 SCALES = ("1+y", "none")
+INVALID = ("drop", "null", "raise")
 
 
 def pit(d: Column | str, grid: Grid, y: Column) -> Column:
@@ -22,7 +23,7 @@ def pit(d: Column | str, grid: Grid, y: Column) -> Column:
     value = histogram.cdf_at(grid.masses(as_column(d)), grid.nodes, y)
     if grid.histogram:
         return value
-    return F.when(y <= F.lit(float(grid.centers[0])), F.lit(0.0)).otherwise(value)
+    return F.when(value.isNotNull() & (y <= F.lit(float(grid.centers[0]))), F.lit(0.0)).otherwise(value)
 
 
 def cde(d: Column | str, grid: Grid, y: Column) -> Column:
@@ -39,10 +40,8 @@ def nll(d: Column | str, grid: Grid, y: Column, floor: float = NLL_FLOOR) -> Col
 
 
 def crps(d: Column | str, grid: Grid, y: Column) -> Column:
-    """The continuous ranked probability score, exact for the grid's piecewise-linear CDF."""
-    if grid.n > kernels.JVM_SCAN_BINS:
-        return kernels.crps(as_column(d), y, grid)
-    return crps_jvm(grid.masses(as_column(d)), y, grid.nodes)
+    """The continuous ranked probability score, exact for the grid's piecewise-linear CDF; NULL if either is missing."""
+    return kernels.crps(as_column(d), y, grid)
 
 
 def crps_jvm(masses: Column, y: Column, nodes: Bins) -> Column:
@@ -64,33 +63,47 @@ def crps_jvm(masses: Column, y: Column, nodes: Bins) -> Column:
 
     first, last = F.lit(nodes.edges[0]), F.lit(nodes.edges[-1])
     beyond = F.greatest(first - y, F.lit(0.0)) + F.greatest(y - last, F.lit(0.0))
-    return F.aggregate(pieces, begin, step, lambda s: s["s"]) + beyond
+    return F.when(is_finite(y), F.aggregate(pieces, begin, step, lambda s: s["s"]) + beyond)
 
 
-def object_scores(df: DataFrame, density: str, y: str, grid: Grid, point: str | None = None) -> DataFrame:
+def problems(df: DataFrame, density: str, y: str, grid: Grid) -> DataFrame:
+    """One row: n, and how many rows lack a truth, lack a density, or have one of another length than the grid."""
+    d = F.col(density)
+    return df.agg(
+        F.count("*").alias("n"), F.count_if(~is_finite(F.col(y).cast("double"))).alias("missing_truth"),
+        F.count_if(d.isNull()).alias("missing_density"), F.count_if(F.coalesce(F.size(d) != F.lit(grid.n), F.lit(False)) & d.isNotNull()).alias("wrong_length"))
+
+
+def object_scores(df: DataFrame, density: str, y: str, grid: Grid, point: str | None = None, *, invalid: str = "drop") -> DataFrame:
     """Adds ``cde, pit, crps, nll`` (and ``y_pred``) from one normalization.
 
-    The result without its density column is the compact table that
+    A row without a finite truth, without a density, or with a density of
+    another length than the grid cannot be scored: it is dropped
+    (:func:`problems` counts such rows), or kept with NULL scores
+    (``invalid="null"``), or ends the job (``"raise"``). The result without
+    its density column is the compact table that
     :func:`tessella.operators.metrics.summarize` aggregates.
     """
     from tessella.functions import points
 
+    if invalid not in INVALID:
+        raise ValueError(f"invalid must be one of {INVALID}, got {invalid!r}")
     t = F.col(y)
-    if grid.n > kernels.JVM_SCAN_BINS and point in (None, "mean", "mode"):
-        # One pass over the batch instead of one per score; F.col pins the density as a column.
-        out = df.withColumn("_s", kernels.object_scores(F.col(density), t.cast("double"), grid, NLL_FLOOR))
-        found = {n: F.col(f"_s.{n}") for n in ("cde", "pit", "crps", "nll")}
-        if point is not None:
-            found["y_pred"] = F.col(f"_s.{point}")
-        return out.withColumns(found).drop("_s")
-    out = df.withColumn("_d", grid.normalize(density))
-    out = out.withColumns({
-        "cde": cde("_d", grid, t), "pit": pit("_d", grid, t),
-        "crps": crps("_d", grid, t), "nll": nll("_d", grid, t),
-    })
-    if point is not None:
-        out = out.withColumn("y_pred", points.estimate("_d", grid, point))
-    return out.drop("_d")
+    fits = scored(F.col(density), grid.n, t.cast("double"))
+    if invalid == "drop":
+        df = df.where(fits)
+    elif invalid == "raise":
+        df = df.where(F.coalesce(F.when(~fits, F.raise_error(F.lit("a row has no finite truth or no density of the grid's length"))).cast("boolean"), F.lit(True)))
+    # One pass over the batch instead of one per score; F.col pins the density as a column.
+    out = df.withColumn("_s", kernels.object_scores(F.col(density), t.cast("double"), grid, NLL_FLOOR))
+    found = {n: F.col(f"_s.{n}") for n in ("cde", "pit", "crps", "nll")}
+    if point in ("mean", "mode"):
+        found["y_pred"] = F.col(f"_s.{point}")
+    out = out.withColumns(found).drop("_s")
+    if point in (None, "mean", "mode"):
+        return out
+    out = out.withColumn("_d", grid.normalize(density))
+    return out.withColumn("y_pred", F.when(fits, points.estimate("_d", grid, point))).drop("_d")
 
 
 def residual(y: Column, prediction: Column, scale: str = "none") -> Column:
@@ -107,9 +120,3 @@ def pinball(y: Column, quantiles: Column | str, levels) -> Column:
         raise ValueError("levels must lie within [0, 1]")
     terms = F.zip_with(as_column(quantiles), vector(levels), lambda q, t: F.greatest(t * (y - q), (t - 1.0) * (y - q)))
     return total(terms) / F.lit(float(levels.size))
-
-
-def log_density(masses: Column, grid: Grid, floor: float) -> Column:
-    return F.zip_with(masses, vector(grid.widths), lambda m, w: F.ln(m / w + F.lit(floor)))
-
-

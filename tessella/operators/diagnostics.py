@@ -128,15 +128,10 @@ def coverage_curve(df: DataFrame, pit: str = "pit", n_levels: int = 101, by: Seq
 def stacked_density(df: DataFrame, density: str, grid: Grid, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the normalized densities per bin: ``(bin, lo, hi, density)``, averaged map-side.
 
-    The bins are plain aggregates of one pass while they are few; wide grids
-    are exploded and combined per bin.
+    A bin is summed map-side, so what moves is a row per bin and task.
     """
     rows = df.withColumn("_d", grid.normalize(density))
-    if grid.n <= 100:
-        one = rows.groupBy(*by).agg(*[F.avg(F.col("_d")[i]).alias(f"_{i}") for i in range(grid.n)])
-        means = one.select(*by, F.posexplode(F.array(*[F.col(f"_{i}") for i in range(grid.n)])).alias("bin", "density"))
-    else:
-        means = rows.select(*by, F.posexplode("_d").alias("bin", "v")).groupBy(*by, "bin").agg(F.avg("v").alias("density"))
+    means = rows.select(*by, F.posexplode("_d").alias("bin", "v")).groupBy(*by, "bin").agg(F.avg("v").alias("density"))
     dim = grid.table(df.sparkSession).select("bin", "lo", "hi")
     return means.join(F.broadcast(dim), "bin").select(*by, "bin", "lo", "hi", "density")
 

@@ -8,10 +8,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, functions as F
 
-from tessella.functions import histogram as H, quantile as Q
-from tessella.functions.arrays import clip, let, vector, weighted_sum
+from tessella.functions import histogram as H, kernels, quantile as Q
+from tessella.functions.arrays import clip, weighted_sum
 from tessella.functions.grids import Bins, Grid
-from tessella.functions.scores import log_density
 
 # The pools' conventions.
 POOL_PADDING = 0.25
@@ -43,15 +42,13 @@ def _weights(n: int, weights: Sequence[float] | None) -> np.ndarray:
 
 def linear(members: Sequence[Column], grid: Grid, weights: Sequence[float] | None = None) -> Column:
     """The weighted mean of the masses. ``members`` are masses already on ``grid``."""
-    return weighted_sum(list(members), _weights(len(members), weights))
+    return kernels.linear_pool(list(members), _weights(len(members), weights), grid.n)
 
 
 def geometric(members: Sequence[Column], grid: Grid, weights: Sequence[float] | None = None) -> Column:
     """The weighted mean of floored log densities, exponentiated: agreement counts, tails shrink."""
     floor = LOG_FLOOR / (grid.edges[-1] - grid.edges[0])
-    logs = weighted_sum([log_density(m, grid, floor) for m in members], _weights(len(members), weights))
-    return let(logs, lambda l: let(F.array_max(l), lambda top: F.zip_with(
-        l, vector(grid.widths), lambda x, w: F.exp(x - top) * w)))
+    return kernels.geometric_pool(list(members), _weights(len(members), weights), grid.widths, floor)
 
 
 def member_quantiles(p: Column | str, bins: Bins, grid: Grid) -> Column:
