@@ -29,17 +29,16 @@ def upper_to_lower(text: Column) -> Column:
 
 
 def worker_memo(key: str, build: Callable[[], object]) -> object:
-    """A value kept by this Python worker between tasks.
+    """A value kept by this Python worker between tasks: the last one only, so stages do not pile up in it.
 
     Functions pickled by value get new globals in every task, so the store
     hangs on a module of its own. ``key`` must name the content.
     """
     store = sys.modules.setdefault("_tessella_worker_memo", types.ModuleType("_tessella_worker_memo")).__dict__
-    if key not in store:
-        for old in [k for k in store if k.split(":")[0] == key.split(":")[0]]:
-            del store[old]
-        store[key] = build()
-    return store[key]
+    if store.get("key") != key:
+        store["key"] = store["value"] = None
+        store["value"], store["key"] = build(), key
+    return store["value"]
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
