@@ -151,7 +151,11 @@ def crps(density: Column, y: Column, grid) -> Column:
 
 
 def object_scores(pdf: Column, y: Column, grid, floor: float) -> Column:
-    """``struct<cde, pit, crps, nll, mean, mode>`` of raw densities from one normalization per batch."""
+    """``struct<cde, pit, crps, nll, mean, mode>`` of raw densities from one normalization per batch; NULL fields where a row cannot be scored.
+
+    Marked nondeterministic, so that a filter on its result is not pushed
+    below it, where it would be evaluated a second time.
+    """
     nodes, masses, width, weights = grid.nodes.array, _masses(grid), grid.n, grid.node_weights
     centers, edges, histogram = grid.centers, grid.array, grid.histogram
     names = ("cde", "pit", "crps", "nll", "mean", "mode")
@@ -181,7 +185,7 @@ def object_scores(pdf: Column, y: Column, grid, floor: float) -> Column:
                (d * (weights * centers)).sum(axis=1), centers[np.argmax(d, axis=1)])
         return pa.StructArray.from_arrays([_values(x, both) for x in out], names=list(names))
 
-    return score(pdf, y, F.size(pdf))
+    return score.asNondeterministic()(pdf, y, F.size(pdf))
 
 
 def knot_masses(knots: Column, levels: np.ndarray, edges: np.ndarray) -> Column:

@@ -88,14 +88,14 @@ def object_scores(df: DataFrame, density: str, y: str, grid: Grid, point: str |
 
     if invalid not in INVALID:
         raise ValueError(f"invalid must be one of {INVALID}, got {invalid!r}")
-    t = F.col(y)
-    fits = scored(F.col(density), grid.n, t.cast("double"))
+    t = F.col(y).cast("double")
+    # One pass over the batch instead of one per score; F.col pins the density as a column.
+    out = df.withColumn("_s", kernels.object_scores(F.col(density), t, grid, NLL_FLOOR))
+    fits = F.col("_s.cde").isNotNull()
     if invalid == "drop":
-        df = df.where(fits)
+        out = out.where(fits)
     elif invalid == "raise":
-        df = df.where(F.coalesce(F.when(~fits, F.raise_error(F.lit("a row has no finite truth or no density of the grid's length"))).cast("boolean"), F.lit(True)))
-    # One pass over the batch instead of one per score; F.col pins the density as a column.
-    out = df.withColumn("_s", kernels.object_scores(F.col(density), t.cast("double"), grid, NLL_FLOOR))
+        out = out.where(F.when(fits, True).otherwise(F.raise_error(F.lit("a row has no finite truth or no density of the grid's length")).cast("boolean")))
     found = {n: F.col(f"_s.{n}") for n in ("cde", "pit", "crps", "nll")}
     if point in ("mean", "mode"):
         found["y_pred"] = F.col(f"_s.{point}")
@@ -103,7 +103,7 @@ def object_scores(df: DataFrame, density: str, y: str, grid: Grid, point: str |
     if point in (None, "mean", "mode"):
         return out
     out = out.withColumn("_d", grid.normalize(density))
-    return out.withColumn("y_pred", F.when(fits, points.estimate("_d", grid, point))).drop("_d")
+    return out.withColumn("y_pred", F.when(F.col("cde").isNotNull(), points.estimate("_d", grid, point))).drop("_d")
 
 
 def residual(y: Column, prediction: Column, scale: str = "none") -> Column:

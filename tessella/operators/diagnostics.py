@@ -11,7 +11,7 @@ from tessella.functions.arrays import is_finite, let, ratio, total, vector
 from tessella.functions.grids import Bins, Grid, target_range
 from tessella.functions.uniform import hash_uniform
 from tessella.operators.metrics import finite_pairs, pit_bin
-from tessella.operators.ranks import SMALL_ROWS, exact_quantiles, running_counts
+from tessella.operators.ranks import exact_quantiles, running_counts
 
 # Fixed values.
 TAIL_MASS = 0.001
@@ -35,11 +35,11 @@ def histogram_2d(df: DataFrame, y: str, prediction: str, n_bins: int, limits: tu
     return cells.where("ix is not null and iy is not null").groupBy("ix", "iy").agg(F.count("*").alias("n"))
 
 
-def bin_edges(df: DataFrame, x: str, n_bins: int, equal_count: bool, *, small_rows: int = SMALL_ROWS) -> Bins:
+def bin_edges(df: DataFrame, x: str, n_bins: int, equal_count: bool) -> Bins:
     """Distinct equal-count or equal-width edges of a column."""
     if equal_count:
         levels = np.linspace(0.0, 1.0, n_bins + 1).tolist()
-        row = exact_quantiles(df, x, levels, small_rows=small_rows).first()
+        row = exact_quantiles(df, x, levels).first()
         edges = np.unique(row["q"])
     else:
         edges = np.unique(np.linspace(*target_range(df, x), n_bins + 1))
@@ -48,7 +48,7 @@ def bin_edges(df: DataFrame, x: str, n_bins: int, equal_count: bool, *, small_ro
 
 def binned_quantiles(
     df: DataFrame, x: str, y: str, n_bins: int = 10, *, equal_count: bool = True, edges: Sequence[float] | None = None,
-    levels: Sequence[float] = (0.25, 0.5, 0.75), small_rows: int = SMALL_ROWS,
+    levels: Sequence[float] = (0.25, 0.5, 0.75),
 ) -> DataFrame:
     """Quantiles of ``y`` in bins of ``x``: ``(bin, lo, hi, n, q)``; an empty bin has NaN quantiles."""
     good = finite_pairs(df.select(x, y), x, y)
@@ -59,9 +59,9 @@ def binned_quantiles(
         bins = Bins(tuple(distinct))
         good = good.where(F.col(x).between(bins.edges[0], bins.edges[-1]))
     else:
-        bins = bin_edges(good, x, n_bins, equal_count, small_rows=small_rows)
+        bins = bin_edges(good, x, n_bins, equal_count)
     placed = good.select(bins.locate(F.col(x)).alias("bin"), F.col(y).alias("_y"))
-    found = exact_quantiles(placed, "_y", list(levels), ["bin"], small_rows=small_rows)
+    found = exact_quantiles(placed, "_y", list(levels), ["bin"])
     empty = vector(np.full(len(levels), np.nan))
     return bins.table(df.sparkSession).join(found, "bin", "left").select(
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("q", empty).alias("q"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.arrays import is_finite
 from tessella.functions.scores import residual
-from tessella.operators.ranks import SMALL_ROWS, exact_quantiles, running_counts
+from tessella.operators.ranks import Sketch, exact_quantiles, join_groups, running_counts, sketch
 from tessella.session import materialize
 
 # The statistics' conventions.
@@ -38,22 +38,25 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 def point_metrics(
     df: DataFrame, y: str, prediction: str, by: Sequence[str] = (), scale: str = "none", *,
-    small_rows: int = SMALL_ROWS, written: bool = False,
+    written: bool = False, known: Sketch | None = None,
 ) -> DataFrame:
     """Bias, robust scatter and outlier rates of point estimates, one row per group.
 
     The residuals are read several times, so they are written down first
-    unless the table already is (``written``).
+    unless the table already is (``written``). ``known`` is a sketch of the
+    columns ``e`` (residual) and ``a`` (its size), if there is one.
     """
     df, keys = _grouped(df, by)
     e = df.select(*keys, residual(F.col(y), F.col(prediction), scale).alias("e"))
     e = (e if written else materialize(e)).withColumn("a", F.abs("e"))
-    quart = exact_quantiles(e, "e", [0.25, 0.5, 0.75], keys, small_rows=small_rows)
+    known = sketch(e, ["e", "a"], keys) if known is None else known
+    quart = exact_quantiles(e, "e", [0.25, 0.5, 0.75], keys, cuts=known.cuts["e"])
     quart = quart.select(*keys, "n", F.col("q")[1].alias("bias"), ((F.col("q")[2] - F.col("q")[0]) / IQR_SCALE).alias("sigma_iqr"))
-    quart = quart.withColumn("outlier_threshold", F.greatest(F.lit(OUTLIER_FLOOR), F.lit(3.0) * F.col("sigma_iqr")))
-    centered = e.join(quart.select(*keys, "bias", "outlier_threshold"), keys).withColumn("m", F.abs(F.col("e") - F.col("bias")))
-    spread = exact_quantiles(centered, "m", [0.5], keys, small_rows=small_rows).select(*keys, (F.col("q")[0] * MAD_SCALE).alias("sigma_mad"))
-    middle = exact_quantiles(e, "a", [0.5], keys, small_rows=small_rows).select(*keys, F.col("q")[0].alias("median_abs_error"))
+    # A row per group, read by three branches.
+    quart = materialize(quart.withColumn("outlier_threshold", F.greatest(F.lit(OUTLIER_FLOOR), F.lit(3.0) * F.col("sigma_iqr"))))
+    centered = join_groups(e, quart.select(*keys, "bias", "outlier_threshold"), keys, known.groups).withColumn("m", F.abs(F.col("e") - F.col("bias")))
+    spread = exact_quantiles(centered, "m", [0.5], keys, cuts=known.cuts["a"]).select(*keys, (F.col("q")[0] * MAD_SCALE).alias("sigma_mad"))
+    middle = exact_quantiles(e, "a", [0.5], keys, cuts=known.cuts["a"]).select(*keys, F.col("q")[0].alias("median_abs_error"))
     rates = centered.groupBy(*keys).agg(
         F.avg((F.col("a") > F.col("outlier_threshold")).cast("double")).alias("outlier_rate"),
         F.avg((F.col("a") > FIXED_OUTLIER).cast("double")).alias("outlier_rate_015"))
@@ -66,12 +69,24 @@ def _block(a: Column, c: Column) -> Column:
     return c * (F.lit(2.0) * a + c)
 
 
-def _anderson_darling(u: Column, a: Column, c: Column, n: Column, inside: Column, low: float, high: float) -> Column:
-    """The row's part of ``sum (2i-1) ln v + (2n+1-2i) ln(1-v)`` on the values inside the cut."""
+def _anderson_darling(u: Column, a: Column, c: Column, low: float, high: float, name: str) -> list[Column]:
+    """Sums from which :func:`_ad_statistic` makes ``sum (2i-1) ln v + (2n+1-2i) ln(1-v)`` over the values inside the cut.
+
+    ``a`` counts from the group's start; the values below the cut are taken
+    off the ranks afterwards, so no second pass is needed.
+    """
     v = F.least(F.greatest((u - low) / (high - low), F.lit(1e-15)), F.lit(1.0 - 1e-15))
-    odd = _block(a, c)
-    term = odd * F.ln(v) + (F.lit(2.0) * n * c - odd) * F.log1p(-v)
-    return F.sum(F.when(inside, term))
+    inside = (u > low) & (u < high)
+    tilt = F.ln(v) - F.log1p(-v)
+    return [F.sum(F.when(inside, _block(a, c) * tilt)).alias(f"{name}_ranked"), F.sum(F.when(inside, c * tilt)).alias(f"{name}_tilt"),
+            F.sum(F.when(inside, c * F.log1p(-v))).alias(f"{name}_above"), F.sum(F.when(inside, c).otherwise(0.0)).alias(f"{name}_n"),
+            F.sum(F.when(u <= low, c).otherwise(0.0)).alias(f"{name}_skip")]
+
+
+def _ad_statistic(name: str) -> Column:
+    n, skip = F.col(f"{name}_n"), F.col(f"{name}_skip")
+    total = F.col(f"{name}_ranked") - 2.0 * skip * F.col(f"{name}_tilt") + 2.0 * n * F.col(f"{name}_above")
+    return F.when(n > 0, -n - F.try_divide(total, n)).otherwise(F.lit(float("nan")))
 
 
 def ks_pvalue(d: Column, n: Column) -> Column:
@@ -93,19 +108,13 @@ def ks_pvalue(d: Column, n: Column) -> Column:
 
 
 def pit_statistics(
-    df: DataFrame, pit: str = "pit", by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS, written: bool = False,
+    df: DataFrame, pit: str = "pit", by: Sequence[str] = (), *, written: bool = False, cuts: list[float] | None = None,
 ) -> DataFrame:
     """Uniformity of the PIT values several ways, from one ordered table of distinct values."""
     df, keys = _grouped(df, by)
     values = df.select(*keys, F.col(pit).alias("u"))
-    ranked = running_counts(values if written else materialize(values), "u", keys, small_rows=small_rows)
+    ranked = running_counts(values if written else materialize(values), "u", keys, cuts=cuts)
     u, a, c, n = F.col("u"), F.col("before").cast("double"), F.col("c").cast("double"), F.col("n").cast("double")
-    below = ranked.groupBy(*keys).agg(*[
-        agg for i, (low, high) in enumerate(AD_CUTS, 1) for agg in (
-            F.sum(F.when(u <= low, F.col("c")).otherwise(0)).cast("double").alias(f"_skip{i}"),
-            F.sum(F.when((u > low) & (u < high), F.col("c")).otherwise(0)).cast("double").alias(f"_n{i}"))
-    ])
-    ranked = ranked.join(below, keys)
     middle = (a + c / 2.0) / n
     square = c * (middle - u) * (middle - u) + c * (c * c - 1.0) / (12.0 * n * n)
     sums = [
@@ -115,19 +124,15 @@ def pit_statistics(
         F.sum(F.when((u < PIT_EXTREME) | (u > 1.0 - PIT_EXTREME), c).otherwise(0.0)).alias("_extreme"),
     ]
     for i, (low, high) in enumerate(AD_CUTS, 1):
-        inside = (u > low) & (u < high)
-        sums += [_anderson_darling(u, a - F.col(f"_skip{i}"), c, F.col(f"_n{i}"), inside, low, high).alias(f"_ad{i}"),
-                 F.max(f"_n{i}").alias(f"_m{i}")]
+        sums += _anderson_darling(u, a, c, low, high, f"_ad{i}")
     bins = [F.sum(F.when(pit_bin(u, KL_BINS) == b, c).otherwise(0.0)).alias(f"_h{b}") for b in range(KL_BINS)]
     out = ranked.groupBy(*keys).agg(*sums, *bins)
     share = [F.col(f"_h{b}") / F.col("n") for b in range(KL_BINS)]
     kl = sum((F.when(s > 0, s * F.ln(s * KL_BINS)).otherwise(F.lit(0.0)) for s in share), F.lit(0.0))
-    ad = {f"pit_ad{i}": F.when(F.col(f"_m{i}") > 0, -F.col(f"_m{i}") - F.col(f"_ad{i}") / F.col(f"_m{i}"))
-          .otherwise(F.lit(float("nan"))) for i in (1, 2)}
     return out.select(
         *by, "n", "pit_ks", ks_pvalue(F.col("pit_ks"), F.col("n").cast("double")).alias("pit_ks_pvalue"),
         (F.col("_ss") + F.lit(1.0) / (F.lit(12.0) * F.col("n"))).alias("pit_cvm"),
-        ad["pit_ad1"].alias("pit_ad1"), ad["pit_ad2"].alias("pit_ad2"),
+        *[_ad_statistic(f"_ad{i}").alias(f"pit_ad{i}") for i in (1, 2)],
         F.sqrt(F.col("_ss") / F.col("n")).alias("pit_rmse"), kl.alias("pit_kl"),
         (F.col("_extreme") / F.col("n")).alias("pit_outlier_rate"))
 
@@ -137,17 +142,12 @@ def pit_bin(u: Column, n_bins: int) -> Column:
     return F.least(F.floor(u * n_bins), F.lit(n_bins - 1)).cast("int")
 
 
-def anderson_darling(df: DataFrame, pit: str, low: float, high: float, by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS) -> DataFrame:
+def anderson_darling(df: DataFrame, pit: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
     """The statistic of the values strictly inside (low, high); NaN when there is none."""
     df, keys = _grouped(df, by)
-    groups = df.select(*keys).distinct()
-    kept = df.where((F.col(pit) > low) & (F.col(pit) < high)).select(*keys, F.col(pit).alias("u"))
-    ranked = running_counts(kept, "u", keys, small_rows=small_rows)
-    a, c, n = F.col("before").cast("double"), F.col("c").cast("double"), F.col("n").cast("double")
-    stat = ranked.groupBy(*keys).agg(
-        F.max("n").cast("double").alias("_n"), _anderson_darling(F.col("u"), a, c, n, F.lit(True), low, high).alias("_s"))
-    return groups.join(stat, keys, "left").select(
-        *by, F.coalesce(-F.col("_n") - F.col("_s") / F.col("_n"), F.lit(float("nan"))).alias("ad"))
+    ranked = running_counts(df.select(*keys, F.col(pit).alias("u")), "u", keys)
+    a, c = F.col("before").cast("double"), F.col("c").cast("double")
+    return ranked.groupBy(*keys).agg(*_anderson_darling(F.col("u"), a, c, low, high, "_ad")).select(*by, _ad_statistic("_ad").alias("ad"))
 
 
 def mean_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -158,26 +158,30 @@ def mean_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def pdf_metrics(
-    scores: DataFrame, by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS, written: bool = False,
+    scores: DataFrame, by: Sequence[str] = (), *, written: bool = False, cuts: list[float] | None = None,
 ) -> DataFrame:
     """CDE loss, PIT statistics, CRPS and NLL per group."""
     scores = scores.select(*by, *[c for c in ("cde", "pit", "crps", "nll") if c in scores.columns])
     df, keys = _grouped(scores if written else materialize(scores), by)
-    stats = pit_statistics(df, "pit", keys, small_rows=small_rows, written=True)
+    stats = pit_statistics(df, "pit", keys, written=True, cuts=cuts)
     return stats.join(mean_scores(df, keys), keys).select(*by, "n", "cde_loss", *SUMMARY_COLUMNS[9:17], "crps", "nll")
 
 
 def summarize(
     scores: DataFrame, y: str = "y", prediction: str = "y_pred", by: Sequence[str] = (), *,
-    point: str = "mode", scale: str = "none", label: str | None = None, small_rows: int = SMALL_ROWS,
+    point: str = "mode", scale: str = "none", label: str | None = None,
 ) -> DataFrame:
     """The one-row-per-group report of a score table, columns in the fixed order.
 
-    The score table is written down once: four aggregates read it.
+    The score table is written down once, sketched in one pass, and read by
+    the aggregates; the quartiles are the only other job before the result is
+    asked for.
     """
     df, keys = _grouped(materialize(scores), by)
-    left = point_metrics(df, y, prediction, keys, scale, small_rows=small_rows, written=True)
-    right = pdf_metrics(df, keys, small_rows=small_rows, written=True).drop("n")
+    e = residual(F.col(y), F.col(prediction), scale)
+    known = sketch(df.withColumns({"e": e, "a": F.abs(e)}), ["e", "a", "pit"], keys)
+    left = point_metrics(df, y, prediction, keys, scale, written=True, known=known)
+    right = pdf_metrics(df, keys, written=True, cuts=known.cuts["pit"]).drop("n")
     lead = [] if label is None else [F.lit(label).alias("model")]
     return left.join(right, keys).select(
         *lead, *by, F.lit(point).alias("point_estimate"), F.lit(scale).alias("scale"), *SUMMARY_COLUMNS)

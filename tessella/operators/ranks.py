@@ -1,16 +1,16 @@
 """Order statistics over tables of any size.
 
 Nothing here sorts a whole group in one task. A first pass counts the rows
-and sketches where values lie; the sketch's cut points (a bounded list) split
-the value axis, per-interval counts give every interval's offset, and only
-rows of one interval are ever ordered together. Equal values are counted
-before they are shuffled, so a value that repeats costs one row.
-
-A table below :data:`SMALL_ROWS` takes the direct aggregate instead.
+and sketches where values lie; the sketch's cut points (four per shuffle
+partition) split the value axis, per-interval counts give every interval's
+offset, and only rows of one interval are ever ordered together. Equal values
+are counted before they are shuffled, so a value that repeats costs one row.
+Small and large tables take the same way.
 """
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,22 +20,46 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessella.functions.uniform import hash_uniform
 from tessella.session import materialize
 
-# A table with fewer rows than this is ordered directly; more go by intervals.
-SMALL_ROWS = 1 << 18
-# Most cut points a sketch returns to the driver.
-MAX_INTERVALS = 8192
+# Groups up to which a table of one row per group is broadcast, and the salts of a join beyond.
+BROADCAST_GROUPS = 100_000
+SALTS = 32
+
+
+@dataclasses.dataclass(frozen=True)
+class Sketch:
+    """What one pass tells of a table: rows, groups (about), and cut points per column."""
+
+    n: int
+    groups: int
+    cuts: dict[str, list[float]]
 
 
-def _cut_points(df: DataFrame, value: str, small_rows: int) -> tuple[int, list[float]]:
-    """Row count and, for a large table, distinct cut points of the value axis."""
-    n = df.count()
-    if n <= small_rows:
-        return n, []
-    parallel = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    k = max(16, min(MAX_INTERVALS, parallel, n // 4))
+def _intervals(df: DataFrame) -> int:
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sketch(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> Sketch:
+    """Row count, number of groups and distinct cut points of several columns, from one pass."""
+    k = _intervals(df)
     levels = [i / k for i in range(1, k)]
-    found = df.agg(F.percentile_approx(value, levels, 4 * k).alias("c")).first()["c"]
-    return n, sorted(set(found))
+    finite = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+    row = df.agg(
+        F.count("*").alias("n"), (F.approx_count_distinct(F.struct(*by), 0.02) if by else F.lit(1)).alias("g"),
+        *[F.percentile_approx(finite(v), levels, 4 * k).alias(f"c{i}") for i, v in enumerate(values)]).first()
+    return Sketch(row["n"], row["g"], {v: sorted(set(row[f"c{i}"] or [])) for i, v in enumerate(values)})
+
+
+def join_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], groups: int) -> DataFrame:
+    """Each row with its group's row. ``groups`` is their number, as counted.
+
+    Few groups are broadcast. Many are joined under salts, so a group that
+    holds a large part of the rows is spread over tasks.
+    """
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(per_group), list(keys))
+    salted = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
+    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def _with_interval(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
@@ -48,21 +72,18 @@ def _with_interval(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = (), *,
-    small_rows: int = SMALL_ROWS,
+    df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = (), *, cuts: list[float] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``(*by, n, q array<double>)``.
 
-    Large tables are read twice (sketch, counts) and then only the intervals
-    that hold a wanted rank are shuffled.
+    The table is read twice (sketch, counts) and then only the intervals that
+    hold a wanted rank are shuffled. ``cuts`` from an earlier :func:`sketch`
+    save the first pass; they balance the work and do not change the result.
     """
     by = list(by)
     levels = [float(x) for x in levels]
     df = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    _, cuts = _cut_points(df, "_v", small_rows)
-    if not cuts:
-        return df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", F.lit(np.asarray(levels))).alias("q"))
-
+    cuts = sketch(df, ["_v"]).cuts["_v"] if cuts is None else cuts
     rows = _with_interval(df, "_v", cuts)
     counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*by).orderBy("_b")
@@ -76,9 +97,6 @@ def exact_quantiles(
     ])
     hit = F.filter(wanted, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_end")))
     targets = before.select(*by, "_b", "_start", "n", F.array_distinct(F.transform(hit, lambda t: t["rank"])).alias("_ranks")).where(F.size("_ranks") > 0)
-    # A few rows per group: written down, so that the second read of the table starts from a fixed plan.
-    targets = materialize(targets)
-
     # Only these intervals' rows move, and equal values move as one.
     found = rows.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c")).join(targets, [*by, "_b"])
     inside = Window.partitionBy(*by, "_b").orderBy("_v")
@@ -96,7 +114,7 @@ def exact_quantiles(
 
 
 def running_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), *, small_rows: int = SMALL_ROWS,
+    df: DataFrame, value: str, by: Sequence[str] = (), *, cuts: list[float] | None = None,
 ) -> DataFrame:
     """Each distinct value with its count and the rows before it: ``(*by, value, c, before, n)``.
 
@@ -106,19 +124,13 @@ def running_counts(
     """
     by = list(by)
     df = df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
-    _, cuts = _cut_points(df, value, small_rows)
+    cuts = sketch(df, [value]).cuts[value] if cuts is None else cuts
     ties = _with_interval(df.groupBy(*by, value).agg(F.count("*").alias("c")), value, cuts)
-    if not cuts:
-        group = Window.partitionBy(*by, "_b")
-        return ties.select(
-            *by, value, "c",
-            (F.sum("c").over(group.orderBy(value)) - F.col("c")).alias("before"), F.sum("c").over(group).alias("n"))
     counts = _with_interval(df, value, cuts).groupBy(*by, "_b").agg(F.count("*").alias("_c"))
     offsets = counts.select(
         *by, "_b",
         (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_start"),
         F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
-    offsets = materialize(offsets)  # one row per group and interval
     inside = Window.partitionBy(*by, "_b").orderBy(value)
     return ties.join(offsets, [*by, "_b"]).select(
         *by, value, "c", (F.col("_start") + F.sum("c").over(inside) - F.col("c")).alias("before"), "n")
@@ -126,7 +138,7 @@ def running_counts(
 
 def _hash_intervals(df: DataFrame) -> int:
     """Intervals for a hash order: its values are uniform, so equal widths balance."""
-    return max(64, min(MAX_INTERVALS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(64, _intervals(df))
 
 
 def hash_ranks(df: DataFrame, seed, id_col: str, by: Sequence[str] = (), rank: str = "rank") -> DataFrame:

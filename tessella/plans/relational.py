@@ -85,7 +85,7 @@ def a1(spark, sf):
 @query("a1_percentile_by_intervals", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY ALL")
 def a1_large(spark, sf):
     """The large-table path on the same data: cut points, counts, then only the intervals that matter."""
-    out = RK.exact_quantiles(I.table(spark, sf, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag"], small_rows=0)
+    out = RK.exact_quantiles(I.table(spark, sf, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag"])
     return out.select(F.col("l_returnflag").alias("flag"), *[r(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
 
 
@@ -155,14 +155,14 @@ RANK_SQL = "SELECT price, before, c, n FROM (SELECT o_totalprice AS price, count
 @query("t1_global_ranks", RANK_SQL.replace("before, c, n", "CAST(before AS BIGINT) AS before, c, CAST(n AS BIGINT) AS n"))
 def t1(spark, sf):
     """Ranks of a whole column, by intervals."""
-    return RK.running_counts(I.table(spark, sf, "orders").select(F.col("o_totalprice").alias("price")), "price", small_rows=0)
+    return RK.running_counts(I.table(spark, sf, "orders").select(F.col("o_totalprice").alias("price")), "price")
 
 
 @query("t1_ranks_by_group", """SELECT flag, value, CAST(before AS BIGINT) AS before, c, CAST(n AS BIGINT) AS n FROM (SELECT l_returnflag AS flag, l_quantity AS value, count(*) AS c,
 sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - count(*) AS before, sum(count(*)) OVER (PARTITION BY l_returnflag) AS n FROM lineitem GROUP BY 1, 2)""")
 def t1_groups(spark, sf):
     li = I.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("value"))
-    return RK.running_counts(li, "value", ["flag"], small_rows=0)
+    return RK.running_counts(li, "value", ["flag"])
 
 
 @query("t1_hash_ranks", f"SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {I.uniform_sql('5', 'o_orderkey')}, o_orderkey) AS rank FROM orders")

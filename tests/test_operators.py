@@ -37,16 +37,16 @@ def test_quantiles_by_intervals_are_exact(spark):
     g[:1500] = 0
     df = values(spark, x, g=g)
     levels = [0.0, 0.013, 0.25, 0.5, 0.731, 0.999, 1.0]
-    for row in RK.exact_quantiles(df, "x", levels, ["g"], small_rows=0).collect():
+    for row in RK.exact_quantiles(df, "x", levels, ["g"]).collect():
         np.testing.assert_allclose(row["q"], np.percentile(x[g == row["g"]], np.array(levels) * 100), rtol=1e-12)
         assert row["n"] == (g == row["g"]).sum()
-    both = [RK.exact_quantiles(df, "x", levels, small_rows=s).first()["q"] for s in (0, 10**6)]
+    both = [RK.exact_quantiles(df, "x", levels, cuts=c).first()["q"] for c in (None, [])]
     np.testing.assert_allclose(both[0], both[1], rtol=1e-12)
 
 
 def test_running_counts_by_intervals(spark):
     x = skewed(2000, 3)
-    out = RK.running_counts(values(spark, x), "x", small_rows=0).toPandas().sort_values("x")
+    out = RK.running_counts(values(spark, x), "x").toPandas().sort_values("x")
     v, c = np.unique(x, return_counts=True)
     np.testing.assert_array_equal(out.x, v)
     np.testing.assert_array_equal(out.c, c)
@@ -85,11 +85,10 @@ def pit_reference(u):
     return out
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_pit_statistics(spark, small_rows):
+def test_pit_statistics(spark):
     rng = np.random.default_rng(2)
     u = np.concatenate([rng.beta(1.2, 0.9, 1500), np.zeros(40), np.ones(30), np.full(300, 0.5)])
-    got = M.pit_statistics(values(spark, u, "pit"), small_rows=small_rows).first()
+    got = M.pit_statistics(values(spark, u, "pit")).first()
     for name, want in pit_reference(u).items():
         assert got[name] == pytest.approx(want, rel=1e-9), name
     assert got["pit_cvm"] == pytest.approx(1 / (12 * len(u)) + len(u) * got["pit_rmse"] ** 2)
@@ -110,14 +109,13 @@ def test_ks_pvalue_against_simulation(spark):
 
 
 @pytest.mark.parametrize("scale", ["none", "1+y"])
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_point_metrics(spark, scale, small_rows):
+def test_point_metrics(spark, scale):
     rng = np.random.default_rng(5)
     y = rng.uniform(0.1, 1.5, 3000)
     pred = y + rng.normal(0.01, 0.02, 3000)
     pred[:60] += 0.5
     e = (pred - y) / (1 + y) if scale == "1+y" else pred - y
-    got = M.point_metrics(values(spark, y, "y", p=pred), "y", "p", scale=scale, small_rows=small_rows).first()
+    got = M.point_metrics(values(spark, y, "y", p=pred), "y", "p", scale=scale).first()
     q25, q75 = np.percentile(e, [25, 75])
     thr = max(0.06, 3 * (q75 - q25) / 1.349)
     want = {"n": 3000, "bias": np.median(e), "sigma_mad": 1.4826 * np.median(np.abs(e - np.median(e))), "sigma_iqr": (q75 - q25) / 1.349,
