@@ -242,5 +242,7 @@ def constant_bins(value: float) -> Bins:
 def target_range(df: DataFrame, y: str) -> tuple[float, float]:
     """The target's minimum and maximum: one aggregate row."""
     row = df.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).first()
+    if row["lo"] is None:
+        raise ValueError(f"{y} has no values")
     return float(row["lo"]), float(row["hi"])
 

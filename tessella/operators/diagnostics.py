@@ -185,8 +185,8 @@ def densities_to_show(df: DataFrame, density: str, y: str, id_col: str, grid: Gr
     """The rows' normalized densities with the x-range they share."""
     shown = rows_to_show(df, id_col, n, seed, chosen).withColumn("_d", grid.normalize(density))
     shown = shown.withColumn("_r", central_range(F.col("_d"), grid, F.col(y), F.col(y)))
-    every = Window.partitionBy(F.lit(0))  # the few rows that are drawn
-    return shown.select(id_col, y, F.col("_d").alias("density"), F.min("_r.lo").over(every).alias("x_lo"), F.max("_r.hi").over(every).alias("x_hi"))
+    ends = shown.agg(F.min("_r.lo").alias("lo"), F.max("_r.hi").alias("hi")).first()
+    return shown.select(id_col, y, F.col("_d").alias("density"), F.lit(ends["lo"]).cast("double").alias("x_lo"), F.lit(ends["hi"]).cast("double").alias("x_hi"))
 
 
 def sample_histograms(samples: dict[str, DataFrame], value: str, n_bins: int) -> DataFrame:

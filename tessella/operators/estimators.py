@@ -19,6 +19,7 @@ from tessella.functions.scores import object_scores
 from tessella.operators.metrics import summarize
 from tessella.operators.mixtures import Mixture, Part
 from tessella.operators.ranks import exact_quantiles
+from tessella.operators.validate import check_target
 
 # Bin layouts and the neighbour floor.
 MAX_CLASSES = 10
@@ -109,7 +110,7 @@ def edge_levels(n_bins: int, shift: float = 0.0) -> list[float]:
 def equal_mass_edges(df: DataFrame, y: str, n_bins: int, low: float, high: float, shift: float = 0.0) -> Bins:
     """Equal-mass edges over [low, high]; the ends replace the outer quantiles."""
     row = exact_quantiles(df, y, edge_levels(n_bins, shift)).first()
-    if row is None:
+    if row is None or row["n"] is None or not row["n"]:
         return Bins(tuple(np.linspace(low, high, n_bins + 1)))
     return Bins(tuple(np.maximum.accumulate([low, *row["q"][1:-1], high])))
 
@@ -360,6 +361,8 @@ class DensityModel:
     constant: float | None = None
 
     def fit(self, df: DataFrame) -> DensityModel:
+        """Refuses an empty table and targets that are missing or infinite."""
+        check_target(df, self.y)
         low, high = target_range(df, self.y)
         if self.grid is None:
             self.grid = default_grid(low, high)

@@ -193,33 +193,33 @@ class Power:
     params: dict[str, tuple[float, float, float]]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], passes: int = 7, candidates: int = 21) -> Power:
+    def fit(cls, df: DataFrame, columns: Sequence[str], passes: int = 7, candidates: int = 21, widenings: int = 12) -> Power:
         """The exponent of largest likelihood, by narrowing.
 
-        A pass scores every candidate of every column in one aggregate that
-        combines map-side; only (columns x candidates) rows leave the tasks.
+        The search starts on [-5, 5]; while the best candidate is at an end,
+        the bracket moves on beyond it and doubles. A pass is one aggregate
+        over plain expressions, one row in all.
         """
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), _known(c).alias("x")) for c in columns])
-        long = df.select(F.explode(cells).alias("t")).select("t.*").where("x is not null")
-        spread = long.groupBy("c").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").collect()
-        span = {r["c"]: (-5.0, 5.0) for r in spread}
+        known = {c: _known(c) for c in columns}
+        row = _row(df, [a for c, x in known.items() for a in (
+            F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"), F.count(x).alias(f"n_{c}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j_{c}"))])
+        span = {c: (-5.0, 5.0) for c in columns if row[f"lo_{c}"] is not None and row[f"lo_{c}"] < row[f"hi_{c}"]}
         if not span:
             return cls({})
-        for _ in range(passes):
-            tried = {c: np.linspace(*span[c], candidates) for c in span}
-            options = F.create_map(*[v for c, t in tried.items() for v in (F.lit(c), vector(t))])
-            scored = long.where(F.col("c").isin(list(span))).select("c", "x", F.posexplode(options[F.col("c")]).alias("i", "lam"))
-            rows = scored.groupBy("c", "i").agg(
-                F.count("*").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("j"),
-                F.var_pop(yeo_johnson(F.col("x"), F.col("lam"))).alias("v")).collect()
-            best: dict[str, tuple[float, int]] = {}
-            for row in rows:
-                lam = tried[row["c"]][row["i"]]
-                score = -0.5 * row["n"] * np.log(row["v"]) + (lam - 1.0) * row["j"] if row["v"] > 0 else -np.inf
-                best[row["c"]] = max(best.get(row["c"], (-np.inf, 0)), (score, row["i"]))
-            for c, (_, k) in best.items():
-                step = tried[c][1] - tried[c][0]
-                span[c] = (tried[c][k] - step, tried[c][k] + step)
+        left = dict.fromkeys(span, (passes, widenings))
+        while any(n for n, _ in left.values()):
+            tried = {c: np.linspace(*span[c], candidates) for c in span if left[c][0]}
+            spread = _row(df, [F.var_pop(yeo_johnson(known[c], float(lam))).alias(f"{c}_{i}") for c, t in tried.items() for i, lam in enumerate(t)])
+            for c, t in tried.items():
+                v = [spread[f"{c}_{i}"] for i in range(candidates)]
+                score = [-0.5 * row[f"n_{c}"] * np.log(x) + (lam - 1.0) * row[f"j_{c}"] if x and np.isfinite(x) else -np.inf for x, lam in zip(v, t)]
+                k, (n, wide), width = int(np.argmax(score)), left[c], t[-1] - t[0]
+                if k in (0, candidates - 1) and wide and n == passes:
+                    span[c] = (t[0] - 2 * width, t[1]) if k == 0 else (t[-2], t[-1] + 2 * width)
+                    left[c] = (n, wide - 1)
+                else:
+                    step = t[1] - t[0]
+                    span[c], left[c] = (t[k] - step, t[k] + step), (n - 1, wide)
         found = {c: 0.5 * sum(ends) for c, ends in span.items()}
         row = _row(df, [a for c, lam in found.items() for a in (
             F.avg(yeo_johnson(_known(c), lam)).alias(f"m_{c}"), F.stddev_pop(yeo_johnson(_known(c), lam)).alias(f"s_{c}"))])
@@ -247,17 +247,11 @@ def group_scaling(df: DataFrame, key: str, y: str) -> DataFrame:
 
 
 def ordinal_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """``(value, code)`` of the context's categories in sorted order.
+    """``(value, code)`` of the context's categories in sorted order, numbered through range partitions."""
+    from tessella.operators.ranks import dense_ids
 
-    Distinct values are ordered through their own range partitions when there
-    are many; the usual few dozen take one small window.
-    """
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    if values.count() > 100_000:
-        from tessella.operators.ranks import dense_ids
-
-        return dense_ids(values, "code", ["value"])
-    return values.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")) - 1)
+    return dense_ids(values, "code", ["value"])
 
 
 def ordinal_encode(df: DataFrame, column: str, dictionary: DataFrame, out: str | None = None) -> DataFrame:

@@ -74,10 +74,15 @@ class Mixture:
             p = F.when(test, value) if p is None else p.when(test, value)
         return self.df.withColumn("_p", p)
 
+    def _weight(self) -> Column:
+        """The row's weight; NULL for a component that the mixture does not have."""
+        return self._each(lambda _, part: F.lit(part.weight))
+
     def _sum(self, build: Callable[[Column, Part], Column], name: str, keep: Sequence[str] = ()) -> DataFrame:
-        rows = self._rows().withColumn("_v", self._each(lambda p, part: build(p, part) * F.lit(part.weight)))
+        """Weighted over the components that an id has, by their share of its weights: one that lacks some is renormalized."""
+        rows = self._rows().withColumns({"_v": self._each(lambda p, part: build(p, part) * F.lit(part.weight)), "_w": self._weight()})
         first = [F.first(c).alias(c) for c in keep]
-        return rows.groupBy(self.id).agg(F.sum("_v").alias(name), *first)
+        return rows.groupBy(self.id).agg((F.sum("_v") / F.sum("_w")).alias(name), *first)
 
     def pdf(self, x: Column, name: str = "pdf") -> DataFrame:
         return self._sum(lambda p, part: H.pdf_at(p, part.bins, x), name)
@@ -94,8 +99,10 @@ class Mixture:
         """Mean and variance: each part's variance plus its mean's squared distance from the mixture's."""
         rows = self._rows().withColumn("_m", self._each(lambda p, part: F.struct(
             F.lit(part.weight).alias("w"), H.mean(p, part.bins).alias("m"), H.var(p, part.bins).alias("v"))))
-        members = F.array_sort(F.collect_list("_m"))
+        members = F.array_sort(F.filter(F.collect_list("_m"), lambda t: t["w"].isNotNull()))
         one = rows.groupBy(self.id).agg(members.alias("_m"))
+        share = F.aggregate("_m", F.lit(0.0), lambda s, t: s + t["w"])
+        one = one.withColumn("_m", let(share, lambda all_: F.transform("_m", lambda t: F.struct((t["w"] / all_).alias("w"), t["m"].alias("m"), t["v"].alias("v")))))
         return one.withColumn("mean", F.aggregate("_m", F.lit(0.0), lambda s, t: s + t["w"] * t["m"])).withColumn(
             "var", let(F.col("mean"), lambda mu: F.aggregate("_m", F.lit(0.0), lambda s, t: (
                 s + t["w"] * (t["v"] + (t["m"] - mu) * (t["m"] - mu)))))).drop("_m")
@@ -104,8 +111,11 @@ class Mixture:
         """Exact masses on the union of the edges, or on the edges given."""
         target = target or self.bins
         rows = self._rows().withColumn("_v", self._each(lambda p, part: F.transform(
-            H.regrid(p, part.bins, target), lambda m: m * F.lit(part.weight))))
-        return sum_members(rows, self.id, "_v", target.n, name, self.component, keep)
+            H.regrid(p, part.bins, target), lambda m: m * F.lit(part.weight)))).withColumn("_w", self._weight())
+        held = rows.where(F.col("_w").isNotNull())
+        found = sum_members(held.withColumn("_v", F.concat("_v", F.array("_w"))), self.id, "_v", target.n + 1, name, self.component, keep)
+        # The last element is the weight that the id's components have together.
+        return found.withColumn(name, let(F.col(name), lambda a: let(F.element_at(a, -1), lambda w: F.transform(F.slice(a, 1, target.n), lambda m: m / w))))
 
     def on_grid(self, grid: Grid, name: str = "density") -> DataFrame:
         """Bin densities averaged unnormalized, then normalized once."""
@@ -167,11 +177,15 @@ def concatenate(parts: Sequence[tuple[DataFrame, Bins | tuple]]) -> tuple[DataFr
 
 
 def quantile_average(df: DataFrame, id_col: str, locs: str, n_levels: int, weights: dict[str, float], member: str, name: str = "locs") -> DataFrame:
-    """The weighted average of quantile functions at shared levels."""
+    """The weighted average of quantile functions at shared levels; a row must have every member once, and no other."""
     share = sum(weights.values())
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v / share))])
-    rows = df.withColumn("_v", let(w[F.col(member)], lambda x: F.transform(locs, lambda q: q * x)))
-    return sum_members(rows, id_col, "_v", n_levels, name, member)
+    own = F.coalesce(w[F.col(member)], F.raise_error(F.concat(F.lit("no weight for member "), F.coalesce(F.col(member).cast("string"), F.lit("NULL")))).cast("double"))
+    rows = df.withColumn("_v", let(own, lambda x: F.concat(F.transform(locs, lambda q: q * x), F.array(F.lit(1.0)))))
+    found = sum_members(rows, id_col, "_v", n_levels + 1, name, member)
+    # The last element counts the members.
+    whole = F.when(F.element_at(name, -1) == len(weights), F.slice(name, 1, n_levels))
+    return found.withColumn(name, F.coalesce(whole, F.raise_error(F.lit("a row lacks a member or has one twice")).cast("array<double>")))
 
 
 def trimmed_average(df: DataFrame, id_col: str, locs: str, n_levels: int, trim: float, name: str = "locs") -> DataFrame:

@@ -152,28 +152,41 @@ def hash_ranks(df: DataFrame, seed, id_col: str, by: Sequence[str] = (), rank: s
         rank, F.col("_start") + F.row_number().over(inside)).drop("_u", "_b", "_start")
 
 
+def hash_cut(df: DataFrame, seed, id_col: str, quota: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Where each group's first ``quota`` rows in hash order end: ``(*by, _cut)``, a struct of the last row's hash and id.
+
+    ``quota`` has ``(*by, quota)``; a group without a quota of 1 or more has
+    no row. Only counts per hash interval move, and the rows of the one
+    interval per group that the quota ends in.
+    """
+    by, k = list(by), _hash_intervals(df)
+    rows = df.select(*by, F.col(id_col).alias("_id")).withColumn("_u", hash_uniform(seed, F.col("_id"))).withColumn("_b", F.floor(F.col("_u") * k).cast("int"))
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    ends = counts.withColumn("_end", F.sum("_c").over(group.orderBy("_b"))).withColumn("_n", F.sum("_c").over(group)).join(quota, by)
+    last = F.least(F.col("quota"), F.col("_n"))
+    left = ends.select(*by, "_b", (last - F.col("_end") + F.col("_c")).alias("_left"), "_c").where("_left > 0 AND _left <= _c").drop("_c")
+    inside = Window.partitionBy(*by, "_b").orderBy("_u", "_id")
+    ordered = rows.join(left, [*by, "_b"]).withColumn("_r", F.row_number().over(inside))
+    return ordered.where("_r = _left").select(*by, F.struct(F.col("_u").alias("u"), F.col("_id").alias("id")).alias("_cut"))
+
+
+def within_cut(seed, id_col: str) -> Column:
+    """Whether a row joined with :func:`hash_cut` is among its group's first ones."""
+    return F.struct(hash_uniform(seed, F.col(id_col)).alias("u"), F.col(id_col).alias("id")) <= F.col("_cut")
+
+
 def first_by_hash(df: DataFrame, seed, id_col: str, quota: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Each group's first ``quota`` rows in hash order, exactly.
 
-    ``quota`` has ``(*by, quota)``. Rows in intervals wholly below the quota
-    are kept by a filter; only the one interval that the quota cuts is ordered.
+    ``quota`` has ``(*by, quota)``. The rows stay where they are: each is
+    compared with its group's cut.
     """
     if not by:
         one = first_by_hash(df.withColumn("_all", F.lit(0)), seed, id_col, quota.withColumn("_all", F.lit(0)), ["_all"])
         return one.drop("_all")
-    by, k = list(by), _hash_intervals(df)
-    rows = df.withColumn("_u", hash_uniform(seed, F.col(id_col))).withColumn("_b", F.floor(F.col("_u") * k).cast("int"))
-    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    ends = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")))
-    ends = ends.join(quota, by)
-    # Rows still wanted inside each interval: all, some, or none.
-    left = ends.select(*by, "_b", "_c", F.least(F.col("_c"), F.greatest(F.lit(0), F.col("quota") - F.col("_end") + F.col("_c"))).alias("_left"))
-    left = left.where("_left > 0")
-    marked = rows.join(left, [*by, "_b"])
-    whole = marked.where("_left = _c").drop("_c", "_left", "_u", "_b")
-    inside = Window.partitionBy(*by, "_b").orderBy("_u", id_col)
-    cut = marked.where("_left < _c").withColumn("_r", F.row_number().over(inside)).where("_r <= _left")
-    return whole.unionByName(cut.drop("_c", "_left", "_u", "_b", "_r"))
+    cut = materialize(hash_cut(df, seed, id_col, quota, by))
+    return join_groups(df, cut, by, cut.count()).where(within_cut(seed, id_col)).drop("_cut")
 
 
 def dense_ids(df: DataFrame, id_name: str, order: Sequence[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from tessella.plans.inputs import bin_sql, rounded as r, uniform_sql
 from tessella.plans.registry import query
 from tessella.plans.scoring import scored
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
 
 @query("x1_truth_estimate_2d", f"{I.SCORES}, x AS (SELECT {bin_sql('y', 0.0, 500.0, 20)} AS ix, {bin_sql('mean_pred', 0.0, 500.0, 20)} AS iy FROM s) SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, count(*) AS n FROM x GROUP BY ALL")
 def x1(spark, sf):
@@ -100,11 +102,11 @@ def x9(spark, sf):
     return X.rows_to_show(I.events(spark, sf), "id", 6).select("id")
 
 
-@query("x11_sample_histograms", f"""WITH {I.EV}, s AS (SELECT 'click' AS sample, y AS v FROM ev WHERE key = 'click' UNION ALL SELECT 'view', y FROM ev WHERE key = 'view'),
-a AS (SELECT min(v) AS lo, max(v) AS hi FROM s) SELECT sample, CAST(least(floor((v - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM s, a GROUP BY ALL""")
+@query("x11_sample_histograms", f"""WITH {I.EV}, a AS (SELECT min(y) AS lo, max(y) AS hi FROM ev)
+SELECT key AS sample, CAST(least(floor((y - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM ev, a GROUP BY ALL""")
 def x11(spark, sf):
     ev = I.events(spark, sf)
-    out = X.sample_histograms({k: ev.where(F.col("key") == k) for k in ("click", "view")}, "y", 30)
+    out = X.sample_histograms({k: ev.where(F.col("key") == k) for k in EVENT_TYPES}, "y", 30)
     return out.select("sample", F.col("bin").cast("long").alias("bin"), "n")
 
 

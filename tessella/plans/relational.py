@@ -64,8 +64,8 @@ def j6(spark, sf):
 @query("j7_overlap", f"WITH {I.EV} SELECT count(*) AS n FROM (SELECT usr FROM ev WHERE key = 'click' INTERSECT SELECT usr FROM ev WHERE y > 200)")
 def j7(spark, sf):
     ev = I.events(spark, sf)
-    a, b = ev.where("key = 'click'").select("usr"), ev.where("y > 200").select("usr")
-    return a.intersect(b).agg(F.count("*").alias("n"))
+    shared = SE.overlap(ev.where("key = 'click'").select("usr"), ev.where("y > 200").select("usr"), "usr")
+    return ev.agg(F.lit(shared).cast("long").alias("n"))
 
 
 @query("j8_edge_union", f"WITH {I.EV}, e AS (SELECT DISTINCT usr, round(unnest(quantile_cont(y, [0.1, 0.5, 0.9])), 6) AS e FROM ev GROUP BY usr, key) SELECT usr, count(*) AS n_edges, round(min(e), 6) AS lo, round(max(e), 6) AS hi FROM e GROUP BY usr")

@@ -88,6 +88,41 @@ def c6(spark, sf):
     return scored(spark, sf).select("id", r("y_pred").alias("y_pred"), r("cde", 12).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
 
 
+SCORE_OUT = "round(cde, 12) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll"
+
+
+def neat_scores(df: DataFrame) -> DataFrame:
+    return df.select("id", r("cde", 12).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
+
+
+@query("c6_missing_truth", f"{I.SCORES} SELECT id, {SCORE_OUT} FROM s WHERE id % 7 <> 0 AND id % 11 <> 0")
+def c6_missing(spark, sf):
+    """Rows without a finite truth are not scored."""
+    y = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("y"))
+    return neat_scores(C.object_scores(I.cross_predictions(spark, sf).withColumn("y", y), "masses", "y", I.GRID))
+
+
+@query("c6_ragged_rows", f"""{I.SCORES} SELECT id, CASE WHEN id % 5 < 2 THEN NULL ELSE round(cde, 12) END AS cde, CASE WHEN id % 5 < 2 THEN NULL ELSE round(pit, 8) END AS pit,
+  CASE WHEN id % 5 < 2 THEN NULL ELSE round(crps, 6) END AS crps, CASE WHEN id % 5 < 2 THEN NULL ELSE round(nll, 7) END AS nll FROM s""")
+def c6_ragged(spark, sf):
+    """Densities one bin short or one too long, which together would fill two rows, get no scores and touch no other row."""
+    m = F.col("masses")
+    ragged = F.when(F.col("id") % 5 == 0, F.slice(m, F.lit(1), I.GRID.n - 1)).when(F.col("id") % 5 == 1, F.concat(m, F.array(F.lit(0.5)))).otherwise(m)
+    df = I.cross_predictions(spark, sf).withColumn("masses", ragged)
+    return neat_scores(C.object_scores(df, "masses", "y", I.GRID, invalid="null"))
+
+
+@query("v14_checked_scores", f"""WITH {I.EV} SELECT count(*) AS n, count(*) FILTER (id % 7 = 0) AS missing_truth, count(*) FILTER (id % 13 = 0) AS missing_density,
+  count(*) FILTER (id % 5 = 0 AND id % 13 <> 0) AS wrong_length FROM ev""")
+def v14_scores(spark, sf):
+    """What keeps rows from being scored, counted by the scoring entry's own check."""
+    m = F.col("masses")
+    df = I.cross_predictions(spark, sf).withColumns({
+        "masses": F.when(F.col("id") % 13 == 0, F.lit(None)).when(F.col("id") % 5 == 0, F.slice(m, F.lit(1), I.GRID.n - 1)).otherwise(m),
+        "y": F.when(F.col("id") % 7 != 0, F.col("y"))})
+    return C.problems(df, "masses", "y", I.GRID)
+
+
 @query("c7_pinball", f"{I.UQ} SELECT key, round(avg(greatest(i * 0.05 * (y - v), (i * 0.05 - 1) * (y - v))), 6) AS pinball FROM ev JOIN qq USING (usr) GROUP BY key")
 def c7(spark, sf):
     df = I.events(spark, sf).join(I.user_quantiles(spark, sf), "usr").withColumn("s", C.pinball(F.col("y"), "locs", I.LEVELS))

@@ -152,8 +152,25 @@ def v5(spark, sf):
 
 @query("v6_empty_result", f"WITH {I.EV} SELECT id, y FROM ev WHERE y < 0")
 def v6(spark, sf):
-    """No row in, no row out, with the same columns."""
-    return I.events(spark, sf).where("y < 0").select("id", "y")
+    """No row in, no row out, with the same columns: a fitted model over rows that are not there."""
+    ev = I.events(spark, sf)
+    return E.DensityModel(["key"], grid=I.GRID).fit(ev).transform(ev.where("y < 0"), "density").select("id", "y")
+
+
+@query("v6_empty_fit", f"WITH {I.EV} SELECT count(*) AS n, true AS refused_empty, true AS refused_missing FROM ev")
+def v6_fit(spark, sf):
+    """Fitting refuses an empty table and one with missing targets."""
+    ev = I.events(spark, sf)
+
+    def refused(df) -> bool:
+        try:
+            E.DensityModel(["key"], grid=I.GRID).fit(df)
+        except ValueError:
+            return True
+        return False
+
+    empty, missing = refused(ev.where("y < 0")), refused(ev.withColumn("y", F.when(F.col("id") % 7 != 0, F.col("y"))))
+    return ev.agg(F.count("*").alias("n"), F.lit(empty).alias("refused_empty"), F.lit(missing).alias("refused_missing"))
 
 
 @query("v7_finite_pairs", "SELECT event_id AS id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
@@ -273,17 +290,23 @@ def u5(spark, sf):
     return df.select("id", r(F.element_at("f", k + 1) + own, 8).alias("pit"))
 
 
+class OnGrid(E.DensityModel):
+    """Bin shares on the shared grid."""
+
+    def _fit(self, df, low, high):
+        self.bins = Bins(I.GRID.edges)
+        self.table = E.bin_shares(df, self.y, self.bins, self.keys)
+
+
+SHARES = f"WITH {I.EV}, {I.grid_sql()}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')}"
+
+
 @query("d7_model_outputs", f"""{I.CROSS.split('cf_n AS')[0].rstrip().rstrip(',')}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')}
 SELECT e.id, round(p.p / p.w, 9) AS density, round(f0 + p.p * (e.y - lo) / w, 8) AS pit FROM ev e JOIN p ON p.key = e.key AND p.bin = {I.bin_sql('e.y')}""")
 def d7(spark, sf):
     """Density and PIT of one fitted model through its wrapper."""
     ev = I.events(spark, sf)
 
-    class OnGrid(E.DensityModel):
-        def _fit(self, df, low, high):
-            self.bins = Bins(I.GRID.edges)
-            self.table = E.bin_shares(df, self.y, self.bins, self.keys)
-
     model = OnGrid(["key"], grid=I.GRID).fit(ev)
     both = model.transform(model.transform(ev, "density"), "pit")
     return both.select("id", r(I.GRID.density_at(F.col("density"), F.col("y")), 9).alias("density"), r("pit", 8).alias("pit"))
@@ -294,8 +317,30 @@ r AS (SELECT e.id, e.key, p.p, w, {I.bin_sql('e.y')} = p.bin AS own FROM ev e JO
 SELECT key, count(*) AS n, round(avg(cde), 8) AS cde_loss FROM s GROUP BY key""")
 def c20(spark, sf):
     ev = I.events(spark, sf)
-    model = E.DensityModel(["key"], grid=I.GRID)
-    model.bins, model.table = Bins(I.GRID.edges), E.bin_shares(ev, "y", Bins(I.GRID.edges), ["key"])
-    return model.evaluate(ev, "mean", ["key"]).select("key", "n", r("cde_loss", 8).alias("cde_loss"))
+    return OnGrid(["key"], grid=I.GRID).fit(ev).evaluate(ev, "mean", ["key"]).select("key", "n", r("cde_loss", 8).alias("cde_loss"))
+
+
+@query("c20_score", f"""{SHARES}, q AS (SELECT key, sum(p * p / w) AS square FROM p GROUP BY key)
+SELECT count(*) AS n, round(-avg(square - 2 * p.p / p.w), 8) AS score FROM ev e JOIN q USING (key) JOIN p ON p.key = e.key AND p.bin = {I.bin_sql('e.y')}""")
+def c20_score(spark, sf):
+    ev = I.events(spark, sf)
+    score = OnGrid(["key"], grid=I.GRID).fit(ev).score(ev)
+    return ev.agg(F.count("*").alias("n"), F.round(F.lit(score), 8).alias("score"))
 
 
+@query("d7_all_outputs", f"""{SHARES}, o AS (SELECT key,
+  sum(CASE WHEN 42.0 >= lo AND 42.0 < hi THEN p / w END) AS pdf, sum(p * least(greatest((200.0 - lo) / w, 0), 1)) AS cdf,
+  min(lo + least(greatest((0.5 - f0) / p, 0), 1) * w) FILTER (p > 0 AND f1 >= 0.5) AS median, min(lo + least(greatest((0.16 - f0) / p, 0), 1) * w) FILTER (p > 0 AND f1 >= 0.16) AS low,
+  min(lo + least(greatest((0.84 - f0) / p, 0), 1) * w) FILTER (p > 0 AND f1 >= 0.84) AS high, sum(p * c) AS mean, arg_max(c, p) AS mode FROM p GROUP BY key)
+SELECT e.id, round(pdf, 9) AS pdf, round(cdf, 8) AS cdf, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, round(mode, 6) AS mode FROM ev e JOIN o USING (key)""")
+def d7_all(spark, sf):
+    """The other outputs of the wrapper: density and CDF at shared values, quantiles, the central interval, point estimates."""
+    ev = I.events(spark, sf)
+    model = OnGrid(["key"], grid=I.GRID).fit(ev)
+    rows = ev.select("id", "key", "y")
+    for output, options in (("pdf", {"values": [42.0]}), ("cdf", {"values": [200.0]}), ("quantiles", {"levels": [0.5]}), ("interval", {"confidence": 0.68})):
+        rows = model.transform(rows, output, **options)
+    rows = model.transform(rows, "point", point="mean").withColumnRenamed("point", "mean")
+    rows = model.transform(rows, "point", point="mode").withColumnRenamed("point", "mode")
+    return rows.select("id", r(F.col("pdf")[0], 9).alias("pdf"), r(F.col("cdf")[0], 8).alias("cdf"), r(F.col("quantiles")[0]).alias("median"),
+                       r("interval.lo").alias("low"), r("interval.hi").alias("high"), r("mean").alias("mean"), r("mode").alias("mode"))

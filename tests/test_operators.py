@@ -207,64 +207,81 @@ def test_concatenate_refuses_other_kinds(spark):
 # -- selection ---------------------------------------------------------------------
 
 
-def toy_grid(spark):
-    sample = spark.createDataFrame([(21.0, 0.5, 0.4), (21.5, 0.5, 1.0), (23.0, 0.5, 0.2), (23.5, 0.5, 0.5)], "mag double, color double, y double")
-    return SE.SelectionGrid.from_matrix(spark, [[0.5, 0.1], [0.0, 0.0]], [20.0, 22.0, 24.0], [0.0, 1.0, 2.0], sample)
+def small_grid(spark):
+    """Three magnitude bins by two color bins; one pixel has no sample row."""
+    sample = spark.createDataFrame([(11.0, 0.0, 0.7), (11.5, -0.5, 0.3), (13.0, 0.0, 0.9), (14.0, 1.0, 0.6), (18.0, 2.0, 0.2), (11.0, 2.9, 0.45)], "mag double, color double, y double")
+    return SE.SelectionGrid.from_matrix(spark, [[0.4, 0.25, 0.0], [0.2, 0.8, 0.05]], [10.0, 12.0, 15.0, 19.0], [-1.0, 0.5, 3.0], sample)
 
 
-TOY = dict(magnitude="I", color=("G", "Z"), y="y")
+SMALL = dict(magnitude="I", color=("G", "Z"), y="y")
 
 
 def test_selection_keeps_the_ratio_of_each_pixel(spark):
-    raw = values(spark, [21.0] * 20 + [23.0] * 20, "I", G=21.5, Z=21.0, y=0.1)
-    kept = SE.grid_selection(raw, toy_grid(spark), id_col="id", color_cut=False, **TOY).where("keep")
-    assert kept.where("id < 20").count() == 10 and kept.where("id >= 20").count() == 2
+    raw = values(spark, [11.0] * 30 + [14.0] * 40 + [17.0] * 20, "I", G=18.25, Z=18.0, y=0.1)
+    kept = SE.grid_selection(raw, small_grid(spark), id_col="id", color_cut=False, **SMALL).where("keep")
+    assert [kept.where(f"id >= {a} AND id < {b}").count() for a, b in ((0, 30), (30, 70), (70, 90))] == [12, 10, 0]
 
 
 def test_ceilings_and_edges(spark):
-    grid = toy_grid(spark)
+    grid = small_grid(spark)
     got = {(r["px"], r["py"]): r["z_ceiling"] for r in grid.ceilings(100.0).collect()}
-    assert got == {(0, 0): 1.0, (1, 0): 0.5, (0, 1): 0.0, (1, 1): 0.0}
+    assert got == {(0, 0): 0.7, (1, 0): 0.9, (2, 0): 0.0, (0, 1): 0.45, (1, 1): 0.6, (2, 1): 0.2}
     # Pixels are open on the left: the first edge is off the grid.
-    raw = values(spark, [20.0, 22.0, 24.0, 24.5], "I", G=0.5, Z=0.0, y=[0.3, 0.3, 0.9, 0.3])
-    out = SE.diagnose(raw, grid, percentile_cut=100.0, **TOY).orderBy("id").collect()
-    assert [r["px"] for r in out] == [-1, 0, 1, 2] and [r["ratio"] for r in out] == [0.0, 0.5, 0.1, 0.0]
-    assert [r["survives_z_cut"] for r in out] == [True, True, False, True]
+    raw = values(spark, [10.0, 12.0, 15.0, 19.0, 19.5], "I", G=2.0, Z=0.0, y=[0.4, 0.4, 0.7, 0.2, 0.4])
+    out = SE.diagnose(raw, grid, percentile_cut=100.0, **SMALL).orderBy("id").collect()
+    assert [r["px"] for r in out] == [-1, 0, 1, 2, 3] and [r["ratio"] for r in out] == [0.0, 0.2, 0.8, 0.05, 0.0]
+    assert [r["survives_z_cut"] for r in out] == [True, True, False, True, True]
     with pytest.raises(KeyError):
-        SE.diagnose(raw.drop("G"), grid, **TOY)
+        SE.diagnose(raw.drop("Z"), grid, **SMALL)
 
 
-def biasable(spark, n=2000):
-    rng = np.random.default_rng(0)
-    return values(spark, np.full(n, 21.0), "I", G=21.5, Z=21.0, y=rng.uniform(0.05, 0.95, n))
+def mixed_catalog(spark, n=1500):
+    """Objects over all six pixels."""
+    rng = np.random.default_rng(8)
+    g = rng.uniform(-0.9, 2.9, n)
+    return values(spark, rng.uniform(10.1, 18.9, n), "I", G=g, Z=np.zeros(n), y=rng.uniform(0.02, 0.8, n))
 
 
 def test_split_sizes_and_disjointness(spark):
-    options = dict(id_col="id", n_train=300, n_calibration=100, tolerance=10, percentile_cut=100.0, **TOY)
-    split = SE.make_split(biasable(spark), toy_grid(spark), control=True, **options)
+    options = dict(id_col="id", n_train=90, n_calibration=70, tolerance=6, percentile_cut=100.0, **SMALL)
+    split = SE.make_split(mixed_catalog(spark), small_grid(spark), control=True, **options)
     n = {r["split"]: r["count"] for r in split.df.groupBy("split").count().collect()}
-    assert abs(n["biased"] - 300) <= 10 and n["calibration"] == 100
-    assert split.sizes["n_holdout"] == n["calibration"] + n["test"]
+    assert abs(n["biased"] - 90) <= 6 and n["calibration"] == 70
+    assert split.sizes["n_holdout"] == n["calibration"] + n["test"] and split.sizes["n_biased"] == n["biased"]
     assert split.df.where("control").count() == n["biased"]
     assert split.df.where("control AND split IN ('test', 'calibration')").isEmpty()
-    assert split.df.count() == 2000 and split.record(spark).count() == len(split.history)
-    plain = SE.make_split(biasable(spark), toy_grid(spark), **options)
+    assert split.df.count() == 1500 and split.record(spark).count() == len(split.history)
+    plain = SE.make_split(mixed_catalog(spark), small_grid(spark), **options)
     key = lambda s: sorted((r["id"], r["split"] or "") for r in s.df.select("id", "split").collect())
     assert key(plain) == key(split)
 
 
+def test_solver_counts_equal_a_direct_count(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.choice([0.2, 0.4, 0.8])), int(k)) for k in rng.permutation(900) + 1] + [(0.4, 2**62)] * 5
+    df = spark.createDataFrame(rows, "ratio double, holdout_rank long")
+    counts = SE._PoolCounts(df, 900)
+    for rank in (1, 4, 5, 333, 899, 900):
+        got = {r["ratio"]: r["n"] for r in counts.beyond(rank).collect()}
+        expected = {}
+        for ratio, k in rows:
+            if k > rank:
+                expected[ratio] = expected.get(ratio, 0) + 1
+        assert got == expected
+
+
 def test_split_reports_what_is_reachable(spark):
-    with pytest.raises(RuntimeError, match="most kept"):
-        SE.make_split(biasable(spark, 400), toy_grid(spark), id_col="id", n_train=399, tolerance=1, percentile_cut=100.0, **TOY)
-    rows = spark.createDataFrame([(1,), (1,)], "id long")
+    with pytest.raises(RuntimeError, match="largest selection"):
+        SE.make_split(mixed_catalog(spark, 350), small_grid(spark), id_col="id", n_train=340, tolerance=1, percentile_cut=100.0, **SMALL)
+    rows = spark.createDataFrame([(2,), (2,)], "id long")
     with pytest.raises(ValueError):
-        SE.make_split(biasable(spark, 400), toy_grid(spark), id_col="id", n_train=50, holdout=rows, **TOY)
+        SE.make_split(mixed_catalog(spark, 350), small_grid(spark), id_col="id", n_train=20, holdout=rows, **SMALL)
 
 
 def test_bags(spark):
-    bags = SE.draw_bags(spark.range(60), "id", 4, 25, 3).toPandas()
-    assert (bags.groupby("member").id.nunique() == 25).all() and len(bags) == 100
-    assert len({tuple(sorted(g)) for _, g in bags.groupby("member").id}) == 4
+    bags = SE.draw_bags(spark.range(90), "id", 5, 31, 11).toPandas()
+    assert (bags.groupby("member").id.nunique() == 31).all() and len(bags) == 155
+    assert len({tuple(sorted(g)) for _, g in bags.groupby("member").id}) == 5
     assert [SE.bag_rows(b, 10) for b in (None, 3, 0.25, 1.0, 99)] == [10, 3, 2, 10, 10]
     for bad in (0, 1.5, True, "a"):
         with pytest.raises(ValueError):
@@ -341,7 +358,7 @@ def test_target_scaling_and_ordered_codes(spark):
 
 
 def test_bin_counts_and_layouts(spark):
-    assert [E.auto_bin_count(n) for n in (1, 19, 45, 80, 277, 499, 500, 10_000)] == [2, 2, 3, 4, 7, 9, 10, 10]
+    assert [E.auto_bin_count(n) for n in (0, 5, 44, 46, 150, 246, 330, 2_000)] == [2, 2, 2, 3, 5, 7, 8, 10]
     assert E.grid_layout(Bins(tuple(np.linspace(0, 1, 26)))).coarse.n == 3
     assert [f.n for f in E.grid_layout(Bins(tuple(np.linspace(0, 1, 26)))).fine] == [9, 8, 8]
     with pytest.raises(ValueError):
