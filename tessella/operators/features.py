@@ -193,7 +193,7 @@ class Power:
     params: dict[str, tuple[float, float, float]]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], passes: int = 7, candidates: int = 21, widenings: int = 12) -> Power:
+    def fit(cls, df: DataFrame, columns: Sequence[str], passes: int = 12, candidates: int = 11, widenings: int = 12) -> Power:
         """The exponent of largest likelihood, by narrowing.
 
         The search starts on [-5, 5]; while the best candidate is at an end,

@@ -90,13 +90,13 @@ def exact_quantiles(
     before = counts.withColumn("_end", F.sum("_c").over(order)).withColumn(
         "n", F.sum("_c").over(Window.partitionBy(*by)))
     before = before.withColumn("_start", F.col("_end") - F.col("_c"))
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), side.alias("rank"))
-        for i, level in enumerate(levels)
-        for side in (F.floor((F.col("n") - 1) * level), F.least(F.floor((F.col("n") - 1) * level) + 1, F.col("n") - 1))
-    ])
-    hit = F.filter(wanted, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_end")))
-    targets = before.select(*by, "_b", "_start", "n", F.array_distinct(F.transform(hit, lambda t: t["rank"])).alias("_ranks")).where(F.size("_ranks") > 0)
+    # One literal of levels, however many: the plan does not grow with them.
+    shared = F.lit(np.asarray(levels))
+    low = lambda level: F.floor((F.col("n") - 1) * level)
+    wanted = F.flatten(F.transform(shared, lambda level: F.array(low(level), F.least(low(level) + 1, F.col("n") - 1))))
+    hit = F.filter(wanted, lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end")))
+    targets = before.select(*by, "_b", "_start", "n", F.array_distinct(hit).alias("_ranks")).where(F.size("_ranks") > 0)
+
     # Only these intervals' rows move, and equal values move as one.
     found = rows.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c")).join(targets, [*by, "_b"])
     inside = Window.partitionBy(*by, "_b").orderBy("_v")
@@ -104,13 +104,12 @@ def exact_quantiles(
     found = found.withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))))
     lookup = found.groupBy(*by).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
 
-    def pick(level: float) -> Column:
-        h = (F.col("n") - 1) * F.lit(level)
-        low = F.floor(h)
-        a, b = F.element_at("_at", low), F.element_at("_at", F.least(low + 1, F.col("n") - 1))
-        return a + (b - a) * (h - low)
+    def pick(level: Column) -> Column:
+        h = (F.col("n") - 1) * level
+        a, b = F.element_at("_at", F.floor(h)), F.element_at("_at", F.least(F.floor(h) + 1, F.col("n") - 1))
+        return a + (b - a) * (h - F.floor(h))
 
-    return lookup.select(*by, "n", F.array(*[pick(x) for x in levels]).alias("q"))
+    return lookup.select(*by, "n", F.transform(shared, pick).alias("q"))
 
 
 def running_counts(

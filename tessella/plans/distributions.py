@@ -83,12 +83,13 @@ def g7(spark, sf):
     return both.select("usr", F.col("bin").cast("long").alias("bin"), r("t.a", 8).alias("histogram"), r("t.b", 8).alias("trapezoid"))
 
 
-@query("g8_bin_index", f"WITH {I.EV} SELECT id, CAST({I.bin_sql('y', 20.0, 300.0, 28)} AS BIGINT) AS bin, CAST({I.bin_sql('o.o_totalprice', 0.0, 500000.0, 40)} AS BIGINT) AS price_bin FROM ev JOIN orders o ON o.o_orderkey = ev.id")
+@query("g8_bin_index", f"WITH {I.EV} SELECT o.o_orderkey AS id, CAST({I.bin_sql('coalesce(y, 0)', 20.0, 300.0, 28)} AS BIGINT) AS bin, CAST({I.bin_sql('o.o_totalprice', 0.0, 500000.0, 40)} AS BIGINT) AS price_bin FROM orders o LEFT JOIN ev ON o.o_orderkey = ev.id")
 def g8(spark, sf):
+    """Every order, with the event of the same number where there is one."""
     grid = Grid.linear(20.0, 300.0, 28)
     orders = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
-    return I.events(spark, sf).join(orders, "id").select(
-        "id", grid.bin_index(F.col("y")).cast("long").alias("bin"), I.PRICE_GRID.bin_index(F.col("o_totalprice")).cast("long").alias("price_bin"))
+    return orders.join(I.events(spark, sf).select("id", "y"), "id", "left").select(
+        "id", grid.bin_index(F.coalesce("y", F.lit(0.0))).cast("long").alias("bin"), I.PRICE_GRID.bin_index(F.col("o_totalprice")).cast("long").alias("price_bin"))
 
 
 @query("g12_default_grid", f"""WITH {I.EV}, a AS (SELECT min(y) AS lo, max(y) AS hi FROM ev),

@@ -82,14 +82,15 @@ def supplier_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Per order: price as target, and line aggregates as magnitude, color and bands."""
+    """Every order: price as target, and line aggregates as magnitude, color and bands."""
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.sum("l_extendedprice").alias("ext"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"),
         F.avg("l_quantity").alias("qty"), F.max("l_quantity").alias("maxq"), F.count("*").alias("lines"))
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"),
         F.col("o_orderstatus").alias("status"))
-    return orders.join(lines, "id")
+    # An order without lines stays, with zeros.
+    return orders.join(lines, "id", "left").fillna(0, ["ext", "disc", "tax", "qty", "maxq", "lines"])
 
 
 # -- the same inputs in SQL --------------------------------------------------------
@@ -174,4 +175,5 @@ SQ = f"WITH li AS (SELECT l_suppkey AS sup, l_quantity AS q FROM lineitem),\n{qu
 ORDERS = """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderpriority AS priority, o_orderstatus AS status FROM orders),
 l AS (SELECT l_orderkey AS id, sum(l_extendedprice) AS ext, avg(l_discount) AS disc, avg(l_tax) AS tax, avg(l_quantity) AS qty,
   max(l_quantity) AS maxq, count(*) AS lines FROM lineitem GROUP BY 1),
-f AS (SELECT * FROM o JOIN l USING (id))"""
+f AS (SELECT id, price, priority, status, coalesce(ext, 0) AS ext, coalesce(disc, 0) AS disc, coalesce(tax, 0) AS tax, coalesce(qty, 0) AS qty,
+  coalesce(maxq, 0) AS maxq, coalesce(lines, 0) AS lines FROM o LEFT JOIN l USING (id))"""

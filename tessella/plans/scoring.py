@@ -275,10 +275,15 @@ def c23(spark, sf):
     return M.absolute_errors(df, "y", ["mean", "mode"]).select("estimate", r("mae").alias("mae"), r("rmse").alias("rmse"))
 
 
-@query("c11_pit_ks_pvalue")
+@query("c11_pit_ks_pvalue", f"""{I.SCORES}, {pit_sql('key')},
+x AS (SELECT g, n, pit_ks, sqrt(n) * pit_ks AS x, least(greatest(sqrt(n) * pit_ks, 0.08), 6.0) AS s FROM ps),
+t AS (SELECT g, any_value(n) AS n, any_value(pit_ks) AS pit_ks, any_value(x) AS x, any_value(s) AS s, sum(exp(-h / (2 * s * s))) AS zero, sum((h - s * s) * exp(-h / (2 * s * s))) AS one
+  FROM x CROSS JOIN (SELECT 9.869604401089358 * (i + 0.5) * (i + 0.5) AS h FROM range(25) r(i)) GROUP BY g)
+SELECT g AS key, round(pit_ks, 7) AS pit_ks, round(CASE WHEN x > 6 THEN 0 ELSE least(greatest(1 - (2 * 1.2533141373155001 / s * zero
+  + 1.2533141373155001 / (3 * pow(s, 4)) * one / sqrt(n)), 0), 1) END, 6) AS pit_ks_pvalue FROM t""")
 def c11_p(spark, sf):
-    """The p-value is a scalar of (D, n): an asymptotic series, so there is no SQL twin."""
-    return M.pit_statistics(scored(spark, sf), "pit", ["key"]).select("key", "pit_ks", "pit_ks_pvalue")
+    """The asymptotic p-value with its first size correction."""
+    return M.pit_statistics(scored(spark, sf), "pit", ["key"]).select("key", r("pit_ks", 7).alias("pit_ks"), r("pit_ks_pvalue", 6).alias("pit_ks_pvalue"))
 
 
 def two_models(spark, sf) -> DataFrame:
