@@ -163,13 +163,13 @@ class QuantileMap:
                     x - at(values, i - 1), at(values, i) - at(values, i - 1)))
 
             # Ties take the middle of their run of levels.
-            low = F.when(bins.count_lt(x) == 0, F.lit(0.0)).otherwise(lerp(bins.count_lt(x)))
-            high = F.when(bins.count_le(x) >= q.size, F.lit(1.0)).otherwise(lerp(bins.count_le(x)))
+            low = let(bins.count_lt(x), lambda k: F.when(k == 0, F.lit(0.0)).otherwise(lerp(k)))
+            high = let(bins.count_le(x), lambda k: F.when(k >= q.size, F.lit(1.0)).otherwise(lerp(k)))
             share = (low + high) * 0.5
             share = F.when(x <= F.lit(float(q[0])) + (NORMAL_BOUND if self.normal else 0.0), F.lit(0.0)).when(
                 x >= F.lit(float(q[-1])) - (NORMAL_BOUND if self.normal else 0.0), F.lit(1.0)).otherwise(share)
         if self.normal:
-            share = normal_ppf(F.least(F.greatest(share, F.lit(NORMAL_BOUND)), F.lit(1.0 - NORMAL_BOUND)))
+            share = let(F.least(F.greatest(share, F.lit(NORMAL_BOUND)), F.lit(1.0 - NORMAL_BOUND)), normal_ppf)
         return F.when(x.isNotNull(), share)
 
     def transform(self, df: DataFrame) -> DataFrame:
