@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Blobs are dealt out again under this many salts where one is held by very many paths.
-VERSION_COLUMNS = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
+from tessella.llm.common import materialize
+
+#: The ledger's columns.
+LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -110,6 +112,8 @@ def findings(docs: DataFrame, rows: DataFrame, keep: dict[str, Column], rules: t
     held = rows.where((F.size("spans") > 0) & (current[F.col("rule")] == F.col("version")))
     one = held.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), number[F.col("rule")].alias("number"), F.col("rule").alias("kind"), s["end"].alias("end")))))).alias("found"))
+    # Written first: then both sides of the join are plain shuffles, and Spark can split a blob that very many rows hold.
+    one = materialize(one)
     own = docs.select(*[c.alias(n) for n, c in keep.items()], blobs(docs, text).alias("__blob"))
     none = F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>")
     return own.join(one.withColumnRenamed("blob", "__blob"), "__blob", "left").select(*keep, F.coalesce("found", none).alias("found"))
@@ -142,6 +146,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     content = blobs(docs, text)
     rows = scan(docs, text=text).where(F.size("spans") > 0)
     one = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans")).withColumnRenamed("blob", "__blob")
+    one = materialize(one)  # as in findings()
     marked = docs.withColumn("__blob", content)
     whole = F.col(f"`{text}`")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
