@@ -289,11 +289,19 @@ def nearest(
         z = b.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
         cid, y = b.column("cid").to_numpy(), b.column("y").to_numpy()
         m, picked, dist = min(k, len(z)), [], []
-        for row in x:
-            d = ((z - row) ** 2).sum(axis=1)
-            best = np.lexsort((cid, d))[:m]
-            picked.append(best)
-            dist.append(d[best])
+        squares = (z * z).sum(axis=1)
+        for start in range(0, len(x), 256):
+            part = x[start:start + 256]
+            # A matrix product bounds the k-th distance; what may lie within it is measured exactly.
+            own = (part * part).sum(axis=1)
+            rough = own[:, None] + squares - 2.0 * (part @ z.T)
+            kth = np.partition(rough, m - 1, axis=1)[:, m - 1]
+            for row, near, limit in zip(part, rough, kth + 1e-9 * (own + squares.max())):
+                held = np.flatnonzero(near <= limit)
+                d = ((z[held] - row) ** 2).sum(axis=1)
+                best = np.lexsort((cid[held], d))[:m]
+                picked.append(held[best])
+                dist.append(d[best])
         picked, dist = np.concatenate(picked), np.concatenate(dist)
         return pa.table({"qid": np.repeat(a.column("qid").to_numpy(), m), "d": dist, "cid": cid[picked], "y": y[picked]})
 

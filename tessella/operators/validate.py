@@ -29,7 +29,7 @@ def as_table(spark: SparkSession, source, columns: Sequence[str] | None = None)
         names = list(columns) if columns else [f"x{i}" for i in range(len(rows[0]))]
         df = spark.createDataFrame([[float(v) for v in r] for r in rows], ", ".join(f"`{n}` double" for n in names))
     nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    if nested and not isinstance(source, (DataFrame, str)):
+    if nested:
         raise ValueError(f"one value per cell: {nested}")
     return df
 

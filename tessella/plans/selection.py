@@ -6,6 +6,7 @@ averages the color, and its price the target.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions.uniform import hash_uniform, member_seed
@@ -13,6 +14,7 @@ from tessella.operators import selection as SE
 from tessella.plans import inputs as I
 from tessella.plans.inputs import rounded as r, uniform_sql
 from tessella.plans.registry import query
+from tessella.session import scratch
 
 X_EDGES = (0.0, 15.0, 25.0, 35.0, 51.0)
 Y_EDGES = (-10.0, 0.0, 3.0, 10.0)
@@ -58,6 +60,21 @@ def keep_sql(source: str, seed: int = 12345, name: str = "kp", factor: float = 1
 {name} AS (SELECT id FROM (SELECT id, ratio, row_number() OVER (PARTITION BY ratio ORDER BY {uniform_sql(str(seed), 'id')}, id) AS rn FROM {source} WHERE survives_z_cut) JOIN {name}_q USING (ratio) WHERE rn <= quota)"""
 
 
+EVEN_X, EVEN_Y = np.linspace(0.0, 52.0, 5).tolist(), np.linspace(-10.0, 10.0, 4).tolist()
+
+
+@query("s7_stored_grid", f"""{I.ORDERS}, px AS (SELECT price / 1e5 AS z, {left_open('qty', EVEN_X)} AS px, {left_open('(disc * 100 - tax * 100)', EVEN_Y)} AS py FROM f WHERE status = 'F'),
+rt AS (SELECT * FROM (VALUES {PIXELS}) t(px, py, ratio)), cl AS (SELECT px, py, quantile_cont(z, 0.6) AS c FROM px GROUP BY ALL)
+SELECT CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, round(coalesce(c, 0), 6) AS z_ceiling FROM rt LEFT JOIN cl USING (px, py)""")
+def s7_stored(spark, sf):
+    """Ratios and sample written as tables and read back with evenly spaced edges."""
+    g, ratios, sample = grid(spark, sf), scratch(spark), scratch(spark)
+    g.ratios.write.parquet(ratios)
+    g.sample.write.parquet(sample)
+    stored = SE.SelectionGrid.read(spark, ratios, sample, (EVEN_X[0], EVEN_X[-1]), (EVEN_Y[0], EVEN_Y[-1]), (4, 3))
+    return stored.ceilings(60.0).select(F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), r("z_ceiling").alias("z_ceiling"))
+
+
 @query("s7_selection_grid", f"WITH rt AS (SELECT * FROM (VALUES {PIXELS}) t(px, py, ratio)), {OBJ.split('WITH ')[1].split('rt AS')[0].rstrip().rstrip(',')} SELECT CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, CAST(ratio AS DOUBLE) AS ratio, count(id) AS n FROM rt LEFT JOIN px USING (px, py) GROUP BY ALL")
 def s7(spark, sf):
     g = grid(spark, sf)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,20 +10,15 @@ from tessella.functions import histogram as H, quantile as Q
 from tessella.functions.arrays import vector
 from tessella.functions.grids import Bins, Grid
 from tessella.operators import estimators as E, features as FE, metrics as M, validate as V
-from tessella.plans import inputs as I
+from tessella.plans import distributions as D, inputs as I
 from tessella.plans.inputs import rounded as r
 from tessella.plans.registry import query
-from tessella.session import ensure_checkpoint_dir
+from tessella.plans.scoring import scored
+from tessella.session import scratch
 from tessella.sources import catalog as S, ensembles as EN
 from tessella.streaming import scores as ST
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder beside the shared checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-
-
 @query("s1_catalog", "SELECT o_orderkey AS object_id, o_totalprice AS y, o_orderpriority, o_orderstatus FROM orders")
 def s1(spark, sf):
     o = I.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
@@ -113,6 +106,16 @@ def s9_quantiles(spark, sf):
     return out.select("usr", F.col("i").cast("long").alias("i"), r("t.level").alias("level"), r("t.locs").alias("v"))
 
 
+@query("s8_mixture_round_trip", f"{D.MIX} SELECT id, round(sum(wt * p * c), 6) AS mean FROM mx GROUP BY id")
+def s8_mixture(spark, sf):
+    """A mixture stored as its histogram on the union of edges, and read back."""
+    path = scratch(spark)
+    EN.write_mixture(D.mixture(spark, sf), path)
+    back, _, axis = EN.read(spark, path)
+    bins = Bins(tuple(axis))
+    return back.withColumn("p", H.probabilities("masses", bins)).select("id", r(H.mean("p", bins)).alias("mean"))
+
+
 # -- checks ---------------------------------------------------------------------------
 
 
@@ -181,6 +184,13 @@ def v7(spark, sf):
     return M.finite_pairs(ev.select("id", a.alias("a"), b.alias("b")), "a", "b").select("id")
 
 
+@query("v8_finite_pits", f"{I.SCORES} SELECT key, count(*) AS n, round(avg(pit), 7) AS mean_pit FROM s WHERE id % 7 <> 0 AND id % 11 <> 0 GROUP BY key")
+def v8(spark, sf):
+    pit = F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 11 != 0, F.col("pit"))
+    kept = M.finite_pairs(scored(spark, sf).withColumn("pit", pit), "pit")
+    return kept.groupBy("key").agg(F.count("*").alias("n"), r(F.avg("pit"), 7).alias("mean_pit"))
+
+
 @query("v9_take", f"WITH {I.EV} SELECT id, y FROM ev WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)")
 def v9(spark, sf):
     rows = I.table(spark, sf, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("id"))
@@ -219,23 +229,24 @@ def v14(spark, sf):
 @query("l1_stream_scores", f"{I.SCORES} SELECT id, round(cde, 12) AS cde, round(pit, 8) AS pit, round(crps, 6) AS crps, round(nll, 7) AS nll FROM s")
 def l1(spark, sf):
     """Predictions arrive as a stream of files; every score is the batch expression."""
-    return _streamed(spark, sf).select("id", r("cde", 12).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
+    return spark.read.parquet(_streamed(spark, sf)).select("id", r("cde", 12).alias("cde"), r("pit", 8).alias("pit"), r("crps").alias("crps"), r("nll", 7).alias("nll"))
 
 
-def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf: str) -> str:
+    """The score table that a stream of prediction files has appended to."""
     source, scores, state = scratch(spark), scratch(spark), scratch(spark)
     batch = I.cross_predictions(spark, sf)
     batch.write.parquet(source)
     stream = spark.readStream.schema(batch.schema).parquet(source)
     out = ST.score_stream(stream, "masses", "y", I.GRID, ["id", "key"], point="mean")
     ST.append_scores(out, scores, state).awaitTermination()
-    return spark.read.parquet(scores)
+    return scores
 
 
 @query("l2_roll_up", f"{I.SCORES} SELECT key, count(*) AS n, round(avg(cde), 8) AS cde_loss, round(avg(crps), 6) AS crps, round(avg(nll), 6) AS nll FROM s GROUP BY key")
 def l2(spark, sf):
     """The report over the appended score table."""
-    out = M.summarize(_streamed(spark, sf), "y", "y_pred", ["key"], point="mean")
+    out = ST.roll_up(spark, _streamed(spark, sf), ["key"], point="mean")
     return out.select("key", "n", r("cde_loss", 8).alias("cde_loss"), r("crps").alias("crps"), r("nll").alias("nll"))
 
 

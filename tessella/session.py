@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cpus: int = 8, name: str = "tessella") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -46,7 +48,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def size_arrow_batches(spark: SparkSession, values_per_row: int, target_mib: int = 32) -> None:
-    """Lowers the Arrow batch length so that a batch of wide rows stays near ``target_mib``."""
-    rows = max(16, min(10_000, target_mib * 2**20 // (8 * max(values_per_row, 1))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the shared checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
