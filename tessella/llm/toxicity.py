@@ -3,7 +3,9 @@
 * Each token has a score: the log-odds of its share of the documents labelled
   toxic against the others, under Dirichlet priors taken from all labelled
   documents, kept where it is significant; other tokens cost a little, so that
-  the score of ordinary text falls.
+  the score of ordinary text falls. A token also has the scores of its
+  beginnings, so that an inflected form counts that was never met; the highest
+  is taken.
 * One pass over a text finds all maximal scoring segments in linear time.
 * Extreme-value calibration makes segment scores comparable: in ordinary text
   of n tokens a score beyond S is met about K n exp(-lambda S) times, lambda
@@ -36,6 +38,8 @@ from tessella.llm.common import fold, rows_of, worker_memo
 MOST_LABELLED = 100_000
 #: Tokens are counted in this many hash buckets, which bounds the model.
 BUCKETS = 1 << 19
+#: Lengths of a token's beginnings that are counted beside the token itself.
+STEMS = (4, 5, 6)
 #: Weight of the prior, in documents.
 PRIOR = 50.0
 #: Least z-score of a token that counts, and what any other token costs.
@@ -54,8 +58,13 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) & (BUCKETS - 1)
+def bucket(form: str) -> int:
+    return zlib.crc32(form.encode()) & (BUCKETS - 1)
+
+
+def forms(token: str) -> list[str]:
+    """The token and its beginnings: what an inflected word shares with its other forms."""
+    return [token, *[f"{token[:n]}*" for n in STEMS if len(token) > n]]
 
 
 @dataclass(frozen=True)
@@ -82,7 +91,7 @@ class _Scores(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= TOKENS_KEPT:
             self.clear()
-        self[token] = value = float(self.scores[bucket(token)])
+        self[token] = value = max(float(self.scores[bucket(f)]) for f in forms(token))
         return value
 
 
@@ -136,12 +145,12 @@ class Scorer:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, toxic, n) document counts of a partition; bucket -1 counts the documents."""
+    """(bucket, toxic, clean) document counts of a partition; bucket -1 counts the documents."""
     found = np.zeros((2, BUCKETS), np.int64)
     documents = np.zeros(2, np.int64)
     for batch in rows_of(batches):
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {bucket(t) for t in set(tokens(text or ""))}
+            own = {bucket(f) for t in set(tokens(text or "")) for f in forms(t)}
             found[label, np.fromiter(own, np.int64, len(own))] += 1
             documents[label] += 1
     at = np.flatnonzero(found.sum(axis=0))
@@ -155,9 +164,8 @@ def _shares(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) ->
 
 
 def background(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """How often tokens are met in ordinary text: counts of the documents that are not toxic, smoothed by the prior."""
-    seen = toxic + clean > 0
-    return np.where(seen, clean + PRIOR * _shares(toxic, clean, n_toxic, n_clean), 0.0)
+    """How often tokens are met in ordinary text: counts of the documents that are not toxic, and one document of the prior."""
+    return np.where(toxic + clean > 0, clean + _shares(toxic, clean, n_toxic, n_clean), 0.0)
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
