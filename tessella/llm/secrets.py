@@ -44,10 +44,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+# A private key's body: with its END line, of all that wraps base64; without it, runs of base64 of a line's size and then lines of base64 alone.
+# Stars stand on character classes only, so that a body of any length needs no stack; no class of a body holds the dashes of the next key. Written line breaks (\r\n) count as such.
+_FIELDS = r"(?:[\x20\t\r\n\\]*[A-Za-z]+-[A-Za-z-]+:\x20?[A-Za-z0-9,=+/-]*){0,9}"
+_WITH_END = r"""[A-Za-z0-9+/=\x20\t\r\n\\"',;|>#*]*-----END [A-Z ]{0,40}PRIVATE KEY-----"""
+_RUNS = r"""(?:[\x20\t\r\n\\rn"',;|>#*]*[A-Za-z0-9+/=]{24}(?:[A-Za-z0-9+/=\x20\t\r\n\\"',;|>#*]*[A-Za-z0-9+/=]{24})?[A-Za-z0-9+/=]*)?"""
+_LINES = r"(?:[\x20\t]*[\r\n\\][A-Za-z0-9+/=\r\n\\]*(?:[\r\n\\]|\z))?"
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----{_FIELDS}(?:{_WITH_END}|{_RUNS}{_LINES})", version=2),
 )
 RULES = BASE + MORE
 

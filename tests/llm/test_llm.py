@@ -425,6 +425,36 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "a [secret] b [secret]", 2: "\U0001f600 clean", 3: None}
 
 
+def test_redaction_of_whole_private_keys(spark):
+    """The key's body goes with its header: with and without an END line, escaped, indented, encrypted, cut; prose around stays."""
+    rng = random.Random(4)
+    body = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(25)] + ["Qx7/cbAu5+Zw9A=="]
+    begin, end = "-----BEGIN RSA PRIVATE " + "KEY-----", "-----END RSA PRIVATE " + "KEY-----"
+    cases = [
+        ("a " + "\n".join([begin, *body, end]) + "\nThe rest stays.", "a [secret]\nThe rest stays."),
+        ("a " + "\r\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *body, end]) + " b", "a [secret] b"),
+        ('{"k": "' + "\\n".join([begin, *body, end]) + '"}', '{"k": "[secret]"}'),
+        ("a " + " ".join([begin, *body, end]) + " b", "a [secret] b"),
+        ("a\n  " + "\n  ".join([begin, *body, end]) + "\nb", "a\n  [secret]\nb"),
+        ("\n".join([begin, *body, "The rest stays here."]), "[secret]The rest stays here."),
+        ("\n".join([begin, *body])[:-7], "[secret]"),
+        ("\n".join([begin, *body[:2], end, "and", begin, *body[2:4], end]), "[secret]\nand\n[secret]"),
+        (begin + " is how a key begins.", "[secret] is how a key begins."),
+        ("\n".join([begin, *body * 4000, end]) + " b", "[secret] b"),
+        ("\n".join([begin, *body * 4000]), "[secret]"),
+        (begin * 5000, "[secret]" * 5000),
+    ]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(documents(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()}
+    assert got == {k: clean for k, (_, clean) in enumerate(cases)}
+    # The SQL twin takes the same spans with another library.
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    small = [(k, t) for k, (t, _) in enumerate(cases) if len(t) < 5000]
+    db.executemany("insert into documents values (?, ?)", small)
+    twin = db.execute(f"select doc_id, spans from ({queries.ORACLE['op8_secrets']})").fetchall()
+    assert rows(secrets.report(documents(spark, small)), "doc_id", "spans") == sorted(map(repr, twin))
+
+
 # --- URLs
 
 def rule_by_hand(url):
