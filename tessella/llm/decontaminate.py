@@ -1,12 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are sequences of words. A seed is a fixed mask over a few neighbouring
+Texts are sequences of words; in scripts without spaces each character is one. A seed is a fixed mask over a few neighbouring
 words; the words at its open places are hashed, those between are ignored. The
 masks are chosen so that every stretch of ``STRETCH`` words with up to a fifth
 of them substituted still holds at least one hit of one mask. Test and training
 hashes are joined; each hit fixes how the two texts lie against each other, and
 the words around it are compared under that alignment: a document overlaps with
-an item if some stretch of ``STRETCH`` aligned words has ``LIKENESS`` of them equal.
+an item if in some stretch of ``STRETCH`` aligned words at most ``SUBSTITUTED`` differ.
+Shorter items are looked for as a whole, with as many substitutions in proportion,
+and the shortest ones where they fill whole lines, word for word. A stretch of
+characters is twice as long as one of words.
 
 Test sets are small beside a corpus. They are taken in blocks of bounded size;
 a block's hashes and words are broadcast, and the corpus is joined with it
@@ -31,19 +34,48 @@ from tessella.llm.common import rows_of, worker_memo
 
 # Open places of the masks. Together they meet every 13 words with 2 of them substituted.
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 6, 7))
-STRETCH, LIKENESS = 13, 0.8
-#: Items of fewer words say nothing; those below a stretch must occur as a whole.
+STRETCH, SUBSTITUTED = 13, 2
+#: Items of fewer words say nothing within a sentence: they must fill whole lines of a text.
 LEAST_WORDS = 5
 #: Hashes in a block of test items, about 30 MB.
 BLOCK_HASHES = 1_000_000
 _TABLE_BITS = 23
 WORDS_KEPT = 300_000
 
+# Letters, marks and digits of scripts written without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Javanese, kana, Han, Yi).
+_UNSPACED = (r"\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59\u0e81-\u0eff\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17dc-\u17e9\u1950-\u19d9\u1a20-\u1a9f"
+             r"\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c"
+             r"\ua980-\ua9c0\ua9cf-\ua9d9\ua9e0-\ua9fe\uaa60-\uaadd\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
 _WORD = re.compile(r"[^\W_]+")
+_CHARACTER = re.compile(f"[{_UNSPACED}]")
+_EITHER = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_WORD if text.isascii() or not _CHARACTER.search(text) else _EITHER).findall(text)
+
+
+def _unit(found: list[str]) -> int:
+    """Tokens that count as one word: two if most are characters of scripts without spaces."""
+    return 1 + (2 * sum(map(bool, map(_CHARACTER.match, found))) > len(found))
+
+
+def _substituted(n: int) -> int:
+    """Words of ``n`` that may differ."""
+    return SUBSTITUTED * n // STRETCH
+
+
+def lines_of(text: str) -> tuple[set[int], set[int]]:
+    """The numbers of the words that begin a line, and of those that follow a line's end."""
+    starts, ends, at = set(), set(), 0
+    for line in text.splitlines():
+        n = len(words(line))
+        if n:
+            starts.add(at)
+            at += n
+            ends.add(at)
+    return starts, ends
 
 
 class _Hashes(dict):
@@ -62,9 +94,10 @@ def word_hashes(text: str, known: dict) -> np.ndarray:
 
 
 def _masks_for(length: int) -> list[tuple[int, ...]]:
-    """The masks for an item of so many words; one over all its words if it is shorter than the masks."""
-    span = max(m[-1] for m in MASKS) + 1
-    return list(MASKS) if length >= span else [tuple(range(length))]
+    """The masks for an item of so many words. Below a stretch: every other word, which meets any one substitution, or all words if none may differ."""
+    if length >= STRETCH:
+        return list(MASKS)
+    return [tuple(range(0, length // 2 * 2, 2)) if _substituted(length) else tuple(range(length))]
 
 
 def seed_hashes(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -96,12 +129,13 @@ class Index:
     def __init__(self, block: Block) -> None:
         self.known = _Hashes()
         self.items = [(i, word_hashes(t, self.known)) for i, t in block.items]
+        self.units = [_unit(words(t)) for _, t in block.items]
         self.lengths: set[tuple[int, ...]] = set()
         hashes, owners, places = [], [], []
         for k, (_, h) in enumerate(self.items):
-            if len(h) < LEAST_WORDS:
+            if not len(h):
                 continue
-            for mask in _masks_for(len(h)):
+            for mask in _masks_for(len(h)) if len(h) >= LEAST_WORDS * self.units[k] else [tuple(range(len(h)))]:
                 self.lengths.add(mask)
                 own = seed_hashes(h, mask)
                 hashes.append(own)
@@ -132,17 +166,24 @@ class Index:
         The words reach from the first like stretch to the last; the likeness is that of the best stretch.
         """
         h = word_hashes(text, self.known)
+        lines: tuple[set[int], set[int]] | None = None
         best: dict[int, tuple[int, int, int, float]] = {}
         for k, shift in sorted(self.hits(h)):
             item_id, item = self.items[k]
             start, end = max(0, shift), min(len(h), shift + len(item))
-            need = min(STRETCH, len(item))
+            need = min(STRETCH * self.units[k], len(item))
             if end - start < need:
                 continue
+            least = need - _substituted(need)
+            if len(item) < LEAST_WORDS * self.units[k]:
+                lines = lines or lines_of(text)
+                if start not in lines[0] or end not in lines[1]:
+                    continue
+                least = need
             same = (h[start:end] == item[start - shift:end - shift]).astype(np.int64)
             total = np.concatenate(([0], np.cumsum(same)))
             equal = total[need:] - total[:-need]
-            enough = np.flatnonzero(equal >= (np.ceil(LIKENESS * need) if need == STRETCH else need))
+            enough = np.flatnonzero(equal >= least)
             if len(enough):
                 a, b = int(enough[0]), int(enough[-1]) + need
                 row = item_id, start + a, b - a, float(equal.max() / need)
@@ -157,7 +198,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") ->
     held, size = [], 0
     for r in rows.orderBy(F.col("i").asc_nulls_first(), "t").toLocalIterator():
         held.append((r["i"], r["t"]))
-        size += len(MASKS) * (len(r["t"]) // 2 + 1)
+        size += len(MASKS) * (len(r["t"]) // (1 if _CHARACTER.search(r["t"]) else 2) + 1)
         if size >= BLOCK_HASHES:
             yield Block(tuple(held))
             held, size = [], 0
@@ -169,9 +210,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], tex
     """A row for each document and test item that overlap: the columns in ``keep``, item_id, first_word, n_words, likeness.
 
     Documents without an overlap have no row. Null and empty texts overlap
-    with nothing; items of fewer than ``LEAST_WORDS`` words are not looked for;
-    repeated documents each get their rows, repeated items count once. Empty
-    tables on either side give an empty result.
+    with nothing, and neither do items without a word; items of fewer than
+    ``LEAST_WORDS`` words are found where they fill whole lines; repeated each
+    get their rows, repeated items count once. Empty tables on either side give
+    an empty result.
     """
     source = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["item_id long, first_word int, n_words int, likeness double"])

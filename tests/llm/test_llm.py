@@ -554,6 +554,42 @@ def test_substituted_passages_are_found(spark):
     assert decontaminate.overlaps(documents(spark, []), tests, {}).count() == 0
 
 
+def test_one_substitution_in_short_items():
+    for n in range(decontaminate.LEAST_WORDS, decontaminate.STRETCH):
+        item = prose(60, 40).split()[:n]
+        index = decontaminate.Index(decontaminate.Block(((1, " ".join(item)),)))
+        assert [r[0] for r in index.overlaps(f"{prose(61, 9)} {' '.join(item)} {prose(62, 9)}")] == [1]
+        for k in range(n):
+            changed = [*item[:k], "zzz", *item[k + 1:]]
+            assert bool(index.overlaps(f"{prose(61, 9)} {' '.join(changed)} {prose(62, 9)}")) == (n >= 7)
+            assert not index.overlaps(" ".join([*changed[: k - 1], "yyy", *changed[k:]] if k else ["zzz", "yyy", *item[2:]]))
+
+
+def test_shortest_items_fill_whole_lines(spark):
+    tests = spark.createDataFrame([(1, "Name the river"), (2, "blue"), (3, "?!"), (4, "\u4f55\u6642")], "item_id long, text string")
+    frame = documents(spark, [(1, "name the river"), (2, "a\n Name the river?\nb"), (3, "can you name the river now"), (4, "Blue."), (5, "blue sky"), (6, "\u4f55\u6642\uff1f"), (7, "\u4f55\u6642\u304b"), (8, "?!")])
+    got = decontaminate.overlaps(frame, tests, {"doc_id": frame["doc_id"]}).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["likeness"]) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (4, 2, 1.0), (6, 4, 1.0)]
+
+
+def test_scripts_without_spaces_are_found():
+    rng = random.Random(7)
+    for first, last in ((0x4E00, 0x9FA0), (0x3041, 0x3090), (0x0E01, 0x0E2E)):
+        make = lambda n: "".join(chr(rng.randrange(first, last)) for _ in range(n))  # noqa: E731, B023
+        for n in (10, 12, 13, 20, 25, 26, 40):
+            item = make(n)
+            index = decontaminate.Index(decontaminate.Block(((1, item),)))
+            for _ in range(20):
+                changed = list(item)
+                for at in rng.sample(range(min(n, 26)), 2 * min(n, 26) // 13):
+                    changed[at] = make(1)
+                assert index.overlaps(f"{make(30)}{''.join(changed)}{make(30)}")
+            assert not index.overlaps(make(300))
+        # Thirteen common characters in a row are a phrase, not a test item.
+        item, part = make(40), slice(10, 23)
+        assert not decontaminate.Index(decontaminate.Block(((1, item),))).overlaps(make(30) + item[part] + make(30))
+
+
 def test_blocks_do_not_change_the_result(spark, sf_dir, monkeypatch):
     docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     whole = rows(decontaminate.overlaps(docs, tests, {"doc_id": docs["doc_id"]}), "doc_id", "item_id", "first_word", "n_words")
