@@ -50,12 +50,18 @@ _RAW = "script|style|template|svg|math|xmp|noembed|noframes"
 _AUTO_CLOSED = frozenset("p li dt dd tr td th option".split())
 _CELLS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-#: Words in class and id names that mark blocks around the main text.
+#: Words in class and id names that mark blocks around the main text: a whole name, its head (last) word, or its first before words of place and size.
 _AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side-?bar|side|widget\w*|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|foot|header|masthead|topbar|toolbar|comments?|comment-?list|disqus|respond|replies|notice|notices|cookies?|consent|gdpr|popup|modal|"
-    r"newsletter|subscribe|subscription|share|sharing|social|related|recommended|pagination|pager|copyright|disclaimer|alert|login|signup|search)"
-    r"(?:$|[\s_-])", re.I)
+    r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|side-?bar|side|widget\w*|nav|navbar|navigation|menu|breadcrumbs?|"
+    r"footer|foot|header|masthead|topbar|toolbar|comments?|comment-?list|disqus|respond|replies|notices?|cookies?|consent|gdpr|popup|modal|"
+    r"newsletter|subscribe|subscription|share|sharing|social|related|recommended|pagination|pager|copyright|disclaimer|alert|login|signup|search")
+_PLACES = re.compile(
+    r"wrap|wrapper|container|inner|outer|area|block|box|list|left|right|top|bottom|primary|secondary|main|section|slot|unit|item|items|links?|"
+    r"icons?|buttons?|bar|posts?|articles?|form|panel|column|col|content|text|title|widgets?|nav|menu|message|overlay|dialog|thread|\d+|[a-z]")
+#: First words that say a layout has such a block, and those of an article's own header.
+_LAYOUT = frozenset("with without has have no not is hide show toggle enable disable content layout page body".split())
+_OWN_HEADER = frozenset("entry post article story content main body".split())
+_HEADERS = frozenset("header masthead".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -66,33 +72,53 @@ _SPACE = re.compile(r"[\s\x00]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 MAIN, OTHER, OPEN = 1, 0, -1
+NAMED, HIDDEN = 1, 2
 
 
 class _Block:
-    __slots__ = ("article", "heading", "linked", "never", "text")
+    __slots__ = ("article", "heading", "inside", "linked", "never", "text")
 
-    def __init__(self, text: str, linked: int, never: bool, article: bool, heading: bool) -> None:
-        self.text, self.linked, self.never, self.article, self.heading = text, linked, never, article, heading
+    def __init__(self, text: str, linked: int, never: bool, article: bool, heading: bool, inside: bool) -> None:
+        self.text, self.linked, self.never, self.article, self.heading, self.inside = text, linked, never, article, heading, inside
 
 
-def _around(name: str, attributes: str) -> bool:
-    """Whether an element's attributes mark it as something around the main text."""
+def _named_around(value: str, article: bool) -> bool:
+    """Whether a class or id value (lower case) names something around the main text."""
+    for token in value.split():
+        words = [w for w in re.split("[-_]+", token) if w]
+        if not words:
+            continue
+        head = words[-1]
+        if head in _HEADERS and (article or (len(words) > 1 and words[0] in _OWN_HEADER)):
+            continue
+        if _AROUND.fullmatch("-".join(words)):
+            return True
+        if len(words) > 1 and words[0] not in _LAYOUT - {"page", "body"} | (_LAYOUT if head.startswith("side") else frozenset()):
+            first = words[0] not in _HEADERS or not article
+            if _AROUND.fullmatch(head) or (first and _AROUND.fullmatch(words[0]) and all(map(_PLACES.fullmatch, words[1:]))):
+                return True
+    return False
+
+
+def _around(name: str, attributes: str, article: bool) -> int:
+    """Whether an element's attributes mark it as around the main text: ``HIDDEN`` by what it is, ``NAMED`` by class or id, or 0."""
+    named = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return HIDDEN
         if key == "role" and value in _ROLES:
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and _AROUND.search(value):
-            return True
-    return False
+            return HIDDEN
+        if key in ("class", "id") and name not in ("body", "html", "article", "main") and _named_around(value, article):
+            named = NAMED
+    return named
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks that hold text, in page order."""
     out: list[_Block] = []
-    # Open elements: name, whether main text is ruled out, within an article, within a heading.
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # Open elements: name, what rules main text out, within an article, within a heading, whether a name outside the article rules it out.
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     parts: list[str] = []
     linked = anchors = 0
 
@@ -101,8 +127,8 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                _, never, article, heading = stack[-1]
-                out.append(_Block(text, min(linked, len(text)), never, article, heading))
+                _, never, article, heading, inside = stack[-1]
+                out.append(_Block(text, min(linked, len(text)), bool(never), article, heading, inside))
             parts.clear()
         linked = 0
 
@@ -121,7 +147,7 @@ def blocks(page: str) -> list[_Block]:
             anchors = max(0, anchors - 1) if ending else 1
         elif name == "br":
             parts.append(" ")
-        elif name in _BLOCK or (name in ("span", "ins") and attributes and _around(name, attributes)):
+        elif name in _BLOCK or (name in ("span", "ins") and attributes and _around(name, attributes, stack[-1][2])):
             close()
             anchors = 0
             if ending:
@@ -135,10 +161,18 @@ def blocks(page: str) -> list[_Block]:
                         del stack[k:]
                 if stack[-1][0] == "p":
                     stack.pop()
-                _, never, article, heading = stack[-1]
-                never = never or name in _NEVER or (name == "header" and not article) or bool(attributes and _around(name, attributes))
-                stack.append((name, never, article or name in ("article", "main") or 'role="main"' in attributes.lower(),
-                              heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                _, never, article, heading, inside = stack[-1]
+                main = name == "main" or 'role="main"' in attributes.lower()
+                # A wrapper's name does not rule out the page's main element, nor its article if it has no other.
+                if never == NAMED and (main or (name == "article" and not article)):
+                    never, inside = 0, not main
+                if name in _NEVER or (name == "header" and not article):
+                    never = HIDDEN
+                elif attributes and not main:
+                    never = max(never, _around(name, attributes, article))
+                elif attributes and _around(name, attributes, article) == HIDDEN:
+                    never = HIDDEN
+                stack.append((name, never, article or main or name == "article", heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), inside))
         elif ending and name in ("span", "ins") and stack[-1][0] == name:
             close()
             stack.pop()
@@ -152,9 +186,10 @@ def classify(found: list[_Block]) -> list[bool]:
     """Whether each block is main text."""
     labels = []
     within = any(b.article and not b.never for b in found)
+    outside = any(b.article and not b.never and not b.inside for b in found)
     for b in found:
         n = len(b.text)
-        if b.never or b.linked > MOST_LINKS * n or "\xa9" in b.text[:2]:
+        if b.never or (b.inside and outside) or b.linked > MOST_LINKS * n or "\xa9" in b.text[:2]:
             labels.append(OTHER)
             continue
         if n < SHORT:

@@ -365,6 +365,25 @@ def test_main_text_without_an_article():
     assert maintext.main_text(page) == f"Title\n{long}\nShort one\n{long}"
 
 
+LONG_TEXT = "It was said that there was a lot of it in the house, and that we were to go there with all of them."
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "content-sidebar-wrap", "no-sidebar", "has-sidebar", "content-sidebar", "page-sidebar", "sidebar", "widget-area"])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_wrappers_do_not_rule_out_the_page(name, inner):
+    if inner == "div" and name in ("sidebar", "widget-area"):
+        return
+    page = f"<body><nav>Menu</nav><div class='{name}'><{inner}><h1>Title</h1><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></{inner}></div><footer>End</footer>"
+    assert maintext.main_text(page).endswith(f"{LONG_TEXT}\n{LONG_TEXT}") and (inner == "div" or maintext.main_text(page).startswith("Title"))
+
+
+def test_names_around_and_inside_an_article():
+    rest = "".join(f"<div class='{c}'><p>{LONG_TEXT}</p></div>" for c in ("sidebar", "left-sidebar", "sidebar-left", "footer-inner", "cookie-notice", "site_header", "comment-list", "ad"))
+    page = f"<div class='related'><article><p>{LONG_TEXT} Teaser.</p></article></div><article><div class='entry-header'><h1>Title</h1></div><p>{LONG_TEXT}</p><div class='post-header'>More</div></article>{rest}"
+    assert maintext.main_text(page) == f"Title\n{LONG_TEXT}\nMore"
+    assert maintext.main_text(f"<div class='entry-header'><h1>Title</h1></div><p>{LONG_TEXT}</p>{rest}") == f"Title\n{LONG_TEXT}"
+
+
 def test_main_text_edges(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<p>" + "a < b and the rest of it is here for all of us to see, is it not so? " * 2), (None, "u", "<!-- open"), (4, "u", "<script>x"),
              (5, "u", "<p>" + prose(1, 30_000)), (5, "u", "<p>" + prose(1, 30_000)), (6, "u", "plain"), (7, "u", "<" * 3000), (8, "u", "<p a='" * 500)]
