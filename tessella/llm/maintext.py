@@ -6,7 +6,8 @@ link density, by length and by the density of stop words; short blocks stay
 ambiguous. In the second pass an ambiguous block takes the label of its
 nearest decided neighbours on both sides: with neighbours of one kind it takes
 theirs, between kinds it is main text if a main block is as near as any other
-or if it stands within the page's article.
+or if it stands within the page's article. On a page whose text no list of stop
+words fits, long blocks and shorter ones that end as a sentence are main text.
 """
 
 from __future__ import annotations
@@ -70,6 +71,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
 _SPACE = re.compile(r"[\s\x00]+")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Characters of scripts that write a syllable or word in one (kana, Han, Hangul): each counts as three letters. Ends of sentences, before closing marks.
+_WIDE = re.compile(r"[\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff0e\uff01\uff1f\u0964\u0965\u061f\u06d4\u0589\u1362\u17d4\u104b][\"'\u00bb\u201d\u2019\u300d\u300f)\uff09\]]*$")
 
 MAIN, OTHER, OPEN = 1, 0, -1
 NAMED, HIDDEN = 1, 2
@@ -182,25 +186,34 @@ def blocks(page: str) -> list[_Block]:
     return out
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
 def classify(found: list[_Block]) -> list[bool]:
     """Whether each block is main text."""
-    labels = []
+    labels, sizes, hits, counts = [], [], [], []
     within = any(b.article and not b.never for b in found)
     outside = any(b.article and not b.never and not b.inside for b in found)
     for b in found:
-        n = len(b.text)
-        if b.never or (b.inside and outside) or b.linked > MOST_LINKS * n or "\xa9" in b.text[:2]:
+        sizes.append(_size(b.text))
+        if b.never or (b.inside and outside) or b.linked > MOST_LINKS * len(b.text) or "\xa9" in b.text[:2]:
             labels.append(OTHER)
-            continue
-        if n < SHORT:
-            labels.append(OPEN)
-            continue
-        own = _WORDS.findall(b.text.lower())
-        density = sum(map(STOP_WORDS.__contains__, own)) / max(1, len(own))
-        if density >= MANY_STOPS or (density >= FEW_STOPS and n > LONG):
-            labels.append(OTHER if within and not b.article else MAIN)
         else:
             labels.append(OPEN)
+        own = _WORDS.findall(b.text.lower()) if labels[-1] == OPEN and sizes[-1] >= SHORT else []
+        hits.append(sum(map(STOP_WORDS.__contains__, own)))
+        counts.append(max(1, len(own)))
+    # If most of the page's running text is below the least density, its language has no list here.
+    running = [(n, h >= FEW_STOPS * c) for n, h, c, label in zip(sizes, hits, counts, labels, strict=True) if label == OPEN and n >= SHORT]
+    listed = 2 * sum(n for n, fits in running if fits) >= sum(n for n, _ in running)
+    for k, b in enumerate(found):
+        if labels[k] == OTHER or sizes[k] < SHORT:
+            continue
+        density = hits[k] / counts[k]
+        fits = density >= MANY_STOPS or (density >= FEW_STOPS and sizes[k] > LONG)
+        if fits or (not listed and (sizes[k] > LONG or _SENTENCE.search(b.text))):
+            labels[k] = OTHER if within and not b.article else MAIN
     before, after, n = [None] * len(found), [None] * len(found), len(found)
     near = None
     for k in range(n):

@@ -377,6 +377,24 @@ def test_wrappers_do_not_rule_out_the_page(name, inner):
     assert maintext.main_text(page).endswith(f"{LONG_TEXT}\n{LONG_TEXT}") and (inner == "div" or maintext.main_text(page).startswith("Title"))
 
 
+FOREIGN = [
+    "W lesie za miastem mieszkał stary zegarmistrz, który każdego ranka naprawiał zegary przyniesione przez sąsiadów z całej okolicy.",
+    "Старый часовщик жил в лесу за городом и каждое утро чинил часы, которые приносили ему соседи со всей округи, не беря денег.",
+    "Şehrin dışındaki ormanda yaşlı bir saatçi yaşıyordu ve her sabah komşularının getirdiği saatleri büyük bir sabırla onarıyordu.",
+    "城外的森林里住着一位老钟表匠，每天早晨他都会修理邻居们从各处带来的钟表，从来不收一分钱。",
+    "町の外の森に年老いた時計職人が住んでいて、毎朝、近所の人々が持ってくる時計を修理していました。",
+    "นอกเมืองมีช่างทำนาฬิกาชราคนหนึ่งอาศัยอยู่ในป่าและทุกเช้าเขาจะซ่อมนาฬิกาที่เพื่อนบ้านนำมาจากทั่วทุกสารทิศโดยไม่คิดเงิน" * 2,
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_main_text_in_languages_without_a_list(text):
+    page = f"<body><div><a href=a>One</a> <a href=b>Two</a></div><h2>T</h2><p>{text}</p><p>{text}</p><div><a href=c>{text}</a></div><div class=footer>{text}</div><p>{LONG_TEXT}</p>"
+    assert maintext.main_text(page.replace(f"<p>{LONG_TEXT}</p>", "")) == f"T\n{text}\n{text}"
+    # One sentence in a listed language, as of a notice, does not hide the rest.
+    assert f"{text}\n{text}" in maintext.main_text(page.replace(f"<p>{text}</p>", f"<p>{text}</p>" * 4, 1))
+
+
 def test_names_around_and_inside_an_article():
     rest = "".join(f"<div class='{c}'><p>{LONG_TEXT}</p></div>" for c in ("sidebar", "left-sidebar", "sidebar-left", "footer-inner", "cookie-notice", "site_header", "comment-list", "ad"))
     page = f"<div class='related'><article><p>{LONG_TEXT} Teaser.</p></article></div><article><div class='entry-header'><h1>Title</h1></div><p>{LONG_TEXT}</p><div class='post-header'>More</div></article>{rest}"
