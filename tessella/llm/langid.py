@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.llm.common import rows_of, worker_memo
 
@@ -30,6 +30,8 @@ SAMPLE_ROWS = 200
 SAMPLE_CHARS = (20, 20_000)
 SAMPLE_LETTERS = 60_000
 MOST_LANGUAGES = 200
+#: Rows that are ranked for the sample, times those wanted.
+CANDIDATES = 3
 WORDS_KEPT = 400_000
 _FIELD = 40
 
@@ -139,22 +141,26 @@ class Identifier:
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Sample:
     """The labelled sample, from rows with a language for which ``train`` (over ``doc_id``) holds.
 
-    About ``SAMPLE_ROWS`` documents per language, chosen by the hash of their
-    id, whose distinct words go into the automaton up to ``SAMPLE_LETTERS``
-    characters; the ``MOST_LANGUAGES`` most frequent languages are learned.
+    At most ``SAMPLE_ROWS`` documents per language, those of the smallest hash of
+    id and text, whose distinct words go into the automaton up to
+    ``SAMPLE_LETTERS`` characters; repeated rows count once, null ids are ids.
+    The ``MOST_LANGUAGES`` most frequent languages are learned.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
                       F.length(F.col(f"`{text}`").cast("string")).alias("n"), F.col(f"`{text}`").cast("string").alias("text"))
-    fit_rows = own.where(F.col("lang").isNotNull() & train & F.col("n").between(*SAMPLE_CHARS))
-    counts = fit_rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
+    fit_rows = own.where(F.col("lang").isNotNull() & train & F.col("n").between(*SAMPLE_CHARS)).select(
+        "lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = fit_rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("distinct")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Sample(())
-    # A hash below this bound leaves about SAMPLE_ROWS rows of the language.
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(SAMPLE_ROWS / r["rows"]))])
-    share = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
-    picked = fit_rows.where(share < bound[F.col("lang")]).select("lang", "doc_id", "text")
+    # Hashes below this bound are some CANDIDATES times the rows wanted, so those dealt out are few; the least of them are taken.
+    bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, CANDIDATES * SAMPLE_ROWS / max(1, r["distinct"]))))])
+    share = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    few = fit_rows.withColumn("share", share).where(F.col("share") <= bound[F.col("lang")]).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("share", "h"))
+    picked = few.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).select("lang", "doc_id", "text")
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0)):
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     return Sample(tuple((name, sample_text(texts[name])) for name in sorted(texts)))
 

@@ -282,6 +282,17 @@ def test_language_edges(spark):
     assert langid.fit(documents(spark, []), F.col("doc_id").isNotNull()).texts == ()
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_language_sample_is_bounded(spark, monkeypatch, same):
+    """Rows of one id, null or not, are sampled like any others; copies count once."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 5)
+    seen = []
+    monkeypatch.setattr(langid, "sample_text", lambda texts: seen.append(texts) or "")
+    docs = documents(spark, [(same, prose(k, 30)) for k in range(300)] + [(same, prose(1, 30))] * 300)
+    langid.fit(docs, F.lit(True))
+    assert [len(t) for t in seen] == [5] and len(set(seen[0])) == 5
+
+
 # --- syncmers
 
 def test_anchors_need_no_context():
