@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.llm.common import rows_of, worker_memo
 
-#: Sampled documents per language, the length they may have, distinct characters of words kept per language, languages.
+#: Sampled documents per language, the length they should have, distinct characters of words kept per language.
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = (20, 20_000)
 SAMPLE_LETTERS = 60_000
-MOST_LANGUAGES = 200
+#: A sample of fewer characters counts as one of so many, or each piece of any text would cost it next to nothing.
+LEAST_LETTERS = 1024
 #: Rows that are ranked for the sample, times those wanted.
 CANDIDATES = 3
 WORDS_KEPT = 400_000
@@ -106,7 +107,7 @@ class Identifier:
     def __init__(self, sample: Sample) -> None:
         self.names = [name for name, _ in sample.texts]
         self.automata = [WordAutomaton(text) for _, text in sample.texts]
-        self.weights = [math.log2(max(2, a.text_length)) for a in self.automata]
+        self.weights = [math.log2(max(LEAST_LETTERS, a.text_length)) for a in self.automata]
         self.known: dict[str, int] = {}
 
     def _word(self, word: str) -> int:
@@ -144,25 +145,28 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     At most ``SAMPLE_ROWS`` documents per language, those of the smallest hash of
     id and text, whose distinct words go into the automaton up to
     ``SAMPLE_LETTERS`` characters; repeated rows count once, null ids are ids.
-    The ``MOST_LANGUAGES`` most frequent languages are learned.
+    Texts within ``SAMPLE_CHARS`` come first; where a language has too few of
+    them, shorter ones and the beginnings of longer ones fill the sample. Every
+    language with a word in its texts is learned.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
                       F.length(F.col(f"`{text}`").cast("string")).alias("n"), F.col(f"`{text}`").cast("string").alias("text"))
-    fit_rows = own.where(F.col("lang").isNotNull() & train & F.col("n").between(*SAMPLE_CHARS)).select(
-        "lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = fit_rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("distinct")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return Sample(())
-    # Hashes below this bound are some CANDIDATES times the rows wanted, so those dealt out are few; the least of them are taken.
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, CANDIDATES * SAMPLE_ROWS / max(1, r["distinct"]))))])
+    fit_rows = own.where(F.col("lang").isNotNull() & train & (F.col("n") > 0)).select(
+        "lang", "doc_id", F.col("text").substr(1, SAMPLE_CHARS[1]).alias("text"), F.xxhash64("doc_id", "text").alias("h"),
+        (~F.col("n").between(*SAMPLE_CHARS)).alias("odd"))
+    counts = fit_rows.groupBy("lang").agg(*[F.approx_count_distinct(F.when(F.col("odd") == odd, F.col("h"))).alias(name) for name, odd in (("usual", False), ("others", True))])
+    # Hashes below these bounds are some CANDIDATES times the rows wanted, so those dealt out are few; the least of them are taken.
+    least = lambda n: F.lit(float(CANDIDATES * SAMPLE_ROWS)) / F.greatest(n, F.lit(1))
+    bound = F.broadcast(counts.select("lang", least("usual").alias("bound"), F.when(F.col("usual") < 2 * SAMPLE_ROWS, least("others")).otherwise(F.lit(-1.0)).alias("odd_bound")))
     share = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    few = fit_rows.withColumn("share", share).where(F.col("share") <= bound[F.col("lang")]).dropDuplicates(["lang", "h"])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("share", "h"))
+    few = fit_rows.withColumn("share", share).join(bound, "lang").where(F.col("share") <= F.when(F.col("odd"), F.col("odd_bound")).otherwise(F.col("bound"))).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "share", "h"))
     picked = few.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).select("lang", "doc_id", "text")
     texts: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return Sample(tuple((name, sample_text(texts[name])) for name in sorted(texts)))
+    made = [(name, sample_text(texts[name])) for name in sorted(texts)]
+    return Sample(tuple((name, sample) for name, sample in made if sample.strip()))
 
 
 def sample_text(texts: list[str], letters: int = SAMPLE_LETTERS) -> str:

@@ -293,6 +293,18 @@ def test_language_sample_is_bounded(spark, monkeypatch, same):
     assert [len(t) for t in seen] == [5] and len(set(seen[0])) == 5
 
 
+def test_every_language_is_learned(spark):
+    """More than two hundred languages, one of short texts alone, one of long ones; letterless texts teach nothing."""
+    letters = [chr(0x4E00 + k) * 3 for k in range(230)]
+    docs = [(k, f"{w} " * 10, f"l{k}") for k, w in enumerate(letters)] + [(1000, "blip blop", "short"), (1001, "zork " * 30_000, "long"), (1002, "12 34 " * 9, "none")]
+    docs += [(2000 + k, prose(k, 60), "prose") for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    sample = langid.fit(frame, F.lit(True))
+    assert {name for name, _ in sample.texts} == {lang for *_, lang in docs} - {"none"}
+    of = langid.Identifier(sample)
+    assert [of.predict(t)[0] for t in (letters[3], letters[229], "blip blop blip", "zork zork", prose(99, 30))] == ["l3", "l229", "short", "long", "prose"]
+
+
 # --- syncmers
 
 def test_anchors_need_no_context():
