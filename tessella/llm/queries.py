@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, chats, decontaminate, langid, maintext, secrets, simhash, syncmers, toxicity, twins, urls
+from tessella.llm import bpe, chats, decontaminate, hardneg, langid, maintext, manifest, secrets, simhash, syncmers, toxicity, twins, urls
 from tessella.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded again from its row as it is or, for one id in seven, with a changed n_chars."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [*columns[:3], F.col("n_chars") + 1, columns[4]]
+    tampered = F.coalesce(fold("doc_id", 7) == 0, F.lit(False))
+    leaves = docs.select(
+        "doc_id", "lang", manifest.leaf(columns).alias("hash"), F.when(tampered, manifest.leaf(changed)).alias("changed"))
+    leaves = leaves.select("lang", "doc_id", "hash", F.struct("doc_id", "changed").alias("row"))
+    proved = manifest.prove(manifest.build(leaves, "lang", ["doc_id"], "row"))
+    folded = manifest.folded(F.coalesce("row.changed", "hash"), F.col("path"))
+    out = proved.select(
+        "row.doc_id", F.col("hash").alias("leaf"), "subroot", "root",
+        F.sha2(F.array_join(manifest.siblings(F.col("path")), ""), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; one label in seven is another one first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=shifted)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chats": op1_chats,
     "op2_simhash": op2_simhash,
@@ -87,10 +110,14 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_manifest": op11_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op1_chats": twins.chats_sql(),
     "op8_secrets": twins.secrets_sql(),
     "op9_url_filter": twins.urls_sql(),
+    "op11_manifest": twins.manifest_sql(),
+    "op13_hard_negatives": twins.hard_negatives_sql(),
 }

@@ -85,3 +85,53 @@ kept AS (SELECT conv_id FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pla
 SELECT conv_id, n AS conv_turns, CAST((place - 1) // {chats.PART_TURNS} AS BIGINT) AS part, count(*) AS n_turns,
   string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
 FROM p WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, n, part"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a short ASCII string, bit by bit."""
+    step = "xor(c // 2, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    eight = f"list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda c, i: {step})"
+    ords = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {ords}), lambda a, b: {eight}), 4294967295::UBIGINT)"
+
+
+def manifest_sql() -> str:
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', n, 'text')))})"
+    tree = lambda name, leaves: f"""
+{name} AS (SELECT g, 0 AS level, place, n, h FROM {leaves}
+  UNION ALL SELECT g, level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY g, level, place // 2)"""
+    walk = lambda name, start, source: f"""
+{name} AS (SELECT id, g, 0 AS level, place, n, folded, '' AS proof FROM {start}
+  UNION ALL SELECT w.id, w.g, w.level + 1, w.place // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.place % 2 = 1 THEN coalesce(t.h, '') || w.folded ELSE w.folded || coalesce(t.h, '') END), w.proof || coalesce(t.h, '')
+  FROM {name} w LEFT JOIN {source} t ON t.g = w.g AND t.level = w.level AND t.place = xor(w.place, 1) WHERE w.n > 1)"""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, *, {leaf('n_chars')} AS h,
+    CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf('n_chars + 1')} ELSE {leaf('n_chars')} END AS tampered FROM documents),
+names AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS groups FROM (SELECT DISTINCT lang FROM documents)),
+leaves AS (SELECT d.id, d.doc_id, names.g, names.groups, h, tampered, row_number() OVER (PARTITION BY names.g ORDER BY d.doc_id NULLS FIRST, h) - 1 AS place,
+    count(*) OVER (PARTITION BY names.g) AS n FROM d JOIN names ON d.lang IS NOT DISTINCT FROM names.lang),{tree('low', 'leaves')},
+subroots AS (SELECT 0 AS g, low.g AS place, names.groups AS n, h FROM low JOIN names USING (g) WHERE low.n = 1),{tree('high', 'subroots')},
+starts AS (SELECT *, tampered AS folded FROM leaves),{walk('inner_path', 'starts', 'low')},
+tops AS (SELECT id, 0 AS g, inner_path.g AS place, names.groups AS n, folded, proof AS low_proof FROM inner_path JOIN names USING (g) WHERE inner_path.n = 1),{walk('upper_path', 'tops', 'high')}
+SELECT leaves.doc_id, leaves.h AS leaf, subroots.h AS subroot, high.h AS root, sha256(tops.low_proof || upper_path.proof) AS proof_sha256,
+  upper_path.folded AS folded_root, upper_path.folded = high.h AS verified
+FROM leaves JOIN subroots ON subroots.place = leaves.g JOIN tops USING (id) JOIN upper_path ON upper_path.id = leaves.id AND upper_path.n = 1 JOIN high ON high.n = 1"""
+
+
+def hard_negatives_sql() -> str:
+    return """
+WITH e AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id % 100 = 0 AND len(a.v) = len(b.v) AND a.id <> b.id),
+best AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id, own ORDER BY score DESC, id) AS place FROM pairs WHERE label = own),
+fits AS (SELECT best.anchor_id, positive_id, pairs.id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY best.anchor_id, best.own, positive_id ORDER BY score DESC, pairs.id) AS INTEGER) AS rank
+  FROM best JOIN pairs ON best.anchor_id = pairs.anchor_id AND best.own = pairs.own AND pairs.label <> pairs.own
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM fits WHERE rank <= 10"""
