@@ -12,7 +12,7 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(fp, group): each linked node and the least node reachable; the input is (a, b), both long, not null.
 
     Every round joins each node's larger neighbours to its least neighbour,
@@ -22,9 +22,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = materialize(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -35,7 +33,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("group")).unionByName(
         edges.select(F.col("b").alias("fp"), F.col("b").alias("group")).distinct())

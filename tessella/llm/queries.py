@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, chats, decontaminate, hardneg, langid, maintext, manifest, secrets, simhash, syncmers, toxicity, twins, urls
+from tessella.llm import bpe, chats, decontaminate, hardneg, langid, maintext, manifest, minhash, secrets, simhash, syncmers, toxicity, twins, urls
 from tessella.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector; one label in seven is another one first."""
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_manifest": op11_manifest,
+    "op12_minhash": op12_minhash,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -119,5 +125,6 @@ ORACLE: dict[str, str] = {
     "op8_secrets": twins.secrets_sql(),
     "op9_url_filter": twins.urls_sql(),
     "op11_manifest": twins.manifest_sql(),
+    "op12_minhash": twins.minhash_sql(),
     "op13_hard_negatives": twins.hard_negatives_sql(),
 }

@@ -135,3 +135,23 @@ fits AS (SELECT best.anchor_id, positive_id, pairs.id AS negative_id, positive_s
   FROM best JOIN pairs ON best.anchor_id = pairs.anchor_id AND best.own = pairs.own AND pairs.label <> pairs.own
     AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE place <= 5)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM fits WHERE rank <= 10"""
+
+
+def minhash_sql() -> str:
+    words = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    return f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, doc_id, {words} AS words FROM documents),
+s AS (SELECT id, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w),
+sets AS (SELECT list_sort(shingles) AS shingles, len(shingles) AS n, min(id) AS sid FROM s WHERE len(shingles) > 0 GROUP BY ALL),
+flat AS (SELECT sid, n, unnest(shingles) AS x FROM sets),
+links AS (SELECT a.sid AS a, b.sid AS b FROM flat a JOIN flat b ON a.x = b.x AND a.sid < b.sid GROUP BY a.sid, b.sid, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT sid, sid AS other FROM sets UNION SELECT reach.sid, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+own AS (SELECT s.id, s.doc_id, len(s.shingles) AS n, sets.sid FROM s LEFT JOIN sets ON sets.shingles = list_sort(s.shingles)),
+least AS (SELECT sid, min(doc_id) AS doc_id FROM own WHERE sid IS NOT NULL GROUP BY sid),
+named AS (SELECT reach.sid, min(least.doc_id) AS component_id FROM reach JOIN least ON least.sid = reach.other GROUP BY reach.sid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id,
+  coalesce(doc_id = CASE WHEN n = 0 THEN doc_id ELSE component_id END, false) AS kept
+FROM own LEFT JOIN named USING (sid)"""
