@@ -18,7 +18,7 @@ from tessella.functions.grids import Bins, Grid, constant_bins, default_grid, ta
 from tessella.functions.scores import object_scores
 from tessella.operators.metrics import summarize
 from tessella.operators.mixtures import Mixture, Part
-from tessella.operators.ranks import exact_quantiles
+from tessella.operators.ranks import GROUP, exact_quantiles, named, unnamed
 from tessella.operators.validate import check_target
 
 # Bin layouts and the neighbour floor.
@@ -56,13 +56,23 @@ def cross_fitted(df: DataFrame, y: str, bins: Bins, by: Sequence[str], fold: str
     own = df.groupBy(*by, fold, bins.locate(F.col(y)).alias("bin")).agg(F.count("*").cast("double").alias("c"))
     per_fold = pivot_counts(own, [*by, fold], "bin", "c", bins.n, "_own")
     totals = pivot_counts(own.groupBy(*by, "bin").agg(F.sum("c").alias("c")), by, "bin", "c", bins.n, "_all")
-    return per_fold.join(totals, list(by)).select(*by, fold, F.zip_with("_all", "_own", lambda a, o: a - o).alias(name))
+    return predict(per_fold, totals, by).select(*by, fold, F.zip_with("_all", "_own", lambda a, o: a - o).alias(name))
 
 
-def predict(queries: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Each query row with its key's distribution. The join is left to Spark's size
-    statistics: a small table is broadcast, a large one is shuffled with skew handling."""
-    return queries.join(table, list(by))
+def predict(queries: DataFrame, table: DataFrame, by: Sequence[str], otherwise: Sequence[float] | None = None, name: str = "masses") -> DataFrame:
+    """Every query row with its key's distribution; NULL is a key like any other.
+
+    A row whose key the context never had gets ``otherwise`` (the context's
+    marginal, say), or NULL. The join is left to Spark's size statistics: a
+    small table is broadcast, a large one is shuffled with skew handling.
+    """
+    out = named(queries, by).join(named(table, by).drop(*by), GROUP, "left").drop(GROUP)
+    return out if otherwise is None else out.withColumn(name, F.coalesce(name, vector(otherwise)))
+
+
+def overall(context: DataFrame, make: Callable[[DataFrame, list[str]], DataFrame], name: str = "masses") -> list[float]:
+    """What ``make(context, keys)`` gives for the context as one group: a short array, kept by the driver."""
+    return list(make(context.withColumn("_one", F.lit(1)), ["_one"]).first()[name])
 
 
 def marginal(queries: DataFrame, context: DataFrame, y: str, bins: Bins, name: str = "masses") -> DataFrame:
@@ -181,12 +191,13 @@ def hierarchy_shares(context: DataFrame, y: str, layout: Layout, by: Sequence[st
     """
     labelled = level_labels(context, y, layout)
     counts = labelled.groupBy(*by, "coarse", "fine").agg(F.count("*").cast("double").alias("c"))
-    level = counts.groupBy(*by, "coarse").agg(F.sum("c").alias("level"))
-    key = level.groupBy(*by).agg(F.sum("level").alias("total"))
+    counts = named(counts, by).drop(*by)
+    level = counts.groupBy(GROUP, "coarse").agg(F.sum("c").alias("level"))
+    key = level.groupBy(GROUP).agg(F.sum("level").alias("total"))
     starts = np.cumsum([0] + [f.n for f in layout.fine])
     start = F.element_at(F.lit(starts.astype(np.int32)), F.col("coarse") + 1)
-    joined = counts.join(level, [*by, "coarse"]).join(key, list(by))
-    cells = joined.select(*by, (start + F.col("fine")).alias("bin"), (F.col("level") / F.col("total") * (F.col("c") / F.col("level"))).alias("p"))
+    joined = counts.join(level, [GROUP, "coarse"]).join(key, GROUP)
+    cells = joined.select(*unnamed(by), (start + F.col("fine")).alias("bin"), (F.col("level") / F.col("total") * (F.col("c") / F.col("level"))).alias("p"))
     return pivot_counts(cells, by, "bin", "p", layout.bins.n, name)
 
 
@@ -212,7 +223,8 @@ def dithered(context: DataFrame, queries: DataFrame, y: str, by: Sequence[str],
     for d in range(n_dither):
         layout = equal_mass_layout(context, y, n_coarse, n_fine, low, high, d / n_dither)
         table = hierarchy_shares(context, y, layout, by)
-        frames.append(predict(queries, table, by).select(id_col, F.lit(str(d)).alias("component"), "masses"))
+        whole = overall(context, lambda df, keys, layout=layout: hierarchy_shares(df, y, layout, keys))
+        frames.append(predict(queries, table, by, whole).select(id_col, F.lit(str(d)).alias("component"), "masses"))
         parts.append(Part(str(d), layout.bins))
     out = frames[0]
     for f in frames[1:]:
@@ -365,6 +377,7 @@ class DensityModel:
     grid: Grid | None = None
     n_bins: int = 50
     table: DataFrame | None = None
+    marginal: Sequence[float] | None = None
     bins: Bins | None = None
     constant: float | None = None
 
@@ -384,9 +397,10 @@ class DensityModel:
     def _fit(self, df: DataFrame, low: float, high: float) -> None:
         self.bins = Bins(tuple(np.linspace(low, high, self.n_bins + 1)))
         self.table = bin_shares(df, self.y, self.bins, self.keys)
+        self.marginal = overall(df, lambda rows, keys: bin_shares(rows, self.y, self.bins, keys))
 
     def _distribution(self, df: DataFrame) -> DataFrame:
-        return predict(df, self.table, self.keys)
+        return predict(df, self.table, self.keys, self.marginal)
 
     def distribution(self, df: DataFrame) -> DataFrame:
         """Adds ``p``: each row's probabilities in :attr:`bins`."""

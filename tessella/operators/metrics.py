@@ -8,12 +8,13 @@ compact columns whatever the width of the densities.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.arrays import is_finite
 from tessella.functions.scores import residual
-from tessella.operators.ranks import Sketch, exact_quantiles, join_groups, running_counts, sketch
+from tessella.operators.ranks import Sketch, exact_quantiles, join_groups, named, running_counts, sketch, unnamed
 from tessella.session import materialize
 
 # The statistics' conventions.
@@ -32,8 +33,8 @@ SUMMARY_COLUMNS = (
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """A constant key stands in for "no group", so every statistic has one form."""
-    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+    """A group is named by a struct of its columns (a constant without any): every statistic has one form, and NULL is a group."""
+    return named(df, by, "_all"), ["_all"]
 
 
 def point_metrics(
@@ -61,7 +62,7 @@ def point_metrics(
         F.avg((F.col("a") > F.col("outlier_threshold")).cast("double")).alias("outlier_rate"),
         F.avg((F.col("a") > FIXED_OUTLIER).cast("double")).alias("outlier_rate_015"))
     out = quart.join(spread, keys).join(rates, keys).join(middle, keys)
-    return out.select(*by, *SUMMARY_COLUMNS[:8])
+    return out.select(*unnamed(by, "_all"), *SUMMARY_COLUMNS[:8])
 
 
 def _block(a: Column, c: Column) -> Column:
@@ -130,7 +131,7 @@ def pit_statistics(
     share = [F.col(f"_h{b}") / F.col("n") for b in range(KL_BINS)]
     kl = sum((F.when(s > 0, s * F.ln(s * KL_BINS)).otherwise(F.lit(0.0)) for s in share), F.lit(0.0))
     return out.select(
-        *by, "n", "pit_ks", ks_pvalue(F.col("pit_ks"), F.col("n").cast("double")).alias("pit_ks_pvalue"),
+        *unnamed(by, "_all"), "n", "pit_ks", ks_pvalue(F.col("pit_ks"), F.col("n").cast("double")).alias("pit_ks_pvalue"),
         (F.col("_ss") + F.lit(1.0) / (F.lit(12.0) * F.col("n"))).alias("pit_cvm"),
         *[_ad_statistic(f"_ad{i}").alias(f"pit_ad{i}") for i in (1, 2)],
         F.sqrt(F.col("_ss") / F.col("n")).alias("pit_rmse"), kl.alias("pit_kl"),
@@ -147,7 +148,7 @@ def anderson_darling(df: DataFrame, pit: str, low: float, high: float, by: Seque
     df, keys = _grouped(df, by)
     ranked = running_counts(df.select(*keys, F.col(pit).alias("u")), "u", keys)
     a, c = F.col("before").cast("double"), F.col("c").cast("double")
-    return ranked.groupBy(*keys).agg(*_anderson_darling(F.col("u"), a, c, low, high, "_ad")).select(*by, _ad_statistic("_ad").alias("ad"))
+    return ranked.groupBy(*keys).agg(*_anderson_darling(F.col("u"), a, c, low, high, "_ad")).select(*unnamed(by, "_all"), _ad_statistic("_ad").alias("ad"))
 
 
 def mean_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -164,7 +165,7 @@ def pdf_metrics(
     scores = scores.select(*by, *[c for c in ("cde", "pit", "crps", "nll") if c in scores.columns])
     df, keys = _grouped(scores if written else materialize(scores), by)
     stats = pit_statistics(df, "pit", keys, written=True, cuts=cuts)
-    return stats.join(mean_scores(df, keys), keys).select(*by, "n", "cde_loss", *SUMMARY_COLUMNS[9:17], "crps", "nll")
+    return stats.join(mean_scores(df, keys), keys).select(*unnamed(by, "_all"), "n", "cde_loss", *SUMMARY_COLUMNS[9:17], "crps", "nll")
 
 
 def summarize(
@@ -184,7 +185,7 @@ def summarize(
     right = pdf_metrics(df, keys, written=True, cuts=known.cuts["pit"]).drop("n")
     lead = [] if label is None else [F.lit(label).alias("model")]
     return left.join(right, keys).select(
-        *lead, *by, F.lit(point).alias("point_estimate"), F.lit(scale).alias("scale"), *SUMMARY_COLUMNS)
+        *lead, *unnamed(by, "_all"), F.lit(point).alias("point_estimate"), F.lit(scale).alias("scale"), *SUMMARY_COLUMNS)
 
 
 def coverage(df: DataFrame, level: float, pit: str = "pit", by: Sequence[str] = ()) -> DataFrame:
@@ -197,9 +198,18 @@ def interval_coverage(df: DataFrame, y: str, lo: Column, hi: Column, by: Sequenc
     return df.groupBy(*by).agg(F.avg(F.col(y).between(lo, hi).cast("double")).alias("coverage"))
 
 
+def side_by_side(tables: Sequence[DataFrame], id_col: str = "id") -> DataFrame:
+    """Tables of the same rows joined by id; an id that lacks in one of them is refused when the rows are read."""
+    marked = [t.withColumn(f"_has{k}", F.lit(True)) for k, t in enumerate(tables)]
+    joined = reduce(lambda a, b: a.join(b, id_col, "full"), marked)
+    have = reduce(lambda a, b: a & b, [F.col(f"_has{k}").isNotNull() for k in range(len(tables))])
+    lacking = F.concat(F.lit(f"a table of {len(tables)} lacks the row {id_col} = "), F.coalesce(F.col(id_col).cast("string"), F.lit("NULL")))
+    return joined.where(F.when(have, F.lit(True)).otherwise(F.raise_error(lacking).cast("boolean"))).drop(*[f"_has{k}" for k in range(len(tables))])
+
+
 def paired_difference(a: DataFrame, b: DataFrame, score: str, id_col: str = "id") -> DataFrame:
     """Mean difference of two models' scores on the same rows, with its standard error."""
-    joined = a.select(id_col, F.col(score).alias("_a")).join(b.select(id_col, F.col(score).alias("_b")), id_col)
+    joined = side_by_side([a.select(id_col, F.col(score).alias("_a")), b.select(id_col, F.col(score).alias("_b"))], id_col)
     d = F.col("_a") - F.col("_b")
     return joined.agg(
         F.count("*").alias("n"), F.avg(d).alias("mean_difference"),

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessella.functions import histogram as H
 from tessella.functions.arrays import fold_arrays, let, total, vector
 from tessella.functions.grids import Bins, Grid, union_bins
+from tessella.operators.metrics import side_by_side
 
 
 @dataclasses.dataclass(frozen=True)
@@ -230,5 +230,5 @@ def regrid_rows(df: DataFrame, id_col: str, bins: str, masses: str, grid: Grid,
 
 
 def align(tables: Sequence[DataFrame], id_col: str = "id") -> DataFrame:
-    """K prediction tables of the same rows side by side (columns must differ in name)."""
-    return reduce(lambda a, b: a.join(b, id_col), tables)
+    """K prediction tables of the same rows side by side (columns must differ in name); rows that lack in one are refused."""
+    return side_by_side(tables, id_col)

@@ -5,7 +5,10 @@ and sketches where values lie; the sketch's cut points (four per shuffle
 partition) split the value axis, per-interval counts give every interval's
 offset, and only rows of one interval are ever ordered together. Equal values
 are counted before they are shuffled, so a value that repeats costs one row.
-Small and large tables take the same way.
+Small and large tables take the same way. Groups too small to fill an interval
+need none: one exact aggregate with partial sums orders each of them.
+
+A group is named by a struct of its columns, so NULL is a group like any other.
 """
 
 from __future__ import annotations
@@ -23,6 +26,19 @@ from tessella.session import materialize
 # Groups up to which a table of one row per group is broadcast, and the salts of a join beyond.
 BROADCAST_GROUPS = 100_000
 SALTS = 32
+# Rows up to which a group is ordered by one aggregate.
+SMALL_GROUP = 10_000
+GROUP = "_group"
+
+
+def named(df: DataFrame, by: Sequence[str], name: str = GROUP) -> DataFrame:
+    """Adds the group's name: a struct, equal to itself also where a column is NULL."""
+    return df.withColumn(name, F.struct(*[F.col(k) for k in by]) if by else F.struct(F.lit(0).alias("_")))
+
+
+def unnamed(by: Sequence[str], name: str = GROUP) -> list[Column]:
+    """The columns of a group's name."""
+    return [F.col(f"{name}.{k}").alias(k) for k in by]
 
 
 @dataclasses.dataclass(frozen=True)
@@ -42,7 +58,8 @@ def sketch(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> Sket
     """Row count, number of groups and distinct cut points of several columns, from one pass."""
     k = _intervals(df)
     levels = [i / k for i in range(1, k)]
-    finite = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+    # Infinities are no cut points: they lie in the outer intervals.
+    finite = lambda v: F.when(F.abs(F.col(v).cast("double")) < float("inf"), F.col(v).cast("double"))
     row = df.agg(
         F.count("*").alias("n"), (F.approx_count_distinct(F.struct(*by), 0.02) if by else F.lit(1)).alias("g"),
         *[F.percentile_approx(finite(v), levels, 4 * k).alias(f"c{i}") for i, v in enumerate(values)]).first()
@@ -55,11 +72,13 @@ def join_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], grou
     Few groups are broadcast. Many are joined under salts, so a group that
     holds a large part of the rows is spread over tasks.
     """
+    left = named(rows, keys)
+    right = named(per_group, keys).drop(*keys)
     if groups <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(per_group), list(keys))
-    salted = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
-    copies = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+        return left.join(F.broadcast(right), GROUP).drop(GROUP)
+    salted = left.withColumn("_salt", F.spark_partition_id() % SALTS)
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [GROUP, "_salt"]).drop("_salt", GROUP)
 
 
 def _with_interval(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
@@ -74,42 +93,55 @@ def _with_interval(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = (), *, cuts: list[float] | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group: ``(*by, n, q array<double>)``.
+    """Linearly interpolated quantiles per group: ``(*by, n, q array<double>)``; NULL and NaN values are not counted.
 
-    The table is read twice (sketch, counts) and then only the intervals that
-    hold a wanted rank are shuffled. ``cuts`` from an earlier :func:`sketch`
-    save the first pass; they balance the work and do not change the result.
+    Groups of up to ``SMALL_GROUP`` rows are one aggregate. Of larger ones the
+    values are counted per interval, and only the intervals that hold a wanted rank are
+    shuffled. ``cuts`` from an earlier :func:`sketch` save a pass; they
+    balance the work and do not change the result.
     """
-    by = list(by)
     levels = [float(x) for x in levels]
-    df = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    df = named(df, by).select(GROUP, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    large = df.groupBy(GROUP).agg(F.count("*").alias("n")).where(F.col("n") > SMALL_GROUP).select(GROUP)
+    few = large.count()
+    one = lambda rows: rows.groupBy(GROUP).agg(F.count("*").alias("n"), F.percentile("_v", levels).alias("q"))
+    if not few:
+        return one(df).select(*unnamed(by), "n", "q")
+    # At most one group in SMALL_GROUP rows is large.
+    known = F.broadcast(large) if few <= BROADCAST_GROUPS else large
+    rest = one(df.join(known, GROUP, "left_anti")).unionByName(_interval_quantiles(df.join(known, GROUP), levels, cuts)) if by else _interval_quantiles(df, levels, cuts)
+    return rest.select(*unnamed(by), "n", "q")
+
+
+def _interval_quantiles(df: DataFrame, levels: list[float], cuts: list[float] | None) -> DataFrame:
+    """(group, n, q) of groups of any size."""
     cuts = sketch(df, ["_v"]).cuts["_v"] if cuts is None else cuts
     rows = _with_interval(df, "_v", cuts)
-    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*by).orderBy("_b")
+    counts = rows.groupBy(GROUP, "_b").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(GROUP).orderBy("_b")
     before = counts.withColumn("_end", F.sum("_c").over(order)).withColumn(
-        "n", F.sum("_c").over(Window.partitionBy(*by)))
+        "n", F.sum("_c").over(Window.partitionBy(GROUP)))
     before = before.withColumn("_start", F.col("_end") - F.col("_c"))
     # One literal of levels, however many: the plan does not grow with them.
     shared = F.lit(np.asarray(levels))
     low = lambda level: F.floor((F.col("n") - 1) * level)
     wanted = F.flatten(F.transform(shared, lambda level: F.array(low(level), F.least(low(level) + 1, F.col("n") - 1))))
     hit = F.filter(wanted, lambda rank: (rank >= F.col("_start")) & (rank < F.col("_end")))
-    targets = before.select(*by, "_b", "_start", "n", F.array_distinct(hit).alias("_ranks")).where(F.size("_ranks") > 0)
+    targets = before.select(GROUP, "_b", "_start", "n", F.array_distinct(hit).alias("_ranks")).where(F.size("_ranks") > 0)
 
     # Only these intervals' rows move, and equal values move as one.
-    found = rows.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c")).join(targets, [*by, "_b"])
-    inside = Window.partitionBy(*by, "_b").orderBy("_v")
+    found = rows.groupBy(GROUP, "_b", "_v").agg(F.count("*").alias("_c")).join(targets, [GROUP, "_b"])
+    inside = Window.partitionBy(GROUP, "_b").orderBy("_v")
     found = found.withColumn("_hi", F.col("_start") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     found = found.withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))))
-    lookup = found.groupBy(*by).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
+    lookup = found.groupBy(GROUP).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
 
     def pick(level: Column) -> Column:
         h = (F.col("n") - 1) * level
-        a, b = F.element_at("_at", F.floor(h)), F.element_at("_at", F.least(F.floor(h) + 1, F.col("n") - 1))
-        return a + (b - a) * (h - F.floor(h))
+        a, b, part = F.element_at("_at", F.floor(h)), F.element_at("_at", F.least(F.floor(h) + 1, F.col("n") - 1)), h - F.floor(h)
+        return F.when((part == 0) | (a == b), a).otherwise((F.lit(1.0) - part) * a + part * b)
 
-    return lookup.select(*by, "n", F.transform(shared, pick).alias("q"))
+    return lookup.select(GROUP, "n", F.transform(shared, pick).alias("q"))
 
 
 def running_counts(
@@ -121,18 +153,17 @@ def running_counts(
     first become one row, then each interval is ordered on its own and shifted
     by the rows of the intervals before it.
     """
-    by = list(by)
-    df = df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    df = named(df, by).select(GROUP, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     cuts = sketch(df, [value]).cuts[value] if cuts is None else cuts
-    ties = _with_interval(df.groupBy(*by, value).agg(F.count("*").alias("c")), value, cuts)
-    counts = _with_interval(df, value, cuts).groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    ties = _with_interval(df.groupBy(GROUP, value).agg(F.count("*").alias("c")), value, cuts)
+    counts = _with_interval(df, value, cuts).groupBy(GROUP, "_b").agg(F.count("*").alias("_c"))
     offsets = counts.select(
-        *by, "_b",
-        (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_start"),
-        F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
-    inside = Window.partitionBy(*by, "_b").orderBy(value)
-    return ties.join(offsets, [*by, "_b"]).select(
-        *by, value, "c", (F.col("_start") + F.sum("c").over(inside) - F.col("c")).alias("before"), "n")
+        GROUP, "_b",
+        (F.sum("_c").over(Window.partitionBy(GROUP).orderBy("_b")) - F.col("_c")).alias("_start"),
+        F.sum("_c").over(Window.partitionBy(GROUP)).alias("n"))
+    inside = Window.partitionBy(GROUP, "_b").orderBy(value)
+    return ties.join(offsets, [GROUP, "_b"]).select(
+        *unnamed(by), value, "c", (F.col("_start") + F.sum("c").over(inside) - F.col("c")).alias("before"), "n")
 
 
 def _hash_intervals(df: DataFrame) -> int:
@@ -142,13 +173,13 @@ def _hash_intervals(df: DataFrame) -> int:
 
 def hash_ranks(df: DataFrame, seed, id_col: str, by: Sequence[str] = (), rank: str = "rank") -> DataFrame:
     """A random but repeatable rank 1..n within each group, ordered by a hash of the id."""
-    by, k = list(by), _hash_intervals(df)
-    rows = df.withColumn("_u", hash_uniform(seed, F.col(id_col))).withColumn("_b", F.floor(F.col("_u") * k).cast("int"))
-    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    offsets = counts.select(*by, "_b", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).alias("_start"))
-    inside = Window.partitionBy(*by, "_b").orderBy("_u", id_col)
-    return rows.join(offsets, [*by, "_b"]).withColumn(
-        rank, F.col("_start") + F.row_number().over(inside)).drop("_u", "_b", "_start")
+    k = _hash_intervals(df)
+    rows = named(df, by).withColumn("_u", hash_uniform(seed, F.col(id_col))).withColumn("_b", F.floor(F.col("_u") * k).cast("int"))
+    counts = rows.groupBy(GROUP, "_b").agg(F.count("*").alias("_c"))
+    offsets = counts.select(GROUP, "_b", (F.sum("_c").over(Window.partitionBy(GROUP).orderBy("_b")) - F.col("_c")).alias("_start"))
+    inside = Window.partitionBy(GROUP, "_b").orderBy("_u", id_col)
+    return rows.join(offsets, [GROUP, "_b"]).withColumn(
+        rank, F.col("_start") + F.row_number().over(inside)).drop("_u", "_b", "_start", GROUP)
 
 
 def hash_cut(df: DataFrame, seed, id_col: str, quota: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -158,16 +189,16 @@ def hash_cut(df: DataFrame, seed, id_col: str, quota: DataFrame, by: Sequence[st
     no row. Only counts per hash interval move, and the rows of the one
     interval per group that the quota ends in.
     """
-    by, k = list(by), _hash_intervals(df)
-    rows = df.select(*by, F.col(id_col).alias("_id")).withColumn("_u", hash_uniform(seed, F.col("_id"))).withColumn("_b", F.floor(F.col("_u") * k).cast("int"))
-    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*by)
-    ends = counts.withColumn("_end", F.sum("_c").over(group.orderBy("_b"))).withColumn("_n", F.sum("_c").over(group)).join(quota, by)
+    k = _hash_intervals(df)
+    rows = named(df, by).select(GROUP, F.col(id_col).alias("_id")).withColumn("_u", hash_uniform(seed, F.col("_id"))).withColumn("_b", F.floor(F.col("_u") * k).cast("int"))
+    counts = rows.groupBy(GROUP, "_b").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(GROUP)
+    ends = counts.withColumn("_end", F.sum("_c").over(group.orderBy("_b"))).withColumn("_n", F.sum("_c").over(group)).join(named(quota, by).select(GROUP, "quota"), GROUP)
     last = F.least(F.col("quota"), F.col("_n"))
-    left = ends.select(*by, "_b", (last - F.col("_end") + F.col("_c")).alias("_left"), "_c").where("_left > 0 AND _left <= _c").drop("_c")
-    inside = Window.partitionBy(*by, "_b").orderBy("_u", "_id")
-    ordered = rows.join(left, [*by, "_b"]).withColumn("_r", F.row_number().over(inside))
-    return ordered.where("_r = _left").select(*by, F.struct(F.col("_u").alias("u"), F.col("_id").alias("id")).alias("_cut"))
+    left = ends.select(GROUP, "_b", (last - F.col("_end") + F.col("_c")).alias("_left"), "_c").where("_left > 0 AND _left <= _c").drop("_c")
+    inside = Window.partitionBy(GROUP, "_b").orderBy("_u", "_id")
+    ordered = rows.join(left, [GROUP, "_b"]).withColumn("_r", F.row_number().over(inside))
+    return ordered.where("_r = _left").select(*unnamed(by), F.struct(F.col("_u").alias("u"), F.col("_id").alias("id")).alias("_cut"))
 
 
 def within_cut(seed, id_col: str) -> Column:

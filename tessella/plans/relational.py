@@ -89,6 +89,16 @@ def a1_large(spark, sf):
     return out.select(F.col("l_returnflag").alias("flag"), *[r(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
 
 
+@query("a1_null_groups", "SELECT CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS flag, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS sup, count(*) AS n, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY ALL")
+def a1_nulls(spark, sf):
+    """Rows without a flag, or without a supplier, are groups too: a large one among many small ones."""
+    li = I.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"),
+        F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey")).alias("sup"), "l_extendedprice")
+    out = RK.exact_quantiles(li, "l_extendedprice", [0.9], ["flag", "sup"])
+    return out.select("flag", "sup", "n", r(F.col("q")[0], 4).alias("p90"))
+
+
 def subsets(spark, sf):
     return I.order_features(spark, sf).withColumn("split", F.when(F.col("status") == "F", "biased").when(F.col("status") == "O", "test"))
 
@@ -165,6 +175,17 @@ def t1_groups(spark, sf):
     return RK.running_counts(li, "value", ["flag"])
 
 
+INFINITE = "CASE WHEN l_linenumber = 1 THEN 'Infinity'::DOUBLE WHEN l_linenumber = 2 THEN '-Infinity'::DOUBLE ELSE l_quantity END"
+
+
+@query("t1_infinite_values", f"""SELECT flag, value, CAST(before AS BIGINT) AS before, c, CAST(n AS BIGINT) AS n FROM (SELECT l_returnflag AS flag, {INFINITE} AS value, count(*) AS c,
+sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY {INFINITE}) - count(*) AS before, sum(count(*)) OVER (PARTITION BY l_returnflag) AS n FROM lineitem GROUP BY 1, 2)""")
+def t1_infinite(spark, sf):
+    """Infinities of both signs, half of all values, are ordered like other numbers."""
+    q = F.when(F.col("l_linenumber") == 1, float("inf")).when(F.col("l_linenumber") == 2, float("-inf")).otherwise(F.col("l_quantity"))
+    return RK.running_counts(I.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), q.alias("value")), "value", ["flag"])
+
+
 @query("t1_hash_ranks", f"SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {I.uniform_sql('5', 'o_orderkey')}, o_orderkey) AS rank FROM orders")
 def t1_hash(spark, sf):
     o = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))

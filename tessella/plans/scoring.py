@@ -229,6 +229,16 @@ def c18(spark, sf):
     return out.select("model", "key", "point_estimate", "scale", "n", *neat(out, *[c for c in SUMMARY[1:] if c != "pit_ks_pvalue"]))
 
 
+NO_TYPE = "coalesce(nullif(key, 'click'), '-')"
+
+
+@query("c18_null_groups", f"{I.SCORES}, " + REPORT_SQL.format(points=points_sql("none", NO_TYPE), pits=pit_sql(NO_TYPE), by=NO_TYPE, lead="nullif(g, '-') AS key,", point_out=POINT_OUT, pit_out=PIT_OUT))
+def c18_nulls(spark, sf):
+    """The rows without a type are one of the report's groups."""
+    out = M.summarize(scored(spark, sf).withColumn("key", F.when(F.col("key") != "click", F.col("key"))), "y", "y_pred", ["key"], point="mean")
+    return out.select("key", "n", *neat(out, *[c for c in SUMMARY[1:] if c != "pit_ks_pvalue"]))
+
+
 @query("c19_summarize_scores", f"{I.SCORES}, " + REPORT_SQL.format(points=points_sql("none", "fold * 0"), pits=pit_sql("fold * 0"), by="fold * 0", lead="", point_out=POINT_OUT, pit_out=PIT_OUT).replace(", round(nll, 6) AS nll", ", 'NaN'::DOUBLE AS nll"))
 def c19(spark, sf):
     """From precomputed pieces without the NLL, which becomes NaN."""

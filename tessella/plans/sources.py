@@ -278,6 +278,17 @@ def u2(spark, sf):
     return E.DensityModel(["key"]).fit(ev).transform(ev, "pit").select("id", r("pit", 7).alias("pit"))
 
 
+@query("u2_unseen_key", f"""WITH {I.EV}, q AS (SELECT id, y, CASE WHEN key <> 'view' THEN key END AS key FROM ev), ctx AS (SELECT * FROM q WHERE key IS DISTINCT FROM 'click'),
+a AS (SELECT min(y) AS lo, (max(y) - min(y)) / 50 AS w FROM ctx), n AS (SELECT key, least(floor((y - lo) / w), 49) AS b, count(*) AS c FROM ctx, a GROUP BY ALL),
+t AS (SELECT b, sum(c) AS c FROM n GROUP BY b), r AS (SELECT id, y, b, c FROM q JOIN n ON q.key IS NOT DISTINCT FROM n.key UNION ALL SELECT id, y, b, c FROM q, t WHERE key = 'click')
+SELECT id, round(sum(c * least(greatest((y - (lo + b * w)) / w, 0), 1)) / sum(c), 7) AS pit FROM r, a GROUP BY id""")
+def u2_unseen(spark, sf):
+    """Every row gets a prediction: NULL is a key, and a key the context lacks gets the context's marginal."""
+    ev = I.events(spark, sf).withColumn("key", F.when(F.col("key") != "view", F.col("key")))
+    model = E.DensityModel(["key"]).fit(ev.where(~F.col("key").eqNullSafe("click")))
+    return model.transform(ev, "pit").select("id", r("pit", 7).alias("pit"))
+
+
 @query("u3_custom_scorer", f"{I.UQ}, m AS (SELECT usr, v FROM qq WHERE i = 10) SELECT -round(avg(abs(y - v)), 6) AS score FROM ev JOIN m USING (usr)")
 def u3(spark, sf):
     """Minus the mean absolute error of the predicted medians."""
