@@ -161,6 +161,8 @@ def _with_partner(rows: DataFrame) -> DataFrame:
                 yield own.filter(pa.array(hit))
 
         for now, held, piece in _buckets(batches):
+            if not held:
+                continue
             if now != name:
                 yield from ended()
                 name, table = now, pa.Table.from_batches(held).combine_chunks()

@@ -32,7 +32,8 @@ SELECT doc_id, {counts},
 FROM found"""
 
 
-def urls_sql() -> str:
+def urls_sql(levels: int = 8) -> str:
+    """Paths of up to ``levels`` segments: every prefix of a page's template is worked out from the one before."""
     order = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in order) + " END"
@@ -42,37 +43,28 @@ def urls_sql() -> str:
       WHEN regexp_matches(s, '^[0-9]+(\.[a-z]{{1,5}})?$') THEN '<n>' || {ending}
       WHEN regexp_matches(s, '^[0-9a-fA-F-]{{8,}}(\.[a-z]{{1,5}})?$') THEN '<h>' || {ending}
       WHEN regexp_matches(s, '[0-9]{{4,}}') THEN '<m>' || {ending} ELSE s END)"""
-    steps, above, source = [], ["host"], "shapes"
-    for d in range(1, urls.DEPTH + 1):
-        key = ", ".join(above)
+    steps = []
+    for d in range(levels):
         steps.append(f"""
-node{d} AS (SELECT {key}, s{d}, sum(labelled) AS l, sum(blocked) AS b FROM {source} GROUP BY {key}, s{d}),
-parent{d} AS (SELECT {key}, sum(labelled) AS al, sum(blocked) AS ab FROM {source} GROUP BY {key}),
-own{d} AS (SELECT {key}, s{d}, s{d} AS t{d} FROM node{d} JOIN parent{d} USING ({key}) WHERE l >= {urls.LEAST_LABELLED} AND al > 0
-  AND abs(b - l * (ab / al)) > {urls.LEAST_Z} * sqrt(l * (ab / al) * (1 - ab / al)) AND NOT starts_with(s{d}, '<')),
-rows{d} AS (SELECT r.*, coalesce(o.t{d}, CASE WHEN r.s{d} = '' THEN '' ELSE '*' END) AS t{d} FROM {source} r LEFT JOIN own{d} o USING ({key}, s{d}))""")
-        source, above = f"rows{d}", [*above, f"t{d}"]
-    levels, path = [f"""
-p0 AS (SELECT host, (sum(blocked) + {urls.WEIGHT} * (SELECT coalesce((sum(blocked) + 1.0) / (sum(labelled) + 2.0), 0.5) FROM shapes)) / (sum(labelled) + {urls.WEIGHT}) AS p FROM shapes GROUP BY host)"""], ["host"]
-    for d in range(1, urls.DEPTH + 1):
-        key = ", ".join(path)
-        levels.append(f"""
-p{d} AS (SELECT {key}, t{d}, (b + {urls.WEIGHT} * p) / (l + {urls.WEIGHT}) AS p
-  FROM (SELECT {key}, t{d}, sum(labelled) AS l, sum(blocked) AS b FROM {source} GROUP BY {key}, t{d}) JOIN p{d - 1} USING ({key}))""")
-        path.append(f"t{d}")
-    segments = ", ".join(f"coalesce(g[{d}], '') AS s{d}" for d in range(1, urls.DEPTH + 1))
-    s_key = ", ".join(["host", *[f"s{d}" for d in range(1, urls.DEPTH + 1)], "tail"])
-    named = ", ".join(f"CASE WHEN t{d} <> '' THEN t{d} END" for d in range(1, urls.DEPTH + 1))
+c{d} AS (SELECT t{d} AS node, g[{d + 1}] AS seg, count(*) AS n, count(ruled) AS l, count(*) FILTER (ruled = 'block') AS b
+  FROM k{d} WHERE live GROUP BY ALL),
+m{d} AS (SELECT node, seg, CASE WHEN seg IS NULL THEN NULL WHEN n < {urls.LEAST_PAGES} THEN '<*>' ELSE seg END AS name, n, l, b FROM c{d}),
+f{d} AS (SELECT node, name, sum(l) AS l, sum(b) AS b FROM m{d} WHERE name IS NOT NULL GROUP BY ALL HAVING sum(l) >= {urls.LEAST_LABELLED}),
+p{d} AS (SELECT x.node, x.name, x.l, x.b, x.b / x.l AS q, sum(y.l) AS pl, sum(y.b) AS pb FROM f{d} x LEFT JOIN f{d} y
+  ON x.node = y.node AND (y.b / y.l, y.name) < (x.b / x.l, x.name) GROUP BY ALL),
+z{d} AS (SELECT *, pl IS NULL OR q - pb / pl > {urls.LEAST_Z} * sqrt((b + pb) / (l + pl) * (1 - (b + pb) / (l + pl)) * (1.0 / l + 1.0 / pl)) AS fresh FROM p{d}),
+w{d} AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY node ORDER BY q, name) AS grp FROM z{d}),
+v{d} AS (SELECT node, name, CASE WHEN count(*) OVER (PARTITION BY node, grp) > 1 THEN '<' || grp || '>' ELSE name END AS child FROM w{d}),
+j{d} AS (SELECT k{d}.*, CASE WHEN NOT live THEN t{d} ELSE t{d} || '/' || coalesce(v{d}.child, m{d}.name, '') END AS t{d + 1}, live AND g[{d + 1}] IS NOT NULL AS moved
+  FROM k{d} LEFT JOIN m{d} ON live AND m{d}.node = t{d} AND m{d}.seg IS NOT DISTINCT FROM g[{d + 1}] LEFT JOIN v{d} ON live AND v{d}.node = t{d} AND v{d}.name = m{d}.name),
+k{d + 1} AS (SELECT * EXCLUDE (live, moved), moved AND count(ruled) FILTER (moved) OVER (PARTITION BY t{d + 1}) >= {urls.LEAST_LABELLED} AS live FROM j{d})""")
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (SELECT page_id, host, path, {rule} AS rule, {ruled} AS ruled, {general} AS g FROM u),
-k AS (SELECT page_id, host, path, rule, ruled, {segments}, CASE WHEN len(g) > {urls.DEPTH} THEN '**' ELSE '' END AS tail FROM r),
-shapes AS (SELECT {s_key}, count(*) AS n, CAST(count(ruled) AS DOUBLE) AS labelled,
-  CAST(count(*) FILTER (WHERE ruled = 'block') AS DOUBLE) AS blocked FROM k GROUP BY ALL),{",".join(steps)},{",".join(levels)},
-tree AS (SELECT {s_key}, concat_ws('/', host, {named}, CASE WHEN tail <> '' THEN tail END) AS template, p FROM {source} JOIN p{urls.DEPTH} USING ({", ".join(path)}))
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN p >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(p, 6) AS purity
-FROM k LEFT JOIN tree USING ({s_key})"""
+k0 AS (SELECT *, host AS t0, count(ruled) OVER (PARTITION BY host) >= {urls.LEAST_LABELLED} AS live FROM r),{",".join(steps)},
+s AS (SELECT *, (count(*) FILTER (ruled = 'block') OVER (PARTITION BY t{levels}) + {urls.WEIGHT / 2}) / (count(ruled) OVER (PARTITION BY t{levels}) + {urls.WEIGHT}) AS p FROM k{levels})
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN p >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t{levels} AS template, round(p, 6) AS purity FROM s"""
 
 
 def chats_sql() -> str:
@@ -127,7 +119,7 @@ WITH e AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id %
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
-  FROM e a JOIN e b ON a.id % 100 = 0 AND len(a.v) = len(b.v) AND a.id <> b.id),
+  FROM e a JOIN e b ON a.id % 100 = 0 AND len(a.v) = len(b.v) AND (a.id <> b.id OR a.label <> b.label)),
 best AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score,
     row_number() OVER (PARTITION BY anchor_id, own ORDER BY score DESC, id) AS place FROM pairs WHERE label = own),
 fits AS (SELECT best.anchor_id, positive_id, pairs.id AS negative_id, positive_score, score AS negative_score,

@@ -1,12 +1,19 @@
 """URL filter: a rule list, and a tree of path templates for what no rule fits; DataFrame functions only.
 
-The tree grows per host from the pages that a rule has labelled. A path's
-segments are nodes below their host; numbers, hashes and the like become
-wildcards at once. Going down, sibling segments whose share of blocked pages
-does not differ significantly from their parent's are merged into one wildcard
-branch, so only branches that behave differently stay apart. A template's
-purity is its share of blocked pages, smoothed by its parent's down from the
-share of all pages; templates of high purity are rejected.
+The tree grows per host, one path segment a round, from pages that a rule has
+labelled. Numbers, hashes and the like are wildcards at once. At a node, a
+segment on fewer than ``LEAST_PAGES`` pages is variable: all of these share one
+wildcard branch. Any other segment, wildcards included, is a branch. Branches
+with enough labels are merged where a test between them finds their shares of
+blocked pages alike; a branch with few or no labels stays by itself, whatever
+its siblings' labels say. A node goes on to its next segment while it has
+labels enough to tell branches apart, however deep that leads.
+
+A template is where that ends. Its purity is the share of blocked pages among
+its own labelled pages, each counted once, smoothed by an even prior of
+``WEIGHT`` pages; from ``REJECT`` on its pages are rejected. A template
+without labels has purity one half, and no single variable segment can lift
+its branch to ``REJECT``.
 
 The tree is built from distinct generalised paths with their counts, never
 from single pages, so a host with very many pages costs no more than its
@@ -17,17 +24,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.llm.common import materialize, upper_to_lower
 
-#: Levels of the tree; deeper segments count as one tail.
-DEPTH = 3
-#: Labelled pages that a branch of its own needs, and its least distance from the parent's share in standard errors.
-LEAST_LABELLED = 20
+#: Pages from which a segment is a branch, and labelled pages from which a branch can be merged or split.
+LEAST_PAGES = 15
+LEAST_LABELLED = 15
+#: Standard errors from which the shares of two branches differ.
 LEAST_Z = 3.0
-#: Weight of the parent's purity, in pages, and the purity from which a template is rejected.
+#: Weight of the even prior, in pages, and the purity from which a template is rejected.
 WEIGHT = 10.0
 REJECT = 0.8
 
@@ -78,42 +86,47 @@ def generalised(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), one)
 
 
-def _levels(path: Column) -> list[Column]:
-    own = generalised(path)
-    return [F.coalesce(F.try_element_at(own, F.lit(d + 1)), F.lit("")).alias(f"s{d + 1}") for d in range(DEPTH)] + [
-        F.when(F.size(own) > DEPTH, F.lit("**")).otherwise(F.lit("")).alias("tail")]
-
-
 def _counts() -> list[Column]:
     return [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
 
 
+def _branches(rows: DataFrame) -> DataFrame:
+    """(node, seg, child) for the segments that follow each node in ``rows`` (node, seg, n, labelled, blocked)."""
+    name = F.when((F.col("seg") == "") | (F.col("n") >= LEAST_PAGES), F.col("seg")).otherwise(F.lit("<*>"))
+    segments = materialize(rows.groupBy("node", "seg").agg(*_counts()).withColumn("name", name))
+    pooled = segments.groupBy("node", "name").agg(*_counts()).where((F.col("labelled") >= LEAST_LABELLED) & (F.col("name") != ""))
+    # Branches in order of their share, each tested against those before it.
+    order = Window.partitionBy("node").orderBy(F.col("blocked") / F.col("labelled"), "name")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    tested = pooled.withColumns({"l": F.sum("labelled").over(before), "b": F.sum("blocked").over(before)})
+    share = (F.col("blocked") + F.col("b")) / (F.col("labelled") + F.col("l"))
+    error = F.sqrt(share * (1 - share) * (F.lit(1.0) / F.col("labelled") + F.lit(1.0) / F.col("l")))
+    apart = F.col("blocked") / F.col("labelled") - F.col("b") / F.col("l") > LEAST_Z * error
+    grouped = tested.withColumn("group", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
+    several = F.count("*").over(Window.partitionBy("node", "group")) > 1
+    merged = grouped.withColumn("several", several).where("several").select("node", "name", F.concat(F.lit("<"), F.col("group"), F.lit(">")).alias("merged"))
+    return segments.join(merged, ["node", "name"], "left").select("node", "seg", F.concat_ws("/", "node", F.coalesce("merged", "name")).alias("child"))
+
+
 def template_tree(pages: DataFrame) -> DataFrame:
-    """(host, s1.., tail, template, purity) of every shape in ``pages`` (host, s1.., tail, blocked: 1, 0 or null)."""
-    segments = [f"s{d + 1}" for d in range(DEPTH)]
-    key = ["host", *segments, "tail"]
-    shapes = materialize(pages.groupBy(*key).agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")))
-    rows, above = shapes, ["host"]
-    for d, s in enumerate(segments):
-        node = rows.groupBy(*above, s).agg(*_counts()).where(F.col("labelled") >= LEAST_LABELLED)
-        parent = rows.groupBy(*above).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")).where(F.col("all_labelled") > 0)
-        share = F.col("all_blocked") / F.col("all_labelled")
-        apart = F.abs(F.col("blocked") - F.col("labelled") * share) > LEAST_Z * F.sqrt(F.col("labelled") * share * (1 - share))
-        own = node.join(parent, above).where(apart & ~F.startswith(F.col(s), F.lit("<"))).select(*above, s, F.col(s).alias(f"t{d + 1}"))
-        rows = rows.join(own, [*above, s], "left").withColumn(f"t{d + 1}", F.coalesce(f"t{d + 1}", F.when(F.col(s) == "", F.lit("")).otherwise(F.lit("*"))))
-        above = [*above, f"t{d + 1}"]
-    rows = materialize(rows)
-    total = rows.agg(F.coalesce((F.sum("blocked") + 1.0) / (F.sum("labelled") + 2.0), F.lit(0.5)).alias("p")).first()["p"]
-    # Down the tree: each node's share, smoothed by its parent's.
-    purity = rows.groupBy("host").agg(*_counts()).select("host", ((F.col("blocked") + WEIGHT * F.lit(total)) / (F.col("labelled") + WEIGHT)).alias("p"))
-    path = ["host"]
-    for d in range(DEPTH):
-        node = rows.groupBy(*path, f"t{d + 1}").agg(*_counts())
-        purity = node.join(purity, path).select(*path, f"t{d + 1}", ((F.col("blocked") + WEIGHT * F.col("p")) / (F.col("labelled") + WEIGHT)).alias("p"))
-        path = [*path, f"t{d + 1}"]
-    named = rows.join(purity, path)
-    template = F.concat_ws("/", F.col("host"), *[F.when(F.col(f"t{d + 1}") != "", F.col(f"t{d + 1}")) for d in range(DEPTH)], F.when(F.col("tail") != "", F.col("tail")))
-    return named.select(*key, template.alias("template"), F.col("p").alias("purity"))
+    """(host, shape, template, purity) of every shape in ``pages`` (host, shape, blocked: 1, 0 or null)."""
+    shapes = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
+    open_, done, level = materialize(shapes.withColumn("node", F.col("host"))), [], 0
+    while True:
+        labels = open_.groupBy("node").agg(F.sum("labelled").alias("labels")).where(F.col("labels") >= LEAST_LABELLED).select("node")
+        done.append(open_.join(labels, "node", "left_anti"))
+        segments = F.split("shape", "/")
+        here = open_.join(labels, "node", "left_semi").withColumn("seg", F.coalesce(F.try_element_at(segments, F.lit(level + 1)), F.lit("")))
+        if here.isEmpty():
+            break
+        moved = materialize(here.join(_branches(here), ["node", "seg"]).withColumn("node", F.col("child")).drop("child"))
+        done.append(moved.where("seg = ''").drop("seg"))
+        open_ = moved.where("seg <> ''").drop("seg")
+        level += 1
+    columns = ["host", "shape", "node", "labelled", "blocked"]
+    ended = reduce(lambda a, b: a.unionByName(b), [d.select(*columns) for d in done])
+    purity = ended.groupBy("node").agg(((F.sum("blocked") + WEIGHT / 2) / (F.sum("labelled") + WEIGHT)).alias("purity"))
+    return ended.select("host", "shape", "node").join(purity, "node").withColumnRenamed("node", "template")
 
 
 def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, id_col: str = "page_id", url: str = "url") -> DataFrame:
@@ -121,15 +134,15 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, id_col: str = "pag
 
     The verdict is the longest fitting rule's; without one, ``block`` if the
     template's purity is ``REJECT`` or more, else ``allow``. A null URL and one
-    without ``://`` have empty host and path. Repeated rows each get a row, an
-    empty table gives none.
+    without ``://`` have empty host and path, and are pages of one host without a name.
+    Paths of any length and depth are taken whole. Repeated rows each get a
+    row (and count each), an empty table gives none; other columns are not looked at.
     """
     host, path = parts(F.col(f"`{url}`").cast("string"))
     own = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
     ruled = own.withColumn("r", fitting(F.col("host"), F.col("path"), rules)).select(
-        "page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), *_levels(F.col("path")))
-    key = ["host", *[f"s{d + 1}" for d in range(DEPTH)], "tail"]
+        "page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), F.array_join(generalised(F.col("path")), "/").alias("shape"))
     blocked = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("int"))
-    tree = template_tree(ruled.select(*key, blocked.alias("blocked")))
+    tree = template_tree(ruled.select("host", "shape", blocked.alias("blocked")))
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
-    return ruled.join(tree, key, "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return ruled.join(tree, ["host", "shape"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))

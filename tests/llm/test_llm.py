@@ -549,6 +549,97 @@ def test_templates_of_one_kind_are_rejected(spark):
     assert got[200]["template"].startswith("a.com/spam/")
 
 
+def generalised_by_hand(path):
+    def one(seg):
+        end = re.search(r"(\.[a-z]{1,5})$", seg)
+        end = end[1] if end else ""
+        if re.fullmatch(r"[0-9]+(\.[a-z]{1,5})?", seg):
+            return "<n>" + end
+        if re.fullmatch(r"[0-9a-fA-F-]{8,}(\.[a-z]{1,5})?", seg):
+            return "<h>" + end
+        return "<m>" + end if re.search(r"[0-9]{4,}", seg) else seg
+    return [one(x) for x in path.split("/") if x]
+
+
+def tree_by_hand(pages):
+    """Template and purity of each (host, segments, label) page, node by node and depth first."""
+    out = [None] * len(pages)
+
+    def purity(ids):
+        labels = [pages[i][2] for i in ids if pages[i][2] is not None]
+        return (sum(labels) + urls.WEIGHT / 2) / (len(labels) + urls.WEIGHT)
+
+    def grow(node, ids, depth):
+        if sum(pages[i][2] is not None for i in ids) < urls.LEAST_LABELLED:
+            return {node: ids}
+        by = {}
+        for i in ids:
+            segs = pages[i][1]
+            by.setdefault(segs[depth] if depth < len(segs) else "", []).append(i)
+        branches = {}
+        for seg, own in by.items():
+            branches.setdefault(seg if seg == "" or len(own) >= urls.LEAST_PAGES else "<*>", []).extend(own)
+        known = []
+        for name, own in branches.items():
+            labels = [pages[i][2] for i in own if pages[i][2] is not None]
+            if name and len(labels) >= urls.LEAST_LABELLED:
+                known.append((sum(labels) / len(labels), name, sum(labels), len(labels)))
+        groups, b, n = [], 0, 0
+        for share, name, blocked, labelled in sorted(known):
+            p = (b + blocked) / (n + labelled)
+            if not groups or share - b / n > urls.LEAST_Z * (p * (1 - p) * (1 / n + 1 / labelled)) ** 0.5:
+                groups.append([])
+            groups[-1].append(name)
+            b, n = b + blocked, n + labelled
+        merged = {name: f"<{k}>" for k, g in enumerate(groups, 1) for name in g if len(g) > 1}
+        children = {}
+        for name, own in branches.items():
+            children.setdefault(merged.get(name, name), []).extend(own)
+        found = {}
+        for name, own in children.items():
+            found |= {f"{node}/": own} if name == "" else grow(f"{node}/{name}", own, depth + 1)
+        return found
+
+    for host in {p[0] for p in pages}:
+        for node, ids in grow(host, [i for i, p in enumerate(pages) if p[0] == host], 0).items():
+            for i in ids:
+                out[i] = (node, round(purity(ids), 6))
+    return out
+
+
+def test_trees_by_hand(spark):
+    """Two hundred random hosts, with literal, variable and wildcard segments up to seven deep."""
+    rng, pages = random.Random(3), []
+    for host in range(200):
+        names = [rng.sample(["spam", "news", "a", "b", "c", "x1", "en", "de", str(rng.randrange(99)), "deadbeef00"], rng.randint(1, 5)) for _ in range(7)]
+        bad = {n for level in names for n in level if rng.random() < 0.4}
+        for _ in range(rng.choice([3, 20, 60, 150])):
+            segs = [rng.choice(level) if rng.random() < 0.8 else f"v{rng.randrange(50)}" for level in names[:rng.randint(0, 7)]]
+            label = None if rng.random() < 0.4 else int(any(x in bad for x in segs)) if rng.random() < 0.9 else rng.randrange(2)
+            pages.append((f"h{host}.com", segs, label))
+    df = spark.createDataFrame([(i, h, "/".join(s), b) for i, (h, s, b) in enumerate(pages)], "i long, host string, path string, blocked int")
+    df = df.withColumn("shape", F.array_join(urls.generalised(F.col("path")), "/"))
+    got = {r["i"]: (r["template"], round(r["purity"], 6)) for r in df.select("i", "host", "shape").join(urls.template_tree(df.select("host", "shape", "blocked")), ["host", "shape"]).collect()}
+    want = tree_by_hand([(h, generalised_by_hand("/".join(s)), b) for h, s, b in pages])
+    assert [got[i] for i in range(len(pages))] == want
+    # Equal branches do merge, and deep ones do stay apart.
+    assert any("<1>" in t for t, _ in want) and any(t.count("/") >= 5 for t, _ in want)
+
+
+@pytest.mark.parametrize("labelled", [4, 10, 14, 32, 500])
+def test_labels_of_one_branch_do_not_judge_its_siblings(spark, labelled):
+    pages = [(i, f"http://x.example.com/de/{i}") for i in range(labelled)] + [(10_000 + i, f"http://x.example.com/en/{i}") for i in range(30)] + [(20_000, "http://x.example.com"), (20_001, "http://x.example.com/fr/1")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).where("rule IS NULL").collect()
+    assert len(got) == 32 and {r["verdict"] for r in got} == {"allow"}
+
+
+def test_deep_branches_have_verdicts_of_their_own(spark):
+    rules = (urls.UrlRule("a.com", "/a/b/c/d/spam/o", "block"), urls.UrlRule("a.com", "/a/b/c/d/news/o", "allow"))
+    pages = [(i, f"http://a.com/a/b/c/d/{kind}/{'o' if i % 2 else 'p'}{i}") for i, kind in enumerate(["spam"] * 100 + ["news"] * 100)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert {got[i]["verdict"] for i in range(100)} == {"block"} and {got[i]["verdict"] for i in range(100, 200)} == {"allow"}
+
+
 # --- conversations
 
 def collapse_by_hand(log):
@@ -663,7 +754,7 @@ def test_blocks_do_not_change_the_result(spark, sf_dir, monkeypatch):
 def test_sql_twins(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     cursor = db.execute(queries.ORACLE[name])
     columns = [c[0] for c in cursor.description]
