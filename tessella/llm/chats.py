@@ -36,7 +36,8 @@ def turns(log: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     """(conv, turn, role, text, digest) of each logged row; the digest is of role and text."""
     own = log.select(F.col(f"`{conv}`").cast("long").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
                      F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
-    said = F.concat(F.coalesce(F.concat(F.lit("r"), "role"), F.lit("-")), F.lit("\n"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-")))
+    # With its length before it, a role that holds any text cannot pass for another role and text.
+    said = F.concat(F.coalesce(F.concat(F.length("role").cast("string"), F.lit("r"), "role"), F.lit("-")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-")))
     return own.withColumn("digest", F.md5(said))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.session import materialize
 
-__all__ = ["fold", "materialize", "rows_of", "table", "upper_to_lower", "worker_memo"]
+__all__ = ["fold", "free_name", "materialize", "rows_of", "table", "upper_to_lower", "worker_memo"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,14 @@ def worker_memo(key: str, build: Callable[[], object]) -> object:
     return store["value"]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded size: at most ``rows`` rows and about ``chars`` bytes.
 

@@ -148,17 +148,27 @@ class Index:
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, shift of the text against it) of all seed hits."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(item, shift of the text against it) of all seed hits, in order."""
+        found = np.array([], np.int64)
         for mask in self.lengths:
             own = seed_hashes(h, mask)
             at = np.flatnonzero(self.table[own >> np.uint64(64 - _TABLE_BITS)])
             if len(at):
                 first, last = np.searchsorted(self.hashes, own[at], "left"), np.searchsorted(self.hashes, own[at], "right")
-                for p, a, b in zip(at[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
-                    found.update(zip(self.owners[a:b].tolist(), (p - self.places[a:b]).tolist(), strict=True))
-        return found
+                # Frequent seeds meet many times: shifts are packed and made distinct in slices.
+                met = np.flatnonzero(first < last)
+                ends = np.cumsum(last[met] - first[met])
+                start = 0
+                while start < len(met):
+                    stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20), "right")))
+                    own_ = met[start:stop]
+                    span = last[own_] - first[own_]
+                    hit = np.repeat(first[own_] - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())
+                    shift = np.repeat(at[own_], span) - self.places[hit] + (1 << 30)
+                    found = np.union1d(found, (self.owners[hit].astype(np.int64) << 32) + shift)
+                    start = stop
+        return list(zip((found >> 32).tolist(), ((found & ((1 << 32) - 1)) - (1 << 30)).tolist(), strict=True))
 
     def overlaps(self, text: str) -> list[tuple[int, int, int, float]]:
         """(item id, first word in the text, words, likeness) of each item that the text overlaps with, in its best alignment.
@@ -168,8 +178,10 @@ class Index:
         h = word_hashes(text, self.known)
         lines: tuple[set[int], set[int]] | None = None
         best: dict[int, tuple[int, int, int, float]] = {}
-        for k, shift in sorted(self.hits(h)):
+        for k, shift in self.hits(h):
             item_id, item = self.items[k]
+            if k in best and best[k][2:] == (len(item), 1.0):
+                continue  # the whole item, word for word: no later place is better
             start, end = max(0, shift), min(len(h), shift + len(item))
             need = min(STRETCH * self.units[k], len(item))
             if end - start < need:
@@ -211,19 +223,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], tex
 
     Documents without an overlap have no row. Null and empty texts overlap
     with nothing, and neither do items without a word; items of fewer than
-    ``LEAST_WORDS`` words are found where they fill whole lines; repeated each
-    get their rows, repeated items count once. Empty tables on either side give
-    an empty result.
+    ``LEAST_WORDS`` words are found where they fill whole lines. Repeated
+    documents each get their rows, repeated items count once. Long texts are
+    read whole. Empty tables on either side give an empty result.
     """
     source = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["item_id long, first_word int, n_words int, likeness double"])
     names = [*keep, "item_id", "first_word", "n_words", "likeness"]
 
     def of(block: Block) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        # Plain ids and texts travel: executors may lack this package's classes.
+        key, shared = block.key, docs.sparkSession.sparkContext.broadcast(block.items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = worker_memo("decontaminate:" + shared.value.key, lambda: Index(shared.value))
+            index = worker_memo("decontaminate:" + key, lambda: Index(Block(shared.value)))
             for batch in rows_of(batches):
                 rows, found = [], []
                 for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
@@ -244,10 +257,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], tex
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that overlap with no test item, all columns as they are."""
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        key, shared = block.key, docs.sparkSession.sparkContext.broadcast(block.items)
 
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            index = worker_memo("decontaminate:" + shared.value.key, lambda: Index(shared.value))
+        def clean(texts: pa.Array, key=key, shared=shared) -> pa.Array:
+            index = worker_memo("decontaminate:" + key, lambda: Index(Block(shared.value)))
             return pa.array([not (t and index.overlaps(t)) for t in texts.to_pylist()], pa.bool_())
 
         docs = docs.where(_bool(clean)(F.col(f"`{text}`").cast("string")))

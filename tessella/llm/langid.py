@@ -25,9 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.llm.common import rows_of, worker_memo
 
-#: Sampled documents per language, the length they should have, distinct characters of words kept per language.
+#: Sampled documents per language, and the length of the text that their distinct words make, drawn from all of them.
 SAMPLE_ROWS = 200
-SAMPLE_CHARS = (20, 20_000)
 SAMPLE_LETTERS = 60_000
 #: A sample of fewer characters counts as one of so many, or each piece of any text would cost it next to nothing.
 LEAST_LETTERS = 1024
@@ -40,7 +39,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case; numerals such as one half are none."""
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 class WordAutomaton:
@@ -143,42 +146,36 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     """The labelled sample, from rows with a language for which ``train`` (over ``doc_id``) holds.
 
     At most ``SAMPLE_ROWS`` documents per language, those of the smallest hash of
-    id and text, whose distinct words go into the automaton up to
-    ``SAMPLE_LETTERS`` characters; repeated rows count once, null ids are ids.
-    Texts within ``SAMPLE_CHARS`` come first; where a language has too few of
-    them, shorter ones and the beginnings of longer ones fill the sample. Every
-    language with a word in its texts is learned.
+    id and text among texts with a letter, of any length and read whole;
+    repeated rows count once, null ids are ids. Their distinct words, by a hash
+    of the word and so from all over the texts, make the language's text up to
+    ``SAMPLE_LETTERS`` characters. Every language with a word is learned.
     """
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
-                      F.length(F.col(f"`{text}`").cast("string")).alias("n"), F.col(f"`{text}`").cast("string").alias("text"))
-    fit_rows = own.where(F.col("lang").isNotNull() & train & (F.col("n") > 0)).select(
-        "lang", "doc_id", F.col("text").substr(1, SAMPLE_CHARS[1]).alias("text"), F.xxhash64("doc_id", "text").alias("h"),
-        (~F.col("n").between(*SAMPLE_CHARS)).alias("odd"))
-    counts = fit_rows.groupBy("lang").agg(*[F.approx_count_distinct(F.when(F.col("odd") == odd, F.col("h"))).alias(name) for name, odd in (("usual", False), ("others", True))])
-    # Hashes below these bounds are some CANDIDATES times the rows wanted, so those dealt out are few; the least of them are taken.
-    least = lambda n: F.lit(float(CANDIDATES * SAMPLE_ROWS)) / F.greatest(n, F.lit(1))
-    bound = F.broadcast(counts.select("lang", least("usual").alias("bound"), F.when(F.col("usual") < 2 * SAMPLE_ROWS, least("others")).otherwise(F.lit(-1.0)).alias("odd_bound")))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = own.where(F.col("lang").isNotNull() & train & F.regexp_like("text", F.lit(r"\p{L}"))).withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # Hashes below this bound are some CANDIDATES times the rows wanted, so those dealt out are few; the least of them are taken.
+    bound = F.broadcast(counts.select("lang", (F.lit(float(CANDIDATES * SAMPLE_ROWS)) / F.greatest("n", F.lit(1))).alias("bound")))
     share = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    few = fit_rows.withColumn("share", share).join(bound, "lang").where(F.col("share") <= F.when(F.col("odd"), F.col("odd_bound")).otherwise(F.col("bound"))).dropDuplicates(["lang", "h"])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "share", "h"))
-    picked = few.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).select("lang", "doc_id", "text")
+    few = rows.withColumn("share", share).join(bound, "lang").where(F.col("share") <= F.col("bound")).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("share", "h"))
+    picked = few.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).select("lang", "text")
+    met = picked.mapInArrow(_words_met, "lang string, word string").distinct()
+    # The hash order is any order, the same in every run; a language has as many words as so many documents hold.
+    size = F.sum(F.length("word") + 1).over(Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word"))
+    kept = met.withColumn("size", size).where(F.col("size") - F.length("word") <= SAMPLE_LETTERS)
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    made = [(name, sample_text(texts[name])) for name in sorted(texts)]
-    return Sample(tuple((name, sample) for name, sample in made if sample.strip()))
+    for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["size"])):
+        texts.setdefault(r["lang"], []).append(r["word"])
+    return Sample(tuple((name, f" {' '.join(texts[name])} ") for name in sorted(texts)))
 
 
-def sample_text(texts: list[str], letters: int = SAMPLE_LETTERS) -> str:
-    """The distinct words of the texts in the order met, each between spaces, up to a number of characters."""
-    out, size = {}, 0
-    for w in (w for t in dict.fromkeys(texts) for w in words(t)):
-        if w not in out:
-            out[w] = None
-            size += len(w) + 1
-            if size >= letters:
-                break
-    return " " + " ".join(out) + " "
+def _words_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word) of every distinct word of each text."""
+    for batch in rows_of(batches):
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            met = list(dict.fromkeys(words(text)))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(met), pa.string()), "word": pa.array(met, pa.string())})
 
 
 def predict(df: DataFrame, sample: Sample, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
@@ -187,12 +184,13 @@ def predict(df: DataFrame, sample: Sample, text: str = "text", keep: dict[str, C
     A null text, an empty one and one without letters give ``und`` with score
     0. Rows are independent; an empty table gives none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(sample)
+    # Plain strings travel: executors may lack this package's classes.
+    key, shared = sample.key, df.sparkSession.sparkContext.broadcast(sample.texts)
     keep = keep or {}
     names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = worker_memo("langid:" + shared.value.key, lambda: Identifier(shared.value))
+        of = worker_memo("langid:" + key, lambda: Identifier(Sample(shared.value)))
         for batch in rows_of(batches):
             made = [of.predict(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=names)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import free_name, materialize
 
 #: The ledger's columns.
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
@@ -147,13 +147,15 @@ def report(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """The documents with every span of their text replaced by ``mask``, all columns and rows kept.
 
-    Overlapping spans become one. A null text stays null.
+    Overlapping spans become one. A null text stays null. Repeated rows all
+    stay, extra columns of any name too; an empty table gives none.
     """
     content = blobs(docs, text)
     rows = scan(docs, text=text).where(F.size("spans") > 0)
-    one = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans")).withColumnRenamed("blob", "__blob")
+    blob, marks = free_name(docs, "__blob"), free_name(docs, "__spans")
+    one = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(marks)).withColumnRenamed("blob", blob)
     one = materialize(one)  # as in findings()
-    marked = docs.withColumn("__blob", content)
+    marked = docs.withColumn(blob, content)
     whole = F.col(f"`{text}`")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -162,6 +164,6 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
         before = F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, before).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("__spans", start, cut, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
-    joined = marked.join(one, "__blob", "left")
-    return joined.select(*[F.when(F.col("__spans").isNull() | whole.isNull(), whole).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(marks, start, cut, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
+    joined = marked.join(one, blob, "left")
+    return joined.select(*[F.when(F.col(marks).isNull() | whole.isNull(), whole).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

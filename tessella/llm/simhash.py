@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.common import materialize, rows_of
+from tessella.llm.common import free_name, materialize, rows_of
 from tessella.llm.components import components
 
 SEED = 42
@@ -252,14 +252,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     """
     content = F.xxhash64(F.col(f"`{text}`").isNull(), F.col(f"`{text}`"))
     keys = {"id": F.col(f"`{id_col}`").cast("long"), "content": content}
+    own_id, own_content, kept_id, kept_content = (free_name(docs, f"__{n}") for n in ("id", "content", "kept_id", "kept_content"))
     ids = materialize(fingerprints(docs, text, keys, words))
     groups = fingerprint_groups(ids, radius)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("content"))
     least = ids.groupBy("fp").agg(F.min(order).alias("least"))
     named = least.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     first = named.groupBy("group").agg(F.min("least").alias("least")).select(
-        F.col("least.id").alias("__kept_id"), F.col("least.content").alias("__kept_content"))
-    marked = docs.withColumns({"__id": keys["id"], "__content": content})
-    chosen = marked.join(first, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__content") == F.col("__kept_content")), "left_semi")
+        F.col("least.id").alias(kept_id), F.col("least.content").alias(kept_content))
+    marked = docs.withColumns({own_id: keys["id"], own_content: content})
+    chosen = marked.join(first, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_content) == F.col(kept_content)), "left_semi")
     # What repeats a kept id and text is the same document.
-    return chosen.dropDuplicates(["__id", "__content"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.dropDuplicates([own_id, own_content]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.llm.common import fold, rows_of, worker_memo
+from tessella.llm.common import fold, materialize, rows_of, worker_memo
 
 #: Labelled rows that the model is fitted on, at most.
 MOST_LABELLED = 100_000
-#: Tokens are counted in this many hash buckets, which bounds the model.
-BUCKETS = 1 << 19
+#: Forms counted by a task before it hands its counts on.
+FORMS_HELD = 500_000
 #: Lengths of a token's beginnings that are counted beside the token itself.
 STEMS = (4, 5, 6)
 #: Weight of the prior, in documents.
@@ -58,10 +58,6 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def bucket(form: str) -> int:
-    return zlib.crc32(form.encode()) & (BUCKETS - 1)
-
-
 def forms(token: str) -> list[str]:
     """The token and its beginnings: what an inflected word shares with its other forms."""
     return [token, *[f"{token[:n]}*" for n in STEMS if len(token) > n]]
@@ -69,29 +65,34 @@ def forms(token: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Scores per bucket, the extreme-value parameters, and the curve: intercept, slope."""
+    """Scores of the forms that count, the extreme-value parameters, and the curve: intercept, slope."""
 
-    scores: np.ndarray
+    scores: dict[str, float]
     rate: float
     scale: float
     curve: tuple[float, float] = (0.0, 0.0)
 
     @property
     def key(self) -> str:
-        return hashlib.sha256(self.scores.tobytes() + repr((self.rate, self.scale, self.curve)).encode()).hexdigest()
+        return hashlib.sha256(repr((sorted(self.scores.items()), self.rate, self.scale, self.curve)).encode("utf-8", "surrogatepass")).hexdigest()
+
+    @property
+    def plain(self) -> tuple:
+        """What is broadcast: executors may lack this package's classes."""
+        return self.scores, self.rate, self.scale, self.curve
 
 
 class _Scores(dict):
     """Scores of the tokens met, filled as they come."""
 
-    def __init__(self, scores: np.ndarray) -> None:
+    def __init__(self, scores: dict[str, float]) -> None:
         super().__init__()
         self.scores = scores
 
     def __missing__(self, token: str) -> float:
         if len(self) >= TOKENS_KEPT:
             self.clear()
-        self[token] = value = max(float(self.scores[bucket(f)]) for f in forms(token))
+        self[token] = value = max(self.scores.get(f, -COST) for f in forms(token))
         return value
 
 
@@ -145,18 +146,25 @@ class Scorer:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, toxic, clean) document counts of a partition; bucket -1 counts the documents."""
-    found = np.zeros((2, BUCKETS), np.int64)
-    documents = np.zeros(2, np.int64)
+    """(form, toxic, clean) document counts of a partition; the empty form counts the documents."""
+    found: tuple[Counter, Counter] = Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        names = list(found[0].keys() | found[1].keys())
+        batch = pa.RecordBatch.from_pydict({
+            "form": pa.array(names, pa.string()), "toxic": pa.array([found[1][f] for f in names], pa.int64()), "clean": pa.array([found[0][f] for f in names], pa.int64())})
+        for c in found:
+            c.clear()
+        return batch
+
     for batch in rows_of(batches):
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {bucket(f) for t in set(tokens(text or "")) for f in forms(t)}
-            found[label, np.fromiter(own, np.int64, len(own))] += 1
-            documents[label] += 1
-    at = np.flatnonzero(found.sum(axis=0))
-    yield pa.RecordBatch.from_pydict({
-        "bucket": pa.array(np.append(at, -1)), "toxic": pa.array(np.append(found[1, at], documents[1])),
-        "clean": pa.array(np.append(found[0, at], documents[0]))})
+            own = {f for t in set(tokens(text or "")) for f in forms(t)}
+            own.add("")
+            found[label].update(own)
+            if len(found[0]) + len(found[1]) > FORMS_HELD:
+                yield flush()
+    yield flush()
 
 
 def _shares(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -177,6 +185,14 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return np.where(np.abs(z) >= LEAST_Z, ratio, 0.0) - COST
 
 
+def _z(n_toxic: int, n_clean: int) -> Column:
+    """The z-score of :func:`log_odds` over the columns ``toxic`` and ``clean``."""
+    share = (F.col("toxic") + F.col("clean") + 0.5) / (n_toxic + n_clean + 1.0)
+    a, b = F.col("toxic") + PRIOR * share, F.col("clean") + PRIOR * share
+    ratio = F.ln(a / (n_toxic + PRIOR - a + 1.0)) - F.ln(b / (n_clean + PRIOR - b + 1.0))
+    return ratio / F.sqrt(F.lit(1.0) / a + F.lit(1.0) / b)
+
+
 def extreme_value(scores: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """(lambda, K) of maximal segments in text whose tokens come from ``weights``.
 
@@ -224,50 +240,57 @@ def labelled_sample(labels: DataFrame, train: Column, id_col: str = "doc_id", la
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", train: Column | None = None) -> Model:
     """A model from the labelled documents for which ``train`` (over ``doc_id``) holds.
 
+    Forms are counted exactly. A document labelled both ways counts as toxic.
+
     Without labelled rows of both kinds all scores are the share of toxic rows.
     """
     train = F.lit(True) if train is None else train
     chosen = F.broadcast(labelled_sample(labels, train, id_col, label))  # MOST_LABELLED rows of 12 bytes at most
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = own.join(chosen, "doc_id").select("label", "text")
-    counted = rows.mapInArrow(_count, "bucket long, toxic long, clean long").groupBy("bucket").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()  # a row per bucket at most
-    at = counted.column("bucket").to_numpy()
-    toxic, clean = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    held = at >= 0
-    toxic[at[held]], clean[at[held]] = counted.column("toxic").to_numpy()[held], counted.column("clean").to_numpy()[held]
-    n_toxic, n_clean = int(counted.column("toxic").to_numpy()[~held].sum()), int(counted.column("clean").to_numpy()[~held].sum())
-    scores = log_odds(toxic, clean, n_toxic, n_clean).astype(np.float32) if n_toxic and n_clean else np.full(BUCKETS, -COST, np.float32)
-    rate, scale = extreme_value(scores.astype(np.float64), background(toxic, clean, n_toxic, n_clean)) if n_clean else (1.0, 1.0)
-    model = Model(scores, rate, scale)
+    counted = materialize(rows.mapInArrow(_count, "form string, toxic long, clean long").groupBy("form").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    total = counted.where("form = ''").first()
+    n_toxic, n_clean = (total["toxic"], total["clean"]) if total else (0, 0)
     if not (n_toxic and n_clean):
         odds = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -40.0
-        return Model(scores, rate, scale, (odds, 0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return Model({}, 1.0, 1.0, (odds, 0.0))
+    forms_ = counted.where("form <> ''")
+    # Only forms that count are gathered: few beside those met, and of documents whose number is bounded.
+    beyond = forms_.where(F.abs(_z(n_toxic, n_clean)) >= LEAST_Z * (1 - 1e-9)).orderBy("form").toArrow()
+    toxic, clean = beyond.column("toxic").to_numpy(), beyond.column("clean").to_numpy()
+    scores = log_odds(toxic, clean, n_toxic, n_clean)
+    weights = background(toxic, clean, n_toxic, n_clean)
+    share = (F.col("toxic") + F.col("clean") + 0.5) / (n_toxic + n_clean + 1.0)
+    rest = max(0.0, (forms_.agg(F.sum(F.col("clean") + share)).first()[0] or 0.0) - float(weights.sum()))
+    rate, scale = extreme_value(np.append(scores, -COST), np.append(weights, rest))
+    model = Model(dict(zip(beyond.column("form").to_pylist(), scores.tolist(), strict=True)), rate, scale)
+    key, shared = model.key, docs.sparkSession.sparkContext.broadcast(model.plain)
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_memo("toxicity-fit:" + shared.value.key, lambda: Scorer(shared.value))
+        scorer = worker_memo("toxicity-fit:" + key, lambda: Scorer(Model(*shared.value)))
         for batch in rows_of(batches):
             x = [round(scorer.statistic(t or "") * CELLS / 8) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"cell": pa.array(x, pa.int64()), "label": batch.column(0)})
 
     cells = rows.mapInArrow(statistics, "cell long, label int").groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()
-    return Model(scores, rate, scale, _curve([(r["cell"] * 8 / CELLS, r["n"], r["k"]) for r in cells]))
+    return Model(model.scores, rate, scale, _curve([(r["cell"] * 8 / CELLS, r["n"], r["k"]) for r in cells]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns in ``keep``, then score (0 to 1), n_passages (long), passages (array of first token, token after the last, normalised score).
 
-    A null or empty text has no passage and the score of such texts. Rows are
+    A null or empty text has no passage and the score of such texts; long texts
+    are read whole, in one linear scan. Rows are
     independent: repeated rows are all scored, an empty table gives none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    key, shared = model.key, df.sparkSession.sparkContext.broadcast(model.plain)
     keep = keep or {}
     names = [*keep, "score", "n_passages", "passages"]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_memo("toxicity:" + shared.value.key, lambda: Scorer(shared.value))
+        scorer = worker_memo("toxicity:" + key, lambda: Scorer(Model(*shared.value)))
         for batch in rows_of(batches):
             found = [scorer.passages(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             p = [scorer.score(math.log1p(sum(x[2] for x in own))) for own in found]
@@ -281,11 +304,11 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: dict[str, Colum
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents whose score is below ``threshold``, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = model.key, docs.sparkSession.sparkContext.broadcast(model.plain)
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        scorer = worker_memo("toxicity:" + shared.value.key, lambda: Scorer(shared.value))
+        scorer = worker_memo("toxicity:" + key, lambda: Scorer(Model(*shared.value)))
         return pa.array([scorer.score(scorer.statistic(t or "")) for t in texts.to_pylist()], pa.float64())
 
     return docs.where(of(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) < threshold)

@@ -69,7 +69,7 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN p >= {urls.REJECT} T
 
 def chats_sql() -> str:
     return f"""
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text, md5(coalesce('r' || role, '-') || chr(10) || coalesce('t' || text, '-')) AS digest FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text, md5(coalesce(length(role) || 'r' || role, '-') || coalesce('t' || text, '-')) AS digest FROM conversations),
 p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n, md5(string_agg(digest, '') OVER w) AS h
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest ROWS UNBOUNDED PRECEDING)),
 whole AS (SELECT n, h, min(conv_id) AS conv_id FROM p WHERE place = n GROUP BY n, h),

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pyspark
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -274,6 +279,57 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert len(got) > 20 and sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.9
 
 
+def test_workers_need_no_copy_of_the_package(spark, tmp_path):
+    """The operators with a broadcast model run where the package cannot be imported."""
+    script = tmp_path / "apart.py"
+    script.write_text(f"""
+import os, sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.executorEnv.PYTHONPATH", "").config("spark.checkpoint.dir", {str(tmp_path / 'c')!r}).config("spark.sql.shuffle.partitions", 2).getOrCreate()
+from tessella.llm import decontaminate, langid, toxicity, hardneg, minhash
+def lacks(_):
+    try:
+        import tessella
+    except ImportError:
+        yield True
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(lacks).collect() == [True]
+docs = spark.createDataFrame([(i, f"some words here number {{'abcdefgh'[i % 8]}} " * 9 + ("vile" if i % 2 else ""), "en") for i in range(40)], "doc_id long, text string, lang string")
+langid.predict(docs, langid.fit(docs, F.lit(True))).collect()
+model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 2) toxic"))
+toxicity.score(docs, model).collect()
+toxicity.reject(docs, model).collect()
+decontaminate.drop_contaminated(docs, docs.selectExpr("doc_id item_id", "text").limit(2)).collect()
+minhash.near_duplicates(docs).collect()
+vectors = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(30)], "vec_id long, embedding array<double>, label int")
+hardneg.mine(vectors, F.col("id") % 10 == 0).collect()
+print("done")
+spark.stop()
+""")
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("PYSPARK", "SPARK"))} | {"SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": os.path.dirname(pyspark.__file__), "PYSPARK_PYTHON": sys.executable}
+    ran = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip().endswith("done"), ran.stderr[-3000:]
+
+
+@pytest.mark.parametrize("name", ["__blob", "__id", "__spans", "__kept_id", "__content", "blob", "fp"])
+def test_working_columns_do_not_clash(spark, name):
+    docs = spark.createDataFrame([(1, "password: abcdefghij", "mine"), (2, "nothing to see here at all", "mine"), (2, "nothing to see here at all", "mine")], f"doc_id long, text string, `{name}` string")
+    assert [r[2] for r in secrets.redact(docs).collect()] == ["mine"] * 3
+    assert [r[2] for r in simhash.keep_one(docs).collect()] == ["mine"] * 2
+
+
+def test_turns_of_other_roles_are_other_turns(spark):
+    log = spark.createDataFrame([(1, 0, "a\ntb", None), (2, 0, "a", "b\n-"), (3, 0, "1", "r"), (4, 0, "1r", "")], "conv_id long, turn long, role string, text string")
+    assert chats.render(log).count() == 4
+
+
+def test_equal_words_are_compared_in_linear_time():
+    items = decontaminate.Block(tuple((k, "same " * 60) for k in range(40)))
+    began = time.time()
+    found = decontaminate.Index(items).overlaps("same " * 5000)
+    assert len(found) == 40 and all(r[1:] == (0, 60, 1.0) for r in found) and time.time() - began < 5
+
+
 def test_language_edges(spark):
     docs = documents(spark, [*EDGES, (20, "12 34 !!")])
     sample = langid.fit(docs, F.col("doc_id").isNotNull())
@@ -286,11 +342,28 @@ def test_language_edges(spark):
 def test_language_sample_is_bounded(spark, monkeypatch, same):
     """Rows of one id, null or not, are sampled like any others; copies count once."""
     monkeypatch.setattr(langid, "SAMPLE_ROWS", 5)
-    seen = []
-    monkeypatch.setattr(langid, "sample_text", lambda texts: seen.append(texts) or "")
-    docs = documents(spark, [(same, prose(k, 30)) for k in range(300)] + [(same, prose(1, 30))] * 300)
-    langid.fit(docs, F.lit(True))
-    assert [len(t) for t in seen] == [5] and len(set(seen[0])) == 5
+    # Each text has a word of its own.
+    own = lambda k: "q" + "".join(chr(ord("a") + int(c)) for c in f"{k:03}")
+    docs = documents(spark, [(same, f"{prose(k, 30)} {own(k)}") for k in range(300)] + [(same, f"{prose(1, 30)} {own(1)}")] * 300)
+    (_, text), = langid.fit(docs, F.lit(True)).texts
+    assert sum(w.startswith("q") for w in text.split()) == 5
+
+
+def test_language_sample_is_drawn_from_whole_texts(spark, monkeypatch):
+    """Words at the end of a very long text are as likely to be learned as those at its beginning."""
+    monkeypatch.setattr(langid, "SAMPLE_LETTERS", 4_000)
+    words = ["".join(random.Random(k).choices("bcdfgaeiou", k=7)) for k in range(6_000)]
+    (_, text), = langid.fit(documents(spark, [(1, " ".join(words))]), F.lit(True)).texts
+    assert 4_000 <= len(text) <= 4_100
+    at = [words.index(w) for w in text.split()]
+    assert sum(k < 2_000 for k in at) > 100 and sum(k >= 4_000 for k in at) > 100
+
+
+@pytest.mark.parametrize("text", ["\u00bd \u00b2 3", "\u2168 \u2460", "12 34"])
+def test_numerals_are_no_letters(spark, text):
+    docs = documents(spark, [(1, prose(1, 50))])
+    got = langid.predict(documents(spark, [(2, text)]), langid.fit(docs, F.lit(True))).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
 
 
 def test_every_language_is_learned(spark):
@@ -645,7 +718,7 @@ def test_deep_branches_have_verdicts_of_their_own(spark):
 def collapse_by_hand(log):
     talks = {}
     for c, t, r, x in set(log):
-        talks.setdefault(c, []).append((t is not None, t or 0, hashlib.md5(((("r" + r) if r is not None else "-") + "\n" + (("t" + x) if x is not None else "-")).encode()).hexdigest(), r, x))
+        talks.setdefault(c, []).append((t is not None, t or 0, hashlib.md5(((f"{len(r)}r{r}" if r is not None else "-") + (("t" + x) if x is not None else "-")).encode()).hexdigest(), r, x))
     whole = {c: tuple(v[2] for v in sorted(talk, key=lambda v: v[:3])) for c, talk in talks.items()}
     kept = {}
     for c in sorted(whole, key=lambda c: (c is None, c or 0)):
