@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions import histogram as H, points
@@ -18,6 +17,7 @@ from tessella.functions.grids import Bins, Grid, constant_bins, default_grid, ta
 from tessella.functions.scores import object_scores
 from tessella.operators.metrics import summarize
 from tessella.operators.mixtures import Mixture, Part
+from tessella.operators.neighbours import nearest
 from tessella.operators.ranks import GROUP, exact_quantiles, named, unnamed
 from tessella.operators.validate import check_target
 
@@ -275,53 +275,6 @@ def classifier_hierarchy(context: DataFrame, queries: DataFrame, features: Seque
 # -- neighbours --------------------------------------------------------------------
 
 
-def nearest(
-    queries: DataFrame, context: DataFrame, k: int, *, id_col: str, vector_col: str, context_id: str, value: str,
-    block_rows: int = 4096,
-) -> DataFrame:
-    """Exact k nearest context rows per query: ``(id, neighbours array<struct<d, id, y>>)``, nearest first.
-
-    Both sides are cut into blocks of bounded size and every pair of blocks is
-    one bounded task, which returns only k candidates per query; a query's
-    candidates are then merged. Shuffled rows grow with the number of blocks,
-    not with the pairs of rows.
-    """
-    n_q, n_c = queries.count(), context.count()
-    q_blocks, c_blocks = max(1, math.ceil(n_q / block_rows)), max(1, math.ceil(n_c / block_rows))
-    left = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).cast("array<double>").alias("v"))
-    left = left.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    right = context.select(F.col(context_id).alias("cid"), F.col(vector_col).cast("array<double>").alias("v"), F.col(value).cast("double").alias("y"))
-    right = right.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({"qid": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "cid": pa.array([], pa.int64()), "y": pa.array([], pa.float64())})
-        width = len(a.column("v")[0])
-        x = a.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
-        z = b.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
-        cid, y = b.column("cid").to_numpy(), b.column("y").to_numpy()
-        m, picked, dist = min(k, len(z)), [], []
-        squares = (z * z).sum(axis=1)
-        for start in range(0, len(x), 256):
-            part = x[start:start + 256]
-            # A matrix product bounds the k-th distance; what may lie within it is measured exactly.
-            own = (part * part).sum(axis=1)
-            rough = own[:, None] + squares - 2.0 * (part @ z.T)
-            kth = np.partition(rough, m - 1, axis=1)[:, m - 1]
-            for row, near, limit in zip(part, rough, kth + 1e-9 * (own + squares.max())):
-                held = np.flatnonzero(near <= limit)
-                d = ((z[held] - row) ** 2).sum(axis=1)
-                best = np.lexsort((cid[held], d))[:m]
-                picked.append(held[best])
-                dist.append(d[best])
-        picked, dist = np.concatenate(picked), np.concatenate(dist)
-        return pa.table({"qid": np.repeat(a.column("qid").to_numpy(), m), "d": dist, "cid": cid[picked], "y": y[picked]})
-
-    pairs = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(block, "qid long, d double, cid long, y double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("cid").alias("id"), "y"))), 1, k)
-    return pairs.groupBy(F.col("qid").alias(id_col)).agg(best.alias("neighbours"))
-
-
 def neighbour_histogram(found: DataFrame, bins: Bins, name: str = "masses", floor: float = NEIGHBOUR_FLOOR) -> DataFrame:
     """Neighbours' targets counted per bucket over a small floor."""
     idx = F.transform("neighbours", lambda t: bins.locate(t["y"]))

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessella.functions.arrays import at, let, ratio, vector
 from tessella.functions.grids import Bins
 from tessella.functions.uniform import noise, normal_ppf
-from tessella.operators.ranks import exact_quantiles
+from tessella.operators.ranks import bracket, exact_quantiles, spread_knots
 from tessella.operators.validate import require_columns
+from tessella.session import materialize
 
 # Feature modes and transform conventions.
 FEATURE_MODES = ("mag", "mag-color", "all")
@@ -176,6 +177,47 @@ class QuantileMap:
         return df.withColumns({c: self.value(c) for c in self.knots})
 
 
+@dataclasses.dataclass(frozen=True)
+class SpreadMap:
+    """The empirical quantile map with a knot for every few rows: its knots are a table, fitted and applied by joins.
+
+    ``knots`` is (c, q, first, last, top), one row per distinct knot of a column.
+    """
+
+    knots: DataFrame
+    columns: tuple[str, ...]
+    normal: bool
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: Sequence[str], *, output: str = "uniform", rows_per_knot: int = 5) -> SpreadMap:
+        """``n / rows_per_knot`` knots per column, two at least, over the known values; a column needs two of them."""
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _known(c).alias("v")) for c in columns])).alias("t")).select("t.*")
+        count = F.greatest(F.floor(F.col("n") / rows_per_knot), F.lit(2))
+        return cls(materialize(spread_knots(stacked, "v", count, ["c"])), tuple(columns), output == "normal")
+
+    def shares(self, df: DataFrame) -> DataFrame:
+        """(c, v, share) of every distinct known value of the columns."""
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _known(c).alias("v")) for c in self.columns])).alias("t")).select("t.*")
+        ends = self.knots.groupBy("c").agg(F.min("q").alias("low"), F.max("q").alias("high"), F.max("top").alias("top"))
+        x, a, b = F.col("v"), F.col("below"), F.col("above")
+        inner = F.when(x == a["q"], (a["first"] + a["last"]) / F.lit(2.0)).otherwise(
+            a["last"] + (b["first"] - a["last"]) * ratio(x - a["q"], b["q"] - a["q"]))
+        room = NORMAL_BOUND if self.normal else 0.0
+        share = F.when(x <= F.col("low") + room, F.lit(0.0)).when(x >= F.col("high") - room, F.lit(1.0)).otherwise(inner / F.col("top"))
+        if self.normal:
+            share = let(F.least(F.greatest(share, F.lit(NORMAL_BOUND)), F.lit(1.0 - NORMAL_BOUND)), normal_ppf)
+        # One row per column.
+        return bracket(stacked, "v", self.knots, "q", ["c"]).join(F.broadcast(ends), "c").select("c", "v", share.alias("share"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The columns mapped; a value that many rows hold is looked up once. Missing values stay missing."""
+        found = materialize(self.shares(df))
+        for c in self.columns:
+            own = found.where(F.col("c") == c).select(F.col("v").alias("_v"), F.col("share").alias("_share"))
+            df = df.withColumn("_v", _known(c)).join(own, "_v", "left").withColumn(c, F.col("_share")).drop("_v", "_share")
+        return df
+
+
 def yeo_johnson(x: Column, lam: Column | float) -> Column:
     lam = lam if isinstance(lam, Column) else F.lit(float(lam))
 

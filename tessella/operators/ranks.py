@@ -36,6 +36,11 @@ def named(df: DataFrame, by: Sequence[str], name: str = GROUP) -> DataFrame:
     return df.withColumn(name, F.struct(*[F.col(k) for k in by]) if by else F.struct(F.lit(0).alias("_")))
 
 
+def _plain(value: str) -> Column:
+    """The number, with one zero: grouping holds -0.0 and 0.0 for equal, intervals would not."""
+    return F.col(value).cast("double") + F.lit(0.0)
+
+
 def unnamed(by: Sequence[str], name: str = GROUP) -> list[Column]:
     """The columns of a group's name."""
     return [F.col(f"{name}.{k}").alias(k) for k in by]
@@ -101,7 +106,7 @@ def exact_quantiles(
     balance the work and do not change the result.
     """
     levels = [float(x) for x in levels]
-    df = named(df, by).select(GROUP, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    df = named(df, by).select(GROUP, _plain(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     large = df.groupBy(GROUP).agg(F.count("*").alias("n")).where(F.col("n") > SMALL_GROUP).select(GROUP)
     few = large.count()
     one = lambda rows: rows.groupBy(GROUP).agg(F.count("*").alias("n"), F.percentile("_v", levels).alias("q"))
@@ -153,7 +158,7 @@ def running_counts(
     first become one row, then each interval is ordered on its own and shifted
     by the rows of the intervals before it.
     """
-    df = named(df, by).select(GROUP, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    df = named(df, by).select(GROUP, _plain(value).alias(value)).where(F.col(value).isNotNull())
     cuts = sketch(df, [value]).cuts[value] if cuts is None else cuts
     ties = _with_interval(df.groupBy(GROUP, value).agg(F.count("*").alias("c")), value, cuts)
     counts = _with_interval(df, value, cuts).groupBy(GROUP, "_b").agg(F.count("*").alias("_c"))
@@ -230,3 +235,70 @@ def dense_ids(df: DataFrame, id_name: str, order: Sequence[str]) -> DataFrame:
     inside = Window.partitionBy("_p").orderBy(*order)
     return placed.join(offsets, "_p").withColumn(
         id_name, F.col("_start") + F.row_number().over(inside) - 1).drop("_p", "_start")
+
+
+# -- knots and brackets as tables ---------------------------------------------------
+
+
+def _first_beyond(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(group, _b, name): the least ``value`` in the intervals after each one; a row per interval."""
+    edge = rows.groupBy(GROUP, "_b").agg(F.min(value).alias("_e"))
+    order = Window.partitionBy(GROUP).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    return edge.select(GROUP, "_b", F.first("_e").over(order).alias(name))
+
+
+def spread_knots(df: DataFrame, value: str, count: Column, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, q, first, last, top)``: ``count`` quantiles at equal steps from the least to the greatest value, however many.
+
+    Equal knots are one row with the numbers of the first and the last of
+    them; ``top`` is the number of the group's last knot. ``count`` (at least 2, over
+    the group's number of rows ``n``) must not exceed ``n``. The knots never
+    leave the cluster: each distinct value knows the ranks it covers, and so
+    which knots fall on it or between it and the next.
+    """
+    df = named(df, by).select(GROUP, _plain(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranked = _with_interval(running_counts(df, "_v", [GROUP]), "_v", sketch(df, ["_v"]).cuts["_v"])
+    beyond = _first_beyond(ranked, "_v", "_beyond")
+    inside = Window.partitionBy(GROUP, "_b").orderBy("_v")
+    rows = ranked.withColumn("_next", F.lead("_v").over(inside)).join(beyond, [GROUP, "_b"]).withColumn("_next", F.coalesce("_next", "_beyond"))
+    rows = rows.withColumn("top", count.cast("long") - 1)
+    # Knot i lies at rank i (n - 1) / top.
+    up = lambda rank: F.expr(f"({rank} * top + n - 2) div (n - 1)")
+    rows = rows.where("n > 1").withColumns({"first": up("before"), "last": F.expr("((before + c - 1) * top) div (n - 1)")})
+    own = F.when(F.col("first") <= F.col("last"), F.struct(F.col("_v").alias("q"), "first", "last"))
+    part = F.expr("((last + 1) * (n - 1) - (before + c - 1) * top) / double(top)")
+    between = F.when(F.col("_next").isNotNull() & (part < 1.0), F.struct(
+        (F.col("_v") + (F.col("_next") - F.col("_v")) * part).alias("q"), (F.col("last") + 1).alias("first"), (F.col("last") + 1).alias("last")))
+    made = rows.select(GROUP, "top", F.explode(F.filter(F.array(own, between), lambda k: k.isNotNull())).alias("k"))
+    runs = made.groupBy(GROUP, F.col("k.q").alias("q")).agg(F.min("k.first").alias("first"), F.max("k.last").alias("last"), F.max("top").alias("top"))
+    return runs.select(*unnamed(by), "q", "first", "last", "top")
+
+
+def bracket(values: DataFrame, value: str, knots: DataFrame, at: str = "q", by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, value, below, above)`` of each distinct value: the knot rows at or next to it, as structs of ``knots``' columns.
+
+    An as-of join with a table of any length, both ways. Values and knots
+    are cut into the same intervals; a value finds its knots within its
+    interval or at the end of another one, so nothing is compared with more
+    than it meets. NULL and NaN values have no row.
+    """
+    payload = F.struct(F.col(at).cast("double").alias(at), *[c for c in knots.columns if c not in (at, *by)])
+    left = named(values, by).select(GROUP, _plain(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).distinct()
+    right = named(knots, by).select(GROUP, _plain(at).alias("_v"), payload.alias("_k")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    kind = right.schema["_k"].dataType
+    both = left.select(GROUP, "_v", F.lit(True).alias("_asked"), F.lit(None).cast(kind).alias("_k")).unionByName(
+        right.select(GROUP, "_v", F.lit(False).alias("_asked"), "_k"))
+    met = both.groupBy(GROUP, "_v").agg(F.max("_asked").alias("_asked"), F.max("_k").alias("_k"))
+    placed = materialize(_with_interval(met, "_v", sketch(left, ["_v"]).cuts["_v"]))
+    # Of each interval the outermost knots, carried over the intervals beside it.
+    ends = placed.groupBy(GROUP, "_b").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high"))
+    order = Window.partitionBy(GROUP).orderBy("_b")
+    carried = ends.select(
+        GROUP, "_b", F.last("_high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inside = Window.partitionBy(GROUP, "_b").orderBy("_v")
+    found = placed.withColumns({
+        "_below": F.last("_k", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "_above": F.first("_k", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))})
+    return found.where("_asked").join(carried, [GROUP, "_b"]).select(
+        *unnamed(by), F.col("_v").alias(value), F.coalesce("_below", "_before").alias("below"), F.coalesce("_above", "_after").alias("above"))

@@ -91,6 +91,29 @@ def f4_uniform(spark, sf):
     return small_map(df, False).transform(df).select("id", r("price", 8).alias("price"))
 
 
+SPREAD = f"""{I.ORDERS}, s AS (SELECT price AS v, row_number() OVER (ORDER BY price) - 1 AS r, count(*) OVER () AS n FROM f),
+c AS (SELECT any_value(n) AS n, any_value(n) // 5 - 1 AS top FROM s), k AS (SELECT i, (n - 1) * i // top AS lo, ((n - 1) * i % top) / top::DOUBLE AS fr, n, top FROM c, range(top + 1) t(i)),
+kn AS (SELECT i, a.v + (b.v - a.v) * fr AS q, top FROM k JOIN s a ON a.r = lo JOIN s b ON b.r = least(lo + 1, k.n - 1)),
+runs AS (SELECT q, min(i) AS fi, max(i) AS la, any_value(top) AS top FROM kn GROUP BY q), e AS (SELECT min(q) AS q0, max(q) AS q1 FROM runs),
+m AS (SELECT id, price, CASE WHEN price <= q0 THEN 0 WHEN price >= q1 THEN 1 WHEN price = p.q THEN (p.fi + p.la) / 2.0 / p.top
+  ELSE (p.la + (x.fi - p.la) * (price - p.q) / (x.q - p.q)) / p.top END AS share FROM (SELECT id, price, q0, q1 FROM f CROSS JOIN e) z ASOF JOIN runs p ON z.price >= p.q ASOF JOIN runs x ON z.price <= x.q)"""
+
+
+@query("f4_quantile_uniform_all", f"{SPREAD} SELECT id, round(share, 8) AS price FROM m")
+def f4_spread(spark, sf):
+    """A knot for every five rows: the knots are a table, joined by brackets."""
+    df = I.order_features(spark, sf).select("id", "price")
+    return FE.SpreadMap.fit(df, ["price"]).transform(df).select("id", r("price", 8).alias("price"))
+
+
+@query("f4_with_original", f"{SPREAD} SELECT id, round(share, 8) AS price, price AS price_original FROM m")
+def f4_original(spark, sf):
+    """The mapped column with the untransformed one after it."""
+    df = I.order_features(spark, sf).select("id", "price")
+    both = FE.with_original(df, FE.SpreadMap.fit(df, ["price"]).transform(df), ["price"], "id")
+    return both.select("id", r("price", 8).alias("price"), "price_original")
+
+
 def normal_sql(p: str) -> str:
     """The inverse normal polynomial in SQL."""
     def horner(coefficients, x: str) -> str:

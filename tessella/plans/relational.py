@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 
 
 from tessella.functions.grids import Bins
-from tessella.operators import estimators as E, mixtures as MX, ranks as RK, recipes as RC, selection as SE
+from tessella.operators import mixtures as MX, ranks as RK, recipes as RC, selection as SE
+from tessella.operators.neighbours import nearest
 from tessella.plans import inputs as I
 from tessella.plans.inputs import rounded as r
 from tessella.plans.registry import query
@@ -39,6 +40,16 @@ def j4(spark, sf):
     return I.events(spark, sf).select("id", F.element_at(F.lit(np.array(EDGES)), k).alias("edge"), (k - 1).cast("long").alias("bracket"))
 
 
+@query("j4_bracket_table", f"""WITH {I.EV}, k AS (SELECT o_totalprice / 1000 AS q, min(o_orderkey) AS id FROM orders GROUP BY 1)
+SELECT ev.id, round(a.q, 6) AS below, a.id AS below_id, round(b.q, 6) AS above, b.id AS above_id FROM ev ASOF LEFT JOIN k a ON ev.y >= a.q ASOF LEFT JOIN k b ON ev.y <= b.q""")
+def j4_table(spark, sf):
+    """Each event between the order prices next to it: an as-of join with a table, both ways."""
+    ev = I.events(spark, sf).select("id", "y")
+    prices = I.table(spark, sf, "orders").groupBy((F.col("o_totalprice") / 1000).alias("q")).agg(F.min("o_orderkey").alias("id"))
+    out = ev.join(RK.bracket(ev, "y", prices), "y")
+    return out.select("id", r("below.q").alias("below"), F.col("below.id").alias("below_id"), r("above.q").alias("above"), F.col("above.id").alias("above_id"))
+
+
 KNN = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS y FROM embeddings),
 d AS (SELECT a.id, b.id AS nid, b.y, list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM e a CROSS JOIN e b),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rn FROM d QUALIFY rn <= 8)"""
@@ -46,7 +57,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rn FROM d
 
 def neighbours(spark, sf, k: int = 8):
     e = I.table(spark, sf, "embeddings")
-    return E.nearest(e, e, k, id_col="vec_id", vector_col="embedding", context_id="vec_id", value="label").withColumnRenamed("vec_id", "id")
+    return nearest(e, e, k, id_col="vec_id", vector_col="embedding", context_id="vec_id", value="label").withColumnRenamed("vec_id", "id")
 
 
 @query("j5_nearest_neighbours", f"{KNN} SELECT id, CAST(rn AS BIGINT) AS rank, nid AS neighbour, round(d, 6) AS distance FROM n")

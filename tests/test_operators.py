@@ -12,7 +12,7 @@ from tessella.functions import histogram as H
 from tessella.functions.grids import Bins, Grid
 from tessella.functions.uniform import member_seed, normal_ppf
 from tessella.operators import (
-    diagnostics as X, estimators as E, features as FE, metrics as M, mixtures as MX, pooling as PO, ranks as RK,
+    diagnostics as X, estimators as E, features as FE, metrics as M, mixtures as MX, neighbours as NB, pooling as PO, ranks as RK,
     recipes as R, selection as SE, validate as V,
 )
 from tessella.sources import catalog as S, ensembles as EN
@@ -22,6 +22,72 @@ def values(spark, x, name="x", **extra):
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), name: np.asarray(x, float), **extra})).repartition(5)
 
 
+# -- no row vanishes ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("small", [5, 10_000])
+def test_null_is_a_group_and_infinities_are_values(spark, monkeypatch, small):
+    monkeypatch.setattr(RK, "SMALL_GROUP", small)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    x[::4], x[1::8] = np.inf, -np.inf
+    keys = [None if i % 3 == 0 else "a" if i % 3 == 1 else "b" for i in range(400)]
+    df = spark.createDataFrame([(i, k, None if i % 5 else 1, float(v)) for i, (k, v) in enumerate(zip(keys, x))], "id long, k string, m int, x double")
+    groups = {}
+    for i, (k, v) in enumerate(zip(keys, x)):
+        groups.setdefault((k, None if i % 5 else 1), []).append(v)
+    got = {(r["k"], r["m"]): r for r in RK.exact_quantiles(df, "x", [0.0, 0.45, 0.6, 1.0], ["k", "m"]).collect()}
+    assert got.keys() == groups.keys()
+    for g, own in groups.items():
+        own = np.sort(own)
+        assert got[g]["n"] == len(own) and got[g]["q"][0] == own[0] and got[g]["q"][3] == own[-1]
+        for level, q in zip((0.45, 0.6), got[g]["q"][1:3]):
+            h = (len(own) - 1) * level
+            a, b = own[int(h)], own[int(np.ceil(h))]
+            assert q == pytest.approx(a if a == b else a + (b - a) * (h - int(h)))
+    runs = RK.running_counts(df, "x", ["k"]).collect()
+    for k in (None, "a", "b"):
+        own = np.sort([v for g, v in zip(keys, x) if g == k])
+        assert {(r["x"], r["before"], r["c"], r["n"]) for r in runs if r["k"] == k} == {(v, int((own < v).sum()), int((own == v).sum()), len(own)) for v in own}
+    ranked = RK.hash_ranks(df, 3, "id", ["k"]).collect()
+    assert sorted((str(r["k"]), r["rank"]) for r in ranked) == sorted((str(k), i + 1) for k in (None, "a", "b") for i in range(keys.count(k)))
+    quota = spark.createDataFrame([(None, 7), ("a", 3)], "k string, quota long")
+    kept = RK.first_by_hash(df, 3, "id", quota, ["k"]).groupBy("k").count().collect()
+    assert {(r["k"], r["count"]) for r in kept} == {(None, 7), ("a", 3)}
+
+
+def test_reports_hold_null_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 2 else "a", float(i % 17), float(i % 17 + rng.normal()), float(rng.uniform()), 1.0, 2.0, 3.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, y double, y_pred double, pit double, cde double, crps double, nll double")
+    both = {r["k"]: r for r in M.summarize(df, by=["k"]).collect()}
+    alone = M.summarize(df.where("k IS NULL")).first()
+    assert both.keys() == {None, "a"}
+    for c in M.SUMMARY_COLUMNS:
+        assert both[None][c] == pytest.approx(alone[c], nan_ok=True)
+
+
+def test_every_row_is_predicted(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), (None, 5.0), (None, 5.0)], "k string, y double")
+    model = E.DensityModel(["k"], grid=Grid.linear(0.0, 6.0, 6, normalization="histogram"), n_bins=4).fit(df)
+    asked = spark.createDataFrame([(0, "a"), (1, "b"), (2, None), (3, "b")], "id long, k string")
+    got = {r["id"]: r["p"] for r in model.distribution(asked).collect()}
+    assert got[0] == [0.5, 0.5, 0.0, 0.0] and got[2] == pytest.approx([0, 0, 1 / 3, 2 / 3]) and got[1] == got[3] == pytest.approx([0.2, 0.2, 0.2, 0.4])
+    bare = E.predict(asked, model.table, ["k"]).collect()
+    assert len(bare) == 4 and [r["id"] for r in bare if r["masses"] is None] == [1, 3]
+
+
+def test_misaligned_tables_are_refused(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 0.6), (None, 0.1)], "id long, a double")
+    b = spark.createDataFrame([(1, 0.5), (3, 0.6)], "id long, b double")
+    assert MX.align([a.where("id < 2"), b.where("id < 2")]).collect() == [(1, 0.5, 0.5)]
+    for left, right in ((a.where("id <= 2"), b.where("id < 2")), (a.where("id < 2"), b), (a, b)):
+        with pytest.raises(Exception, match="lacks the row id = "):
+            MX.align([left, right]).collect()
+        with pytest.raises(Exception, match="lacks the row id = "):
+            M.paired_difference(left.withColumnRenamed("a", "s"), right.withColumnRenamed("b", "s"), "s").collect()
+
+
 # -- order statistics -----------------------------------------------------------
 
 
@@ -32,7 +98,9 @@ def skewed(n=4000, seed=0):
     return rng.permutation(x)
 
 
-def test_quantiles_by_intervals_are_exact(spark):
+@pytest.mark.parametrize("small", [10, 1_500, 10_000])
+def test_quantiles_by_intervals_are_exact(spark, monkeypatch, small):
+    monkeypatch.setattr(RK, "SMALL_GROUP", small)
     x, g = skewed(), np.random.default_rng(1).integers(0, 3, 4000)
     g[:1500] = 0
     df = values(spark, x, g=g)
@@ -110,15 +178,16 @@ def test_ks_pvalue_against_simulation(spark):
 
 @pytest.mark.parametrize("scale", ["none", "1+y"])
 def test_point_metrics(spark, scale):
-    rng = np.random.default_rng(5)
-    y = rng.uniform(0.1, 1.5, 3000)
-    pred = y + rng.normal(0.01, 0.02, 3000)
-    pred[:60] += 0.5
+    rng = np.random.default_rng(21)
+    y = rng.gamma(2.0, 1.5, 2700)
+    # A tenth of the estimates are swapped with another row's; the rest err to one side.
+    pred = y * rng.beta(40, 3, 2700)
+    pred[::10] = pred[::10][::-1]
     e = (pred - y) / (1 + y) if scale == "1+y" else pred - y
     got = M.point_metrics(values(spark, y, "y", p=pred), "y", "p", scale=scale).first()
     q25, q75 = np.percentile(e, [25, 75])
     thr = max(0.06, 3 * (q75 - q25) / 1.349)
-    want = {"n": 3000, "bias": np.median(e), "sigma_mad": 1.4826 * np.median(np.abs(e - np.median(e))), "sigma_iqr": (q75 - q25) / 1.349,
+    want = {"n": 2700, "bias": np.median(e), "sigma_mad": 1.4826 * np.median(np.abs(e - np.median(e))), "sigma_iqr": (q75 - q25) / 1.349,
             "outlier_rate": np.mean(np.abs(e) > thr), "outlier_threshold": thr, "outlier_rate_015": np.mean(np.abs(e) > 0.15), "median_abs_error": np.median(np.abs(e))}
     for name, v in want.items():
         assert got[name] == pytest.approx(v, rel=1e-9), name
@@ -370,14 +439,95 @@ def test_bin_counts_and_layouts(spark):
     assert sum(shares) == pytest.approx(1.0) and shares[0] == 0.0
 
 
-def test_neighbours_in_blocks(spark):
+@pytest.mark.parametrize("part_rows", [7, 4096])
+def test_neighbours_in_parts(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(NB, "CELL_ROWS", 10)
+    monkeypatch.setattr(NB, "TASK_QUERIES", 40)
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(150, 6))
-    df = spark.createDataFrame([(i, v.tolist(), float(i % 7)) for i, v in enumerate(x)], "id long, v array<double>, y double")
+    x = np.round(rng.normal(size=(150, 6)), 1)
+    x[40:80] = x[40]
+    df = spark.createDataFrame([(i, v.tolist(), float(i % 7)) for i, v in enumerate(x)] + [(999, None, 1.0)], "id long, v array<double>, y double")
     args = dict(id_col="id", vector_col="v", context_id="id", value="y")
-    got = {r["id"]: [t["id"] for t in r["neighbours"]] for r in E.nearest(df, df, 9, block_rows=37, **args).collect()}
+    got = {r["id"]: [t["id"] for t in r["neighbours"]] for r in NB.nearest(df, df, 9, part_rows=part_rows, **args).collect()}
+    assert got.pop(999) == [] and len(got) == 150
     for i in range(150):
-        assert got[i] == np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:9].tolist()
+        assert got[i] == np.lexsort((np.arange(150), ((x - x[i]) ** 2).sum(1)))[:9].tolist()
+    few = NB.nearest(df.limit(3), df.limit(2), 9, **args).collect()
+    assert [len(r["neighbours"]) for r in few] == [2, 2, 2]
+    assert [r["neighbours"] for r in NB.nearest(df.limit(3), df.limit(0), 9, **args).collect()] == [[], [], []]
+
+
+def test_neighbours_visit_few_cells(spark, sf_dir):
+    """Embeddings tiled tenfold: the triangle inequality leaves under three tenths of the pairs."""
+    e = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/embeddings.parquet")
+    tiled = e.crossJoin(spark.range(10)).select((F.col("vec_id") * 10 + F.col("id")).alias("id"), "embedding", "label")
+    index = NB.metric_index(tiled, id_col="id", vector_col="embedding", value="label")
+    done = NB.search(tiled.select(F.col("id").alias("qid"), F.col("embedding").cast("array<double>").alias("v")), index, 8)
+    sizes = F.lit(index.sizes)
+    pairs = done.visits.select(F.explode("cells").alias("c")).agg(F.sum(F.element_at(sizes, F.col("c") + 1))).first()[0]
+    n = tiled.count()
+    assert pairs < 0.3 * n * n
+    found = done.found.groupBy("qid").agg(F.count("*").alias("k"), F.max("d").alias("d"), F.min(F.floor(F.col("cid") / 10) == F.floor(F.col("qid") / 10)).alias("own"))
+    assert found.where("k = 8 AND d = 0 AND own").count() == n
+
+
+def test_neighbours_of_clusters_are_pruned(spark):
+    """Rows in separate clusters are only compared with their own."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 5)) * 100
+    x = centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 5))
+    df = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(x)], "id long, v array<double>, y double")
+    index = NB.metric_index(df, id_col="id", vector_col="v", value="y")
+    done = NB.search(df.select(F.col("id").alias("qid"), "v"), index, 5)
+    pairs = done.visits.select(F.explode("cells").alias("c")).agg(F.sum(F.element_at(F.lit(index.sizes), F.col("c") + 1))).first()[0]
+    assert pairs < 0.1 * 4000 * 4000
+    got = {r["qid"]: r["ids"] for r in done.found.where("qid < 200").groupBy("qid").agg(F.array_sort(F.collect_list("cid")).alias("ids")).collect()}
+    for i in range(200):
+        assert got[i] == sorted(np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:5].tolist())
+
+
+@pytest.mark.parametrize("intervals", [1, 4, 64])
+def test_brackets_by_hand(spark, monkeypatch, intervals):
+    monkeypatch.setattr(RK, "_intervals", lambda df: intervals)
+    rng = np.random.default_rng(intervals)
+    knots = [(str(g), float(q), int(i)) for g in "ab" for i, q in enumerate(np.unique(np.round(rng.normal(size=60), 1)))] + [(None, 0.5, 7)]
+    asked = [(str(g), float(v)) for g in "abc" for v in np.round(rng.normal(size=300), 2)] + [(None, 0.0), (None, 0.5), ("a", float("inf")), ("a", float("-inf")), ("a", float("nan")), ("b", None)]
+    got = RK.bracket(spark.createDataFrame(asked, "g string, v double"), "v", spark.createDataFrame(knots, "g string, q double, i int"), "q", ["g"]).collect()
+    want = {(g, v) for g, v in asked if v is not None and v == v}
+    assert len(got) == len(want) == len({(r["g"], r["v"]) for r in got})
+    for r in got:
+        own = [(q, i) for g, q, i in knots if g == r["g"]]
+        assert r["below"] == max((k for k in own if k[0] <= r["v"]), default=None)
+        assert r["above"] == min((k for k in own if k[0] >= r["v"]), default=None)
+
+
+def test_spread_knots_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(RK, "_intervals", lambda df: 5)
+    rng = np.random.default_rng(3)
+    columns = {"a": rng.normal(size=501), "b": np.round(rng.normal(size=333)), "c": np.array([1.0, 2.0]), "d": np.zeros(50), "e": np.r_[np.zeros(300), rng.normal(size=90)]}
+    df = spark.createDataFrame([(c, float(v)) for c, x in columns.items() for v in x] + [("a", None), ("a", float("nan"))], "c string, v double")
+    for per in (1, 5, 7):
+        got = {}
+        for r in RK.spread_knots(df, "v", F.greatest(F.floor(F.col("n") / per), F.lit(2)), ["c"]).collect():
+            got.setdefault(r["c"], {}).update({i: r["q"] for i in range(r["first"], r["last"] + 1)})
+            assert r["top"] == max(len(columns[r["c"]]) // per, 2) - 1
+        for c, x in columns.items():
+            want = np.quantile(x, np.linspace(0, 1, max(len(x) // per, 2)))
+            np.testing.assert_allclose([got[c][i] for i in range(len(want))], want, atol=1e-12)
+            assert len(got[c]) == len(want)
+
+
+def test_spread_map_equals_the_map_of_as_many_knots(spark):
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(size=300), np.zeros(80), np.round(rng.normal(size=120), 1)]
+    df = spark.createDataFrame([(i, float(v), float(v) ** 3) for i, v in enumerate(x)], "id long, a double, b double")
+    new = spark.createDataFrame([(i, float(v), None if i % 9 == 0 else float(v)) for i, v in enumerate(np.r_[x[::3], rng.normal(size=100) * 2, [-99.0, 99.0]])], "id long, a double, b double")
+    for output in ("uniform", "normal"):
+        one = FE.QuantileMap.fit(df, ["a", "b"], output=output, rule="uniform").transform(new).orderBy("id").toPandas()
+        two = FE.SpreadMap.fit(df, ["a", "b"], output=output).transform(new).orderBy("id").toPandas()
+        np.testing.assert_allclose(two[["a", "b"]].to_numpy(float), one[["a", "b"]].to_numpy(float), atol=1e-9)
+    plans = [len(FE.SpreadMap.fit(df.limit(k), ["a"]).knots._jdf.queryExecution().toString()) for k in (50, 500)]
+    assert abs(plans[0] - plans[1]) < 200
 
 
 def test_classifier_hierarchy_learns(spark):
