@@ -329,3 +329,32 @@ def _members(values, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     found = [_matrix(v, width) for v in values]
     both = np.logical_and.reduce([fits for _, fits in found])
     return [m[both[fits]] for m, fits in found], both
+
+
+def mixed_masses(columns: list[Column], edges: list[np.ndarray], weights: list[float], union: np.ndarray) -> Column:
+    """Masses between the ``union`` edges of a weighted mixture of rows of probabilities, each on edges of its own.
+
+    The members' running sums are read at the union's edges and added up, in
+    one pass over the rows. A row that lacks a member is NULL.
+    """
+    plans = []
+    for own, weight in zip(edges, weights, strict=True):
+        # Of edges that coincide the last: the mass at a point lies below the edge that ends it.
+        k = np.clip(np.searchsorted(own, union, side="right") - 1, 0, len(own) - 2)
+        wide = own[k + 1] - own[k]
+        share = np.clip(np.divide(union - own[k], wide, out=np.ones(len(union)), where=wide > 0), 0.0, 1.0)
+        share[union < own[0]] = 0.0
+        plans.append((len(own) - 1, k, share, weight))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def mixed(*arrays: pa.Array) -> pa.Array:
+        found = [_matrix(a, width) for a, (width, *_) in zip(arrays[::2], plans, strict=True)]
+        fits = np.logical_and.reduce([f for _, f in found])
+        total = np.zeros((int(fits.sum()), len(union)))
+        for (p, own), (_, k, share, weight) in zip(found, plans, strict=True):
+            p = p[fits[own]]
+            cum = np.cumsum(p, axis=1)
+            total += weight * (cum[:, k] - p[:, k] * (1.0 - share))
+        return _lists(np.diff(total, axis=1), fits)
+
+    return mixed(*[c for column in columns for c in (column, F.size(column))])

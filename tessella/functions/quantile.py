@@ -8,7 +8,7 @@ and ``knots`` come from :func:`knots`; give both columns of their own.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tessella.functions import kernels
 from tessella.functions.arrays import INFINITY, as_column, at, clip, let, ratio, total, vector
@@ -199,6 +199,19 @@ def outside(knots_: Column | str, levels, target: Bins) -> Column:
     return F.element_at(parts, 1) + F.element_at(parts, -1)
 
 
+def on_grid_counted(df: DataFrame, knots_: str, levels, grid: Grid, name: str, seen: Observation) -> DataFrame:
+    """Adds the row on the grid, and lets ``seen`` count the rows with more than ``OUTSIDE_TOLERANCE`` outside it.
+
+    The mass outside is worked out once, beside the row; ``n_outside`` and ``n`` come
+    with the first action on the result.
+    """
+    parts = df.withColumn("_parts", mass_parts(knots_, levels, grid))
+    out = F.element_at("_parts", 1) + F.element_at("_parts", -1)
+    counted = parts.observe(seen, F.count_if(out > OUTSIDE_TOLERANCE).alias("n_outside"), F.count("*").alias("n"))
+    inner = F.slice("_parts", 2, grid.n)
+    return counted.withColumn(name, grid.normalize(F.zip_with(inner, vector(grid.widths), lambda m, w: m / w))).drop("_parts")
+
+
 def on_grid(knots_: Column | str, levels, grid: Grid, tails: bool = True) -> Column:
     return grid.normalize(F.zip_with(regrid(knots_, levels, grid, tails), vector(grid.widths), lambda m, w: m / w))
 

@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.functions import histogram as H, points
+from tessella.functions import histogram as H, kernels, points, quantile as Q
 from tessella.functions.arrays import clip, let, vector
-from tessella.functions.grids import Bins, Grid, constant_bins, default_grid, target_range
+from tessella.functions.grids import Bins, Grid, constant_bins, default_grid, target_range, union_bins
 from tessella.functions.scores import object_scores
 from tessella.operators.metrics import summarize
 from tessella.operators.mixtures import Mixture, Part
@@ -355,17 +355,39 @@ class DensityModel:
     def _distribution(self, df: DataFrame) -> DataFrame:
         return predict(df, self.table, self.keys, self.marginal)
 
+    def aligned(self, df: DataFrame) -> DataFrame:
+        """The rows with the fit's feature columns: by name, or by position where they are named ``x0, x1, ...``."""
+        missing = [k for k in self.keys if k not in df.columns]
+        plain = [f"x{i}" for i in range(len(self.keys))]
+        if missing and all(c in df.columns for c in plain) and f"x{len(plain)}" not in df.columns:
+            return df.withColumnsRenamed(dict(zip(plain, self.keys, strict=True)))
+        if missing:
+            raise ValueError(f"feature names differ from the fit's: missing {missing}")
+        return df
+
     def distribution(self, df: DataFrame) -> DataFrame:
         """Adds ``p``: each row's probabilities in :attr:`bins`."""
         if self.bins is None:
             raise RuntimeError("transform before fit")
+        df = self.aligned(df)
         rows = df.withColumn("masses", vector([0.0, 1.0, 0.0])) if self.constant is not None else self._distribution(df)
         return rows.withColumn("p", H.probabilities("masses", self.bins)).drop("masses")
 
     def transform(self, df: DataFrame, output: str = "density", *, grid: Grid | None = None, values=(), levels=(), confidence: float = 0.68, point: str = "mode") -> DataFrame:
         """``output``: density, pdf, cdf, quantiles, interval, pit or point. The CDF is native: it includes mass below the grid."""
-        grid, rows, b = grid or self.grid, self.distribution(df), self.bins
-        build = {
+        grid, rows = grid or self.grid, self.distribution(df)
+        build = self._outputs(grid, values, levels, confidence)
+        if output == "point":
+            rows = rows.withColumn("_d", build["density"]())
+            return rows.withColumn(output, points.estimate("_d", grid, point)).drop("p", "_d", "_knots")
+        if output not in build:
+            raise ValueError(f"output must be one of {[*build, 'point']}")
+        return rows.withColumn(output, build[output]()).drop("p", "_knots")
+
+    def _outputs(self, grid: Grid, values, levels, confidence: float) -> dict[str, Callable[[], Column]]:
+        """What can be asked of the column ``p``."""
+        b = self.bins
+        return {
             "density": lambda: H.on_grid("p", b, grid),
             "pdf": lambda: H.pdf_values("p", b, values),
             "cdf": lambda: H.cdf_values("p", b, values),
@@ -373,12 +395,6 @@ class DensityModel:
             "interval": lambda: H.interval("p", b, confidence),
             "pit": lambda: H.cdf_at("p", b, F.col(self.y)),
         }
-        if output == "point":
-            rows = rows.withColumn("_d", H.on_grid("p", b, grid))
-            return rows.withColumn(output, points.estimate("_d", grid, point)).drop("p", "_d")
-        if output not in build:
-            raise ValueError(f"output must be one of {[*build, 'point']}")
-        return rows.withColumn(output, build[output]()).drop("p")
 
     def scores(self, df: DataFrame, point: str = "mode", grid: Grid | None = None) -> DataFrame:
         grid = grid or self.grid
@@ -393,3 +409,71 @@ class DensityModel:
     def score(self, df: DataFrame) -> float:
         """Minus the CDE loss: larger is better."""
         return -self.scores(df).agg(F.avg("cde")).first()[0]
+
+
+@dataclasses.dataclass
+class QuantileModel(DensityModel):
+    """A model that predicts quantiles at shared levels: those of the key's context rows."""
+
+    levels: Sequence[float] = tuple(i / 20 for i in range(1, 20))
+
+    def _fit(self, df: DataFrame, low: float, high: float) -> None:
+        self.bins = Bins((low, high))
+        self.table = exact_quantiles(df, self.y, self.levels, self.keys).select(*self.keys, F.col("q").alias("masses"))
+        self.marginal = list(exact_quantiles(df, self.y, self.levels).first()["q"])
+
+    def distribution(self, df: DataFrame) -> DataFrame:
+        """Adds ``p``, each row's quantiles at :attr:`levels`, and the CDF's corners ``_knots``."""
+        if self.bins is None:
+            raise RuntimeError("transform before fit")
+        df = self.aligned(df)
+        if self.constant is not None:
+            rows = df.withColumn("p", vector([self.constant] * len(self.levels)))
+        else:
+            rows = self._distribution(df).withColumn("p", Q.monotone("masses")).drop("masses")
+        return rows.withColumn("_knots", Q.knots("p", self.levels))
+
+    def _outputs(self, grid: Grid, values, levels, confidence: float) -> dict[str, Callable[[], Column]]:
+        own, knots = self.levels, "_knots"
+        tail = 0.5 * (1.0 - confidence)
+        return {
+            "density": lambda: Q.on_grid(knots, own, grid),
+            "pdf": lambda: F.transform(vector(values), lambda x: Q.pdf_at(F.col("p"), own, x)),
+            "cdf": lambda: Q.cdf_values(knots, own, values),
+            "quantiles": lambda: Q.ppf(knots, own, levels),
+            "interval": lambda: let(Q.ppf(knots, own, [tail, 1.0 - tail]), lambda q: F.struct(q[0].alias("lo"), q[1].alias("hi"))),
+            "pit": lambda: Q.cdf_at(knots, own, F.col(self.y)),
+        }
+
+
+@dataclasses.dataclass
+class MixtureModel(DensityModel):
+    """A weighted mixture of histogram models, in one row.
+
+    The members' bins are known once they are fitted, so a row's mixture is one
+    histogram on the union of all edges: nothing is exploded or shuffled.
+    """
+
+    members: Sequence[DensityModel] = ()
+    weights: Sequence[float] = ()
+
+    def _fit(self, df: DataFrame, low: float, high: float) -> None:
+        if len(self.weights) not in (0, len(self.members)) or not self.members or any(w < 0 for w in self.weights):
+            raise ValueError("a mixture needs members, and a weight >= 0 for each")
+        for m in self.members:
+            m.fit(df)
+        self.bins = union_bins([m.bins for m in self.members])
+
+    def distribution(self, df: DataFrame) -> DataFrame:
+        """Adds ``p``: each row's probabilities in :attr:`bins`. Every member finds its own columns."""
+        if self.bins is None:
+            raise RuntimeError("transform before fit")
+        if self.constant is not None:
+            return df.withColumn("p", vector([0.0, 1.0, 0.0]))
+        weights = list(self.weights) or [1.0] * len(self.members)
+        share = [w / sum(weights) for w in weights]
+        names = [f"_m{i}" for i in range(len(self.members))]
+        for m, name in zip(self.members, names, strict=True):
+            df = m.distribution(df).withColumnRenamed("p", name)
+        masses = kernels.mixed_masses([F.col(n) for n in names], [m.bins.array for m in self.members], share, self.bins.array)
+        return df.withColumn("p", masses).drop(*names)

@@ -7,9 +7,12 @@ compact columns whatever the width of the densities.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.arrays import is_finite
@@ -25,6 +28,8 @@ FIXED_OUTLIER = 0.15
 PIT_EXTREME = 1e-4
 AD_CUTS = ((0.05, 0.95), (0.01, 0.99))
 KL_BINS = 20
+# Rows up to which the exact distribution of the Kolmogorov statistic is worked out.
+EXACT_ROWS = 2_000
 SUMMARY_COLUMNS = (
     "n", "bias", "sigma_mad", "sigma_iqr", "outlier_rate", "outlier_threshold", "outlier_rate_015",
     "median_abs_error", "cde_loss", "pit_ks", "pit_ks_pvalue", "pit_cvm", "pit_ad1", "pit_ad2",
@@ -108,10 +113,67 @@ def ks_pvalue(d: Column, n: Column) -> Column:
     return F.when(x > 6.0, F.lit(0.0)).otherwise(F.least(F.greatest(F.lit(1.0) - cdf, F.lit(0.0)), F.lit(1.0)))
 
 
+def kolmogorov(n: int, d: float) -> float:
+    """P(D_n < d) for the two-sided statistic of ``n`` uniform values, exactly: the n-th power of one matrix.
+
+    With d = (k - h) / n, 0 <= h < 1, the probability is n! / n^n times the middle
+    entry of the n-th power of a (2k - 1)-square matrix of inverse factorials.
+    """
+    if n <= 0 or d >= 1.0:
+        return 1.0
+    if 2.0 * n * d <= 1.0:
+        return 0.0
+    k = int(n * d) + 1
+    h, m = k - n * d, 2 * k - 1
+    steps = np.arange(1, m + 1)
+    inverse = np.concatenate(([1.0], np.exp(-np.cumsum(np.log(steps)))))  # 1 / i!
+    gap = np.arange(m)[:, None] - np.arange(m)[None, :] + 1
+    matrix = np.where(gap >= 0, inverse[np.clip(gap, 0, m)], 0.0)
+    edge = (1.0 - h ** steps) * inverse[1:]
+    matrix[:, 0], matrix[-1, :] = edge, edge[::-1]
+    matrix[-1, 0] = (1.0 - 2.0 * h ** m + (max(0.0, 2.0 * h - 1.0) ** m if h > 0.5 else 0.0)) * inverse[m]
+    # Powers by squaring, each scaled by a power of two that is kept apart.
+    power, shift, base, base_shift, left = np.eye(m), 0, matrix, 0, n
+    while left:
+        if left & 1:
+            power, shift = power @ base, shift + base_shift
+            e = int(np.frexp(max(power[k - 1, k - 1], 1e-300))[1])
+            power, shift = np.ldexp(power, -e), shift + e
+        left >>= 1
+        if left:
+            base, base_shift = base @ base, 2 * base_shift
+            e = int(np.frexp(base[k - 1, k - 1])[1])
+            base, base_shift = np.ldexp(base, -e), base_shift + e
+    log = np.log(max(power[k - 1, k - 1], 1e-300)) + shift * np.log(2.0) + math.lgamma(n + 1) - n * math.log(n)
+    return float(min(1.0, max(0.0, np.exp(log))))
+
+
+def ks_pvalue_exact(d: Column, n: Column) -> Column:
+    """The exact tail of the statistic, batch by batch; beyond 18 = n d^2 its leading term, exact to a double's last digits."""
+    @F.arrow_udf("double")
+    def of(d: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for x, rows in zip(d.to_pylist(), n.to_pylist(), strict=True):
+            known = x is not None and rows is not None
+            out.append(None if not known else 2.0 * math.exp(-2.0 * rows * x * x) if rows * x * x > 18.0 else 1.0 - kolmogorov(int(rows), x))
+        return pa.array(out, pa.float64())
+
+    return of(d, n.cast("double"))
+
+
+def with_exact_pvalue(df: DataFrame, most: int = EXACT_ROWS, d: str = "pit_ks", n: str = "n", name: str = "pit_ks_pvalue") -> DataFrame:
+    """The p-value made exact in groups of up to ``most`` rows, where the asymptotic one is some percent off."""
+    small = F.when(F.col(n) <= most, F.col(d))
+    return df.withColumn("_exact", ks_pvalue_exact(small, F.col(n))).withColumn(name, F.coalesce("_exact", name)).drop("_exact")
+
+
 def pit_statistics(
     df: DataFrame, pit: str = "pit", by: Sequence[str] = (), *, written: bool = False, cuts: list[float] | None = None,
 ) -> DataFrame:
-    """Uniformity of the PIT values several ways, from one ordered table of distinct values."""
+    """Uniformity of the PIT values several ways, from one ordered table of distinct values.
+
+    The p-value is asymptotic; see :func:`with_exact_pvalue` for few rows.
+    """
     df, keys = _grouped(df, by)
     values = df.select(*keys, F.col(pit).alias("u"))
     ranked = running_counts(values if written else materialize(values), "u", keys, cuts=cuts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tessella.functions.arrays import INFINITY, clip, is_finite
 
@@ -113,8 +113,14 @@ def take(df: DataFrame, rows: DataFrame | Column, id_col: str = "id") -> DataFra
     return df.where(rows) if isinstance(rows, Column) else df.join(rows.select(id_col), id_col, "left_semi")
 
 
-def clip_target(df: DataFrame, y: str, low: float, high: float, out: str = "y_clipped") -> DataFrame:
-    """Targets cut to a support, with a flag to count those outside."""
+def clip_target(df: DataFrame, y: str, low: float, high: float, out: str = "y_clipped", seen: Observation | None = None) -> DataFrame:
+    """Targets cut to a support, with a flag for those outside.
+
+    ``seen`` gets the numbers ``below``, ``above`` and ``n`` from the first action
+    on the result: no pass of its own.
+    """
+    if seen is not None:
+        df = df.observe(seen, F.count_if(F.col(y) < low).alias("below"), F.count_if(F.col(y) > high).alias("above"), F.count("*").alias("n"))
     return df.withColumns({out: clip(F.col(y), low, high), "outside": (F.col(y) < low) | (F.col(y) > high)})
 
 

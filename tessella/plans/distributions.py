@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Observation, functions as F
 
 from tessella.functions import histogram as H, points as P, quantile as Q
 from tessella.functions.arrays import vector
@@ -13,6 +13,7 @@ from tessella.operators import features as FE, mixtures as MX
 from tessella.plans import inputs as I
 from tessella.plans.inputs import rounded as r
 from tessella.plans.registry import query
+from tessella.session import scratch
 
 OTHER = Bins(tuple(np.linspace(20.0, 420.0, 26)))  # 25 buckets that cut across the source's
 VALUES = (0.0, 15.0, 37.5, 100.0, 480.0, 500.0)
@@ -429,6 +430,15 @@ def q15(spark, sf):
     return uq(spark, sf).agg(F.count_if(out > Q.OUTSIDE_TOLERANCE).alias("n_outside"), F.count("*").alias("n"))
 
 
+@query("q15_observed_outside", f"""{I.UQ}, o AS (SELECT usr, 1 - sum((l1 - l0) * CASE WHEN a = b THEN CAST(a >= 5 AND a <= 120 AS INT) ELSE greatest(least(b, 120) - greatest(a, 5), 0) / (b - a) END) AS x FROM seg GROUP BY usr)
+SELECT count(*) FILTER (x > 0.01) AS n_outside, count(*) AS n FROM o""")
+def q15_observed(spark, sf):
+    """The same count, brought by the write of the densities."""
+    grid, seen = Grid.linear(5.0, 120.0, 23, normalization="histogram"), Observation()
+    Q.on_grid_counted(uq(spark, sf), "k", I.LEVELS, grid, "d", seen).select("usr", "d").write.parquet(scratch(spark))
+    return spark.createDataFrame([(seen.get["n_outside"], seen.get["n"])], "n_outside long, n long")
+
+
 # -- mixtures ------------------------------------------------------------------------
 
 

@@ -166,6 +166,20 @@ def e12_auto(spark, sf):
     return out.select(F.col("k").cast("long").alias("k"), "n")
 
 
+@query("e12_explicit_layout", f"{BASE}, {layout_sql(6, 3)}, lb AS (SELECT cl.id, k, max(f) AS f FROM cl JOIN fe USING (k) WHERE fe.lo <= cl.y GROUP BY ALL) SELECT k AS coarse, f AS fine, count(*) AS n, (SELECT count(*) < 1000000 FROM ev) AS refused FROM lb GROUP BY ALL")
+def e12_explicit(spark, sf):
+    """Six coarse and three fine bins as asked for; more bins than context rows are refused."""
+    ev = I.events(spark, sf)
+    layout = E.choose_layout(ev, "y", n_coarse=6, n_fine=3, low=LOW, high=HIGH)
+    try:
+        E.choose_layout(ev, "y", n_coarse=1000, n_fine=1000, low=LOW, high=HIGH)
+        refused = False
+    except ValueError:
+        refused = True
+    out = E.level_labels(ev, "y", layout).groupBy("coarse", "fine").agg(F.count("*").alias("n"))
+    return out.select(F.col("coarse").cast("long").alias("coarse"), F.col("fine").cast("long").alias("fine"), "n", F.lit(refused).alias("refused"))
+
+
 @query("e13_bagged_levels", f"""{BASE}, {layout_sql(5, 4)}, lb AS (SELECT cl.id, k, max(f) AS f FROM cl JOIN fe USING (k) WHERE fe.lo <= cl.y GROUP BY ALL),
 mk AS (SELECT id, unnest(range(3)) AS member FROM ev), mu AS (SELECT *, member || '/' || id AS mkey FROM mk), mr AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY {uniform_sql('5', 'mkey')}, mkey) AS rn FROM mu),
 bag AS (SELECT member, id FROM mr WHERE rn <= 40), mc AS (SELECT member, k, f, count(*)::DOUBLE AS c FROM bag JOIN lb USING (id) GROUP BY ALL), ms AS (SELECT member, k, sum(c) AS n FROM mc GROUP BY ALL), ma AS (SELECT k, count(*) AS a FROM ms GROUP BY k),

@@ -296,6 +296,13 @@ def c11_p(spark, sf):
     return M.pit_statistics(scored(spark, sf), "pit", ["key"]).select("key", r("pit_ks", 7).alias("pit_ks"), r("pit_ks_pvalue", 6).alias("pit_ks_pvalue"))
 
 
+@query("c11_exact_pvalue")
+def c11_exact(spark, sf):
+    """Per user, of whom each has few events: the exact distribution is a matrix power, which SQL has not."""
+    out = M.with_exact_pvalue(M.pit_statistics(scored(spark, sf), "pit", ["usr"]))
+    return out.select("usr", "n", r("pit_ks", 7).alias("pit_ks"), r("pit_ks_pvalue", 8).alias("pit_ks_pvalue"))
+
+
 def two_models(spark, sf) -> DataFrame:
     """J1: two prediction tables of the same rows side by side."""
     return align([scored(spark, sf).select("id", F.col("crps").alias("crps_type")), second_scores(spark, sf).select("id", F.col("crps").alias("crps_user"))])

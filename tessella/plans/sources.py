@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tessella.functions import histogram as H, quantile as Q
 from tessella.functions.arrays import vector
@@ -16,6 +16,7 @@ from tessella.plans.registry import query
 from tessella.plans.scoring import scored
 from tessella.session import scratch
 from tessella.sources import catalog as S, ensembles as EN
+from tessella.operators import states as SS
 from tessella.streaming import scores as ST
 
 
@@ -207,6 +208,14 @@ def v12(spark, sf):
     return V.clip_target(I.events(spark, sf), "y", 25.0, 150.0).select("id", "y_clipped", "outside")
 
 
+@query("v12_outside_count", f"WITH {I.EV} SELECT count(*) FILTER (y < 25) AS below, count(*) FILTER (y > 150) AS above, count(*) AS n FROM ev")
+def v12_count(spark, sf):
+    """Targets outside a support, counted by the write that uses the clipped rows."""
+    seen = Observation()
+    V.clip_target(I.events(spark, sf), "y", 25.0, 150.0, seen=seen).write.parquet(scratch(spark))
+    return spark.createDataFrame([(seen.get["below"], seen.get["above"], seen.get["n"])], "below long, above long, n long")
+
+
 @query("v13_table_forms", "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS code, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def v13(spark, sf):
     """A table given as a path and one given as a DataFrame behave alike."""
@@ -250,6 +259,48 @@ def l2(spark, sf):
     return out.select("key", "n", r("cde_loss", 8).alias("cde_loss"), r("crps").alias("crps"), r("nll").alias("nll"))
 
 
+def _stream_with_states(spark: SparkSession, sf: str) -> str:
+    """The score table of two streamed batches, the second one replayed, with its states."""
+    scores = scratch(spark)
+    batch = score_table(spark, sf)
+    for epoch in (0, 1, 1):
+        ST.write_with_states(batch.where(F.col("id") % 2 == epoch), scores, epoch, ["key"])
+    return scores
+
+
+def score_table(spark: SparkSession, sf: str) -> DataFrame:
+    out = ST.score_stream(I.cross_predictions(spark, sf), "masses", "y", I.GRID, ["id", "key"], point="mean")
+    return out.withColumn("key", F.when(F.col("key") != "click", F.col("key")))
+
+
+@query("l2_incremental_report", f"""{I.SCORES}, x AS (SELECT nullif(key, 'click') AS key, mean_pred - y AS e, * EXCLUDE (key) FROM s),
+b AS (SELECT key, least(floor(pit * 20), 19) AS b, count(*)::DOUBLE AS c FROM x GROUP BY ALL), t AS (SELECT key, sum(c) AS n FROM b GROUP BY key),
+kl AS (SELECT b.key, sum(c / n * ln(20 * c / n)) AS kl FROM b JOIN t ON b.key IS NOT DISTINCT FROM t.key GROUP BY b.key),
+rep AS (SELECT key, count(*) AS n, avg(cde) AS cde_loss, avg(crps) AS crps, avg(nll) AS nll, quantile_cont(e, 0.5) AS bias, (quantile_cont(e, 0.75) - quantile_cont(e, 0.25)) / 1.349 AS sigma_iqr,
+  avg(CAST(abs(e) > 0.15 AS INT)) AS outlier_rate_015, avg(CAST(pit < 1e-4 OR pit > 1 - 1e-4 AS INT)) AS pit_outlier_rate FROM x GROUP BY key)
+SELECT rep.key, n, round(cde_loss, 8) AS cde_loss, round(crps, 6) AS crps, round(nll, 6) AS nll, round(bias, 6) AS bias, round(sigma_iqr, 6) AS sigma_iqr,
+  round(outlier_rate_015, 8) AS outlier_rate_015, round(kl, 7) AS pit_kl, round(pit_outlier_rate, 8) AS pit_outlier_rate FROM rep JOIN kl ON rep.key IS NOT DISTINCT FROM kl.key""")
+def l2_states(spark, sf):
+    """The report from the batches' stored states, after one batch was replayed."""
+    out = ST.incremental_report(spark, _stream_with_states(spark, sf), ["key"])
+    digits = {"cde_loss": 8, "outlier_rate_015": 8, "pit_kl": 7, "pit_outlier_rate": 8}
+    return out.select("key", "n", *[r(c, digits.get(c, 6)).alias(c) for c in out.columns if c not in ("key", "n")])
+
+
+@query("a5_sketched_quantiles", f"WITH {I.EV}, l AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS level) SELECT key, CAST(level AS DOUBLE) AS level, true AS within FROM (SELECT DISTINCT key FROM ev), l")
+def a5_sketches(spark, sf):
+    """Sketches per type and fold, stored and merged per type: each answer's rank is within the stated error of the level."""
+    levels = [0.05, 0.25, 0.5, 0.75, 0.95]
+    ev = I.events(spark, sf)
+    stored = scratch(spark)
+    ev.groupBy("key", "fold").agg(SS.sketch("y").alias("sketch")).write.parquet(stored)
+    merged = spark.read.parquet(stored).groupBy("key").agg(SS.merge_sketches("sketch").alias("sketch"))
+    asked = merged.select("key", SS.sketched_quantiles("sketch", levels).alias("q"))
+    rank = ev.join(asked, "key").groupBy("key").agg(*[F.avg((F.col("y") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(len(levels))])
+    rows = F.array(*[F.struct(F.lit(q).alias("level"), (F.abs(F.col(f"r{i}") - q) <= SS.SKETCH_ERROR).alias("within")) for i, q in enumerate(levels)])
+    return rank.select("key", F.explode(rows).alias("x")).select("key", "x.level", "x.within")
+
+
 # -- extension points ---------------------------------------------------------------------
 
 TRIANGLE = Bins(tuple(np.linspace(0.0, 50.0, 6)))
@@ -318,6 +369,7 @@ class OnGrid(E.DensityModel):
     def _fit(self, df, low, high):
         self.bins = Bins(I.GRID.edges)
         self.table = E.bin_shares(df, self.y, self.bins, self.keys)
+        self.marginal = E.overall(df, lambda rows, keys: E.bin_shares(rows, self.y, self.bins, keys))
 
 
 SHARES = f"WITH {I.EV}, {I.grid_sql()}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')}"
@@ -334,6 +386,35 @@ def d7(spark, sf):
     return both.select("id", r(I.GRID.density_at(F.col("density"), F.col("y")), 9).alias("density"), r("pit", 8).alias("pit"))
 
 
+@query("d7_quantile_model", f"""WITH {I.EV}, {I.quantile_knots_sql('ev', 'key', 'y')},
+pit AS (SELECT e.id, sum((l1 - l0) * CASE WHEN a = b THEN CAST(a <= e.y AS INT) ELSE least(greatest((e.y - a) / (b - a), 0), 1) END) AS pit FROM ev e JOIN seg USING (key) GROUP BY e.id),
+o AS (SELECT key, sum((l1 - l0) * CASE WHEN a = b THEN CAST(a <= 42 AS INT) ELSE least(greatest((42.0 - a) / (b - a), 0), 1) END) AS cdf,
+  max(CASE WHEN l0 <= 0.5 AND l1 > 0.5 THEN a + (b - a) * (0.5 - l0) / (l1 - l0) END) AS median, max(CASE WHEN l0 <= 0.16 AND l1 > 0.16 THEN a + (b - a) * (0.16 - l0) / (l1 - l0) END) AS low,
+  max(CASE WHEN l0 <= 0.84 AND l1 > 0.84 THEN a + (b - a) * (0.84 - l0) / (l1 - l0) END) AS high FROM seg GROUP BY key)
+SELECT e.id, round(pit, 7) AS pit, round(cdf, 7) AS cdf, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high FROM ev e JOIN pit USING (id) JOIN o USING (key)""")
+def d7_quantiles(spark, sf):
+    """A model that predicts quantiles, through the same wrapper; its feature comes under another name, by position."""
+    ev = I.events(spark, sf)
+    model = E.QuantileModel(["key"], grid=I.GRID, levels=I.LEVELS).fit(ev)
+    rows = ev.select("id", F.col("key").alias("x0"), "y")
+    for output, options in (("pit", {}), ("cdf", {"values": [42.0]}), ("quantiles", {"levels": [0.5]}), ("interval", {"confidence": 0.68})):
+        rows = model.transform(rows, output, **options)
+    return rows.select("id", r("pit", 7).alias("pit"), r(F.col("cdf")[0], 7).alias("cdf"), r(F.col("quantiles")[0]).alias("median"), r("interval.lo").alias("low"), r("interval.hi").alias("high"))
+
+
+@query("d7_mixture_model", f"""WITH {I.EV}, a AS (SELECT min(y) AS lo, max(y) - min(y) AS w FROM ev),
+n AS (SELECT key, least(floor((y - lo) / w * 50), 49) AS b, count(*) AS c FROM ev, a GROUP BY ALL), m AS (SELECT fold, least(floor((y - lo) / w * 20), 19) AS b, count(*) AS c FROM ev, a GROUP BY ALL),
+p AS (SELECT e.id, sum(c * least(greatest((e.y - lo) / w * 50 - b, 0), 1)) / sum(c) AS pit FROM ev e JOIN n USING (key), a GROUP BY e.id),
+q AS (SELECT e.id, sum(c * least(greatest((e.y - lo) / w * 20 - b, 0), 1)) / sum(c) AS pit FROM ev e JOIN m USING (fold), a GROUP BY e.id)
+SELECT id, round(0.75 * p.pit + 0.25 * q.pit, 7) AS pit FROM p JOIN q USING (id)""")
+def d7_mixture(spark, sf):
+    """A mixture of two models with bins of their own, three to one, as one histogram per row."""
+    ev = I.events(spark, sf)
+    parts = [E.DensityModel(["key"], grid=I.GRID), E.DensityModel(["fold"], grid=I.GRID, n_bins=20)]
+    model = E.MixtureModel(["key", "fold"], grid=I.GRID, members=parts, weights=[3.0, 1.0]).fit(ev)
+    return model.transform(ev, "pit").select("id", r("pit", 7).alias("pit"))
+
+
 @query("c20_evaluate", f"""{I.CROSS.split('cf_n AS')[0].rstrip().rstrip(',')}, {I.masses_sql('key', 'count(*)')}, {I.probs_sql('key')},
 r AS (SELECT e.id, e.key, p.p, w, {I.bin_sql('e.y')} = p.bin AS own FROM ev e JOIN p USING (key)), s AS (SELECT id, key, sum(p*p/w) - 2 * sum(CASE WHEN own THEN p/w ELSE 0 END) AS cde FROM r GROUP BY ALL)
 SELECT key, count(*) AS n, round(avg(cde), 8) AS cde_loss FROM s GROUP BY key""")

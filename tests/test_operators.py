@@ -6,16 +6,17 @@ import brute
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, Window, functions as F
 
-from tessella.functions import histogram as H
+from tessella.functions import histogram as H, kernels
 from tessella.functions.grids import Bins, Grid
-from tessella.functions.uniform import member_seed, normal_ppf
+from tessella.functions.uniform import hash_uniform, member_seed, normal_ppf
 from tessella.operators import (
     diagnostics as X, estimators as E, features as FE, metrics as M, mixtures as MX, neighbours as NB, pooling as PO, ranks as RK,
-    recipes as R, selection as SE, validate as V,
+    recipes as R, selection as SE, states as SS, validate as V,
 )
 from tessella.sources import catalog as S, ensembles as EN
+from tessella.streaming import scores as ST
 
 
 def values(spark, x, name="x", **extra):
@@ -88,6 +89,134 @@ def test_misaligned_tables_are_refused(spark):
             M.paired_difference(left.withColumnRenamed("a", "s"), right.withColumnRenamed("b", "s"), "s").collect()
 
 
+# -- exact p-values, states, observed counts ------------------------------------
+
+
+@pytest.mark.parametrize(("n", "d", "want"), [(10, 0.274, 0.6284796154565), (1, 0.7, 0.4), (2, 0.3, 0.02), (2, 0.8, 0.92), (3, 1 / 6, 0.0), (3, 1.0, 1.0)])
+def test_kolmogorov_at_known_values(n, d, want):
+    assert M.kolmogorov(n, d) == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize(("n", "level", "d"), [(5, 0.95, 0.56328), (20, 0.90, 0.26473), (20, 0.99, 0.35241), (40, 0.95, 0.21012)])
+def test_kolmogorov_at_published_critical_values(n, level, d):
+    """Published to five digits: the level lies between those of the neighbouring digits."""
+    assert M.kolmogorov(n, d - 6e-6) < level < M.kolmogorov(n, d + 6e-6)
+
+
+def test_kolmogorov_against_lattice_paths():
+    """The probability that n ordered values stay in their bands, by summing over cells: for d = c / n it is a count of paths."""
+    for n, c in ((5, 2), (20, 6), (20, 4), (100, 12)):
+        # Cells of width 1 / n: after j cells the number of values lies in (j - c, j + c).
+        state = np.zeros(n + 1)
+        state[0] = 1.0
+        poisson = np.exp([-math.lgamma(i + 1) for i in range(n + 1)])
+        for j in range(1, n + 1):
+            state = np.array([sum(state[a] * poisson[b - a] for a in range(b + 1)) if j - c < b < j + c else 0.0 for b in range(n + 1)])
+        want = state[n] * math.exp(math.lgamma(n + 1) - n * math.log(n))
+        assert M.kolmogorov(n, c / n) == pytest.approx(want, abs=1e-10)
+
+
+def test_exact_pvalues_of_small_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(u)) for g, n in (("a", 4), ("b", 60), ("c", 2500)) for u in rng.uniform(size=n)]
+    out = {r["g"]: r for r in M.with_exact_pvalue(M.pit_statistics(spark.createDataFrame(rows, "g string, pit double"), by=["g"])).collect()}
+    plain = {r["g"]: r for r in M.pit_statistics(spark.createDataFrame(rows, "g string, pit double"), by=["g"]).collect()}
+    for g in "ab":
+        assert out[g]["pit_ks_pvalue"] == pytest.approx(1 - M.kolmogorov(out[g]["n"], out[g]["pit_ks"]), abs=1e-12)
+    assert out["c"]["pit_ks_pvalue"] == plain["c"]["pit_ks_pvalue"]
+    assert 1 - M.kolmogorov(2500, plain["c"]["pit_ks"]) == pytest.approx(plain["c"]["pit_ks_pvalue"], abs=2e-3)
+
+
+def score_rows(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, None if i % 3 == 0 else "a", float(y), float(y + e), float(u), float(c), None if i % 7 == 0 else float(c), 1.0)
+            for i, (y, e, u, c) in enumerate(zip(rng.normal(size=n), rng.standard_t(2, n), rng.uniform(size=n), rng.gamma(2, size=n)))]
+    return spark.createDataFrame(rows, "id long, key string, y double, y_pred double, pit double, cde double, crps double, nll double")
+
+
+@pytest.mark.parametrize("width", [2.0 ** -6, 1.0, 1024.0])
+def test_report_from_states_equals_the_batch_report(spark, tmp_path, width):
+    scores = score_rows(spark, 900, 1)
+    for epoch in (0, 1, 2, 1):
+        ST.write_with_states(scores.where(F.col("id") % 3 == epoch), str(tmp_path), epoch, ["key"], SS.Resolution(width))
+    got = {r["key"]: r for r in ST.incremental_report(spark, str(tmp_path), ["key"]).collect()}
+    want = {r["key"]: r for r in M.summarize(scores, by=["key"], point="mean").collect()}
+    assert got.keys() == want.keys() == {None, "a"}
+    for k in got:
+        for c in ("n", "cde_loss", "crps", "nll", "bias", "sigma_iqr", "outlier_rate_015", "pit_kl", "pit_outlier_rate"):
+            assert got[k][c] == pytest.approx(want[k][c], rel=1e-9), c
+
+
+def test_report_from_states_reads_few_rows(spark, tmp_path):
+    """The scan of the score table is filtered to the intervals that hold the quartiles."""
+    ST.write_with_states(score_rows(spark, 900, 2), str(tmp_path), 0, [])
+    plan = ST.incremental_report(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert " In(_interval, [" in plan
+
+
+def test_stream_with_states(spark, tmp_path):
+    score_rows(spark, 300, 4).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(score_rows(spark, 1, 4).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ST.append_with_states(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["key"]).awaitTermination()
+    assert ST.incremental_report(spark, str(tmp_path / "out"), ["key"]).agg(F.sum("n")).first()[0] == 300
+
+
+def test_counts_come_with_the_action(spark):
+    """No job is run to count: the counts arrive with the one action, which takes as many jobs as without them."""
+    df = values(spark, np.linspace(0, 10, 101))
+    seen, jobs = Observation(), {}
+    for name, option in (("bare", None), ("seen", seen)):
+        spark.sparkContext.setJobGroup(name, name)
+        V.clip_target(df, "x", 2.0, 9.0, seen=option).write.format("noop").mode("overwrite").save()
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    assert jobs["bare"] == jobs["seen"] > 0
+    assert seen.get == {"below": 20, "above": 10, "n": 101}
+
+
+def test_bags_explode_few_rows(spark):
+    df = values(spark, np.arange(4000.0))
+    out = SE.draw_bags(df, "id", 5, 40, 7)
+    assert {r["member"]: r["count"] for r in out.groupBy("member").count().collect()} == dict.fromkeys(range(5), 40)
+    every = df.select("id").crossJoin(spark.range(5).select(F.col("id").cast("int").alias("member")))
+    every = every.withColumn("_key", F.concat_ws("/", "member", "id")).withColumn("u", hash_uniform(7, F.col("_key")))
+    direct = every.withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy("u", "_key"))).where("r <= 40")
+    assert out.exceptAll(direct.select("member", "id")).count() == 0
+
+
+def test_mixed_masses_by_hand(spark):
+    rng = np.random.default_rng(2)
+    edges = [np.array([0.0, 1.0, 1.0, 4.0]), np.linspace(-1, 5, 8), np.array([2.0, 2.5])]
+    union = np.unique(np.concatenate(edges))
+    rows = [tuple(rng.dirichlet(np.ones(len(e) - 1)).tolist() for e in edges) for _ in range(20)]
+    df = spark.createDataFrame([*rows, (rows[0][0], None, rows[0][2]), (rows[0][0][:2], rows[0][1], rows[0][2])], "a array<double>, b array<double>, c array<double>")
+    got = [r["m"] for r in df.select(kernels.mixed_masses([F.col(c) for c in "abc"], edges, [0.5, 0.3, 0.2], union).alias("m")).collect()]
+    assert got[20:] == [None, None]
+    for row, m in zip(rows, got):
+        cdf = lambda x: sum(w * sum(p * (np.clip((x - a) / (b - a), 0, 1) if b > a else float(x >= a)) for p, a, b in zip(ps, e[:-1], e[1:]))  # noqa: B023
+                            for w, ps, e in zip((0.5, 0.3, 0.2), row, edges))
+        np.testing.assert_allclose(m, np.diff([cdf(x) for x in union]), atol=1e-12)
+
+
+def test_models_of_three_kinds_agree_on_columns(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, "ab"[i % 2], i % 3, float(v)) for i, v in enumerate(rng.gamma(3, size=300))], "id long, k string, f int, y double")
+    grid = Grid.linear(0.0, 12.0, 60, normalization="histogram")
+    parts = [E.DensityModel(["k"], grid=grid), E.DensityModel(["f"], grid=grid, n_bins=7)]
+    for model in (E.DensityModel(["k", "f"], grid=grid), E.QuantileModel(["k", "f"], grid=grid), E.MixtureModel(["k", "f"], grid=grid, members=parts)):
+        model.fit(df)
+        shuffled = df.select("y", "f", "id", "k")
+        got = model.transform(model.transform(model.transform(shuffled, "pit"), "quantiles", levels=[0.1, 0.5, 0.9]), "point", point="mean").toPandas()
+        assert len(got) == 300 and got.pit.between(0, 1).all() and 0.4 < got.pit.mean() < 0.6
+        assert all(a <= b <= c for a, b, c in got.quantiles)
+        assert abs(got.point.mean() - got.y.mean()) < 0.3
+        mass = model.transform(df, "density").select(F.aggregate("density", F.lit(0.0), lambda s, x: s + x * 0.2).alias("m")).toPandas()
+        np.testing.assert_allclose(mass.m, 1.0)
+    model = E.DensityModel(["k"], grid=grid).fit(df)
+    assert model.transform(df.withColumnRenamed("k", "x0"), "pit").agg(F.avg("pit")).first()[0] == pytest.approx(model.transform(df, "pit").agg(F.avg("pit")).first()[0])
+    with pytest.raises(ValueError, match="missing \\['k'\\]"):
+        model.transform(df.drop("k"), "pit")
+
+
 # -- order statistics -----------------------------------------------------------
 
 
