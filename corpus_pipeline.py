@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.llm import bpe, decontaminate, secrets, simhash, toxicity
-from tessella.llm.common import materialize, table
+from tessella.llm.common import table
 from tessella.llm.queries import vocabulary_path
+from tessella.session import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,10 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written to the shared checkpoint folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    """All stages over ``documents``, each one's result written as Parquet beside the shared checkpoints before the next reads it.
+
+    The stages' tables are left there: the result reads the last of them, and a run
+    that lost its driver can go on from it.
+    """
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
