@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 
+from tessella.functions import ragged as RG
 from tessella.functions.grids import Bins
 from tessella.operators import mixtures as MX, ranks as RK, recipes as RC, selection as SE
 from tessella.operators.neighbours import nearest
@@ -29,6 +30,46 @@ def j3(spark, sf):
     return out.select("usr", F.col("bin").cast("long").alias("bin"), r("mass", 7).alias("mass")).where("mass > 0")
 
 
+OWN = f"""WITH {I.EV}, q AS (SELECT usr, quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS b FROM ev GROUP BY usr),
+s AS (SELECT usr, i, b[i] AS lo, b[i + 1] AS hi, i / 15.0::DOUBLE AS p, (i - 1) * i / 30.0::DOUBLE AS f0, i * (i + 1) / 30.0::DOUBLE AS f1 FROM q, range(1, 6) t(i))"""
+
+
+def own_edges(spark, sf):
+    """Every event with its user's histogram on the user's own edges: masses 1 to 5 between the quintiles."""
+    own = RK.exact_quantiles(I.events(spark, sf), "y", np.linspace(0, 1, 6).tolist(), ["usr"]).select("usr", F.col("q").alias("bins"))
+    return own.withColumn("masses", F.lit(np.arange(1.0, 6.0)))
+
+
+@query("h5_own_edges_pit", f"{OWN} SELECT ev.id, round(sum(p * CASE WHEN hi > lo THEN least(greatest((y - lo) / (hi - lo), 0), 1) ELSE CAST(y >= lo AS INT) END), 8) AS pit FROM ev JOIN s USING (usr) GROUP BY ev.id")
+def h5_own(spark, sf):
+    """The PIT under rows with edges of their own, zero-width buckets included."""
+    df = I.events(spark, sf).join(own_edges(spark, sf), "usr")
+    return df.select("id", r(RG.cdf_at("bins", "masses", F.col("y")), 8).alias("pit"))
+
+
+@query("h6_own_edges_quantiles", f"""{OWN} SELECT usr, round(max(CASE WHEN f0 < 0.1 AND f1 >= 0.1 THEN lo + (hi - lo) * (0.1 - f0) / p END), 6) AS q10,
+  round(max(CASE WHEN f0 < 0.5 AND f1 >= 0.5 THEN lo + (hi - lo) * (0.5 - f0) / p END), 6) AS q50, round(max(CASE WHEN i = 5 THEN hi END), 6) AS q100 FROM s GROUP BY usr""")
+def h6_own(spark, sf):
+    out = own_edges(spark, sf).select("usr", RG.ppf("bins", "masses", [0.1, 0.5, 1.0]).alias("q"))
+    return out.select("usr", *[r(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q100"))])
+
+
+@query("c4_own_edges_crps", f"""{OWN}, x AS (SELECT ev.id, lo, hi, f0, f1, least(greatest(y, lo), hi) AS c, CASE WHEN hi > lo THEN f0 + p * (least(greatest(y, lo), hi) - lo) / (hi - lo) ELSE f0 END AS fc FROM ev JOIN s USING (usr))
+SELECT id, round(sum((c - lo) * (f0*f0 + f0*fc + fc*fc) / 3 + (hi - c) * ((fc-1)*(fc-1) + (fc-1)*(f1-1) + (f1-1)*(f1-1)) / 3), 6) AS crps FROM x GROUP BY id""")
+def c4_own(spark, sf):
+    df = I.events(spark, sf).join(own_edges(spark, sf), "usr")
+    return df.select("id", r(RG.crps("bins", "masses", F.col("y"))).alias("crps"))
+
+
+@query("h10_own_edges_regrid", f"""{OWN}, {I.grid_sql('o', 20.0, 420.0, 25)}
+SELECT usr, CAST(o.bin AS BIGINT) AS bin, round(sum(p * greatest(least(s.hi, o.hi) - greatest(s.lo, o.lo), 0) / (s.hi - s.lo)), 7) AS mass FROM s JOIN o ON s.lo < o.hi AND s.hi > o.lo WHERE s.hi > s.lo GROUP BY ALL HAVING mass > 0""")
+def h10_own(spark, sf):
+    """Re-binned row by row: nothing is exploded before the result."""
+    out = own_edges(spark, sf).select("usr", RG.regrid("bins", "masses", np.linspace(20.0, 420.0, 26)).alias("m"))
+    rows = out.select("usr", F.posexplode("m").alias("bin", "mass"))
+    return rows.select("usr", F.col("bin").cast("long").alias("bin"), r("mass", 7).alias("mass")).where("mass > 0")
+
+
 EDGES = (0.0, 1.0, 2.5, 7.0, 7.5, 20.0, 33.0, 80.0, 500.0)
 
 

@@ -235,3 +235,65 @@ def test_one_pass_scores_equal_the_separate_ones(spark, norm):
     once = C.object_scores(df, "pdf", "y", grid, "mean")
     got = collect(once, *[F.col(c) for c in ("cde", "pit", "crps", "nll", "y_pred")])
     np.testing.assert_allclose(got, apart, rtol=1e-9, atol=1e-12)
+
+
+# -- rows with edges of their own ---------------------------------------------------
+
+
+def ragged_rows(n=60, seed=1):
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        k = int(rng.integers(1, 9))
+        e = np.sort(np.round(rng.normal(size=k + 1), 1 if i % 3 else 6))
+        m = rng.gamma(1.0, size=k) * (rng.uniform(size=k) > 0.3)
+        out.append((i, e.tolist(), m.tolist(), float(np.round(rng.normal(), 1))))
+    return out
+
+
+def test_ragged_rows_equal_shared_ones(spark):
+    """Each row alone, through the functions of shared bins."""
+    from tessella.functions import ragged as RG
+
+    rows = ragged_rows()
+    df = spark.createDataFrame(rows, "id long, b array<double>, m array<double>, y double").repartition(3)
+    grid = np.linspace(-1.5, 1.5, 13)
+    got = {r["id"]: r for r in df.select(
+        "id", RG.cdf_at("b", "m", F.col("y")).alias("pit"), RG.cdf_values("b", "m", [-0.5, 0.0, 0.7]).alias("cdf"), RG.ppf("b", "m", [0.0, 0.2, 0.5, 0.99, 1.0]).alias("q"),
+        RG.crps("b", "m", F.col("y")).alias("crps"), RG.regrid("b", "m", grid).alias("g")).collect()}
+    for i, e, m, y in rows:
+        e, m = np.array(e), np.array(m)
+        w = np.diff(e)
+        p = m / m.sum() if m.sum() > 0 else (w > 0) / (w > 0).sum() if (w > 0).any() else np.full(len(m), 1 / len(m))
+        cdf = lambda x: sum(q * (np.clip((x - a) / (b - a), 0, 1) if b > a else float(x >= a)) for q, a, b in zip(p, e[:-1], e[1:]))  # noqa: B023, E731
+        assert got[i]["pit"] == pytest.approx(cdf(y), abs=1e-12)
+        np.testing.assert_allclose(got[i]["cdf"], [cdf(x) for x in (-0.5, 0.0, 0.7)], atol=1e-12)
+        held = np.flatnonzero(p > 0)
+        assert got[i]["q"][0] == e[held[0]] and got[i]["q"][4] == e[held[-1] + 1]
+        for level, x in zip((0.2, 0.5, 0.99), got[i]["q"][1:4]):
+            assert cdf(x + 1e-9) >= level - 1e-9 and cdf(x - 1e-6) <= level + 1e-9
+        x = np.unique(np.r_[np.linspace(min(e[0], y), max(e[-1], y), 20_001), e, y])
+        mid = (x[1:] + x[:-1]) / 2
+        f = np.sum([q * (np.clip((mid - a) / (b - a), 0, 1) if b > a else (mid >= a)) for q, a, b in zip(p, e[:-1], e[1:])], axis=0)
+        assert got[i]["crps"] == pytest.approx(float(np.sum(np.diff(x) * (f - (mid >= y)) ** 2)), abs=1e-5)
+        inside = [cdf(g) for g in grid]
+        inside[0] = cdf(np.nextafter(grid[0], -9))
+        np.testing.assert_allclose(got[i]["g"], np.diff(inside), atol=1e-12)
+
+
+def test_ragged_rows_that_are_no_distributions(spark):
+    from tessella.functions import ragged as RG
+
+    good = ([0.0, 1.0, 3.0], [1.0, 1.0])
+    bad = [(None, [1.0]), ([0.0, 1.0], None), ([0.0, 1.0], [1.0, 2.0]), ([1.0, 0.0], [1.0]), ([0.0, float("inf")], [1.0]), ([0.0, 1.0], [-1.0]), ([0.0, 1.0], [float("nan")]), ([0.0, None], [1.0]), ([0.0, 1.0], [None]), ([1.0], []), ([], [])]
+    rows = [(k, *x) for k, x in enumerate([good, *[x for b in bad for x in (b, good)]])]
+    df = spark.createDataFrame([(*r, 2.0) for r in rows] + [(99, *good, None), (98, *good, float("inf"))], "id long, b array<double>, m array<double>, y double").coalesce(1)
+    out = df.select("id", RG.cdf_at("b", "m", F.col("y")).alias("pit"), RG.ppf("b", "m", [0.5]).alias("q"), RG.crps("b", "m", F.col("y")).alias("crps"), RG.regrid("b", "m", [0.0, 2.0]).alias("g")).collect()
+    for r in out:
+        if r["id"] in (98, 99):
+            assert r["pit"] is None and r["crps"] is None and r["q"] == [1.0]
+        elif r["id"] % 2:
+            assert (r["pit"], r["q"], r["crps"], r["g"]) == (None, None, None, None)
+        else:
+            assert (r["pit"], r["q"], r["g"]) == (0.75, [1.0], [0.75])
+    assert df.limit(0).select(RG.ppf("b", "m", [0.5])).count() == 0
