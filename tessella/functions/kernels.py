@@ -344,17 +344,21 @@ def mixed_masses(columns: list[Column], edges: list[np.ndarray], weights: list[f
         wide = own[k + 1] - own[k]
         share = np.clip(np.divide(union - own[k], wide, out=np.ones(len(union)), where=wide > 0), 0.0, 1.0)
         share[union < own[0]] = 0.0
-        plans.append((len(own) - 1, k, share, weight))
+        # The last bucket that reaches into each piece of the union.
+        plans.append((len(own) - 1, k, share, weight, np.where(share[1:] > 0, k[1:], k[1:] - 1)))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def mixed(*arrays: pa.Array) -> pa.Array:
         found = [_matrix(a, width) for a, (width, *_) in zip(arrays[::2], plans, strict=True)]
         fits = np.logical_and.reduce([f for _, f in found])
-        total = np.zeros((int(fits.sum()), len(union)))
-        for (p, own), (_, k, share, weight) in zip(found, plans, strict=True):
+        total = np.zeros((int(fits.sum()), len(union) - 1))
+        for (p, own), (_, k, share, weight, last) in zip(found, plans, strict=True):
             p = p[fits[own]]
             cum = np.cumsum(p, axis=1)
-            total += weight * (cum[:, k] - p[:, k] * (1.0 - share))
-        return _lists(np.diff(total, axis=1), fits)
+            pieces = np.diff(cum[:, k] - p[:, k] * (1.0 - share), axis=1)
+            # No rounding where no bucket with mass reaches: the support keeps its ends and its gaps.
+            held = np.concatenate([np.zeros((len(p), 1), np.int64), np.cumsum(p > 0, axis=1)], axis=1)
+            total += weight * np.where(held[:, last + 1] > held[:, k[:-1]], np.maximum(pieces, 0.0), 0.0)
+        return _lists(total, fits)
 
     return mixed(*[c for column in columns for c in (column, F.size(column))])

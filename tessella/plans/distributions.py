@@ -500,6 +500,23 @@ def m4(spark, sf):
     return out.select("id", F.col("bin").cast("long").alias("bin"), r("m", 6).alias("mass"))
 
 
+def side_by_side(spark, sf) -> DataFrame:
+    """The mixture's two members per user in one row: ``(id, fine, coarse)``."""
+    fine = I.user_histograms(spark, sf).select(F.col("usr").alias("id"), H.probabilities("masses", I.GRID).alias("fine"))
+    coarse = I.user_histograms(spark, sf, I.COARSE).select(F.col("usr").alias("id"), H.probabilities("masses", I.COARSE).alias("coarse"))
+    return fine.join(coarse, "id")
+
+
+PARTS = (MX.Part("fine", I.GRID, 3.0), MX.Part("coarse", I.COARSE, 1.0))
+
+
+@query("m4_one_row", f"{UNION} SELECT id, CAST(bin AS BIGINT) AS bin, round(p, 6) AS mass FROM un")
+def m4_row(spark, sf):
+    """The same masses from members in one row, without a shuffle of arrays."""
+    out = side_by_side(spark, sf).select("id", F.posexplode(MX.one_row([F.col("fine"), F.col("coarse")], PARTS)).alias("bin", "m"))
+    return out.select("id", F.col("bin").cast("long").alias("bin"), r("m", 6).alias("mass"))
+
+
 @query("m5_quantiles", f"{UNION}, {ppf_sql('un', 'id', (0.16, 0.5, 0.84))} SELECT id, level, round(q, 5) AS q FROM qv")
 def m5(spark, sf):
     levels = (0.16, 0.5, 0.84)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.functions import histogram as H
-from tessella.functions.grids import Bins, Grid, target_range
+from tessella.functions import histogram as H, quantile as Q
+from tessella.functions.grids import Bins, Grid, target_range, union_bins
 from tessella.operators import mixtures as MX, pooling as PO
 from tessella.plans import inputs as I
-from tessella.plans.distributions import MIX, mixture
+from tessella.plans.distributions import MIX, PARTS, UNION, mixture, side_by_side
 from tessella.plans.inputs import rounded as r
 from tessella.plans.registry import query
 
@@ -75,6 +75,19 @@ def k5(spark, sf):
     return pooled.select("usr", r(mean, 3).alias("mean_quantile"))
 
 
+@query("k5_mixed_members", f"""{UNION}, {I.quantile_knots_sql('ev', 'usr', 'y')}, lv AS (SELECT unnest(range(1001)) AS l), q1 AS {quantile_sql('un', 'id', '', '')},
+q2 AS (SELECT usr AS id, l, max(CASE WHEN l0 <= l / 1000.0::DOUBLE AND (l1 > l / 1000.0::DOUBLE OR (l = 1000 AND l1 = 1)) THEN a + (b - a) * (l / 1000.0::DOUBLE - l0) / (l1 - l0) END) AS q FROM seg CROSS JOIN lv GROUP BY usr, l)
+SELECT id AS usr, round(avg(0.5 * least(greatest(q1.q, 0), 500) + 0.5 * least(greatest(q2.q, 0), 500)), 2) AS mean_quantile FROM q1 JOIN q2 USING (id, l) GROUP BY id""")
+def k5_mixed(spark, sf):
+    """A quantile pool of a mixture, inverted on its own edges, and of a quantile distribution."""
+    bins = PO.exact_bins(union_bins([p.bins for p in PARTS]), POOL)
+    mixed = side_by_side(spark, sf).select(F.col("id").alias("usr"), MX.one_row([F.col("fine"), F.col("coarse")], PARTS, bins).alias("m"))
+    knots = I.user_quantiles(spark, sf).select("usr", Q.knots("locs", I.LEVELS).alias("k"))
+    rows = mixed.join(knots, "usr").withColumn("qa", PO.member_quantiles("m", bins, POOL)).withColumn("qb", PO.quantile_member_quantiles("k", I.LEVELS, POOL))
+    mean = F.aggregate(PO.quantile([F.col("qa"), F.col("qb")]), F.lit(0.0), lambda s, x: s + x) / 1001.0
+    return rows.select("usr", r(mean, 2).alias("mean_quantile"))
+
+
 @query("k6_pool_grid", f"""WITH {I.EV}, a AS (SELECT min(y) AS lo, max(y) AS hi FROM ev), b AS (SELECT greatest(lo - 0.25 * (hi - lo), 0.0) AS s, least(hi + 0.25 * (hi - lo), 500.0) AS e FROM a),
 c AS (SELECT s, e, CAST(least(greatest(ceil((e - s) / 10.0), 200), 10000) AS BIGINT) AS n FROM b)
 SELECT CAST(least(greatest(floor((y - s) / ((e - s) / n)), 0), n - 1) AS BIGINT) AS bin, count(*) AS k FROM ev, c GROUP BY 1""")
