@@ -75,11 +75,15 @@ def k5(spark, sf):
     return pooled.select("usr", r(mean, 3).alias("mean_quantile"))
 
 
-@query("k5_mixed_members", f"""{UNION}, {I.quantile_knots_sql('ev', 'usr', 'y')}, lv AS (SELECT unnest(range(1001)) AS l), q1 AS {quantile_sql('un', 'id', '', '')},
+@query("k5_mixed_members", f"""{UNION}, {I.quantile_knots_sql('ev', 'usr', 'y')}, lv AS (SELECT unnest(range(1001)) AS l),
+uz AS (SELECT * REPLACE (CASE WHEN p < 1e-8 THEN 0 ELSE p END AS p) FROM un), q1 AS {quantile_sql('uz', 'id', '', '')},
 q2 AS (SELECT usr AS id, l, max(CASE WHEN l0 <= l / 1000.0::DOUBLE AND (l1 > l / 1000.0::DOUBLE OR (l = 1000 AND l1 = 1)) THEN a + (b - a) * (l / 1000.0::DOUBLE - l0) / (l1 - l0) END) AS q FROM seg CROSS JOIN lv GROUP BY usr, l)
 SELECT id AS usr, round(avg(0.5 * least(greatest(q1.q, 0), 500) + 0.5 * least(greatest(q2.q, 0), 500)), 2) AS mean_quantile FROM q1 JOIN q2 USING (id, l) GROUP BY id""")
 def k5_mixed(spark, sf):
-    """A quantile pool of a mixture, inverted on its own edges, and of a quantile distribution."""
+    """A quantile pool of a mixture, inverted on its own edges, and of a quantile distribution.
+
+    The SQL rounds the union's edges, so slivers of mass below 1e-8 are none there.
+    """
     bins = PO.exact_bins(union_bins([p.bins for p in PARTS]), POOL)
     mixed = side_by_side(spark, sf).select(F.col("id").alias("usr"), MX.one_row([F.col("fine"), F.col("coarse")], PARTS, bins).alias("m"))
     knots = I.user_quantiles(spark, sf).select("usr", Q.knots("locs", I.LEVELS).alias("k"))
