@@ -189,11 +189,14 @@ def regrid_parts(p: Column | str, source: Bins, target: Bins) -> Column:
     return kernels.regrid_parts(as_column(p), source.array, target.array)
 
 
-def regrid(p: Column | str, source: Bins, target: Bins) -> Column:
-    """Exact masses in the target buckets; mass outside is dropped, not renormalized."""
+def regrid(p: Column | str, source: Bins, target: Bins, raw: bool = False) -> Column:
+    """Exact masses in the target buckets; mass outside is dropped, not renormalized.
+
+    With ``raw`` the rows are masses of any sum: they need no pass of their own.
+    """
     if source.edges == target.edges and (target.widths > 0).all():
-        return as_column(p)
-    return F.slice(regrid_parts(p, source, target), 2, target.n)
+        return probabilities(p, source) if raw else as_column(p)
+    return kernels.regrid_parts(as_column(p), source.array, target.array, raw, inner=True)
 
 
 def outside(p: Column | str, source: Bins, target: Bins) -> Column:
@@ -208,9 +211,9 @@ def bin_densities(p: Column | str, source: Bins, grid: Grid) -> Column:
     return F.zip_with(regrid(p, source, grid), vector(grid.widths), lambda m, w: m / w)
 
 
-def on_grid(p: Column | str, source: Bins, grid: Grid) -> Column:
-    """Densities on a grid, normalized by its convention."""
-    return kernels.on_grid(as_column(p), source.array, grid)
+def on_grid(p: Column | str, source: Bins, grid: Grid, raw: bool = False) -> Column:
+    """Densities on a grid, normalized by its convention; with ``raw`` of masses of any sum."""
+    return kernels.on_grid(as_column(p), source.array, grid, raw)
 
 
 def softmax(logits: Column | str, temperature: float = 1.0) -> Column:

@@ -21,6 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 
+#: Elements of a matrix that are worked on at once.
+SLICE = 1 << 17
+
+
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the right length as a matrix, and which rows those are."""
     if isinstance(column, pa.ChunkedArray):
@@ -236,28 +240,62 @@ def _parts(p: np.ndarray, source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.concatenate([f[:, :1], np.maximum(np.diff(f, axis=1), 0.0), np.maximum(p.sum(axis=1, keepdims=True) - f[:, -1:], 0.0)], axis=1)
 
 
-def regrid_parts(p: Column, source: np.ndarray, target: np.ndarray) -> Column:
-    """Exact masses of rows on shared buckets below, in each of, and above other buckets."""
-    width = len(source) - 1
+def _sliced(rows: np.ndarray, f) -> np.ndarray:
+    """``f`` over slices of rows that stay in a processor's cache, its results in one array."""
+    step = max(1, SLICE // max(1, rows.shape[1]))
+    if len(rows) <= step:
+        return f(rows)
+    first = f(rows[:step])
+    out = np.empty((len(rows), *first.shape[1:]), first.dtype)
+    out[:step] = first
+    for start in range(step, len(rows), step):
+        out[start:start + step] = f(rows[start:start + step])
+    return out
+
+
+def _shares(masses: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Masses over their sum; a row without mass is uniform over the buckets of positive width."""
+    total = masses.sum(axis=1, keepdims=True)
+    return np.where(total > 0, np.divide(masses, total, out=np.zeros_like(masses), where=total > 0), np.where(np.isnan(total), np.nan, wide / wide.sum()))
+
+
+def _wide(source: np.ndarray) -> np.ndarray:
+    wide = (np.diff(source) > 0).astype(float)
+    return wide if wide.any() else np.ones(len(wide))
+
+
+def regrid_parts(p: Column, source: np.ndarray, target: np.ndarray, raw: bool = False, inner: bool = False) -> Column:
+    """Exact masses of rows on shared buckets below, in each of, and above other buckets; ``inner`` leaves out the first and the last.
+
+    With ``raw`` the rows are masses of any sum.
+    """
+    width, wide = len(source) - 1, _wide(source)
+
+    def moved(rows: np.ndarray) -> np.ndarray:
+        parts = _parts(_shares(rows, wide) if raw else rows, source, target)
+        return parts[:, 1:-1] if inner else parts
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def move(values: pa.Array, _: pa.Array) -> pa.Array:
         rows, fits = _matrix(values, width)
-        return _lists(_parts(rows, source, target), fits)
+        return _lists(_sliced(rows, moved), fits)
 
     return move(p, F.size(p))
 
 
-def on_grid(p: Column, source: np.ndarray, grid) -> Column:
-    """Densities on a grid, normalized by its convention, of rows of masses in shared buckets."""
+def on_grid(p: Column, source: np.ndarray, grid, raw: bool = False) -> Column:
+    """Densities on a grid, normalized by its convention, of rows of masses in shared buckets; with ``raw`` masses of any sum."""
     width, target, widths, weights = len(source) - 1, grid.array, grid.widths, grid.node_weights
-    own = np.array_equal(source, target) and bool((widths > 0).all())
+    own, wide = np.array_equal(source, target) and bool((widths > 0).all()), _wide(source)
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        rows = _shares(rows, wide) if raw else rows
+        return _normalized((rows if own else _parts(rows, source, target)[:, 1:-1]) / widths, weights)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def density(values: pa.Array, _: pa.Array) -> pa.Array:
         rows, fits = _matrix(values, width)
-        d = (rows if own else _parts(rows, source, target)[:, 1:-1]) / widths
-        return _lists(_normalized(d, weights), fits)
+        return _lists(_sliced(rows, dense), fits)
 
     return density(p, F.size(p))
 
@@ -269,14 +307,13 @@ def _normalized(d: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return d / (d @ weights)[:, None]
 
 
-def point_estimates(density: Column, grid, fraction: float) -> Column:
-    """``struct<mode, peak_mean, mean, median>`` of normalized densities."""
+def point_estimates(density: Column, grid, fraction: float, raw: bool = False) -> Column:
+    """``struct<mode, peak_mean, mean, median>`` of normalized densities; with ``raw`` of densities of any scale."""
     width, weights, centers = grid.n, grid.node_weights, grid.centers
     nodes, masses = grid.nodes.array, _masses(grid)
 
-    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("mode", "peak_mean", "mean", "median")]))
-    def points(values: pa.Array, _: pa.Array) -> pa.Array:
-        d, fits = _matrix(values, width)
+    def found(d: np.ndarray) -> np.ndarray:
+        d = _normalized(d, weights) if raw else d
         top = np.argmax(d, axis=1) if len(d) else np.array([], np.int64)
         rows = np.arange(len(d))
         low = d < (d[rows, top] * fraction)[:, None]
@@ -296,7 +333,13 @@ def point_estimates(density: Column, grid, fraction: float) -> Column:
         below, own = np.where(k == last, 1.0 - m[rows, k], cum[rows, k] - m[rows, k]), m[rows, k]
         share = np.divide(0.5 - below, own, out=np.zeros(len(d)), where=own > 0).clip(0.0, 1.0)
         middle = nodes[k] + share * np.diff(nodes)[k]
-        return pa.StructArray.from_arrays([_values(x, fits) for x in (centers[top], peak, moment[:, -1], middle)], names=["mode", "peak_mean", "mean", "median"])
+        return np.stack([centers[top], peak, moment[:, -1], middle], axis=1)
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("mode", "peak_mean", "mean", "median")]))
+    def points(values: pa.Array, _: pa.Array) -> pa.Array:
+        d, fits = _matrix(values, width)
+        four = _sliced(d, found)
+        return pa.StructArray.from_arrays([_values(four[:, k], fits) for k in range(4)], names=["mode", "peak_mean", "mean", "median"])
 
     return points(density, F.size(density))
 
@@ -331,11 +374,12 @@ def _members(values, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [m[both[fits]] for m, fits in found], both
 
 
-def mixed_masses(columns: list[Column], edges: list[np.ndarray], weights: list[float], union: np.ndarray) -> Column:
+def mixed_masses(columns: list[Column], edges: list[np.ndarray], weights: list[float], union: np.ndarray, raw: bool = False) -> Column:
     """Masses between the ``union`` edges of a weighted mixture of rows of probabilities, each on edges of its own.
 
     The members' running sums are read at the union's edges and added up, in
-    one pass over the rows. A row that lacks a member is NULL.
+    one pass over the rows. A row that lacks a member is NULL. With ``raw`` a
+    member's rows are masses of any sum.
     """
     plans = []
     for own, weight in zip(edges, weights, strict=True):
@@ -352,13 +396,19 @@ def mixed_masses(columns: list[Column], edges: list[np.ndarray], weights: list[f
         found = [_matrix(a, width) for a, (width, *_) in zip(arrays[::2], plans, strict=True)]
         fits = np.logical_and.reduce([f for _, f in found])
         total = np.zeros((int(fits.sum()), len(union) - 1))
-        for (p, own), (_, k, share, weight, last) in zip(found, plans, strict=True):
-            p = p[fits[own]]
-            cum = np.cumsum(p, axis=1)
-            pieces = np.diff(cum[:, k] - p[:, k] * (1.0 - share), axis=1)
-            # No rounding where no bucket with mass reaches: the support keeps its ends and its gaps.
-            held = np.concatenate([np.zeros((len(p), 1), np.int64), np.cumsum(p > 0, axis=1)], axis=1)
-            total += weight * np.where(held[:, last + 1] > held[:, k[:-1]], np.maximum(pieces, 0.0), 0.0)
+        for (p, own), plan, e in zip(found, plans, edges, strict=True):
+            total += _sliced(p if own.all() and fits.all() else p[fits[own]], lambda rows, plan=plan, wide=_wide(e): _pieces(_shares(rows, wide) if raw else rows, *plan[1:]))
         return _lists(total, fits)
 
     return mixed(*[c for column in columns for c in (column, F.size(column))])
+
+
+def _pieces(p: np.ndarray, k: np.ndarray, share: np.ndarray, weight: float, last: np.ndarray) -> np.ndarray:
+    """A member's weighted masses between the union's edges."""
+    if len(k) == p.shape[1] + 1 and (k[:-1] == np.arange(len(k) - 1)).all() and not share[:-1].any() and share[-1] == 1.0:
+        return weight * p  # the union's edges are the member's own
+    cum = np.cumsum(p, axis=1)
+    pieces = np.diff(cum[:, k] - p[:, k] * (1.0 - share), axis=1)
+    # No rounding where no bucket with mass reaches: the support keeps its ends and its gaps.
+    held = np.concatenate([np.zeros((len(p), 1), np.int64), np.cumsum(p > 0, axis=1)], axis=1)
+    return weight * np.where(held[:, last + 1] > held[:, k[:-1]], np.maximum(pieces, 0.0), 0.0)

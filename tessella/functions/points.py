@@ -39,9 +39,9 @@ def estimate(d: Column | str, grid: Grid, method: str) -> Column:
     return {"mode": mode, "peak_mean": peak_mean, "mean": mean, "median": median}[method](d, grid)
 
 
-def all_estimates(d: Column | str, grid: Grid) -> list[Column]:
-    """The four estimates as aliased columns, from one kernel call."""
-    found = kernels.point_estimates(as_column(d), grid, PEAK_FRACTION)
+def all_estimates(d: Column | str, grid: Grid, raw: bool = False) -> list[Column]:
+    """The four estimates as aliased columns, from one kernel call; with ``raw`` of densities of any scale."""
+    found = kernels.point_estimates(as_column(d), grid, PEAK_FRACTION, raw)
     return [found[m].alias(m) for m in POINT_ESTIMATORS]
 
 

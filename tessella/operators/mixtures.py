@@ -131,18 +131,19 @@ class Mixture:
         return h.withColumn(name, H.mode("_p", self.bins)).drop("_m", "_p")
 
 
-def one_row(members: Sequence[Column], parts: Sequence[Part], target: Bins | None = None) -> Column:
+def one_row(members: Sequence[Column], parts: Sequence[Part], target: Bins | None = None, raw: bool = False) -> Column:
     """Exact masses of a mixture whose members lie side by side in one row, on the union of their edges or on ``target``.
 
     ``members`` are columns of probabilities, one per part. The running sums
     are read at the target's edges and added up in one kernel: no array is
-    shuffled and nothing is collected. A row that lacks a member is NULL.
+    shuffled and nothing is collected. A row that lacks a member is NULL. With
+    ``raw`` the members are masses of any sum.
     """
     if len(members) != len(parts):
         raise ValueError(f"{len(members)} members for {len(parts)} parts")
     held = normalized(parts)
     edges = (target or union_bins([p.bins for p in held])).array
-    return kernels.mixed_masses(list(members), [p.bins.array for p in held], [p.weight for p in held], edges)
+    return kernels.mixed_masses(list(members), [p.bins.array for p in held], [p.weight for p in held], edges, raw)
 
 
 def sum_members(
