@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.llm import bpe, chats, decontaminate, hardneg, langid, maintext, manifest, minhash, secrets, simhash, syncmers, toxicity, twins, urls
 from tessella.llm.common import fold, table
+from tessella.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +106,18 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=shifted)
 
 
+def secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored ledger in three scans: documents of even id, then all of them, then all again with a newer rule; pairs and spans that each scan added."""
+    docs, ledger = table(spark, sf_dir, "documents"), scratch(spark)
+    newer = tuple(dataclasses.replace(r, version=r.version + 1) if r.kind == "hex" else r for r in secrets.RULES)
+    early = docs.where(F.col("doc_id") % 2 == 0)
+    for k, (rows, rules) in enumerate(((early, secrets.RULES), (docs, secrets.RULES), (docs, newer)), 1):
+        seen = spark.read.parquet(*[f"{ledger}/scan={j}" for j in range(1, k)]) if k > 1 else None
+        secrets.scan(rows, seen, rules).write.parquet(f"{ledger}/scan={k}")
+    return spark.read.parquet(ledger).groupBy("scan", "rule", "version").agg(F.count("*").alias("pairs"), F.sum(F.size("spans")).alias("n_spans")).select(
+        F.col("scan").cast("int").alias("scan"), "rule", "version", "pairs", F.col("n_spans").cast("long").alias("n_spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chats": op1_chats,
     "op2_simhash": op2_simhash,
@@ -118,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op11_manifest": op11_manifest,
     "op12_minhash": op12_minhash,
     "op13_hard_negatives": op13_hard_negatives,
+    "secrets_ledger": secrets_ledger,
 }
 
 ORACLE: dict[str, str] = {
@@ -127,4 +142,5 @@ ORACLE: dict[str, str] = {
     "op11_manifest": twins.manifest_sql(),
     "op12_minhash": twins.minhash_sql(),
     "op13_hard_negatives": twins.hard_negatives_sql(),
+    "secrets_ledger": twins.ledger_sql(),
 }

@@ -147,3 +147,16 @@ named AS (SELECT reach.sid, min(least.doc_id) AS component_id FROM reach JOIN le
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id,
   coalesce(doc_id = CASE WHEN n = 0 THEN doc_id ELSE component_id END, false) AS kept
 FROM own LEFT JOIN named USING (sid)"""
+
+
+def ledger_sql() -> str:
+    """Blobs are distinct texts; each scan takes those, or the rule, that are new to it."""
+    every = ",\n      ".join(_spans(r) for r in secrets.RULES)
+    rules = ", ".join(f"('{r.kind}', {r.version})" for r in secrets.RULES)
+    return f"""
+WITH b AS (SELECT coalesce(text, '') AS t, coalesce(bool_or(doc_id % 2 = 0), false) AS early FROM documents GROUP BY 1),
+f AS (SELECT early, flatten([
+      {every}]) AS s FROM b),
+r AS (SELECT * FROM (VALUES {rules}) v(rule, version)),
+x AS (SELECT CASE WHEN early THEN 1 ELSE 2 END AS scan, rule, version, s FROM f, r UNION ALL SELECT 3, rule, version + 1, s FROM f, r WHERE rule = 'hex')
+SELECT scan, rule, version, count(*) AS pairs, CAST(sum(len(list_filter(s, lambda y: y.kind = rule))) AS BIGINT) AS n_spans FROM x GROUP BY ALL"""
