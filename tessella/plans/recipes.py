@@ -134,16 +134,23 @@ def importance_score(df: DataFrame) -> float:
     return -df.agg(F.avg(F.abs(F.col("y") - guess))).first()[0]
 
 
-@query("y10_permutation_importance", f"""{I.ORDERS}, d AS (SELECT id, ext AS a, qty AS b, ext AS y FROM f), base AS (SELECT -avg(abs(y - (0.8 * a + 0.1 * b))) AS s FROM d),
-ra AS (SELECT id, row_number() OVER (ORDER BY {uniform_sql('1/a/0/rows', 'id')}, id) AS rk FROM d), va AS (SELECT a, row_number() OVER (ORDER BY {uniform_sql('1/a/0/values', 'id')}, id) AS rk FROM d),
-rb AS (SELECT id, row_number() OVER (ORDER BY {uniform_sql('1/b/0/rows', 'id')}, id) AS rk FROM d), vb AS (SELECT b, row_number() OVER (ORDER BY {uniform_sql('1/b/0/values', 'id')}, id) AS rk FROM d)
-SELECT 'a' AS feature, round((SELECT s FROM base) + avg(abs(y - (0.8 * va.a + 0.1 * b))), 3) AS mean, 0.0::DOUBLE AS std FROM d JOIN ra USING (id) JOIN va USING (rk)
-UNION ALL SELECT 'b', round((SELECT s FROM base) + avg(abs(y - (0.8 * a + 0.1 * vb.b))), 3), 0.0 FROM d JOIN rb USING (id) JOIN vb USING (rk)""")
+def shuffled_sql(feature: str, repeat: int) -> str:
+    """Each row's loss with one feature dealt to other rows by random ranks."""
+    key = f"1/{feature}/{repeat}"
+    loss = f"abs(y - (0.8 * {'v.x' if feature == 'a' else 'd.a'} + 0.1 * {'v.x' if feature == 'b' else 'd.b'}))"
+    return f"""SELECT '{feature}' AS feature, {repeat} AS repeat, avg({loss}) AS loss FROM d
+  JOIN (SELECT id, row_number() OVER (ORDER BY {uniform_sql(key + '/rows', 'id')}, id) AS rk FROM d) r USING (id)
+  JOIN (SELECT {feature} AS x, row_number() OVER (ORDER BY {uniform_sql(key + '/values', 'id')}, id) AS rk FROM d) v USING (rk)"""
+
+
+@query("y10_permutation_importance", f"""{I.ORDERS}, d AS (SELECT id, ext AS a, qty AS b, ext AS y FROM f), base AS (SELECT avg(abs(y - (0.8 * a + 0.1 * b))) AS loss FROM d),
+s AS ({' UNION ALL '.join(shuffled_sql(x, k) for x in 'ab' for k in range(3))})
+SELECT feature, round(avg(s.loss - base.loss), 3) AS mean, round(stddev_pop(s.loss - base.loss), 3) AS std FROM s, base GROUP BY feature""")
 def y10(spark, sf):
-    """One repeat per feature; values are dealt to other rows by their random ranks."""
+    """Three repeats per feature; values are dealt to other rows by their random ranks."""
     df = I.order_features(spark, sf).select("id", F.col("ext").alias("a"), F.col("qty").alias("b"), F.col("ext").alias("y"))
-    out = R.permutation_importance(df, ["a", "b"], importance_score, repeats=1, seed=1)
-    return out.select("feature", r("mean", 3).alias("mean"), "std")
+    out = R.permutation_importance(df, ["a", "b"], importance_score, repeats=3, seed=1)
+    return out.select("feature", r("mean", 3).alias("mean"), r("std", 3).alias("std"))
 
 
 @query("y11_temperature_sweep", f"""{I.USER}, t AS (SELECT unnest([0.7, 0.9, 1.1, 1.3])::DOUBLE AS t), z AS (SELECT usr, bin, lo, w, t, exp(ln(1 + m) / t) AS e FROM h CROSS JOIN t),

@@ -154,11 +154,13 @@ def v5(spark, sf):
     return V.align_columns(I.table(spark, sf, "events").select("user_id", "value", "event_id"), ["value", "event_id", "user_id"])
 
 
-@query("v6_empty_result", f"WITH {I.EV} SELECT id, y FROM ev WHERE y < 0")
+@query("v6_empty_result", f"WITH {I.EV} SELECT unnest(['density', 'fold', 'id', 'key', 'usr', 'y']) AS name, (SELECT count(*) FROM ev WHERE y < 0) AS n")
 def v6(spark, sf):
-    """No row in, no row out, with the same columns: a fitted model over rows that are not there."""
+    """No row in, no row out, with the columns that any rows would give: their names, and how many rows there are."""
     ev = I.events(spark, sf)
-    return E.DensityModel(["key"], grid=I.GRID).fit(ev).transform(ev.where("y < 0"), "density").select("id", "y")
+    out = E.DensityModel(["key"], grid=I.GRID).fit(ev).transform(ev.where("y < 0"), "density")
+    names = F.lit(sorted(out.columns))
+    return out.agg(F.count("*").alias("n")).select(F.explode(names).alias("name"), "n")
 
 
 @query("v6_empty_fit", f"WITH {I.EV} SELECT count(*) AS n, true AS refused_empty, true AS refused_missing FROM ev")
