@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.functions import histogram as H
 from tessella.functions.grids import Bins
 from tessella.operators import estimators as E, selection as SE
+from tessella.operators.logistic import RIDGE, LogisticHierarchy
 from tessella.plans import inputs as I
 from tessella.plans.inputs import rounded as r, uniform_sql
 from tessella.plans.registry import query
@@ -42,19 +43,19 @@ def e2_cross(spark, sf):
     return out.select("key", F.col("fold").cast("long").alias("fold"), F.posexplode("masses").alias("bin", "n")).select("key", "fold", F.col("bin").cast("long").alias("bin"), "n")
 
 
-def edges_sql(n: int, shift: float = 0.0) -> str:
+def edges_sql(n: int, shift: float = 0.0, low: float = LOW, high: float = HIGH) -> str:
     """``ce(k, lo, hi)``: equal-mass coarse edges with the ends replaced."""
     levels = [min(max(i / n + shift / n, 0.0), 1.0) for i in range(n + 1)]
-    top = HIGH + 1e-6 * (HIGH - LOW)
+    top = high + 1e-6 * (high - low)
     return f"""cq AS (SELECT quantile_cont(y, {levels}) AS q FROM ev),
-cr AS (SELECT i, CASE WHEN i = 0 THEN {LOW} WHEN i = {n} THEN {top} ELSE q[i + 1] END AS e FROM cq, range({n + 1}) t(i)),
+cr AS (SELECT i, CASE WHEN i = 0 THEN {low} WHEN i = {n} THEN {top} ELSE q[i + 1] END AS e FROM cq, range({n + 1}) t(i)),
 ce AS (SELECT * FROM (SELECT i AS k, max(e) OVER (ORDER BY i) AS lo, lead(e) OVER (ORDER BY i) AS hi FROM cr) WHERE hi IS NOT NULL)"""
 
 
-def layout_sql(n: int, m: int, shift: float = 0.0) -> str:
+def layout_sql(n: int, m: int, shift: float = 0.0, low: float = LOW, high: float = HIGH) -> str:
     """``fe(k, f, lo, hi)``: equal-mass fine edges inside each coarse bin."""
     levels = [min(max(i / m + shift / m, 0.0), 1.0) for i in range(m + 1)]
-    return f"""{edges_sql(n, shift)},
+    return f"""{edges_sql(n, shift, low, high)},
 cl AS (SELECT ev.*, k FROM ev JOIN ce ON y >= lo AND y < hi),
 fq AS (SELECT k, quantile_cont(y, {levels}) AS q FROM cl GROUP BY k),
 fr AS (SELECT k, i, CASE WHEN i = 0 THEN lo WHEN i = {m} THEN hi ELSE least(greatest(q[i + 1], lo), hi) END AS e FROM fq JOIN ce USING (k), range({m + 1}) t(i)),
@@ -90,12 +91,48 @@ def e3(spark, sf):
     return long(out, ["key"], "masses", "p").where("p > 0")
 
 
-@query("e3_classifier_hierarchy")
+NEWTON_STEPS, MOMENTS = 10, [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def newton_sql(t: int) -> str:
+    """Step ``t`` of all splits: sums, elimination of one weight after the other, and the weights put back in reverse."""
+    line = " + ".join(f"v{i} * x{i}" for i in range(4))
+    ridge = lambda i, j: f" + {RIDGE} * count(*)" if i == j > 0 else ""
+    out = [f"m{t} AS (SELECT tr.*, {', '.join(f'v{i}' for i in range(4))}, 1 / (1 + exp(-({line}))) AS mu FROM tr JOIN w{t} USING (split))",
+           f"a{t}_0 AS (SELECT split, {', '.join(f'sum(mu * (1 - mu) * x{i} * x{j}){ridge(i, j)} AS a{i}{j}' for i, j in MOMENTS)}, "
+           f"{', '.join(f'sum((up - mu) * x{i})' + (f' - {RIDGE} * count(*) * any_value(v{i})' if i else '') + f' AS b{i}' for i in range(4))}, {', '.join(f'any_value(v{i}) AS v{i}' for i in range(4))} FROM m{t} GROUP BY split)"]
+    for k in range(3):
+        rest = [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i, j in MOMENTS if i > k] + [f"b{i} - a{k}{i} * b{k} / a{k}{k} AS b{i}" for i in range(k + 1, 4)]
+        out.append(f"a{t}_{k + 1} AS (SELECT * REPLACE ({', '.join(rest)}) FROM a{t}_{k})")
+    back = f"a{t}_3"
+    for k in (3, 2, 1, 0):
+        known = "".join(f" - a{k}{j} * d{j}" for j in range(k + 1, 4))
+        out.append(f"d{t}_{k} AS (SELECT *, (b{k}{known}) / a{k}{k} AS d{k} FROM {back})")
+        back = f"d{t}_{k}"
+    out.append(f"w{t + 1} AS MATERIALIZED (SELECT split, {', '.join(f'v{i} + d{i} AS v{i}' for i in range(4))} FROM {back})")
+    return ",\n".join(out)
+
+
+LOGISTIC = f"""{I.ORDERS}, ev AS (SELECT id, price AS y, qty, disc, tax FROM f), {layout_sql(3, 2, 0.0, 0.0, 500_000.0)},
+lb AS MATERIALIZED (SELECT cl.id, cl.y, k, max(f) AS f FROM cl JOIN fe USING (k) WHERE fe.lo <= cl.y GROUP BY ALL),
+sc AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in ('qty', 'disc', 'tax'))} FROM ev),
+z AS MATERIALIZED (SELECT id, y, k, f, 1.0::DOUBLE AS x0, (qty - m_qty) / s_qty AS x1, (disc - m_disc) / s_disc AS x2, (tax - m_tax) / s_tax AS x3 FROM lb JOIN ev USING (id, y) CROSS JOIN sc),
+tr AS MATERIALIZED (SELECT 0 AS split, CAST(k > 0 AS INT) AS up, z.* FROM z UNION ALL SELECT 1, CAST(k > 1 AS INT), z.* FROM z WHERE k >= 1 UNION ALL SELECT 2 + k, CAST(f > 0 AS INT), z.* FROM z),
+w0 AS (SELECT split, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 0.0::DOUBLE AS v3 FROM range(5) t(split)),
+{", ".join(newton_sql(t) for t in range(NEWTON_STEPS))},
+u AS (SELECT id, y, split, 1 / (1 + exp(-(v0 * x0 + v1 * x1 + v2 * x2 + v3 * x3))) AS u FROM z CROSS JOIN w{NEWTON_STEPS}),
+c AS (SELECT id, any_value(y) AS y, {', '.join(f'max(u) FILTER (split = {i}) AS u{i}' for i in range(5))} FROM u GROUP BY id),
+pc AS (SELECT id, y, unnest([1 - u0, u0 * (1 - u1), u0 * u1]) AS pk, unnest([u2, u3, u4]) AS uf, unnest([0, 1, 2]) AS k FROM c),
+pb AS (SELECT id, y, k, unnest([pk * (1 - uf), pk * uf]) AS p, unnest([0, 1]) AS f FROM pc)"""
+
+
+@query("e3_classifier_hierarchy", f"""{LOGISTIC} SELECT pb.id, pb.y, round(sum(p * CASE WHEN hi > lo THEN least(greatest((pb.y - lo) / (hi - lo), 0), 1) ELSE CAST(pb.y >= lo AS INT) END), 6) AS pit
+FROM pb JOIN fe ON fe.k = pb.k AND fe.f = pb.f GROUP BY ALL""")
 def e3_classifier(spark, sf):
-    """The same with spark.ml classifiers on line aggregates; a fitted model has no SQL twin."""
+    """The same with logistic regressions on line aggregates, all levels in one fit."""
     df = I.order_features(spark, sf).select("id", F.col("price").alias("y"), "qty", "disc", "tax")
     layout = E.equal_mass_layout(df, "y", 3, 2, 0.0, 500_000.0)
-    out = E.classifier_hierarchy(df, df, ["qty", "disc", "tax"], "y", layout)
+    out = LogisticHierarchy.fit(df, ["qty", "disc", "tax"], "y", layout).predict(df)
     return out.select("id", "y", r(H.cdf_at("masses", layout.bins, F.col("y"))).alias("pit"))
 
 

@@ -7,13 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import histogram as H, points as P
 from tessella.functions.grids import Bins, Grid
-from tessella.operators import estimators as E, recipes as R
-from tessella.plans import inputs as I
+from tessella.operators import estimators as E, recipes as R, sweeps as SW
+from tessella.plans import inputs as I, scoring as SC
 from tessella.plans.inputs import rounded as r, uniform_sql
 from tessella.plans.registry import query
 
-OUTPUT = ("point_estimate", "scale", "n", "cde_loss", "crps", "nll")
-
 
 def typed(spark, sf) -> DataFrame:
     return I.cross_predictions(spark, sf).withColumn("p", H.probabilities("masses", I.GRID))
@@ -102,30 +100,57 @@ def y7(spark, sf):
     return R.estimate_spread(df, "d", I.GRID).select("usr", r("mean").alias("mean"), "mode", r("mean_over_mode", 8).alias("mean_over_mode"))
 
 
-def model() -> E.DensityModel:
-    return E.DensityModel(["key"], grid=Grid.linear(0.0, 500.0, 50, normalization="histogram"))
-
-
 def priced(spark, sf) -> DataFrame:
     """``(id, key, status, y)`` of every order; the target is the price per thousand."""
     return I.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") / 1000.0).alias("y"))
 
 
-@query("y8_bias_repair")
+PRICES = Grid.linear(0.0, 500.0, 50, normalization="histogram")
+PRICED = "o AS (SELECT o_orderkey AS id, o_orderpriority AS key, o_orderstatus AS status, o_totalprice / 1000.0 AS y FROM orders)"
+
+
+def steps_sql(labels: list[str], test: str, key: str = "key", of: str = "step") -> str:
+    """The report of ``test(report, step, id, key, y)`` under the densities of ``cx(step, key, y)``; keys that a context lacks take all of it."""
+    names = ", ".join(f"({i}, '{x}')" for i, x in enumerate(labels))
+    return f"""{I.grid_sql()},
+nk AS (SELECT step, {key} AS key, {I.bin_sql('y')} AS bin, count(*)::DOUBLE AS m FROM cx GROUP BY ALL),
+na AS (SELECT step, bin, sum(m) AS m FROM nk GROUP BY ALL),
+sk AS (SELECT DISTINCT step, key FROM {test}),
+h AS (SELECT sk.step, sk.key, g.bin, lo, hi, c, w, coalesce(CASE WHEN EXISTS (SELECT 1 FROM nk x WHERE x.step = sk.step AND x.key = sk.key) THEN nk.m ELSE na.m END, 0.0) AS m
+  FROM sk CROSS JOIN g LEFT JOIN nk ON nk.step = sk.step AND nk.key = sk.key AND nk.bin = g.bin LEFT JOIN na ON na.step = sk.step AND na.bin = g.bin),
+{I.probs_sql('step, key')},
+r AS (SELECT e.id, e.report, e.y, p.bin, lo, hi, c, w, p.p, f0, f1, f0 + p.p * (least(greatest(e.y, lo), hi) - lo) / w AS fc,
+  {I.bin_sql('e.y')} = p.bin AS own FROM {test} e JOIN p ON p.step = e.step AND p.key IS NOT DISTINCT FROM e.key),
+s AS (SELECT id, report, any_value(y) AS y, sum(p*p/w) - 2*sum(CASE WHEN own THEN p/w ELSE 0 END) AS cde, least(sum(CASE WHEN own THEN fc ELSE 0 END), 1) AS pit,
+  sum({I.CRPS_SQL}) AS crps, -ln(greatest(sum(CASE WHEN own THEN p/w ELSE 0 END), 1e-12)) AS nll, sum(p*c) AS mean_pred FROM r GROUP BY id, report),
+names AS (SELECT * FROM (VALUES {names}) t(g, model)),
+""" + SC.REPORT_SQL.format(
+        points=SC.points_sql("none", "report"), pits=SC.pit_sql("report"), by="report", lead="model,", point_out=SC.POINT_OUT, pit_out=SC.PIT_OUT) + " JOIN names USING (g)"
+
+
+def step_rows(out: DataFrame, *lead: str) -> DataFrame:
+    return out.select("model", *lead, "n", *SC.neat(out, *[c for c in SC.SUMMARY[1:] if c != "pit_ks_pvalue"]))
+
+
+@query("y8_bias_repair", f"""WITH {PRICED}, rk AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql('0', 'id')}, id) AS rank FROM o WHERE status = 'P'),
+st AS (SELECT * FROM (VALUES (0, 0), (1, 50), (2, 200)) t(step, size)),
+cx AS (SELECT step, key, y FROM o CROSS JOIN st WHERE status = 'F' AND y < 200 UNION ALL SELECT step, key, y FROM rk JOIN st ON rank <= size),
+te AS (SELECT step AS report, step, id, key, y FROM o CROSS JOIN st), {steps_sql(['biased + 0', 'biased + 50', 'biased + 200'], 'te')}""")
 def y8(spark, sf):
     """Finished orders with low prices as a biased context, repaired by ever more pending ones;
-    every order is scored. One report row per size."""
+    every order is scored. One report row per size, all from one fit."""
     orders = priced(spark, sf)
-    biased = orders.where("status = 'F' AND y < 200").drop("status")
-    calibration = orders.where("status = 'P'").drop("status")
-    return R.bias_repair(model, biased, calibration, orders.drop("status"), [0, 50, 200], point="mean")
+    biased, calibration = orders.where("status = 'F' AND y < 200"), orders.where("status = 'P'")
+    return step_rows(SW.bias_repair(biased, calibration, orders.drop("status"), "y", ["key"], PRICES, PRICES, [0, 50, 200], point="mean"))
 
 
-@query("y9_learning_curve")
+@query("y9_learning_curve", f"""WITH {PRICED}, rk AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql('0', 'id')}, id) AS rank FROM o),
+st AS (SELECT * FROM (VALUES (0, 100), (1, 400), (2, 1000)) t(step, size)), cx AS (SELECT step, key, y FROM rk JOIN st ON rank <= size),
+te AS (SELECT step AS report, step, id, key, y FROM o CROSS JOIN st), {steps_sql(['100', '400', '1000'], 'te')}""")
 def y9(spark, sf):
     orders = priced(spark, sf).drop("status")
-    return R.learning_curve(model, orders, orders, [100, 400, 1000], point="mean")
+    return step_rows(SW.learning_curve(orders, orders, "y", ["key"], PRICES, PRICES, [100, 400, 1000], point="mean"))
 
 
 def importance_score(df: DataFrame) -> float:
@@ -174,20 +199,16 @@ def y12(spark, sf):
     return out.select(F.col("fold").cast("long").alias("fold"), "n", "score")
 
 
-class FallbackModel(E.DensityModel):
-    """Bin shares per type; a row whose type is missing gets the whole context's density."""
-
-    def _fit(self, df, low, high):
-        filled = df.withColumn("key", F.explode(F.array(F.coalesce("key", F.lit("any")), F.lit("any")))).dropDuplicates(["id", "key"])
-        super()._fit(filled, low, high)
-
-    def _distribution(self, df):
-        return super()._distribution(df.withColumn("key", F.coalesce("key", F.lit("any"))))
+def hidden_sql(tag: str, share: str) -> str:
+    return f"CASE WHEN {uniform_sql('0/' + tag, chr(39) + 'key' + chr(39), 'id')} >= {share} THEN key END"
 
 
-@query("y13_missing_data_stress")
+@query("y13_missing_data_stress", f"""WITH {I.EV}, cv AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.0), (2, 0.5)) t(step, f)),
+cx AS (SELECT step, {hidden_sql('context', 'f')} AS key, y FROM ev CROSS JOIN cv),
+tv AS (SELECT * FROM (VALUES (0, 0, 0.0::DOUBLE), (1, 1, 0.0), (2, 0, 0.5), (3, 2, 0.5)) t(report, step, f)),
+te AS (SELECT report, step, id, {hidden_sql('test', 'f')} AS key, y FROM ev CROSS JOIN tv),
+{steps_sql(['test', 'both', 'test', 'both'], 'te').replace('SELECT model,', "SELECT model, CASE WHEN g < 2 THEN 0.0::DOUBLE ELSE 0.5 END AS fraction,")}""")
 def y13(spark, sf):
-    """Cells masked in the test rows only, and in both tables."""
-    ev = I.events(spark, sf)
-    make = lambda: FallbackModel(["key"], grid=Grid.linear(0.0, 500.0, 50, normalization="histogram"))
-    return R.missing_data_stress(make, ev, ev, ["key"], [0.0, 0.5], point="mean")
+    """Cells masked in the test rows only, and in both tables; all from one fit."""
+    ev = I.events(spark, sf).select("id", "key", "y")
+    return step_rows(SW.missing_data_stress(ev, ev, "y", ["key"], I.GRID, I.GRID, [0.0, 0.5], point="mean"), "fraction")

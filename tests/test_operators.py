@@ -13,8 +13,9 @@ from tessella.functions.grids import Bins, Grid
 from tessella.functions.uniform import hash_uniform, member_seed, normal_ppf
 from tessella.operators import (
     diagnostics as X, estimators as E, features as FE, metrics as M, mixtures as MX, neighbours as NB, pooling as PO, ranks as RK,
-    recipes as R, selection as SE, states as SS, validate as V,
+    recipes as R, selection as SE, states as SS, sweeps as SW, validate as V,
 )
+from tessella.operators.logistic import LogisticHierarchy
 from tessella.sources import catalog as S, ensembles as EN
 from tessella.streaming import scores as ST
 
@@ -670,6 +671,90 @@ def test_classifier_hierarchy_learns(spark):
     assert np.corrcoef(rows.y, rows.m)[0, 1] > 0.85
 
 
+def _chain_by_hand(x, y, ridge=1e-3):
+    """One logistic regression by plain Newton steps."""
+    x = np.column_stack([np.ones(len(x)), (x - x.mean(0)) / x.std(0)])
+    w, penalty = np.zeros(x.shape[1]), ridge * len(x) * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+    return w
+
+
+def test_logistic_hierarchy_fits_every_split(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 1, 900), rng.normal(5, 3, 900)
+    y = 2 * a - 0.3 * b + rng.normal(0, 0.7, 900)
+    df = values(spark, a, "a", b=b, y=y)
+    layout = E.equal_mass_layout(df, "y", 2, 2, -15.0, 15.0)
+    model = LogisticHierarchy.fit(df, ["a", "b"], "y", layout)
+    whole, x = model.weights[0], np.column_stack([a, b])
+    # The scale is that of all rows, also in the splits of some.
+    np.testing.assert_allclose(whole, _chain_by_hand(x, (y >= layout.coarse.edges[1]) * 1.0), atol=1e-7)
+    out = model.predict(df).select(F.aggregate("masses", F.lit(0.0), lambda s, m: s + m).alias("t"), "y", H.mean("masses", layout.bins).alias("m")).toPandas()
+    np.testing.assert_allclose(out.t, 1.0)
+    assert np.corrcoef(out.y, out.m)[0, 1] > 0.8
+
+
+def test_logistic_hierarchy_with_bins_that_no_row_reaches(spark):
+    df = values(spark, [0.0, 1.0, 2.0, 3.0, float("nan")], "a", y=[0.5, 0.6, 2.5, 2.6, 0.7])
+    fine = E.Bins((0.0, 0.25, 1.0)), E.Bins((1.0, 2.0)), E.Bins((2.0, 2.55, 3.0)), E.Bins((3.0, 4.0))
+    layout = E.Layout(E.Bins((0.0, 1.0, 2.0, 3.0, 4.0)), fine)
+    model = LogisticHierarchy.fit(df, ["a"], "y", layout)
+    rows = model.predict(df).orderBy("id").collect()
+    assert rows[4]["masses"] is None  # a missing feature
+    for r in rows[:4]:
+        m = r["masses"]
+        assert len(m) == 6 and abs(sum(m) - 1.0) < 1e-12
+        assert m[0] == m[2] == m[5] == 0.0  # context rows never fall there
+        assert (m[1] > 0.5) == (r["a"] < 1.5)
+    with pytest.raises(ValueError, match="no context row"):
+        LogisticHierarchy.fit(df.where("id < 0"), ["a"], "y", layout)
+
+
+class _FixedBins(E.DensityModel):
+    """Bin shares in bins that do not depend on the context."""
+
+    def _fit(self, df, low, high):
+        self.bins = self.grid
+        self.table = E.bin_shares(df, self.y, self.bins, self.keys)
+        self.marginal = E.overall(df, lambda rows, keys: E.bin_shares(rows, self.y, self.bins, keys))
+
+
+def test_sweeps_equal_one_fit_per_step(spark):
+    rng = np.random.default_rng(8)
+    key = [None if i % 9 == 0 else "abc"[i % 3] for i in range(240)]
+    df = values(spark, rng.gamma(2.0, 1.0, 240).clip(0, 9.9), "y", key=key)
+    grid = Grid.linear(0.0, 10.0, 12, normalization="histogram")
+    names = ["model", "n", "cde_loss", "crps", "nll", "bias", "pit_ks"]
+
+    def rows(report, *more):
+        return sorted(tuple(r) for r in report.select(*names, *more).collect())
+
+    def same(a, b):
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b, strict=True):
+            assert x[0] == y[0]
+            np.testing.assert_allclose(x[1:], y[1:], rtol=1e-9)
+
+    # One row of context leaves most keys unknown; rows without a key take the whole context's density in the sweep, so they are left out here.
+    known = df.where("key IS NOT NULL")
+    make = lambda: _FixedBins(["key"], grid=grid)
+    same(rows(SW.learning_curve(known, known, "y", ["key"], grid, grid, [2, 100], point="mean")),
+         rows(R.learning_curve(make, known, known, [2, 100], point="mean")))
+    low, rest = known.where("y < 2"), known.where("y >= 2")
+    same(rows(SW.bias_repair(low, rest, known, "y", ["key"], grid, grid, [0, 1000], point="mean")),
+         rows(R.bias_repair(make, low, rest, known, [0, 1000], point="mean")))
+    out = SW.missing_data_stress(df, df, "y", ["key"], grid, grid, [0.0, 1.0], point="mean")
+    found = {(r["model"], r["fraction"]): r["cde_loss"] for r in out.collect()}
+    assert abs(found["test", 0.0] - found["both", 0.0]) < 1e-12
+    # With every key masked, both tell the whole context's density.
+    flat = make().fit(df.withColumn("key", F.lit("one"))).evaluate(df.withColumn("key", F.lit("one")), point="mean").first()["cde_loss"]
+    assert abs(found["test", 1.0] - flat) < 1e-12 and abs(found["both", 1.0] - flat) < 1e-12
+    with pytest.raises(ValueError, match="must not fall"):
+        SW.first_step(df, [5, 2])
+
+
 def test_external_predictor_is_checked(spark):
     df = values(spark, [1.0, 2.0])
     with pytest.raises(Exception, match="the predictor returned"):
