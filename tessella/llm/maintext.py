@@ -123,9 +123,20 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     # Open elements: name, what rules main text out, within an article, within a heading, whether a name outside the article rules it out.
     stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Where each name stands in the stack, so that an end tag finds its element at once however deep the page is.
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = anchors = 0
 
+    def last(names: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names, or 0."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def leave(k: int) -> None:
+        """Closes the elements from place ``k`` on."""
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
     def close() -> None:
         nonlocal linked
         if parts:
@@ -155,16 +166,16 @@ def blocks(page: str) -> list[_Block]:
             close()
             anchors = 0
             if ending:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+                k = last((name,))
                 if k:
-                    del stack[k:]
+                    leave(k)
             elif name not in _VOID:
                 if name in _CELLS:
-                    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name or stack[k][0] in _CELLS[name]), 0)
+                    k = last((name, *_CELLS[name]))
                     if k and stack[k][0] == name:
-                        del stack[k:]
+                        leave(k)
                 if stack[-1][0] == "p":
-                    stack.pop()
+                    leave(len(stack) - 1)
                 _, never, article, heading, inside = stack[-1]
                 main = name == "main" or 'role="main"' in attributes.lower()
                 # A wrapper's name does not rule out the page's main element, nor its article if it has no other.
@@ -176,10 +187,11 @@ def blocks(page: str) -> list[_Block]:
                     never = max(never, _around(name, attributes, article))
                 elif attributes and _around(name, attributes, article) == HIDDEN:
                     never = HIDDEN
+                places.setdefault(name, []).append(len(stack))
                 stack.append((name, never, article or main or name == "article", heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), inside))
         elif ending and name in ("span", "ins") and stack[-1][0] == name:
             close()
-            stack.pop()
+            leave(len(stack) - 1)
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -247,8 +259,9 @@ def extract(df: DataFrame, page: str = "html", keep: dict[str, Column] | None =
 
     A null page counts as empty; a page without main text has the empty text.
     Broken markup is read as far as it goes: unclosed comments and scripts
-    reach to the page's end. Rows are independent; repeated ones stay repeated
-    and an empty table gives none.
+    reach to the page's end. Long and deeply nested pages are read whole, in
+    time that grows with their length. Rows are independent; repeated ones stay
+    repeated and an empty table gives none.
     """
     keep = keep or {}
     names = [*keep, "text", "n_chars"]
