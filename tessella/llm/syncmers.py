@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.common import rows_of
@@ -164,18 +166,25 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text")
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     parts = max(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = _ranges(own.select("id"), parts)
-    # The number of cuts below the id, found in a sorted literal array; null ids come first.
-    place = F.coalesce(F.array_size(F.filter(F.lit(cuts), lambda c: c < F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    ranged = own.withColumn("range", place)
+    # The number of cuts up to the id, by binary search; null ids come first.
+    if cuts:
+        splits = sorted({-math.inf, *map(float, cuts), math.inf})
+        placed = Bucketizer(splits=splits, inputCol="at", outputCol="place", handleInvalid="keep").transform(own.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-math.inf))))
+        ranged = placed.select("id", "text", F.col("place").cast("int").alias("range"))
+    else:
+        ranged = own.withColumn("range", F.lit(0))
     firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("x")).select("range", "x.id").orderBy("range").collect()
     if not firsts:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    # One row per range: the range before it, around the end.
-    before = {r["range"]: firsts[k - 1]["range"] for k, r in enumerate(firsts)}
-    first_ids = F.create_map(*[x for r in firsts for x in (F.lit(r["range"]), F.coalesce(F.lit(r["id"]).cast("long"), F.lit(-1).cast("long")))])
-    is_first = F.when(F.col("id").isNull(), F.lit(any(r["id"] is None for r in firsts))).otherwise(F.col("id") == first_ids[F.col("range")])
-    earlier = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    targets = F.when(is_first, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")), F.struct(earlier[F.col("range")].alias("range"), F.lit(True).alias("guest")))).otherwise(
+    # An entry per range, read by its number: its first id, and the range before it, around the end.
+    before, lead = [0] * (firsts[-1]["range"] + 1), [None] * (firsts[-1]["range"] + 1)
+    for k, r in enumerate(firsts):
+        before[r["range"]], lead[r["range"]] = firsts[k - 1]["range"], r["id"]
+    own_place = F.col("range") + 1
+    is_first = F.col("id").eqNullSafe(F.element_at(F.lit(np.array([0 if x is None else x for x in lead], np.int64)), own_place)) & F.element_at(F.lit([x is not None for x in lead]), own_place)
+    is_first = is_first | F.col("id").isNull()
+    earlier = F.element_at(F.lit(before), own_place)
+    targets = F.when(is_first, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")), F.struct(earlier.alias("range"), F.lit(True).alias("guest")))).otherwise(
         F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))))
     dealt = ranged.withColumn("to", F.explode(targets)).select(F.col("to.range").alias("range"), F.col("to.guest").alias("guest"), "id", "text")
 

@@ -426,6 +426,13 @@ def test_fingerprints_of_edited_texts(spark):
         e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         expected.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), mark(t), mark(e), syncmers.likeness(mark(t), mark(e)), syncmers.likeness(mark(t), mark(following))))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    # Ids next to each other beyond a double's whole numbers share a range; their order stays.
+    wide = [((1 << 60) + k, prose(k, 40)) for k in range(40)] + [(-(1 << 60), prose(77, 40))]
+    close = {r["doc_id"]: r for r in syncmers.compare_with_next(documents(spark, wide)).collect()}
+    for k in range(40):
+        following = prose(k + 1, 40) if k < 39 else prose(77, 40)
+        e = syncmers.edited(prose(k, 40), following)
+        assert close[(1 << 60) + k]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
     assert syncmers.compare_with_next(documents(spark, [])).count() == 0
     assert syncmers.compare_with_next(documents(spark, [(3, prose(1, 30))])).first()["near_next"] == 1.0
 
@@ -498,6 +505,20 @@ def test_names_around_and_inside_an_article():
     assert maintext.main_text(f"<div class='entry-header'><h1>Title</h1></div><p>{LONG_TEXT}</p>{rest}") == f"Title\n{LONG_TEXT}"
 
 
+def test_main_text_of_deep_and_broken_pages_takes_linear_time():
+    import time
+
+    line = "The cat and the dog are in the house because it is raining on all of the roofs of the town."
+    for broken in ("<div></ul>", "<li><p></dl></table>", "<td></li></tr>"):
+        start = time.time()
+        text = maintext.main_text(broken * 20_000 + f"<div><p>{line} {line}</p></div>")
+        assert time.time() - start < 10
+        assert text.endswith(f"{line} {line}")
+    # A cell ends the one before it, but not that of the table around it.
+    nested = maintext.blocks("<article><table><tr><td>one<table><tr><td>two<td>three</table>four</table><p>five</article>")
+    assert [b.text for b in nested] == ["one", "two", "three", "four", "five"] and all(b.article for b in nested)
+
+
 def test_main_text_edges(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "<p>" + "a < b and the rest of it is here for all of us to see, is it not so? " * 2), (None, "u", "<!-- open"), (4, "u", "<script>x"),
              (5, "u", "<p>" + prose(1, 30_000)), (5, "u", "<p>" + prose(1, 30_000)), (6, "u", "plain"), (7, "u", "<" * 3000), (8, "u", "<p a='" * 500)]
