@@ -128,10 +128,6 @@ def blocks(page: str) -> list[_Block]:
     parts: list[str] = []
     linked = anchors = 0
 
-    def last(names: tuple[str, ...]) -> int:
-        """The place of the innermost open element of these names, or 0."""
-        return max((places[n][-1] for n in names if places.get(n)), default=0)
-
     def leave(k: int) -> None:
         """Closes the elements from place ``k`` on."""
         while len(stack) > k:
@@ -166,14 +162,14 @@ def blocks(page: str) -> list[_Block]:
             close()
             anchors = 0
             if ending:
-                k = last((name,))
-                if k:
-                    leave(k)
+                open_ = places.get(name)
+                if open_:
+                    leave(open_[-1])
             elif name not in _VOID:
                 if name in _CELLS:
-                    k = last((name, *_CELLS[name]))
-                    if k and stack[k][0] == name:
-                        leave(k)
+                    open_ = places.get(name)
+                    if open_ and not any(places.get(n) and places[n][-1] > open_[-1] for n in _CELLS[name]):
+                        leave(open_[-1])
                 if stack[-1][0] == "p":
                     leave(len(stack) - 1)
                 _, never, article, heading, inside = stack[-1]
