@@ -90,11 +90,12 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], t
     """
     own = docs.select(blobs(docs, text).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     every = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    own = own.dropDuplicates(["blob"])
     if ledger is None:
-        return own.dropDuplicates(["blob"]).withColumn("rules", every)
+        return own.withColumn("rules", every)
     seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
     fresh = own.join(seen, "blob", "left").withColumn("rules", F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen")))
-    return fresh.where(F.size("rules") > 0).select("blob", "text", "rules").dropDuplicates(["blob"])
+    return fresh.where(F.size("rules") > 0).select("blob", "text", "rules")
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
