@@ -30,10 +30,12 @@ def level_probabilities(p: str, bins: Bins, levels: Sequence[int]) -> Column:
     return F.zip_with(F.slice(cdf, 2, n), F.slice(cdf, 1, n), lambda b, a: b - a)
 
 
-def predicted_and_observed(df: DataFrame, prob: str, y: str, levels: Sequence[int]) -> DataFrame:
-    """Mean predicted and observed share of each level, one pass."""
+def predicted_and_observed(df: DataFrame, prob: str, y: str, levels: Sequence[int], weight: str | None = None) -> DataFrame:
+    """Mean predicted and observed share of each level, one pass. A row counts ``weight`` times, or once."""
+    w = F.col(weight) if weight else F.lit(1)
+    mean = lambda v: F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))
     row = df.agg(*[a for i, k in enumerate(levels) for a in (
-        F.avg(F.col(prob)[i]).alias(f"p{i}"), F.avg((F.col(y) == k).cast("double")).alias(f"o{i}"))])
+        mean(F.col(prob)[i]).alias(f"p{i}"), mean((F.col(y) == k).cast("double")).alias(f"o{i}"))])
     cells = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"p{i}").alias("predicted"), F.col(f"o{i}").alias("observed")) for i, k in enumerate(levels)])
     return row.select(F.explode(cells).alias("r")).select("r.*")
 

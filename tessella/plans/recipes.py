@@ -37,8 +37,12 @@ def quantities(spark, sf) -> DataFrame:
 @query("y2_level_probabilities", f"""{QSQL}, lv AS (SELECT unnest(range(1, 50)) AS k), pl AS (SELECT sup, k, sum(p * greatest(least(hi, k + 0.5) - greatest(lo, k - 0.5), 0) / w) AS pr FROM p CROSS JOIN lv GROUP BY ALL),
 ns AS (SELECT sup, count(*) AS n FROM li GROUP BY sup) SELECT k AS level, round(sum(pr * n) / sum(n), 8) AS predicted, (SELECT count(*) FROM li WHERE q = k) / (SELECT count(*) FROM li)::DOUBLE AS observed FROM pl JOIN ns USING (sup) GROUP BY k""")
 def y2(spark, sf):
-    df = quantities(spark, sf).withColumn("prob", R.level_probabilities("p", QBINS, QLEVELS))
-    out = R.predicted_and_observed(df, "prob", "y", QLEVELS)
+    # Levels are read once per supplier, and equal quantities of a supplier are one row with their count.
+    li = I.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sup"), F.col("l_quantity").alias("y"))
+    shares = E.bin_shares(li, "y", QBINS, ["sup"]).withColumn("p", H.probabilities("masses", QBINS))
+    prob = shares.select("sup", R.level_probabilities("p", QBINS, QLEVELS).alias("prob"))
+    df = li.groupBy("sup", "y").agg(F.count("*").alias("n")).join(prob, "sup")
+    out = R.predicted_and_observed(df, "prob", "y", QLEVELS, "n")
     return out.select(F.col("level").cast("long").alias("level"), r("predicted", 8).alias("predicted"), "observed")
 
 
