@@ -830,3 +830,33 @@ def test_input_checks(spark):
         V.align_columns(df.select("k", "x"), ["x", "z"])
     table = V.as_table(spark, [[1, 2], [3, 4]])
     assert table.columns == ["x0", "x1"] and V.as_table(spark, pd.DataFrame({0: [1.0]})).columns == ["x0"]
+
+
+def test_levels_are_counted_with_weights(spark):
+    rows = [(0.2, 1, 3), (0.7, 2, 1), (None, 1, 4), (0.4, None, 2)]
+    some = spark.createDataFrame(rows, "p double, y int, n int").withColumn("prob", F.array("p"))
+    each = some.withColumn("_", F.explode(F.sequence(F.lit(1), "n")))
+    one, all_rows = (R.predicted_and_observed(d, "prob", "y", [1], w).first() for d, w in ((some, "n"), (each, None)))
+    assert one["predicted"] == pytest.approx(all_rows["predicted"]) == pytest.approx((0.6 + 0.7 + 0.8) / 6)
+    assert one["observed"] == pytest.approx(all_rows["observed"]) == pytest.approx(7 / 8)
+
+
+def computed(spark, df, run):
+    """How many times ``run`` computes each row of ``df``, which must hold a column ``a`` of doubles."""
+    seen, n = spark.sparkContext.accumulator(0), df.count()
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    run(df.mapInArrow(note, df.schema))
+    return seen.value / n
+
+
+def test_fits_of_many_passes_compute_their_rows_once(spark):
+    df = spark.range(200).select("id", (F.rand(1) + F.col("id")).alias("a"), F.rand(2).alias("b"))
+    assert computed(spark, df, lambda d: FE.Power.fit(d, ["a", "b"])) == 1
+    assert computed(spark, df, lambda d: FE.column_quantiles(d, ["a", "b"], [0.5])) == 1
+    assert computed(spark, df, lambda d: X.residual_quantiles(d, "a", "b", 4).collect()) == 1
+    assert computed(spark, df.withColumn("s", F.lit("x")), lambda d: SE.describe_subsets(d, "s", "a", "b", 1.0).collect()) == 1
