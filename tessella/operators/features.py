@@ -123,7 +123,8 @@ class Robust:
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> dict[str, list[float]]:
-    """Exact quantiles of several columns: the columns stacked as groups of one pass."""
+    """Exact quantiles of several columns: the columns, written once, stacked as groups of one pass."""
+    df = materialize(df.select(*[_known(c).alias(c) for c in columns]))
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _known(c).alias("v")) for c in columns])).alias("t")).select("t.*")
     return {r["c"]: list(r["q"]) for r in exact_quantiles(stacked, "v", levels, ["c"]).collect()}
 
@@ -240,8 +241,10 @@ class Power:
 
         The search starts on [-5, 5]; while the best candidate is at an end,
         the bracket moves on beyond it and doubles. A pass is one aggregate
-        over plain expressions, one row in all.
+        over plain expressions, one row in all. The columns are written once,
+        so a pass does not compute them again.
         """
+        df = materialize(df.select(*[_known(c).alias(c) for c in columns]))
         known = {c: _known(c) for c in columns}
         row = _row(df, [a for c, x in known.items() for a in (
             F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}"), F.count(x).alias(f"n_{c}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j_{c}"))])
