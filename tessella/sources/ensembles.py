@@ -12,7 +12,7 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessella.functions.arrays import as_column, total, vector
+from tessella.functions.arrays import as_column, let, total, vector
 from tessella.functions.grids import Bins
 from tessella.functions.quantile import knot_levels, knots
 from tessella.operators.mixtures import Mixture
@@ -31,8 +31,8 @@ def histogram_pdfs(p: Column | str, bins: Bins) -> Column:
     # The first copy of each edge value starts its bucket, so the copies' masses belong to it.
     first = np.searchsorted(bins.array, distinct.array, side="left")
     starts, counts = first[:-1], np.diff(np.r_[first[:-1], bins.n])
-    a = as_column(p)
-    masses = F.zip_with(F.lit(starts.astype(np.int32)), F.lit(counts.astype(np.int32)), lambda s, n: total(F.slice(a, s + 1, n)))
+    masses = let(as_column(p), lambda a: F.zip_with(
+        F.lit(starts.astype(np.int32)), F.lit(counts.astype(np.int32)), lambda s, n: total(F.slice(a, s + 1, n))))
     return F.zip_with(masses, vector(distinct.widths), lambda m, w: m / w)
 
 

@@ -820,6 +820,13 @@ def test_ensemble_keeps_a_point_mass(spark, tmp_path):
     np.testing.assert_allclose(back.first()["masses"], [0.1, 0.9])
 
 
+def test_stored_densities_compute_their_masses_once_per_row(spark):
+    """A draw that were repeated per bucket would differ between buckets."""
+    bins = Bins((0.0, 1.0, 2.0, 3.0, 4.0))
+    rows = spark.range(20).select(EN.histogram_pdfs(F.array_repeat(F.rand(3), 4), bins).alias("d")).collect()
+    assert all(len(set(r["d"])) == 1 for r in rows) and len({r["d"][0] for r in rows}) == 20
+
+
 def test_input_checks(spark):
     df = spark.createDataFrame([(1.0, "a", 2), (float("inf"), "3", None)], "x double, s string, k int")
     assert V.not_numeric(df, ["x", "s", "k"]) == ["s"] and V.infinite_columns(df, ["x", "k"]) == ["x"]
