@@ -240,16 +240,16 @@ def _parts(p: np.ndarray, source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.concatenate([f[:, :1], np.maximum(np.diff(f, axis=1), 0.0), np.maximum(p.sum(axis=1, keepdims=True) - f[:, -1:], 0.0)], axis=1)
 
 
-def _sliced(rows: np.ndarray, f) -> np.ndarray:
-    """``f`` over slices of rows that stay in a processor's cache, its results in one array."""
+def _sliced(rows: np.ndarray, f, *more: np.ndarray) -> np.ndarray:
+    """``f`` over slices of rows (and of ``more`` of as many rows) that stay in a processor's cache, its results in one array."""
     step = max(1, SLICE // max(1, rows.shape[1]))
     if len(rows) <= step:
-        return f(rows)
-    first = f(rows[:step])
+        return f(rows, *more)
+    first = f(rows[:step], *[m[:step] for m in more])
     out = np.empty((len(rows), *first.shape[1:]), first.dtype)
     out[:step] = first
     for start in range(step, len(rows), step):
-        out[start:start + step] = f(rows[start:start + step])
+        out[start:start + step] = f(rows[start:start + step], *[m[start:start + step] for m in more])
     return out
 
 
@@ -350,7 +350,7 @@ def linear_pool(members: list[Column], weights: np.ndarray, width: int) -> Colum
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def pool(*values: pa.Array) -> pa.Array:
         rows, fits = _members(values[: len(weights)], width)
-        return _lists(sum(w * m for w, m in zip(weights, rows)), fits)
+        return _lists(_sliced(rows[0], lambda *part: sum(w * m for w, m in zip(weights, part)), *rows[1:]), fits)
 
     return pool(*members, *[F.size(m) for m in members])
 
@@ -358,11 +358,14 @@ def linear_pool(members: list[Column], weights: np.ndarray, width: int) -> Colum
 def geometric_pool(members: list[Column], weights: np.ndarray, widths: np.ndarray, floor: float) -> Column:
     """The exponentiated weighted mean of floored log densities, as masses up to a factor."""
 
+    def pooled(*rows: np.ndarray) -> np.ndarray:
+        logs = sum(w * np.log(m / widths + floor) for w, m in zip(weights, rows))
+        return np.exp(logs - logs.max(axis=1, initial=-np.inf, keepdims=True)) * widths
+
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def pool(*values: pa.Array) -> pa.Array:
         rows, fits = _members(values[: len(weights)], len(widths))
-        logs = sum(w * np.log(m / widths + floor) for w, m in zip(weights, rows))
-        return _lists(np.exp(logs - logs.max(axis=1, initial=-np.inf, keepdims=True)) * widths, fits)
+        return _lists(_sliced(rows[0], pooled, *rows[1:]), fits)
 
     return pool(*members, *[F.size(m) for m in members])
 
@@ -371,7 +374,7 @@ def _members(values, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The rows that every member has, member by member."""
     found = [_matrix(v, width) for v in values]
     both = np.logical_and.reduce([fits for _, fits in found])
-    return [m[both[fits]] for m, fits in found], both
+    return [m if fits.sum() == both.sum() else m[both[fits]] for m, fits in found], both
 
 
 def mixed_masses(columns: list[Column], edges: list[np.ndarray], weights: list[float], union: np.ndarray, raw: bool = False) -> Column:

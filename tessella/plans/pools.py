@@ -24,12 +24,11 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     """``(usr, key, m1, m2, m3)``: masses of each member on the pool grid, per user and type."""
     ev = I.events(spark, sf)
     pairs = ev.select("usr", "key").distinct()
-    a = I.user_histograms(spark, sf).select("usr", F.col("masses").alias("a"))
-    b = I.user_histograms(spark, sf, I.COARSE).select("usr", F.col("masses").alias("b"))
-    c = I.weighted_histograms(ev, I.GRID, ["key"]).select("key", F.col("masses").alias("c"))
-    rows = pairs.join(a, "usr").join(b, "usr").join(c, "key")
-    rows = rows.withColumns({"pa": H.probabilities("a", I.GRID), "pb": H.probabilities("b", I.COARSE), "pc": H.probabilities("c", I.GRID)})
-    return rows.select("usr", "key", H.regrid("pa", I.GRID, POOL).alias("m1"), H.regrid("pb", I.COARSE, POOL).alias("m2"), H.regrid("pc", I.GRID, POOL).alias("m3"))
+    # Each member is brought to the pool grid before the join: once per user or type, not per pair.
+    a = I.user_histograms(spark, sf).withColumn("m1", H.regrid("masses", I.GRID, POOL, raw=True)).drop("masses")
+    b = I.user_histograms(spark, sf, I.COARSE).withColumn("m2", H.regrid("masses", I.COARSE, POOL, raw=True)).drop("masses")
+    c = I.weighted_histograms(ev, I.GRID, ["key"]).withColumn("m3", H.regrid("masses", I.GRID, POOL, raw=True)).drop("masses")
+    return pairs.join(a, "usr").join(b, "usr").join(c, "key").select("usr", "key", "m1", "m2", "m3")
 
 
 MEMBERS = f"""WITH {I.EV}, {I.grid_sql()}, {I.grid_sql('g2', n=35)}, {I.grid_sql('pg', n=100)},

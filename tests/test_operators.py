@@ -367,6 +367,31 @@ def test_pools_of_gaussians(spark):
     assert row[4][500] == pytest.approx(0.1, abs=1e-3) and row[4][841] - row[4][500] == pytest.approx(0.6, abs=5e-3)
 
 
+def test_pools_in_slices(spark, monkeypatch):
+    """A batch is pooled slice by slice; a row that lacks a member is NULL, its neighbours keep their values."""
+    monkeypatch.setattr(kernels, "SLICE", 12)
+    rng = np.random.default_rng(1)
+    m = rng.random((30, 2, 4))
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist() if i != 5 else None) for i, (a, b) in enumerate(m)], "id long, a array<double>, b array<double>").coalesce(1)
+    grid = Grid.linear(0, 4, 4, normalization="histogram")
+    for pool in (kernels.linear_pool, kernels.geometric_pool):
+        args = (np.array([0.25, 0.75]), grid.n) if pool is kernels.linear_pool else (np.array([0.25, 0.75]), grid.widths, 1e-10)
+        got = {r["id"]: r["m"] for r in df.select("id", pool([F.col("a"), F.col("b")], *args).alias("m")).collect()}
+        assert got.pop(5) is None and len(got) == 29
+        for i, row in got.items():
+            logs = 0.25 * np.log(m[i, 0] + 1e-10) + 0.75 * np.log(m[i, 1] + 1e-10)
+            np.testing.assert_allclose(row, 0.25 * m[i, 0] + 0.75 * m[i, 1] if pool is kernels.linear_pool else np.exp(logs - logs.max()))
+
+
+def test_members_of_a_pool_are_regridded_before_they_meet(spark, sf_dir):
+    """Once per user and once per type: no kernel that re-grids runs above the join of the pairs."""
+    from tessella.plans import pools
+    plan = pools.members(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:+-]*", line).group()) for line in plan]
+    joins = [d for d, line in zip(depth, plan) if "Join" in line]
+    assert len(joins) == 3 and all(d > min(joins) for d, line in zip(depth, plan) if "ArrowEvalPython" in line)
+
+
 def test_pool_grid():
     fine, coarse = Bins(tuple(np.linspace(0, 10, 1001))), Bins(tuple(np.linspace(-50, 50, 11)))
     grid = PO.pool_grid((2.0, 8.0), [fine, coarse])
