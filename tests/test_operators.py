@@ -642,6 +642,43 @@ def test_neighbours_of_clusters_are_pruned(spark):
         assert got[i] == sorted(np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:5].tolist())
 
 
+def test_neighbours_meet_in_slabs(spark, monkeypatch):
+    """A query is sent once per slab, not once per cell, and of a vector's copies only the first ids are searched."""
+    monkeypatch.setattr(NB, "CELL_ROWS", 5)
+    monkeypatch.setattr(NB, "SLAB_LEAST", 64)
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 16)
+    seen = []
+    monkeypatch.setattr(NB, "metric_index", lambda c, f=NB.metric_index, **options: seen.append((c.count(), f(c, **options))) or seen[-1][1])
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(700, 4)), 2)
+    x[200:500] = x[7]
+    df = spark.createDataFrame([(i, v.tolist(), float(i % 3)) for i, v in enumerate(x)], "id long, v array<double>, y double")
+    got = {r["id"]: r["neighbours"] for r in NB.nearest(df, df, 4, id_col="id", vector_col="v", context_id="id", value="y").collect()}
+    for i in range(700):
+        d = ((x - x[i]) ** 2).sum(1)
+        best = np.lexsort((np.arange(700), d))[:4]
+        assert [(t["id"], t["y"]) for t in got[i]] == [(j, float(j % 3)) for j in best.tolist()]
+        np.testing.assert_allclose([t["d"] for t in got[i]], d[best])
+    (rows, index), = seen
+    assert rows == 403
+    slabs = NB._slabs(index, 64)
+    assert 1 < slabs.n < len(index.sizes) / 4 and slabs.first[0] == 0 and slabs.last[-1] == len(index.sizes) - 1
+
+
+def test_nearest_of_asks_and_bounds(monkeypatch):
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(3)
+    z, x = np.round(rng.normal(size=(60, 3)), 1), np.round(rng.normal(size=(20, 3)), 1)
+    cell, cid = np.sort(rng.integers(0, 6, 60)), rng.permutation(60)
+    ask = rng.random((20, 6)) < 0.5
+    bound = np.where(rng.random(20) < 0.5, np.inf, 1.5)
+    row, place, d = NB._nearest_of(x, z, (z * z).sum(1), cid, cell, ask, bound, 5)
+    for i in range(20):
+        own = ((z - x[i]) ** 2).sum(1)
+        open_ = np.flatnonzero(ask[i][cell] & (own <= bound[i] ** 2))
+        assert place[row == i].tolist() == open_[np.lexsort((cid[open_], own[open_]))[:5]].tolist()
+
+
 @pytest.mark.parametrize("intervals", [1, 4, 64])
 def test_brackets_by_hand(spark, monkeypatch, intervals):
     monkeypatch.setattr(RK, "_intervals", lambda df: intervals)
