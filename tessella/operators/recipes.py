@@ -12,8 +12,9 @@ from tessella.functions.arrays import as_column, at, vector
 from tessella.functions.grids import Bins, Grid
 from tessella.functions.uniform import hash_uniform
 from tessella.operators.estimators import DensityModel
-from tessella.operators.ranks import exact_quantiles, hash_ranks
+from tessella.operators.ranks import exact_quantiles, hash_blocks, hash_ranks
 from tessella.operators.selection import mask_cells
+from tessella.session import materialize
 
 
 def region_probability(df: DataFrame, p: str, bins: Bins, below: float | None = None, above: float | None = None, name: str = "prob") -> DataFrame:
@@ -119,14 +120,29 @@ def learning_curve(make: Callable[[], DensityModel], pool: DataFrame, test: Data
 
 
 def shuffled_column(df: DataFrame, column: str, id_col: str, seed) -> DataFrame:
-    """A column's values dealt to other rows: the values' random ranks meet the rows' own."""
-    rows = hash_ranks(df.drop(column), f"{seed}/rows", id_col)
-    values = hash_ranks(df.select(id_col, column), f"{seed}/values", id_col).select("rank", column)
-    return rows.join(values, "rank").drop("rank")
+    """A column's values dealt to other rows: the values' random ranks meet the rows' own.
+
+    Rows and values move once, to the block of their rank, and meet there by their place in it.
+    """
+    kept = [c for c in df.columns if c != column]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    nothing = lambda c: F.lit(None).cast(types[c]).alias(c)
+    order, side = [F.col("_u"), F.col("_id")], F.col("_side")
+    rows = hash_blocks(df.drop(column), f"{seed}/rows", id_col).select(
+        F.lit(0).alias("_side"), "_block", "_u", F.col(id_col).alias("_id"), *[c for c in kept if c != id_col], nothing(column))
+    dealt = hash_blocks(df.select(id_col, column), f"{seed}/values", id_col).select(
+        F.lit(1).alias("_side"), "_block", "_u", F.col(id_col).alias("_id"), *[nothing(c) for c in kept if c != id_col], column)
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.unionByName(dealt).repartition(count, "_block")
+    placed = both.withColumn("_r", F.row_number().over(Window.partitionBy("_block", "_side").orderBy(*order)))
+    one = lambda c, of: F.first(F.when(side == of, F.col(c)), ignorenulls=True).alias(c)
+    met = placed.groupBy("_block", "_r").agg(one("_id", 0), *[one(c, 0) for c in kept if c != id_col], one(column, 1))
+    return met.select(*[F.col("_id").alias(id_col) if c == id_col else F.col(c) for c in kept], column)
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], float], id_col: str = "id", repeats: int = 5, seed: int = 0) -> DataFrame:
-    """How much a score falls when one feature is shuffled: ``(feature, mean, std)``."""
+    """How much a score falls when one feature is shuffled: ``(feature, mean, std)``. The rows are written once for all repeats."""
+    df = materialize(df)
     base, rows = score(df), []
     for f in features:
         drops = [base - score(shuffled_column(df, f, id_col, f"{seed}/{f}/{r}")) for r in range(repeats)]
