@@ -164,11 +164,7 @@ def object_scores(pdf: Column, y: Column, grid, floor: float) -> Column:
     centers, edges, histogram = grid.centers, grid.array, grid.histogram
     names = ("cde", "pit", "crps", "nll", "mean", "mode")
 
-    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-    def score(values: pa.Array, truth: pa.Array, _: pa.Array) -> pa.Array:
-        (d, fits), (t, known) = _matrix(values, width), _truths(truth)
-        both = fits & known
-        d, t = d[both[fits]], t[both]
+    def found(d: np.ndarray, t: np.ndarray) -> np.ndarray:
         d = np.where(np.isfinite(d), np.maximum(d, 0.0), 0.0)
         total = (d * weights).sum(axis=1)
         d[~(total > 0)] = 1.0
@@ -187,7 +183,14 @@ def object_scores(pdf: Column, y: Column, grid, floor: float) -> Column:
         pit = np.where(t >= nodes[-1], 1.0, np.where(t <= nodes[0], 0.0, np.clip(pit, 0.0, 1.0)))
         out = ((d * d * weights).sum(axis=1) - 2.0 * p, pit, _crps(m, t, nodes), -np.log(np.maximum(p, floor)),
                (d * (weights * centers)).sum(axis=1), centers[np.argmax(d, axis=1)])
-        return pa.StructArray.from_arrays([_values(x, both) for x in out], names=list(names))
+        return np.stack(out, axis=1)
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def score(values: pa.Array, truth: pa.Array, _: pa.Array) -> pa.Array:
+        (d, fits), (t, known) = _matrix(values, width), _truths(truth)
+        both = fits & known
+        out = _sliced(d if both.sum() == fits.sum() else d[both[fits]], found, t[both])
+        return pa.StructArray.from_arrays([_values(x, both) for x in out.T], names=list(names))
 
     return score.asNondeterministic()(pdf, y, F.size(pdf))
 

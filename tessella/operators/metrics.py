@@ -232,15 +232,15 @@ def pdf_metrics(
 
 def summarize(
     scores: DataFrame, y: str = "y", prediction: str = "y_pred", by: Sequence[str] = (), *,
-    point: str = "mode", scale: str = "none", label: str | None = None,
+    point: str = "mode", scale: str = "none", label: str | None = None, written: bool = False,
 ) -> DataFrame:
     """The one-row-per-group report of a score table, columns in the fixed order.
 
-    The score table is written down once, sketched in one pass, and read by
+    The score table is written down once, unless it already is (``written``), sketched in one pass, and read by
     the aggregates; the quartiles are the only other job before the result is
     asked for.
     """
-    df, keys = _grouped(materialize(scores), by)
+    df, keys = _grouped(scores if written else materialize(scores), by)
     e = residual(F.col(y), F.col(prediction), scale)
     known = sketch(df.withColumns({"e": e, "a": F.abs(e)}), ["e", "a", "pit"], keys)
     left = point_metrics(df, y, prediction, keys, scale, written=True, known=known)

@@ -34,10 +34,11 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """``(id, key, usr, y, fold)``: the target is 20 sqrt(value), which spreads the skewed values
-    over the grid; the folds serve cross-fitting, so every row is learned from and scored."""
+    over the grid; the folds serve cross-fitting, so every row is learned from and scored.
+    A fold is never NULL, and the plan knows it: no join on it hashes the ids a second time."""
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("key"), F.col("user_id").alias("usr"),
-        (F.sqrt("value") * 20.0).alias("y"), F.floor(hash_uniform("fold", F.col("event_id")) * 5).cast("int").alias("fold"))
+        (F.sqrt("value") * 20.0).alias("y"), F.coalesce(F.floor(hash_uniform("fold", F.col("event_id")) * 5).cast("int"), F.lit(0)).alias("fold"))
 
 
 def weighted_histograms(df: DataFrame, bins: Bins, by: list[str], name: str = "masses") -> DataFrame:
@@ -57,9 +58,9 @@ def event_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cross_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event with the density of its type learned on the other folds."""
-    ev = events(spark, sf)
-    return ev.join(cross_fitted(ev, "y", GRID, ["key"], "fold"), ["key", "fold"])
+    """Every event with the density of its type learned on the other folds: a row per type and fold, which goes to the events."""
+    ev = events(spark, sf).where("key IS NOT NULL")
+    return ev.join(F.broadcast(cross_fitted(ev, "y", GRID, ["key"], "fold")), ["key", "fold"])
 
 
 def user_quantiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -246,7 +246,7 @@ def l1(spark, sf):
 def _streamed(spark: SparkSession, sf: str) -> str:
     """The score table that a stream of prediction files has appended to."""
     source, scores, state = scratch(spark), scratch(spark), scratch(spark)
-    batch = I.cross_predictions(spark, sf)
+    batch = I.cross_predictions(spark, sf).select("id", "key", "y", "masses")
     batch.write.parquet(source)
     stream = spark.readStream.schema(batch.schema).parquet(source)
     out = ST.score_stream(stream, "masses", "y", I.GRID, ["id", "key"], point="mean")

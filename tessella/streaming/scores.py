@@ -68,4 +68,4 @@ def incremental_report(spark: SparkSession, path: str, by: Sequence[str] = ()) -
 
 def roll_up(spark: SparkSession, path: str, by: Sequence[str] = (), **options) -> DataFrame:
     """The report over everything appended so far."""
-    return summarize(spark.read.parquet(path), "y", "y_pred", by, **options)
+    return summarize(spark.read.parquet(path), "y", "y_pred", by, written=True, **options)
